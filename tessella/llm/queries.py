@@ -13,6 +13,31 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, scores
+
+    docs = table(spark, sf_dir, "documents")
+    return scores(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import sniffed, stored
+
+    return sniffed(stored(table(spark, sf_dir, "documents")))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_counts
 
