@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, mixed, utf8, word_hashes
+from .common import by_batch, utf8
 
 #: Labelled rows that a fit takes at most: those with the smallest hashes of their id.
 SAMPLE = 20_000
@@ -32,42 +31,76 @@ _UPPER = _CLASS[:, 0]
 _ODD_END = np.array([float(chr(b) in "#$%&*!|") for b in range(256)])
 
 
-def statistics(text: bytes) -> np.ndarray:
-    """The statistics of a text, all of them finite; zeros for an empty text."""
-    out = np.zeros(len(STATISTICS), np.float32)
-    if not text:
-        return out
-    n = len(text)
-    hist = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    upper, digit, punct, symbol, high, blank = hist @ _CLASS / n
-    words = text.split()
-    lines = [x for x in text.split(b"\n") if x]
-    p = hist[hist > 0] / n
-    byte_entropy = float(-(p * np.log2(p)).sum())
-    w = len(words)
-    out[:3] = np.log1p([n, w, len(lines)])
-    out[7:21] = upper, digit, punct, symbol, hist[33] / n, hist[35] / n, hist[36] / n, hist[37] / n, hist[38] / n, hist[42] / n, hist[124] / n, hist[46] / n, high, blank
-    out[29] = byte_entropy
-    if w:
-        raw = np.frombuffer(text, np.uint8)
-        edge = np.diff(_BLANK[raw], prepend=1, append=1)
-        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        size = ends - starts
-        counts = Counter(words)
-        c = np.fromiter(counts.values(), np.float64, len(counts))
-        q = c / w
-        out[3:7] = size.mean(), size.std(), np.log1p(size.max()), w / max(1, len(lines))
-        out[21:23] = len(counts) / w, c.max() / w
-        out[25:29] = (size <= 3).mean(), (size >= 12).mean(), _UPPER[raw[starts]].mean(), _ODD_END[raw[ends - 1]].mean()
-        out[30] = float(-(q * np.log2(q)).sum()) / max(1.0, np.log2(w))
-        h = word_hashes(words)
-        out[31] = 1 - len(np.unique(mixed(h[:-1]) + h[1:])) / max(1, w - 1)
-    if lines:
-        seen: dict[bytes, int] = {}
-        for x in lines:
-            seen[x] = seen.get(x, 0) + 1
-        out[23:25] = 1 - len(seen) / len(lines), max(seen.values()) / len(lines)
-    return out
+def _repeats(doc: np.ndarray, key: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per document: distinct keys, the largest count of one, the sum of c * log2(c) over counts. ``doc`` ascends."""
+    order = np.lexsort((key, doc))
+    d, k = doc[order], key[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
+    at = np.flatnonzero(new)
+    c = np.diff(np.append(at, len(d)))
+    owner = d[at]
+    most = np.zeros(docs)
+    np.maximum.at(most, owner, c)
+    return np.bincount(owner, minlength=docs).astype(float), most, np.bincount(owner, c * np.log2(c), docs)
+
+
+def statistics(texts: list[bytes]) -> np.ndarray:
+    """The statistics of texts, a row each, all finite; zeros for an empty text. All texts go through each numpy call together."""
+    docs = len(texts)
+    out = np.zeros((docs, len(STATISTICS)), np.float64)
+    size = np.fromiter(map(len, texts), np.int64, docs)
+    if not size.sum():
+        return out.astype(np.float32)
+    buffer = b"\n".join(texts) + b"\n"
+    raw = np.frombuffer(buffer, np.uint8)
+    of = np.repeat(np.arange(docs), size + 1)
+    hist = np.bincount(of * 256 + raw, minlength=256 * docs).reshape(docs, 256).astype(np.float64)
+    hist[:, 10] -= 1  # the line feeds between texts
+    n = np.maximum(1, size)[:, None]
+    share = hist / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out[:, 29] = -np.where(share > 0, share * np.log2(share), 0).sum(1)
+    classes = share @ _CLASS
+    out[:, 7:11] = classes[:, :4]
+    out[:, 11:18] = share[:, [33, 35, 36, 37, 38, 42, 124]]
+    out[:, 18] = share[:, 46]
+    out[:, 19:21] = classes[:, 4:]
+
+    edge = np.diff(_BLANK[raw], prepend=np.int8(1))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    word_of, length = of[starts], ends - starts
+    w = np.bincount(word_of, minlength=docs).astype(np.float64)
+    some = np.maximum(1, w)
+    each = lambda x: np.bincount(word_of, x, docs) / some
+    mean = each(length)
+    longest = np.zeros(docs)
+    np.maximum.at(longest, word_of, length)
+    words = buffer.split()  # as many as starts: both go by the same six blanks
+    key = np.fromiter(map(hash, words), np.int64, len(words))
+    distinct, top, clog = _repeats(word_of, key, docs)
+    pair = (key[:-1] * np.int64(0x2545F4914F6CDD1D)) ^ (key[1:] + np.int64(0x1E3779B97F4A7C15))
+    same = word_of[1:] == word_of[:-1]
+    pairs = _repeats(word_of[1:][same], pair[same], docs)[0]
+
+    feeds = np.flatnonzero(raw == 10)
+    line_of, line_length = of[feeds], np.diff(feeds, prepend=-1) - 1
+    line_key = np.fromiter(map(hash, buffer[:-1].split(b"\n")), np.int64, len(feeds))
+    full = line_length > 0
+    lines = np.bincount(line_of[full], minlength=docs).astype(np.float64)
+    line_kinds, line_top, _ = _repeats(line_of[full], line_key[full], docs)
+
+    out[:, 0], out[:, 1], out[:, 2] = np.log1p(size), np.log1p(w), np.log1p(lines)
+    out[:, 3], out[:, 4], out[:, 5] = mean, np.sqrt(np.maximum(0, each(length * length) - mean * mean)), np.log1p(longest)
+    out[:, 6] = w / np.maximum(1, lines)
+    out[:, 21], out[:, 22] = distinct / some, top / some
+    out[:, 23], out[:, 24] = (lines - line_kinds) / np.maximum(1, lines), line_top / np.maximum(1, lines)
+    out[:, 25], out[:, 26] = each(length <= 3), each(length >= 12)
+    out[:, 27], out[:, 28] = each(_UPPER[raw[starts]]), each(_ODD_END[raw[ends - 1]])
+    out[:, 30] = np.where(w > 1, (np.log2(some) - clog / some) / np.maximum(1, np.log2(some)), 0)
+    out[:, 31] = np.where(w > 1, 1 - pairs / np.maximum(1, w - 1), 0)
+    out[size == 0] = 0
+    return np.nan_to_num(out).astype(np.float32)
 
 
 @dataclass
@@ -150,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by `sample`
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [statistics(t).tobytes() for t in utf8(batch.column("text"))]
+        x = [r.tobytes() for r in statistics(utf8(batch.column("text")))]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(x, pa.binary())], ["doc_id", "quality", "x"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -161,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
 
 
 def _scores(model: Forest, texts: list[bytes]) -> np.ndarray:
-    return model.score(np.array([statistics(t) for t in texts], np.float32).reshape(-1, len(STATISTICS)))
+    return model.score(statistics(texts))
 
 
 def scores(docs: DataFrame, model: Forest) -> DataFrame:
