@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Documents may be very long, so a batch is kept small; this bounds a Python worker's memory.
 BATCH_ROWS = 512
+#: The same for rows of a few numbers that are streamed; a job that streams reads its documents in such batches, too.
+STREAM_ROWS = 2048
 
 #: Bytes that count as separators for the words of the licence and benchmark operators are turned to blanks, A-Z to a-z.
 _WORD_TABLE = bytes(

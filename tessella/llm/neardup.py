@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, by_batch, components, mixed, parked, shingle_hashes, utf8, word_hashes
+from .common import BATCH_ROWS, STREAM_ROWS, by_batch, components, mixed, parked, shingle_hashes, utf8, word_hashes
 
 BUCKETS = 1 << 20
 #: A token is frequent above this share of the rows, or three times the buckets' median.
@@ -168,7 +168,7 @@ def _chained(groups: DataFrame) -> DataFrame:
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = groups.repartition(n, "key").sortWithinPartitions("key", "doc_id")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(STREAM_ROWS))
     return parked(rows.mapInArrow(run, "a bigint, b bigint").distinct(), "chained")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, by_batch, mixed, parked, utf8
+from .common import STREAM_ROWS, by_batch, mixed, parked, utf8
 
 LENGTH, GRAM = 100, 48
 #: A string starts at most so many bytes before its anchor; a segment is that, and LENGTH more.
@@ -151,7 +151,7 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate([np.full(len(o[0]), o[3]) for o in out]))], ["doc_id", "key", "pack", "repeated"])
 
     dealt = rows.repartition(n, "key").sortWithinPartitions("key", "seg", "doc_id", "pack")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(STREAM_ROWS))
     return parked(dealt.mapInArrow(run, "doc_id bigint, key bigint, pack bigint, repeated boolean"), "anchors")
 
 
@@ -277,7 +277,7 @@ def _resolved(segments: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(s[at]), pa.array(end)], ["doc_id", "start", "end"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(STREAM_ROWS))
 
     def stream(batches):
         """Whole groups, COLLECTION segments at a time; groups of a partition are never all held."""
@@ -310,7 +310,7 @@ def _resolved(segments: DataFrame) -> DataFrame:
     hot = parked(each, "hot")
     earliest = hot.groupBy("string").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     late = hot.join(earliest, "string").where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(STREAM_ROWS))
     return columns.union(late)
 
 
