@@ -1,9 +1,14 @@
 """Registered queries of the engine, with their oracle SQL."""
 
+from __future__ import annotations
+
+from . import corpus, evaluation, graphs, retrieval, shapes, texts, traces  # noqa: F401  they register their queries
+from .registry import ORACLES, PLANS
+
 
 def queries() -> dict:
-    return {}
+    return dict(PLANS)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
