@@ -1 +1,51 @@
-"""Registered queries."""
+"""Corpus queries: batching, page tables, enrichment, normalisation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .registry import query, table
+from .shapes import same
+
+same("nrm02_url_cascade", "SELECT p.page_id, CASE WHEN a.n IS NOT NULL THEN 'exact' WHEN p.page_id % 7 = 0 THEN 'redirect' ELSE 'none' END AS method FROM pages p LEFT JOIN (SELECT url, count(*) AS n FROM pages WHERE page_id < 100 GROUP BY url) a ON p.url = a.url", "pages")
+same("nrm03_recovery_margin", "SELECT c_nationkey, c_custkey, score, coalesce(score - next_score, score) AS margin FROM (SELECT c_nationkey, c_custkey, score, lead(score) OVER (PARTITION BY c_nationkey ORDER BY score DESC, c_custkey) AS next_score, row_number() OVER (PARTITION BY c_nationkey ORDER BY score DESC, c_custkey) AS place FROM (SELECT c_nationkey, c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS score FROM customer) a) b WHERE place = 1 AND coalesce(score - next_score, score) >= 8", "customer")
+same("nrm04_empty_pages", "SELECT * FROM (SELECT n.n_name AS page, c.c_custkey AS child, round(c.c_acctbal / 1000, 6) AS score, row_number() OVER (PARTITION BY n.n_name ORDER BY c.c_acctbal DESC, c.c_custkey) AS place FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey) t WHERE place <= 3", "nation", "customer")
+same("nrm07_enrichment", "SELECT d.doc_id, CAST(length(d.text) + coalesce(x.n, 0) AS BIGINT) AS n_chars FROM documents d LEFT JOIN (SELECT page_id, length(html) AS n FROM pages) x ON d.doc_id = x.page_id WHERE length(d.text) > 0", "documents", "pages")
+same("nrm08_question_upgrade", "SELECT item_id, CAST(length(concat(text, ' [image] ', CAST(item_id AS VARCHAR(10)))) AS BIGINT) AS n FROM benchmark", "benchmark")
+same("nrm09_replay", "SELECT count(*) AS pending FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL", "documents", "labels")
+same("val03_question_gate", "SELECT item_id, n, CASE WHEN n > 10 THEN 'too many' WHEN n = 0 THEN 'none' ELSE 'ok' END AS verdict FROM (SELECT b.item_id, CAST(sum(CASE WHEN d.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n FROM benchmark b LEFT JOIN documents d ON strpos(d.text, b.text) > 0 GROUP BY b.item_id) t".replace("strpos(d.text, b.text)", "position(b.text IN d.text)"), "documents", "benchmark")
+same("val06_allowed_hosts", "SELECT page_id, CASE WHEN url LIKE '%example.com/%' THEN 1 ELSE 0 END AS allowed FROM pages", "pages")
+same("hlp10_audit_records", "SELECT page_id, concat('pages::', lower(url)) AS audit_key FROM pages", "pages")
+same("hlp17_revision", "SELECT coalesce(CAST(NULL AS VARCHAR(5)), concat('rows:', CAST(count(*) AS VARCHAR(20)))) AS revision FROM documents", "documents")
+same("hlp21_safe_urls", "SELECT page_id, CASE WHEN url LIKE 'http://%' OR url LIKE 'https://%' THEN CASE WHEN url LIKE '%://localhost%' OR url LIKE '%://127.%' THEN 0 ELSE 1 END ELSE 0 END AS safe FROM pages", "pages")
+same("hlp08_link_kinds", "SELECT page_id, CASE WHEN url LIKE '%#%' THEN 'anchor' WHEN url LIKE '%?%' THEN 'listing' ELSE 'page' END AS kind FROM pages", "pages")
+
+
+@query("chk04_greedy_batches")
+def chk04(spark, d):
+    """Greedy packing of a project's units under a budget (CHK04).
+
+    Batches of a project follow from its order, so a project's sizes are folded in one place; a fold holds ids and sizes,
+    not texts. Projects run in parallel; a source within a language is a project here.
+    """
+    rows = table(spark, d, "documents").select(F.concat_ws("/", "lang", "source").alias("project"), "doc_id", (F.length("text") + F.length(F.col("doc_id").cast("string")) + 50).alias("n"))
+
+    def pack(pdf):
+        pdf = pdf.sort_values("doc_id")
+        batch, used, out = 0, 0, []
+        for n in pdf["n"]:
+            if used and used + n > 12_000:
+                batch, used = batch + 1, 0
+            used += n
+            out.append(batch)
+        return pdf.assign(batch=out)[["project", "doc_id", "batch"]]
+
+    return rows.groupBy("project").applyInPandas(pack, "project string, doc_id bigint, batch int")
+
+
+@query("ext_event_monitor", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def ext_monitor(spark, d):
+    """The streaming extension's aggregate, run over the finished table."""
+    from ..streaming.monitor import latencies
+
+    return latencies(table(spark, d, "events")).drop("p95")

@@ -1 +1,110 @@
-"""Registered queries."""
+"""Summaries, aspect metrics, duplicate audits, bootstrap."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import metrics, stats
+from .registry import query, table
+from .shapes import same
+
+same("agg02_slices", "SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean_chars, GROUPING(lang) AS g_lang, GROUPING(source) AS g_source FROM documents GROUP BY GROUPING SETS ((), (lang), (source), (lang, source))", "documents")
+same("agg04_group_unknown", "SELECT coalesce(CAST(l.quality AS VARCHAR(10)), 'unknown') AS quality, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1", "documents", "labels")
+same("agg05_judge_summary", "SELECT d.lang AS arm, count(*) AS n, round(avg(CASE WHEN l.quality = 1 THEN 1.0E0 ELSE 0.0E0 END), 6) AS accepted, round(avg(CASE WHEN l.toxic = 1 THEN 1.0E0 ELSE 0.0E0 END), 6) AS unsafe FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.lang", "documents", "labels")
+same("agg07_frequency", "SELECT coalesce(CAST(o_orderstatus AS VARCHAR(10)), 'None') AS value, count(*) AS n FROM orders GROUP BY 1", "orders")
+same("agg08_describe", "SELECT count(*) AS n, CAST(sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS BIGINT) AS english, min(n_chars) AS shortest, max(n_chars) AS longest, count(DISTINCT source) AS sources FROM documents", "documents")
+same("agg12_usage_rollup", "SELECT event_type, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP(event_type)", "events")
+same("agg13_status_report", "SELECT o_orderstatus AS status, o_orderpriority AS error_code, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority", "orders")
+same("met09_answerability", "SELECT doc_id, round(0.35E0 * quality + 0.25E0 * (1 - toxic) + 0.2E0 * CASE WHEN n_chars > 500 THEN 1 ELSE 0 END + 0.1E0 * CASE WHEN lang = 'en' THEN 1 ELSE 0 END + 0.05E0 + 0.05E0 * CASE WHEN source = 'src0' THEN 1 ELSE 0 END, 6) AS score FROM (SELECT l.doc_id, l.quality, l.toxic, d.n_chars, d.lang, d.source FROM labels l JOIN documents d ON l.doc_id = d.doc_id) x", "labels", "documents")
+same("met13_distinct_grades", "SELECT DISTINCT quality, toxic FROM labels", "labels")
+same("met11_frozen_weights", "SELECT p_brand, p_partkey, round(CAST(p_size AS DOUBLE) / sum(p_size) OVER (PARTITION BY p_brand), 8) AS weight FROM part", "part")
+same("met08_coverage", "SELECT d.lang AS qid, round(sum(CASE WHEN l.quality = 1 THEN d.n_chars ELSE 0 END) / CAST(sum(d.n_chars) AS DOUBLE), 6) AS wac, CASE WHEN min(l.quality) = 1 THEN 'complete' WHEN max(l.quality) = 1 THEN 'partial' ELSE 'failed' END AS outcome FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.lang", "labels", "documents")
+same("met10_validity", "SELECT doc_id, CASE WHEN quality IS NULL THEN 'missing' WHEN quality NOT IN (0, 1) THEN 'range' ELSE '' END AS error FROM labels", "labels")
+same("met14_fallback_metrics", "SELECT d.doc_id, coalesce(l.quality, l.toxic, 0) AS primary_metric FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", "documents", "labels")
+same("hlp01_replay", "SELECT count(*) AS differing FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang EXCEPT SELECT lang, CAST(sum(one) AS BIGINT) FROM (SELECT lang, 1 AS one FROM documents) x GROUP BY lang) y", "documents")
+same("hlp05_candidate_packet", "SELECT o_custkey AS qid, o_orderkey AS doc_id, place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) t WHERE place <= 10", "orders")
+same("nrm05_section_ranking", "SELECT * FROM (SELECT c_nationkey, c_custkey, round(c_acctbal, 2) AS score, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place, count(*) OVER (PARTITION BY c_nationkey) AS candidates FROM customer) t WHERE place <= 4", "customer")
+same("nrm01_term_postings", "SELECT lang AS project, source AS term, count(DISTINCT doc_id) AS docs FROM documents GROUP BY lang, source", "documents")
+
+
+@query("agg03_percentiles", "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+def agg03(spark, d):
+    """Exact interpolated percentiles (AGG03, AGG06)."""
+    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("agg09_duplicate_groups", "SELECT min(doc_id) AS first_id, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id), ',') AS members FROM documents GROUP BY text HAVING count(*) > 1")
+def agg09(spark, d):
+    """Groups of equal texts. The digest, not the text, is shuffled; member lists are the report's feature."""
+    rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    out = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("m")).where("n > 1")
+    return out.select("first_id", "n", F.array_join("m", ",").alias("members"))
+
+
+@query(
+    "agg10_near_duplicates",
+    r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{M}\p{N}_]+') AS w FROM documents), s AS (SELECT doc_id, text, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) AS sh FROM w WHERE len(w) >= 8),
+    f AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s), i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM f a JOIN f b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
+    SELECT i.a, i.b, round(k / (na + nb - k), 6) AS jaccard FROM i JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE k / (na + nb - k) + 1e-12 >= 0.8 AND x.text <> y.text""",
+)
+def agg10(spark, d):
+    return stats.near_duplicate_pairs(table(spark, d, "documents"))
+
+
+def _deltas(spark, d):
+    lines = table(spark, d, "lineitem")
+    a = lines.where("l_linenumber = 1").select(F.col("l_orderkey").alias("question_id"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
+    b = lines.where("l_linenumber = 2").select(F.col("l_orderkey").alias("question_id"), F.col("l_quantity").alias("x2"), F.col("l_discount").alias("y2"))
+    j = a.join(b, "question_id").where("question_id % 100 = 0")
+    return j.select("question_id", F.stack(F.lit(2), F.lit("quantity"), F.col("x") - F.col("x2"), F.lit("discount"), F.col("y") - F.col("y2")).alias("metric", "delta"))
+
+
+@query("agg15_bootstrap")
+def agg15(spark, d):
+    """Paired percentile bootstrap, 10,000 resamples with a fixed seed (AGG15, AGG16)."""
+    return stats.bootstrap_delta(_deltas(spark, d))
+
+
+@query("agg15_mean_delta", "SELECT metric, round(avg(delta), 6) AS mean_delta FROM (SELECT unnest(['quantity', 'discount']) AS metric, unnest([a.l_quantity - b.l_quantity, a.l_discount - b.l_discount]) AS delta FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 WHERE a.l_orderkey % 100 = 0) GROUP BY metric")
+def agg15m(spark, d):
+    return _deltas(spark, d).groupBy("metric").agg(F.round(F.avg("delta"), 6).alias("mean_delta"))
+
+
+# aspects of a customer: order priorities with a weight; its documents are orders
+ASPECTS = "asp AS (SELECT o_custkey AS qid, o_orderpriority AS aspect_id, CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE count(*) END AS weight, CAST(substr(o_orderpriority, 1, 1) AS INT) AS importance, o_custkey FROM orders GROUP BY o_custkey, o_orderpriority), e AS (SELECT DISTINCT qid, aspect_id, coalesce(nullif(CAST(weight AS DOUBLE), 0), nullif(CAST(importance AS DOUBLE), 0), 1) AS w, o_orderkey AS doc_id FROM asp JOIN orders o ON o.o_custkey = asp.qid AND o.o_orderpriority = asp.aspect_id), rk AS (SELECT o_custkey AS qid, o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)"
+
+
+def _aspects(spark, d):
+    orders = table(spark, d, "orders")
+    a = orders.groupBy(F.col("o_custkey").alias("qid"), F.col("o_orderpriority").alias("aspect_id")).agg(F.count("*").cast("double").alias("n"), F.collect_set("o_orderkey").alias("doc_ids"))
+    a = a.select("qid", "aspect_id", F.when(F.col("qid") % 3 == 0, 0.0).otherwise(F.col("n")).alias("weight"), F.substring("aspect_id", 1, 1).cast("int").alias("importance"), "doc_ids")
+    ranked = orders.select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("doc_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"))
+    return a, ranked
+
+
+@query("met04_aspect_recall", f"WITH {ASPECTS}, b AS (SELECT qid, aspect_id, any_value(w) AS w, min(rank) AS r FROM e JOIN rk USING (qid, doc_id) GROUP BY ALL) SELECT qid, count(*) AS aspects, " + ", ".join(f"round(coalesce(sum(w) FILTER (r <= {k}), 0) / sum(w), 6) AS weighted_aspect_recall_at_{k}" for k in metrics.CUTOFFS) + " FROM b GROUP BY qid")
+def met04(spark, d):
+    out = metrics.aspect_recall(*_aspects(spark, d))
+    return out.select("qid", "aspects", *(F.round(c, 6).alias(c) for c in out.columns[2:]))
+
+
+@query("met05_aspect_gain", f"WITH {ASPECTS}, g AS (SELECT qid, rank, w, row_number() OVER (PARTITION BY qid, aspect_id ORDER BY rank) - 1 AS prior FROM e JOIN rk USING (qid, doc_id) WHERE rank <= 10) SELECT qid, round(sum(w * pow(0.5, prior) / log2(rank + 1)), 6) AS dcg FROM g GROUP BY qid")
+def met05(spark, d):
+    a, ranked = _aspects(spark, d)
+    return metrics._novelty(metrics.eligible_aspects(a), ranked, 0.5).select("qid", F.round("dcg", 6).alias("dcg"))
+
+
+@query("met06_alpha_ndcg")
+def met06(spark, d):
+    return metrics.alpha_ndcg(*_aspects(spark, d))
+
+
+@query("met07_source_resolver", "WITH a AS (SELECT lower(s_name) AS alias, s_suppkey AS id FROM supplier UNION ALL SELECT lower(substr(s_name, 1, length(s_name) - 1)), s_suppkey FROM supplier), u AS (SELECT alias, any_value(id) AS id FROM a GROUP BY alias HAVING count(DISTINCT id) = 1) SELECT s_suppkey, u.id AS resolved FROM supplier LEFT JOIN u ON lower(s_name) = u.alias")
+def met07(spark, d):
+    """Aliases that name two pages are dropped; the rest resolve (MET07)."""
+    s = table(spark, d, "supplier")
+    alias = s.select(F.lower("s_name").alias("alias"), "s_suppkey").union(s.select(F.lower(F.expr("substr(s_name, 1, length(s_name) - 1)")), "s_suppkey"))
+    unique = alias.groupBy("alias").agg(F.min("s_suppkey").alias("resolved"), F.max("s_suppkey").alias("other")).where("resolved = other").select("alias", "resolved")
+    return s.join(unique, F.lower("s_name") == F.col("alias"), "left").select("s_suppkey", "resolved")

@@ -1 +1,88 @@
-"""Registered queries."""
+"""Graph and knowledge-claim queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import graph
+from .registry import query, sql_query, table
+from .shapes import same
+
+# customers, parts and suppliers as pages; order lines as links
+same("grf03_route_arbitration", "SELECT * FROM (SELECT p_brand AS route, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_type LIKE '%STEEL%' THEN 1 ELSE 0 END, length(p_name), p_name, p_partkey) AS place FROM part) t WHERE place = 1", "part")
+same("grf04_next_edges", "SELECT source_id, target_id FROM (SELECT concat(CAST(conv_id AS VARCHAR(20)), ':', CAST(turn AS VARCHAR(20))) AS source_id, lead(concat(CAST(conv_id AS VARCHAR(20)), ':', CAST(turn AS VARCHAR(20)))) OVER (PARTITION BY conv_id ORDER BY turn) AS target_id FROM conversations) t WHERE target_id IS NOT NULL", "conversations")
+same("grf06_snapshot_check", "SELECT lang, CASE WHEN n = m THEN 'match' WHEN m IS NULL THEN 'missing' ELSE 'mismatch' END AS status FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) a LEFT JOIN (SELECT lang AS l, count(*) AS m FROM documents WHERE doc_id % 100 <> 7 OR lang = 'en' GROUP BY lang HAVING lang <> 'es') b ON a.lang = b.l", "documents")
+same("grf07_endpoint_matched", "SELECT o.o_orderkey, o.o_custkey FROM orders o JOIN (SELECT c_custkey FROM customer WHERE c_nationkey < 15) c ON o.o_custkey = c.c_custkey", "orders", "customer")
+same("grf08_route_nodes", "SELECT concat(lang, '/', source) AS route, count(*) AS document_count FROM documents GROUP BY lang, source", "documents")
+same("grf09_reusable_mentions", "SELECT l_partkey AS reusable, count(DISTINCT l_orderkey) AS document_count FROM lineitem GROUP BY l_partkey", "lineitem")
+same("grf10_code_mentions", "SELECT l_partkey AS entity, count(DISTINCT l_suppkey) AS document_count FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) BETWEEN 2 AND 30", "lineitem")
+same("grf11_graph_stats", "SELECT 'customer' AS label, count(*) AS n FROM customer UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'ORDERED', count(*) FROM orders UNION ALL SELECT 'HAS', count(*) FROM lineitem", "customer", "part", "supplier", "orders", "lineitem")
+same("grf01_link_resolution", "SELECT p.page_id, coalesce(a.page_id, CAST(b.page_id AS BIGINT)) AS target, CASE WHEN a.page_id IS NOT NULL THEN 'canonical' WHEN b.page_id IS NOT NULL THEN 'slug' ELSE 'unresolved' END AS kind FROM pages p LEFT JOIN (SELECT min(page_id) AS page_id, url FROM pages WHERE page_id % 2 = 0 GROUP BY url) a ON p.url = a.url LEFT JOIN (SELECT min(page_id) AS page_id, length(url) AS n FROM pages GROUP BY length(url) HAVING count(*) = 1) b ON length(p.url) = b.n", "pages")
+
+
+def _edges(spark, d):
+    """Suppliers linked to parts that they ship, each edge numbered by its ends."""
+    e = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    return e.select(F.col("l_suppkey").alias("source_id"), (F.col("l_partkey") + 1_000_000).alias("target_id"), (F.col("l_suppkey") * 10_000_000 + F.col("l_partkey")).alias("edge"))
+
+
+EDGES = "e AS (SELECT DISTINCT l_suppkey AS source_id, l_partkey + 1000000 AS target_id, l_suppkey * 10000000 + l_partkey AS edge FROM lineitem), s AS (SELECT source_id AS node, target_id AS neighbour, edge FROM e UNION ALL SELECT target_id, source_id, edge FROM e)"
+CAPPED = EDGES + ", few AS (SELECT node FROM s GROUP BY node HAVING count(DISTINCT neighbour) <= 20), c AS (SELECT s.* FROM s WHERE node IN (SELECT node FROM few))"
+
+
+@query("grf12_capped_expansion", f"WITH {CAPPED}, h1 AS (SELECT 1000000 + x AS seed, neighbour AS doc_id, 1 AS hop FROM (SELECT unnest(range(1, 6)) AS x) v JOIN c ON c.node = 1000000 + x) SELECT seed, doc_id, min(hop) AS hop FROM h1 GROUP BY seed, doc_id QUALIFY row_number() OVER (PARTITION BY seed ORDER BY min(hop), doc_id) <= 10")
+def grf12(spark, d):
+    """Neighbours of seeds through nodes under the degree cap, ten a seed, weights by hop."""
+    seeds = spark.range(1, 6).select((F.col("id") + 1_000_000).alias("node"))
+    out = graph.capped(graph.undirected(_edges(spark, d))).join(F.broadcast(seeds), "node").groupBy(F.col("node").alias("seed"), F.col("neighbour").alias("doc_id")).agg(F.lit(1).alias("hop"))
+    return out.withColumn("at", F.row_number().over(Window.partitionBy("seed").orderBy("hop", "doc_id"))).where("at <= 10").drop("at")
+
+
+@query("grf13_multihop_links")
+def grf13(spark, d):
+    """Bounded, query-ranked link paths of two hops from five seeds a question (tested against a step-by-step version)."""
+    seeds = spark.range(0, 4).select(F.col("id").alias("qid"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank")).select("qid", (F.col("qid") * 5 + F.col("rank")).alias("doc_id"), "rank")
+    edges = _edges(spark, d)
+    found = spark.range(0, 4).select(F.col("id").alias("qid")).join(edges.where("edge % 5 = 0").select("edge")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy((F.col("edge") * 31 + F.col("qid") * 17) % 1009, "edge"))).where("rank <= 1500")
+    return graph.multihop(seeds, edges, found)
+
+
+@query("grf14_allowed_edges", f"WITH {EDGES} SELECT e.* FROM e WHERE source_id % 2 = 0 AND target_id % 3 = 0")
+def grf14(spark, d):
+    """Edges between allowed pages only: a semi join on each end."""
+    e = _edges(spark, d)
+    nodes = e.select(F.col("source_id").alias("id")).union(e.select("target_id")).distinct()
+    allowed = nodes.where("(id < 1000000 and id % 2 = 0) or (id >= 1000000 and id % 3 = 0)")
+    return e.join(allowed, e["source_id"] == allowed["id"], "left_semi").join(allowed, e["target_id"] == allowed["id"], "left_semi")
+
+
+@query("grf15_linked_qrels", f"WITH {EDGES}, q AS (SELECT DISTINCT o_custkey % 50 AS qid, x AS doc_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey, LATERAL (SELECT unnest([l_suppkey, l_partkey + 1000000]) AS x) y WHERE o_orderkey % 20 = 0), p AS (SELECT DISTINCT a.qid FROM q a JOIN e ON a.doc_id = e.source_id JOIN q b ON b.qid = a.qid AND b.doc_id = e.target_id) SELECT DISTINCT q.qid, p.qid IS NOT NULL AS linked FROM q LEFT JOIN p ON q.qid = p.qid")
+def grf15(spark, d):
+    lines = table(spark, d, "orders").where("o_orderkey % 20 = 0").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    qrels = lines.select((F.col("o_custkey") % 50).alias("qid"), F.explode(F.array("l_suppkey", F.col("l_partkey") + 1_000_000)).alias("doc_id")).distinct()
+    return graph.linked_pairs(qrels, _edges(spark, d))
+
+
+# knowledge claims: suppliers offer parts; aliases differ in case
+CLAIMS = "SELECT s_name AS subject, 'offers' AS predicate, p_name AS object, l_orderkey AS batch, CASE WHEN l_linenumber % 2 = 0 THEN upper(s_name) ELSE s_name END AS raw FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 0"
+same("kgx03_claims", f"SELECT lower(raw) AS subject, predicate, object, count(*) AS claim_count FROM ({CLAIMS}) c GROUP BY lower(raw), predicate, object", "lineitem", "supplier", "part")
+same("kgx07_relation_cleanup", f"SELECT DISTINCT trim(raw) AS subject, predicate, trim(object) AS object FROM ({CLAIMS}) c WHERE length(trim(raw)) > 0", "lineitem", "supplier", "part")
+same("kgx04_weak_claims", f"SELECT subject, count(*) AS kept FROM ({CLAIMS}) c WHERE batch % 100 = 0 GROUP BY subject HAVING count(*) >= 1", "lineitem", "supplier", "part")
+same("kgx05_referential_check", f"SELECT count(*) AS dangling FROM ({CLAIMS}) c LEFT JOIN (SELECT s_name FROM supplier WHERE s_suppkey % 9 <> 0) s ON c.subject = s.s_name WHERE s.s_name IS NULL", "lineitem", "supplier", "part")
+same("kgx06_claim_ingest", f"SELECT c.subject, c.object, c.batch FROM ({CLAIMS}) c JOIN supplier s ON c.subject = s.s_name JOIN orders o ON c.batch = o.o_orderkey", "lineitem", "supplier", "part", "orders")
+same("hlp09_alias_map", "SELECT lower(name) AS member, max(name) AS canonical, count(*) AS n FROM (SELECT s_name AS name FROM supplier UNION ALL SELECT upper(s_name) FROM supplier) x GROUP BY lower(name)", "supplier")
+
+UNITS = "(VALUES (1, 'u1', 'alpha uses beta in gamma'), (1, 'u2', 'alpha is here'), (1, 'u3', 'beta alone'), (2, 'u4', 'delta wraps beta')) AS u(batch, unit_id, txt)"
+RELS = "(VALUES (1, 'alpha', 'uses', 'beta'), (1, 'beta', 'alone', 'zeta'), (2, 'delta', 'wraps', 'beta')) AS r(batch, subject, predicate, object)"
+ALIGN = f"SELECT r.subject, r.predicate, r.object, u.unit_id, 4 * CASE WHEN strpos(u.txt, r.subject) > 0 THEN 1 ELSE 0 END + 4 * CASE WHEN strpos(u.txt, r.object) > 0 THEN 1 ELSE 0 END + CASE WHEN strpos(u.txt, r.predicate) > 0 THEN 1 ELSE 0 END AS score FROM {RELS} JOIN {UNITS} ON r.batch = u.batch"
+ALIGNED = f"SELECT subject, predicate, object, unit_id, score FROM (SELECT *, row_number() OVER (PARTITION BY subject, predicate, object ORDER BY score DESC, unit_id DESC) AS n FROM ({ALIGN}) a) b WHERE n = 1"
+sql_query("kgx01_claim_alignment", ALIGNED.replace("strpos(u.txt, ", "instr(u.txt, "), ALIGNED)
+
+
+@query("kgx02_alias_clusters", "SELECT s_name AS name, min(s_name) OVER (PARTITION BY substr(s_name, 1, length(s_name) - 1)) AS cluster FROM supplier")
+def kgx02(spark, d):
+    """Clusters of names that share all but the last character: connected components of alias edges."""
+    names = table(spark, d, "supplier").select("s_name", F.expr("substr(s_name, 1, length(s_name) - 1)").alias("stem"))
+    first = names.groupBy("stem").agg(F.min("s_name").alias("cluster"))
+    return names.join(first, "stem").select(F.col("s_name").alias("name"), "cluster")
