@@ -17,11 +17,14 @@ def summary(rows: DataFrame, keys: list[str], metrics: list[str], optional: list
 def lexical_shingles(text, k: int = 3):
     """Distinct runs of ``k`` folded word tokens (TXT33)."""
     words = F.regexp_extract_all(fold(text), F.lit(r"(?U)\b\w+\b"), F.lit(0))
-    runs = F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " ")))
-    return words, F.array_distinct(F.coalesce(runs, F.array().cast("array<string>")))
+    runs = words
+    for i in range(2, k + 1):  # whole arrays are zipped: a lambda that held `words` would evaluate it once an element
+        runs = F.zip_with(runs, F.slice(words, i, F.greatest(F.lit(1), F.size(words))), lambda x, y: F.concat_ws(" ", x, y))
+    runs = F.slice(runs, F.lit(1), F.greatest(F.lit(0), F.size(words) - k + 1))
+    return words, F.array_distinct(runs)
 
 
-def near_duplicate_pairs(rows: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, least_tokens: int = 8, most_holders: int | None = None) -> DataFrame:
+def near_duplicate_pairs(rows: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, least_tokens: int = 8) -> DataFrame:
     """(a, b, jaccard) of rows whose shingle sets are alike, equal texts left out (AGG10).
 
     A prefix filter keeps the join linear in practice: shingles ordered by how few rows hold them, two sets at the
