@@ -15,7 +15,7 @@ def read(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
 def write(df: DataFrame, path: str, compression: str | None = None) -> None:
     """One object a line; the Unicode line separators are escaped, so every reader sees one line an object."""
     line = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    for char, escape in (("\u0085", "\\u0085"), (" ", "\\u2028"), (" ", "\\u2029")):
+    for char, escape in (("\u0085", "\\u0085"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
         line = F.replace(line, F.lit(char), F.lit(escape))
     writer = df.select(line.alias("value")).write
     (writer.option("compression", compression) if compression else writer).text(path)
@@ -29,7 +29,7 @@ def markdown_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """(path, bytes, sha256, role) of all files under ``root`` (SRC13)."""
+    """(path, bytes, sha256, role) of the files under ``root`` (SRC13); names that begin with an underscore or a dot are hidden files to Spark."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     role = F.when(F.col("path").rlike(r"\.mdx?$"), "documentation").when(F.col("path").rlike(r"\.(?:png|jpe?g|gif|svg|webp)$"), "asset").otherwise("support")
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), role.alias("role"))
