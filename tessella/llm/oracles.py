@@ -1,3 +1,37 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-SQL: dict[str, str] = {}
+LOWER = "translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31 AS BIGINT), 1)), '')"
+
+SQL: dict[str, str] = {
+    "op4_ngram_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(""" + LOWER.format(x="text") + r""", '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM w),
+    f AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+    e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+    r(root, node) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.root, e.b FROM r JOIN e ON r.node = e.a)
+    SELECT s.doc_id, CAST(any_value(len(sh)) AS BIGINT) AS n_shingles, min(node) AS component_id FROM s JOIN r ON r.root = s.doc_id GROUP BY s.doc_id""",
+    "op6_decontaminate": f"""WITH d AS (SELECT doc_id, {WORDS.format(x="text")} AS w FROM documents), b AS (SELECT item_id, {WORDS.format(x="text")} AS w FROM benchmark),
+    win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+    dwin AS (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+    hit AS (SELECT doc_id, p, dwin.n AS n, item_id FROM dwin JOIN win ON dwin.n = win.n AND dwin.win = win.win),
+    pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
+    "op7_repeats": """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(length(hex(encode(coalesce(text, '')))) // 2 AS BIGINT) AS n FROM documents),
+    win AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM t WHERE n >= 100)),
+    late AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM win) WHERE k > 1),
+    gap AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM late),
+    num AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM gap),
+    runs AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS b FROM num GROUP BY doc_id, k),
+    keep AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM runs UNION ALL SELECT r.doc_id, max(b), any_value(n) FROM runs r JOIN t ON r.doc_id = t.doc_id GROUP BY r.doc_id),
+    kept AS (SELECT k.doc_id, string_agg(substr(h, CAST(2 * x + 1 AS BIGINT), CAST(2 * (y - x) AS BIGINT)), '' ORDER BY x, y) AS h, CAST(sum(y - x) AS BIGINT) AS m FROM keep k JOIN t ON k.doc_id = t.doc_id GROUP BY k.doc_id),
+    spans AS (SELECT doc_id, count(*) AS n_spans FROM runs GROUP BY doc_id)
+    SELECT t.doc_id, t.n AS n_bytes, CAST(t.n - coalesce(m, t.n) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, t.h))) AS kept_sha256 FROM t LEFT JOIN kept ON t.doc_id = kept.doc_id LEFT JOIN spans ON t.doc_id = spans.doc_id""",
+    "op8_warc": f"""WITH p AS (SELECT page_id, url, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+    u AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '^www[0-9]*\\.', '') AS host, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS path, lower(regexp_extract(url, '\\?([^#]*)', 1)) AS q FROM pages)
+    SELECT p.page_id, payload_bytes, {BASE32} AS payload_digest, CASE WHEN p.page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> first THEN first END AS refers_to,
+    array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(q, '&')), '&') END AS url_key,
+    strftime(TIMESTAMP '2020-01-01' + to_seconds(p.page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured_at FROM p JOIN u ON p.page_id = u.page_id""",
+}
