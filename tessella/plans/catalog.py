@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, graphs, retrieval, shapes, texts, traces  # noqa: F401  they register their queries
+from . import corpus, evaluation, graphs, more, retrieval, shapes, texts, traces  # noqa: F401  they register their queries
 from .registry import ORACLES, PLANS
 
 
