@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import POLICY
-from ..functions.text import terms
+from ..functions.text import tokens, with_bigrams
 
 
 def indexed(units: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``units`` with their terms and length; narrow, so it is recomputed rather than shuffled."""
-    return units.withColumn("terms", terms(F.col(text))).withColumn("dl", F.size("terms").cast("double")).drop(text)
+    # the words are a column of their own: a project that uses an expensive column several times is not collapsed into it
+    words = units.withColumn("_words", tokens(F.col(text))).drop(text)
+    return words.withColumn("terms", with_bigrams(F.col("_words"))).drop("_words").withColumn("dl", F.size("terms").cast("double"))
 
 
 def vocabulary(index: DataFrame, min_df: int = 1, max_features: int | None = None) -> DataFrame:
@@ -29,7 +31,8 @@ def collection(index: DataFrame) -> DataFrame:
 
 def question_terms(questions: DataFrame, key: str = "qid", text: str = "text") -> DataFrame:
     """(qid, term), each term once (LEX05)."""
-    return questions.select(key, F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
+    words = questions.select(key, tokens(F.col(text)).alias("_words"))
+    return words.select(key, F.explode(F.array_distinct(with_bigrams(F.col("_words")))).alias("term"))
 
 
 def weights(index: DataFrame, wanted: DataFrame, key: str, k1: float = POLICY.k1, b: float = POLICY.b) -> DataFrame:

@@ -14,14 +14,17 @@ def summary(rows: DataFrame, keys: list[str], metrics: list[str], optional: list
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.round(F.avg(m), 9).alias(m) for m in metrics), *need)
 
 
-def lexical_shingles(text, k: int = 3):
-    """Distinct runs of ``k`` folded word tokens (TXT33)."""
-    words = F.regexp_extract_all(fold(text), F.lit(r"(?U)\b\w+\b"), F.lit(0))
+def lexical_tokens(text):
+    return F.regexp_extract_all(fold(text), F.lit(r"(?U)\b\w+\b"), F.lit(0))
+
+
+def lexical_shingles(words, k: int = 3):
+    """Distinct runs of ``k`` tokens (TXT33); ``words`` is best a column, not an expression, as it is used several times."""
     runs = words
     for i in range(2, k + 1):  # whole arrays are zipped: a lambda that held `words` would evaluate it once an element
         runs = F.zip_with(runs, F.slice(words, i, F.greatest(F.lit(1), F.size(words))), lambda x, y: F.concat_ws(" ", x, y))
     runs = F.slice(runs, F.lit(1), F.greatest(F.lit(0), F.size(words) - k + 1))
-    return words, F.array_distinct(runs)
+    return F.array_distinct(runs)
 
 
 def near_duplicate_pairs(rows: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, least_tokens: int = 8) -> DataFrame:
@@ -30,8 +33,8 @@ def near_duplicate_pairs(rows: DataFrame, key: str = "doc_id", text: str = "text
     A prefix filter keeps the join linear in practice: shingles ordered by how few rows hold them, two sets at the
     threshold share one among the first n - ceil(threshold * n) + 1; overlaps are counted for such pairs only.
     """
-    words, sh = lexical_shingles(F.col(text))
-    sets = rows.select(F.col(key).alias("id"), F.xxhash64(text).alias("same"), F.size(words).alias("tokens"), sh.alias("sh")).where(F.col("tokens") >= least_tokens)
+    sets = rows.select(F.col(key).alias("id"), F.xxhash64(text).alias("same"), lexical_tokens(F.col(text)).alias("words")).where(F.size("words") >= least_tokens)
+    sets = sets.select("id", "same", lexical_shingles(F.col("words")).alias("sh"))
     sets = sets.withColumn("n", F.size("sh"))
     flat = sets.select("id", "n", F.explode("sh").alias("s"))
     held = flat.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")

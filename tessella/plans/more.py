@@ -54,8 +54,8 @@ def txt29(spark, d):
 
 @query("txt33_shingles", r"SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(len(list_distinct(list_transform(range(1, greatest(1, len(w) - 1)), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]))) AS BIGINT) AS n_shingles FROM (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{M}\p{N}_]+') AS w FROM documents)")
 def txt33(spark, d):
-    w, s = stats.lexical_shingles(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(w).cast("bigint").alias("n_tokens"), F.size(s).cast("bigint").alias("n_shingles"))
+    rows = table(spark, d, "documents").select("doc_id", stats.lexical_tokens(F.col("text")).alias("w"))
+    return rows.select("doc_id", F.size("w").cast("bigint").alias("n_tokens"), F.size(stats.lexical_shingles(F.col("w"))).cast("bigint").alias("n_shingles"))
 
 
 @query("chk03_source_offset", "SELECT doc_id, CAST(coalesce(nullif(position(substr(text, 301, 500) IN text), 0), nullif(position(substr(text, 301, 80) IN text), 0)) - 1 AS BIGINT) AS start FROM documents WHERE length(text) > 300")
