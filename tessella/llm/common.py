@@ -43,6 +43,13 @@ def parked(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salted_join(rows: DataFrame, first: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """Inner join of ``rows`` with ``first``, one row a key, where a key may hold a third of ``rows``: each key's rows are dealt to ``salts`` tasks."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    return dealt.join(first.select("*", salt), [key, "_salt"]).drop("_salt")
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``fn`` on each Arrow batch of ``df``; batches hold BATCH_ROWS rows at most."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

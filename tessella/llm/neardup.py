@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, STREAM_ROWS, by_batch, components, mixed, parked, shingle_hashes, utf8, word_hashes
+from .common import BATCH_ROWS, STREAM_ROWS, by_batch, components, mixed, parked, salted_join, shingle_hashes, utf8, word_hashes
 
 BUCKETS = 1 << 20
 #: A token is frequent above this share of the rows, or three times the buckets' median.
@@ -276,7 +276,8 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     profiles = parked(_profiles(docs, k), "profiles")
     first = profiles.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    known = parked(profiles.join(first, "print", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "known")
+    copied = salted_join(profiles.where("print is not null"), first, "print").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    known = parked(profiles.join(copied, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "known")
     alias = known.where("rep <> doc_id").groupBy("doc_id").agg(F.min("rep").alias("rep"))
 
     total = _frequent(docs, k)
