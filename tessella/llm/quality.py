@@ -45,8 +45,22 @@ def _repeats(doc: np.ndarray, key: np.ndarray, docs: int) -> tuple[np.ndarray, n
     return np.bincount(owner, minlength=docs).astype(float), most, np.bincount(owner, c * np.log2(c), docs)
 
 
+#: Bytes of the texts that go through a numpy call together, unless one text alone has more.
+TOGETHER = 1 << 20
+
+
 def statistics(texts: list[bytes]) -> np.ndarray:
-    """The statistics of texts, a row each, all finite; zeros for an empty text. All texts go through each numpy call together."""
+    """The statistics of texts, a row each, all finite; zeros for an empty text."""
+    parts, begin, held = [], 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > TOGETHER:
+            parts.append(_together(texts[begin:i]))
+            begin, held = i, 0
+        held += len(t) + 1
+    return np.concatenate([*parts, _together(texts[begin:])])
+
+
+def _together(texts: list[bytes]) -> np.ndarray:
     docs = len(texts)
     out = np.zeros((docs, len(STATISTICS)), np.float64)
     size = np.fromiter(map(len, texts), np.int64, docs)
