@@ -21,17 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STREAM_ROWS, by_batch, mixed, parked, utf8
+from .common import STREAM_ROWS, by_batch, mixed, parked, salted_join, utf8
 
 LENGTH, GRAM = 100, 48
 #: A string starts at most so many bytes before its anchor; a segment is that, and LENGTH more.
 REACH = LENGTH - GRAM
 WIDTH = REACH + LENGTH
 #: Bytes hashed at once; rows that are broadcast at most; segments of a collection; rows of a group that goes by windows instead.
-PIECE, BROADCAST_ROWS, COLLECTION, HOT = 1 << 20, 400_000, 50_000, 50_000
+PIECE, BROADCAST_ROWS, COLLECTION, HOT = 1 << 18, 400_000, 50_000, 50_000
+#: Anchors that are combined before they are dealt, and rows of a batch that goes on.
+COMBINED, SENT = 100_000, 16_384
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,29 +97,52 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(key, seg, doc_id, pack): pack holds the anchor, how far before it strings start first, and how many more start after."""
+    """(key, seg, doc_id, pack) and (doc_id, start, end), rows of either kind.
+
+    pack holds the anchor, how far before it strings start first, and how many more start after. Of segments that are
+    equal within a batch the earliest alone is dealt on by its key; strings of the others are repeated, whatever other
+    batches hold, and go by their document as ranges of starts, neighbours joined.
+    """
+
+    def combined(rows: list[tuple], ids: list[np.ndarray]) -> pa.RecordBatch:
+        key, seg, anchor, first, last = (np.concatenate(c) for c in zip(*rows, strict=True))
+        doc = np.concatenate(ids)
+        order = np.lexsort((first, doc, seg, key))
+        again = np.zeros(len(key), bool)
+        again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (seg[order[1:]] == seg[order[:-1]])
+        on = np.flatnonzero(~again)
+        d, s, e = doc[again], first[again], last[again]
+        by = np.lexsort((s, d))
+        d, s, e = d[by], s[by], e[by]
+        head = np.ones(len(d), bool)
+        head[1:] = (d[1:] != d[:-1]) | (s[1:] != e[:-1] + 1)
+        at = np.flatnonzero(head)
+        end = e[np.append(at[1:], len(e)) - 1] + LENGTH if len(e) else e
+        none = lambda n: pa.nulls(n, pa.int64())
+        one = [pa.array(key[on].view(np.int64)), pa.array(seg[on].view(np.int64)), pa.array(doc[on]), pa.array((anchor[on] << 12) | ((anchor[on] - first[on]) << 6) | (last[on] - first[on])), none(len(on)), none(len(on))]
+        two = [none(len(at)), none(len(at)), pa.array(d[at]), none(len(at)), pa.array(s[at]), pa.array(end)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(one, two, strict=True)], ["key", "seg", "doc_id", "pack", "start", "end"])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, rows, held = [], [], 0
         texts = utf8(batch.column(1))
         for n, (i, t) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
-            key, seg, anchor, first, last = anchors(t)
-            rows.append((key, seg, (anchor << 12) | ((anchor - first) << 6) | (last - first)))
-            ids.append(np.full(len(key), i, np.int64))
-            held += len(key)
-            if held > 200_000 or n == len(texts) - 1:
-                cols = [np.concatenate(c) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(np.concatenate(ids)), pa.array(cols[2])], ["key", "seg", "doc_id", "pack"])
+            got = anchors(t)
+            rows.append(got)
+            ids.append(np.full(len(got[0]), i, np.int64))
+            held += len(got[0])
+            if held > COMBINED or n == len(texts) - 1:
+                out = combined(rows, ids)
+                for at in range(0, out.num_rows, SENT):
+                    yield out.slice(at, SENT)
                 ids, rows, held = [], [], 0
 
-    return by_batch(docs.select("doc_id", "text"), run, "key bigint, seg bigint, doc_id bigint, pack bigint")
+    return by_batch(docs.select("doc_id", "text"), run, "key bigint, seg bigint, doc_id bigint, pack bigint, start bigint, end bigint")
 
 
 def _sorted_out(rows: DataFrame) -> DataFrame:
-    """From anchors sorted by key, seg and place: (doc_id, key, pack, repeated).
-
-    repeated: an equal segment stands earlier, so all its strings are repeated. Others come along only if their key has
-    several segments. Rows are streamed; of a key no more than one row is held.
+    """From anchors sorted by key, seg and place: (doc_id, pack) of the anchors whose key has several segments, the first
+    of each segment; (doc_id, start, end) of ranges that repeat. Rows are streamed; of a key no more than one is held.
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -124,6 +150,10 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
     def run(batches):
         before = held = None  # last (key, seg); the first row of the last key while it has one segment only
         for batch in batches:
+            through = batch.filter(pc.is_null(batch.column("key")))
+            if through.num_rows:
+                yield pa.RecordBatch.from_arrays([through.column(c) for c in ("doc_id", "pack", "start", "end")], ["doc_id", "pack", "start", "end"])
+            batch = batch.filter(pc.is_valid(batch.column("key")))
             key, seg, doc, pack = (batch.column(i).to_numpy() for i in range(4))
             if not len(key):
                 continue
@@ -137,22 +167,26 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
             segs = np.bincount(run_of, new_seg, run_of[-1] + 1)
             if segs[0] and run_of[0] == 0:
                 segs[0] = 2  # one stood in a batch before
-            out = [(doc[~new_seg], key[~new_seg], pack[~new_seg], True)]
             open_ = new_seg & (segs[run_of] > 1)
+            opened = [(doc[open_], pack[open_])]
             if held is not None and run_of[0] == 0 and segs[0]:
-                out.append((np.array([held[0]]), np.array([held[1]]), np.array([held[2]]), False))
+                opened.append((np.array([held[0]]), np.array([held[1]])))
                 held = None
             if run_of[-1] > 0:
-                start = int(np.flatnonzero(new_key)[-1])
-                held = (doc[start], key[start], pack[start]) if segs[-1] == 1 else None
-            out.append((doc[open_], key[open_], pack[open_], False))
+                at = int(np.flatnonzero(new_key)[-1])
+                held = (doc[at], pack[at]) if segs[-1] == 1 else None
             before = (key[-1], seg[-1])
-            cols = [np.concatenate([o[i] for o in out]).astype(np.int64) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate([np.full(len(o[0]), o[3]) for o in out]))], ["doc_id", "key", "pack", "repeated"])
-
-    dealt = rows.repartition(n, "key").sortWithinPartitions("key", "seg", "doc_id", "pack")
+            d, p = (np.concatenate(x).astype(np.int64) for x in zip(*opened, strict=True))
+            again = pack[~new_seg]
+            start = (again >> 12) - ((again >> 6) & 63)
+            none = pa.nulls(len(d), pa.int64())
+            columns = [(pa.array(d), pa.array(doc[~new_seg])), (pa.array(p), pa.nulls(len(again), pa.int64())), (none, pa.array(start)), (none, pa.array(start + (again & 63) + LENGTH))]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in columns], ["doc_id", "pack", "start", "end"])
+
+    # ranges that repeat need no key; they are spread by their place, so no hot one meets in a task
+    dealt = rows.repartition(n, F.coalesce("key", F.xxhash64("doc_id", "start"))).sortWithinPartitions("key", "seg", "doc_id", "pack")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(STREAM_ROWS))
-    return parked(dealt.mapInArrow(run, "doc_id bigint, key bigint, pack bigint, repeated boolean"), "anchors")
+    return parked(dealt.mapInArrow(run, "doc_id bigint, pack bigint, start bigint, end bigint"), "anchors")
 
 
 def _cut(text: bytes, start: int, n: int) -> bytes:
@@ -333,15 +367,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     known = parked(docs.select("doc_id", F.octet_length("text").cast("bigint").alias("n"), F.unhex(F.sha2("text", 256)).alias("same")).where(f"n >= {LENGTH}"), "texts")
     first = known.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    copies = parked(known.join(first, "same").where("doc_id > first").select("doc_id", "n").distinct(), "copies")
+    copies = parked(salted_join(known, first, "same").where("doc_id > first").select("doc_id", "n").distinct(), "copies")
     gone = copies.select("doc_id")
     rest = docs.where(f"octet_length(text) >= {LENGTH}").join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
     if known.count() != known.select("doc_id").distinct().count():
         rest = rest.dropDuplicates(["doc_id"])
     sorted_out = _sorted_out(_anchor_rows(rest))
-    start = F.shiftright("pack", 12) - F.shiftright("pack", 6).bitwiseAND(63)
-    whole = sorted_out.where("repeated").select("doc_id", start.alias("start"), (start + F.col("pack").bitwiseAND(63) + LENGTH).alias("end"))
-    part = parked(_resolved(_segments(rest, sorted_out.where("not repeated"))), "resolved")
+    whole = sorted_out.where("pack is null").select("doc_id", "start", "end")
+    part = parked(_resolved(_segments(rest, sorted_out.where("pack is not null"))), "resolved")
     every = whole.union(part).union(copies.select("doc_id", F.lit(0).cast("bigint"), "n"))
     return every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one document, so bounded by it
 
