@@ -1,10 +1,10 @@
 """Personal data: patterns find protected entities, corpus co-occurrence finds the terms that give them away.
 
-DataFrame functions only. After Sanchez and Batet's information-theoretic sanitisation: a term t near an entity e
+DataFrame functions only. After Sanchez and Batet's information-theoretic sanitisation: a term t in a document of an entity e
 discloses it by PMI(e; t) = log(p(e, t) / (p(e) p(t))), at most IC(e) = -log p(e), reached where t never occurs without
 e. Terms whose share PMI / IC is at least ``theta`` are generalised, those that reach ``remove`` are removed.
-Probabilities are over all documents; a term needs ``support`` different contexts with the entity, so the copies of one
-passage prove nothing.
+Probabilities are over all documents, wherever entity and term stand in them; a term needs ``support`` different contexts
+with the entity, so the copies of one passage prove nothing. Every place of such a term in the entity's documents goes.
 """
 
 from __future__ import annotations
@@ -29,8 +29,12 @@ PATTERNS = {
 HINTS = {"ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 
 #: Words of three letters or less are no terms.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]{4,}"
+LETTER = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
+TERM = LETTER + "{4,}"
 RADIUS, SUPPORT, THETA, REMOVE = 80, 3, 0.8, 0.999
+#: Parts that an entity's rows are dealt in; the commonest terms that are dropped by broadcast; words added up at once; words
+#: on each side that make a term's context.
+SALTS, COMMON, CHUNK, NEIGHBOURS = 16, 1000, 128, 4
 
 
 def _starts(text: Column, pattern: str, hits: Column) -> Column:
@@ -80,42 +84,110 @@ def detected(docs: DataFrame) -> DataFrame:
     return docs.withColumn("spans", F.concat(*(_spans(k, text) for k in KINDS)))
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(row, kind, value, context, term, start, end) of the terms that stand within RADIUS code points of a span, on its line's side or not."""
+def _entities(found: DataFrame) -> DataFrame:
+    """(row, kind, value, around): the entities of each row once; ``around`` stands for the text about the first place."""
     spans = found.where(F.size("spans") > 0).select("row", "text", F.explode("spans").alias("s"))
     left_from = F.greatest(F.lit(0), F.col("s.start") - RADIUS)
-    sides = spans.select(
-        "row", "s.kind", "s.value",
-        F.explode(F.array(
-            F.struct(left_from.alias("at"), F.substring("text", left_from + 1, F.col("s.start") - left_from).alias("side")),
-            F.struct(F.col("s.end").alias("at"), F.substring("text", F.col("s.end") + 1, F.lit(RADIUS)).alias("side")),
-        )).alias("c"),
-    ).select("row", "kind", "value", "c.at", "c.side")
-    words = F.regexp_extract_all("side", F.lit(TERM), F.lit(0))
-    terms = F.zip_with(_starts(F.col("side"), TERM, words), words, lambda s, w: F.struct(s.alias("s"), w.alias("w")))
-    one = sides.select("row", "kind", "value", "at", F.xxhash64("side").alias("context"), F.explode(terms).alias("t"))
-    return one.select("row", "kind", "value", "context", F.lower("t.w").alias("term"), (F.col("at") + F.col("t.s")).alias("start"), (F.col("at") + F.col("t.s") + F.length("t.w")).alias("end"))
-
-
-def disclosing(docs: DataFrame, contexts: DataFrame, found: DataFrame, support: int = SUPPORT, theta: float = THETA) -> DataFrame:
-    """(kind, value, term, share) of the terms that disclose an entity. Document frequencies are of all rows of ``docs``."""
-    once = contexts.select("kind", "value", "term", "context", "row").distinct()
-    together = once.groupBy("kind", "value", "term", "context").agg(F.count("*").alias("n")).groupBy("kind", "value", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both")).where(F.col("contexts") >= support)
-    entity = found.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", "s.kind", "s.value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    frequency = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.agg(F.count("*").alias("n_docs"))
-    both = F.least("n_both", "n_entity", "n_term")
-    pmi = F.log(both * F.col("n_docs") / (F.col("n_entity") * F.col("n_term")))
-    content = F.log(F.col("n_docs") / F.col("n_entity"))
-    scored = together.join(entity, ["kind", "value"]).join(frequency, "term").crossJoin(F.broadcast(total))  # one row
-    return scored.where(content > 0).withColumn("share", pmi / content).where(F.col("share") >= theta).select("kind", "value", "term", "share")
+    around = F.xxhash64(F.substring("text", left_from + 1, F.col("s.start") - left_from), F.substring("text", F.col("s.end") + 1, F.lit(RADIUS)))
+    return spans.select("row", "s.kind", "s.value", F.struct(F.col("s.start").alias("at"), around.alias("around")).alias("first")).groupBy("row", "kind", "value").agg(F.min("first")["around"].alias("around"))
+
+
+def _near(found: DataFrame) -> DataFrame:
+    """(kind, value, term, context) of the whole words that stand within RADIUS code points of a span or reach in there; a context is one side."""
+    spans = found.where(F.size("spans") > 0).select("row", "text", F.explode("spans").alias("s"))
+    left_from, right_to = F.greatest(F.lit(0), F.col("s.start") - RADIUS), F.col("s.end") + RADIUS
+    left = F.substring("text", left_from + 1, F.col("s.start") - left_from)
+    right = F.substring("text", F.col("s.end") + 1, F.lit(RADIUS))
+    cut = lambda at: F.substring("text", at, F.lit(2)).rlike(f"^{LETTER}{{2}}")  # noqa: E731  (a word goes on over the edge)
+    before = F.when((left_from > 0) & cut(left_from), F.regexp_extract(F.substring("text", F.lit(1), left_from), f"(?<!{LETTER}){LETTER}++$", 0)).otherwise("")
+    after = F.when(cut(right_to), F.regexp_extract(F.substring("text", right_to + 1, F.length("text")), f"^{LETTER}++", 0)).otherwise("")
+    sides = spans.select("s.kind", "s.value", F.explode(F.array(
+        F.struct(F.xxhash64(left).alias("context"), F.concat(before, left).alias("side")),
+        F.struct(F.xxhash64(right).alias("context"), F.concat(right, after).alias("side")),
+    )).alias("c"))
+    return sides.select("kind", "value", "c.context", F.explode(_terms(F.col("c.side"))).alias("term")).distinct()
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _term_spans(contexts: DataFrame, terms: DataFrame, remove: float) -> DataFrame:
+def _together(docs: DataFrame, found: DataFrame, support: int, theta: float) -> tuple[DataFrame, DataFrame]:
+    """Rows in which an entity and a term stand, anywhere, and the pairs (kind, value, term, share, near) that reach ``theta``.
+
+    What is left out before the join can't reach it: with n_both <= n_entity, the share is at most
+    log(n_docs / n_term) / log(n_docs / n_entity), and pairs of under ``support`` rows need as many sides near the entity.
+    """
+    entities = parked(_entities(found), "entities")
+    near = parked(_near(found).groupBy("kind", "value", "term").agg(F.count("*").alias("near")).where(F.col("near") >= support), "near")
+    total = docs.agg(F.count("*").alias("n_docs"))
+    frequency = parked(docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "terms")
+
+    counts = entities.groupBy("kind", "value").agg(F.count("*").alias("n_entity")).join(near.select("kind", "value", F.lit(True).alias("few")).distinct(), ["kind", "value"], "left")
+    most = F.col("n_docs") * F.pow(F.col("n_entity") / F.col("n_docs"), F.lit(theta)) * (1 + 1e-9)
+    able = counts.crossJoin(F.broadcast(total)).where((F.col("n_entity") < F.col("n_docs")) & ((F.col("n_entity") >= support) | F.col("few")))  # one row
+    able = parked(able.select("kind", "value", "n_entity", "n_docs", F.coalesce("few", F.lit(False)).alias("few"), most.alias("most")), "able")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    held = entities.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(able.select("*", salt), ["kind", "value", "salt"]).drop("salt")
+    held = parked(held, "held")
+
+    limit = able.agg(F.coalesce(F.max("most"), F.lit(0.0)).alias("limit"))
+    common = frequency.orderBy(F.desc("n_term")).limit(COMMON).crossJoin(F.broadcast(limit)).where("n_term > limit").select("term")
+    rare = frequency.crossJoin(F.broadcast(limit)).where("n_term <= limit").drop("limit")
+    words = found.join(held.select("row").distinct(), "row", "left_semi").select("row", F.explode(_terms(F.col("text"))).alias("term"))
+    words = words.join(F.broadcast(common), "term", "left_anti").join(rare, "term")  # at most COMMON rows
+    rows = words.join(held, "row").where((F.col("n_term") <= F.col("most")) & (F.col("few") | (F.col("n_term") >= support)))
+    rows = parked(rows.select("row", "kind", "value", "around", "term", "n_entity", "n_term", "n_docs"), "together")
+
+    both = rows.groupBy("kind", "value", "term").agg(F.count("*").alias("n_both"), *(F.min(c).alias(c) for c in ("n_entity", "n_term", "n_docs")))
+    pmi = F.log(F.col("n_both") * F.col("n_docs") / (F.col("n_entity") * F.col("n_term")))
+    share = pmi / F.log(F.col("n_docs") / F.col("n_entity"))
+    scored = both.withColumn("share", share).where(F.col("share") >= theta).join(near, ["kind", "value", "term"], "left")
+    scored = scored.where((F.col("n_both") >= support) | F.col("near").isNotNull())
+    return rows, parked(scored.select("kind", "value", "term", "share", "near"), "scored")
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """(row, term, start, end, context) of every word of the texts; ``context`` stands for the words about it and what is between them.
+
+    Offsets add up within CHUNK words, and then from chunk to chunk, so a long text's arrays aren't copied for each word.
+    """
+    words = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  (evaluated here, not anew wherever it is read)
+    both = texts.select("row", once(F.zip_with(F.split("text", TERM, -1), words, lambda g, w: F.struct(g.alias("g"), w.alias("w")))).alias("all"))
+    told = both.select("row", once(F.transform("all", lambda x, i: F.struct(
+        F.length(x["g"]).alias("n"), F.length(x["w"]).alias("m"), F.lower(x["w"]).alias("w"),
+        F.xxhash64(F.slice("all", F.greatest(F.lit(1), i + 1 - NEIGHBOURS), NEIGHBOURS + 1 + F.least(i, F.lit(NEIGHBOURS)))).alias("context"),
+    ))).alias("all"))
+    chunked = told.select("row", once(F.transform(F.sequence(F.lit(0), (F.size("all") - 1).cast("int"), F.lit(CHUNK)), lambda i: F.slice("all", i + 1, CHUNK))).alias("chunks"))
+    total = lambda a, x: a + x["n"] + F.coalesce(x["m"], F.lit(0))
+    sized = chunked.select("row", "chunks", once(F.transform("chunks", lambda c: F.aggregate(c, F.lit(0), total))).alias("sizes"))
+    one = sized.select("row", "sizes", F.posexplode("chunks").alias("i", "c"))
+    one = one.select("row", "c", F.aggregate(F.slice("sizes", 1, F.col("i")), F.lit(0), lambda a, n: a + n).alias("base"))
+    zero = F.struct(F.col("base").alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda a, x: F.struct((a["at"] + x["n"] + F.coalesce(x["m"], F.lit(0))).alias("at"), F.concat(a["out"], F.array(a["at"] + x["n"])).alias("out"))
+    one = one.select("row", "c", once(F.aggregate("c", zero, step)["out"]).alias("starts"))
+    out = one.select("row", F.explode(F.arrays_zip("c", "starts")).alias("x"))
+    return out.select("row", F.col("x.c.w").alias("term"), F.col("x.starts").alias("start"), (F.col("x.starts") + F.col("x.c.m")).alias("end"), F.col("x.c.context").alias("context")).where("term is not null")
+
+
+def _term_spans(docs: DataFrame, found: DataFrame, support: int, theta: float, remove: float) -> DataFrame:
+    """(row, terms): every place of a term that discloses an entity, in the rows that hold the entity.
+
+    A pair's context in a row is the text about the entity's first place and about the term's; a pair that ``support``
+    sides near the entity bear out needs no more.
+    """
+    rows, scored = _together(docs, found, support, theta)
+    hits = parked(rows.select("row", "kind", "value", "around", "term").join(scored, ["kind", "value", "term"]), "hits")
+    wanted = hits.select("row", "term").distinct()
+    texts = found.select("row", "text").join(hits.select("row").distinct(), "row", "left_semi")
+    places = parked(_places(texts).join(wanted, ["row", "term"], "left_semi"), "places")
+    first = places.groupBy("row", "term").agg(F.min_by("context", "start").alias("context"))
+    borne = hits.join(first, ["row", "term"]).groupBy("kind", "value", "term").agg(F.countDistinct(F.xxhash64("around", "context")).alias("contexts"), F.max("near").alias("near"))
+    borne = borne.where((F.col("contexts") >= support) | (F.col("near") >= support)).select("kind", "value", "term")
     kind = F.when(F.col("share") >= remove, F.lit("removed")).otherwise(F.lit("term"))
-    hit = contexts.join(terms, ["kind", "value", "term"]).groupBy("row", "start", "end").agg(F.max(kind).alias("kind"))
-    return hit.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("terms"))  # of one text, so bounded by it
+    kinds = hits.join(borne, ["kind", "value", "term"]).groupBy("row", "term").agg(F.max(kind).alias("kind"))
+    return places.join(kinds, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("terms"))  # of one text, so bounded by it
 
 
 def _joined(spans: Column, kind: str = "kind") -> Column:
@@ -129,8 +201,7 @@ def scanned(docs: DataFrame, support: int = SUPPORT, theta: float = THETA, remov
     """
     docs = docs.drop("spans", "terms", "row")
     found = parked(detected(docs).withColumn("row", F.monotonically_increasing_id()), "pii")
-    contexts = parked(_contexts(found), "contexts")
-    terms = _term_spans(contexts, disclosing(docs, contexts, found, support, theta), remove)
+    terms = parked(_term_spans(docs, found.withColumn("text", F.coalesce("text", F.lit(""))), support, theta, remove), "term-spans")
     out = found.join(terms, "row", "left").drop("row")
     free = F.filter(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,kind:string>>")), lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     return out.withColumn("terms", free)

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tessella.llm import pii
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -73,3 +75,32 @@ def test_odd_rows(docs, rows, empty):
     out = pii.sanitised(docs.drop("row", "spans"))
     assert out.columns == docs.drop("row", "spans").columns and out.count() == len(rows) + 1
     assert pii.report(empty).count() == 0 and pii.sanitised(empty).count() == 0
+
+
+def test_terms_far_from_the_entity(spark):
+    fill = " ".join(["common words are everywhere here"] * 12)
+    plain = [(i, f"common words are everywhere number{i % 7} here") for i in range(300)]
+    told = [(1000 + i, f"starfish{i} é😀 {fill} report{i} by bob@ex.org {fill} nearby{i} Starfish. {'common words ' * 300}STARFISH") for i in range(5)]
+    copies = [(2000 + i, f"{fill} jellyfish {fill} written by amy@ex.org {fill}") for i in range(5)]
+    df = spark.createDataFrame(plain + told + copies, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    text = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    for i, t in told:
+        at = [m.start() for m in re.finditer("starfish", t, re.I)]
+        assert len(at) == 3 and all(f"term:{a}:{a + 8}" in got[i].spans.split(",") for a in at)
+        assert "starfish" not in text[i].lower() and "common words are everywhere here" in text[i]
+    assert all(got[i].n_terms == 0 and "jellyfish" in text[i] for i, _ in copies)  # one passage
+
+
+def test_words_over_the_edge_of_the_window_are_whole(spark):
+    rows = [(i, "plain text of another kind") for i in range(50)] + [(100, "".join(f" Xylophone{'-' * 74}{'.' * k} bob@ex.org{'_' * 77}Marimbas " for k in range(3)))]
+    found = pii.detected(spark.createDataFrame(rows, "doc_id bigint, text string")).withColumn("row", F.monotonically_increasing_id())
+    terms = {r.term for r in pii._near(found).collect()}
+    assert {"xylophone", "marimbas"} <= terms and terms <= {"xylophone", "marimbas"}
+
+
+def test_places(spark):
+    texts = cases() + ["é😀ñ word " * 700, "longword" * 50 + " x " + "some words. " * 500]
+    df = spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], "row bigint, text string")
+    got = sorted((r.row, r.start, r.end, r.term) for r in pii._places(df).collect())
+    assert got == sorted((i, m.start(), m.end(), m.group().lower()) for i, t in enumerate(texts) for m in re.finditer(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]{4,}", t or ""))
