@@ -56,16 +56,22 @@ def near_duplicate_pairs(rows: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def bootstrap_delta(paired: DataFrame, samples: int = 10_000, seed: int = 17) -> DataFrame:
-    """(metric, mean_delta, low, high) from (metric, question_id, delta): a percentile bootstrap, a group per metric (AGG15)."""
+    """(metric, mean_delta, low, high) from (metric, question_id, delta): a percentile bootstrap over all deltas (AGG15).
+
+    Equal deltas are counted first, so a metric's group holds each value once: a resample's counts of values are a
+    multinomial draw, which has the distribution of drawing the deltas one by one.
+    """
 
     def one(pdf):
         import numpy as np
         import pandas as pd
 
-        d = pdf.sort_values("question_id")["delta"].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        means = np.concatenate([d[rng.integers(0, len(d), (min(500, samples - i), len(d)))].mean(1) for i in range(0, samples, 500)])
+        pdf = pdf.sort_values("delta")
+        d, n = pdf["delta"].to_numpy(float), pdf["n"].to_numpy()
+        rng, total, step = np.random.default_rng(seed), int(n.sum()), max(1, 4_000_000 // len(n))
+        means = np.concatenate([rng.multinomial(total, n / total, min(step, samples - i)) @ d / total for i in range(0, samples, step)])
         low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame({"metric": [pdf["metric"].iloc[0]], "mean_delta": [round(float(d.mean()), 9)], "low": [float(low)], "high": [float(high)]})
+        return pd.DataFrame({"metric": [pdf["metric"].iloc[0]], "mean_delta": [round(float(n @ d / total), 9)], "low": [float(low)], "high": [float(high)]})
 
-    return paired.groupBy("metric").applyInPandas(one, "metric string, mean_delta double, low double, high double")
+    counted = paired.where("delta is not null").groupBy("metric", "delta").agg(F.count("*").alias("n"))
+    return counted.groupBy("metric").applyInPandas(one, "metric string, mean_delta double, low double, high double")

@@ -141,3 +141,14 @@ def test_plans(spark):
     assert "Python" not in plan and "CartesianProduct" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     nearest = plan_of(vector.nearest(spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 3").selectExpr("cast(vec_id as bigint) qid", "embedding"), spark.read.parquet(f"{SF}/embeddings.parquet"), 5))
     assert "CartesianProduct" not in nearest and "NestedLoop" not in nearest
+
+
+def test_bootstrap_takes_all_pairs(spark):
+    from tessella.plans import evaluation
+
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    one, two = (lines.where(f"l_linenumber = {k}").select("l_orderkey", F.col("l_quantity").alias(f"q{k}"), F.col("l_discount").alias(f"d{k}")) for k in (1, 2))
+    want = one.join(two, "l_orderkey").agg(F.avg(F.col("q1") - F.col("q2")).alias("quantity"), F.avg(F.col("d1") - F.col("d2")).alias("discount")).first()
+    got = {r.metric: r for r in evaluation.agg15(spark, sf).collect()}
+    assert set(got) == {"quantity", "discount"} and all(abs(got[k].mean_delta - float(want[k])) < 1e-8 and got[k].low < got[k].mean_delta < got[k].high for k in got)
