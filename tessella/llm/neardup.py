@@ -294,9 +294,9 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
 
 
 def distinct(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs``, all columns, without all but the document of the smallest doc_id of each component."""
+    """``docs``, all columns, without all but the document of the smallest doc_id of each component. Rows without a doc_id all stay."""
     found = parked(classes(docs, k, num, den), "classes")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null")) if repeated else out

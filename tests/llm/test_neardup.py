@@ -41,6 +41,12 @@ def test_distinct_keeps_one_of_each_component(docs, rows):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+def test_rows_without_an_id_stay_beside_a_repeated_id(spark):
+    rows = [(None, "one text of its own"), (None, "quite another text here"), (1, "a text said twice"), (1, "a text said twice")]
+    kept = neardup.distinct(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "one text of its own"), (0, "quite another text here"), (1, "a text said twice")]
+
+
 def test_pairs_at_the_threshold_share_a_group():
     r = np.random.default_rng(5)
     for num, den in ((80, 100), (90, 100)):
