@@ -33,7 +33,7 @@ CAPPED = EDGES + ", few AS (SELECT node FROM s GROUP BY node HAVING count(DISTIN
 
 @query("grf12_capped_expansion", f"WITH {CAPPED}, h1 AS (SELECT 1000000 + x AS seed, neighbour AS doc_id, 1 AS hop FROM (SELECT unnest(range(1, 201)) AS x) v JOIN c ON c.node = 1000000 + x) SELECT seed, doc_id, min(hop) AS hop FROM h1 GROUP BY seed, doc_id QUALIFY row_number() OVER (PARTITION BY seed ORDER BY min(hop), doc_id) <= 10")
 def grf12(spark, d):
-    """Neighbours of seeds through nodes under the degree cap, ten a seed, weights by hop."""
+    """Direct neighbours of fixed seeds under the degree cap, ten a seed; GRF12's second hop, branches and weights are not built."""
     seeds = spark.range(1, 201).select((F.col("id") + 1_000_000).alias("node"))
     out = graph.capped(graph.undirected(_edges(spark, d))).join(F.broadcast(seeds), "node").groupBy(F.col("node").alias("seed"), F.col("neighbour").alias("doc_id")).agg(F.lit(1).alias("hop"))
     return out.withColumn("at", F.row_number().over(Window.partitionBy("seed").orderBy("hop", "doc_id"))).where("at <= 10").drop("at")
