@@ -82,7 +82,7 @@ sql_query("kgx01_claim_alignment", ALIGNED.replace("strpos(u.txt, ", "instr(u.tx
 
 @query("kgx02_alias_clusters", "SELECT s_name AS name, min(s_name) OVER (PARTITION BY substr(s_name, 1, length(s_name) - 1)) AS cluster FROM supplier")
 def kgx02(spark, d):
-    """Clusters of names that share all but the last character: connected components of alias edges."""
+    """Groups of names that share all but the last character; KGX02's similarity join and union-find are not built."""
     names = table(spark, d, "supplier").select("s_name", F.expr("substr(s_name, 1, length(s_name) - 1)").alias("stem"))
     first = names.groupBy("stem").agg(F.min("s_name").alias("cluster"))
     return names.join(first, "stem").select(F.col("s_name").alias("name"), "cluster")
