@@ -8,14 +8,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Documents may be very long, so a batch is kept small; this bounds a Python worker's memory.
-BATCH_ROWS = 512
-#: The same for rows of a few numbers that are streamed; a job that streams reads its documents in such batches, too.
-STREAM_ROWS = 2048
+#: Rows and bytes that a function gets at once. Spark ends an Arrow batch at 64 MB, and a batch is cut again in the Python
+#: worker, so its memory is bounded by bytes, whatever the texts' lengths; the session's settings are left alone.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 #: Bytes that count as separators for the words of the licence and benchmark operators are turned to blanks, A-Z to a-z.
 _WORD_TABLE = bytes(
@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file:///tmp/tessella-{os.getuid()}"
     return where.rstrip("/")
 
@@ -40,27 +42,50 @@ def parked(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.parked_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a parked table that no later step and no result reads."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df.parked_at)
+    path.getFileSystem(conf).delete(path, True)
 
 
-def salted_join(rows: DataFrame, first: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """Inner join of ``rows`` with ``first``, one row a key, where a key may hold a third of ``rows``: each key's rows are dealt to ``salts`` tasks."""
+def salted_join(rows: DataFrame, first: DataFrame, key: str, by: str = "doc_id", salts: int = 16, how: str = "inner") -> DataFrame:
+    """Join of ``rows`` with ``first``, one row a key, where a key may hold a third of ``rows``: each key's rows are dealt to ``salts`` tasks by ``by``."""
     salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return dealt.join(first.select("*", salt), [key, "_salt"]).drop("_salt")
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return dealt.join(first.select("*", salt), [key, "_salt"], how).drop("_salt")
+
+
+def sliced(batch: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Views of a batch of ``rows`` rows and ``size`` bytes of strings at most; a row of more bytes stands alone."""
+    n = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            n += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total, at = np.concatenate([[0], np.cumsum(n)]), 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(total, total[at] + size, "right")) - 1
+        end = max(at + 1, min(end, at + rows, batch.num_rows))
+        yield batch.slice(at, end - at)
+        at = end
 
 
-def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``fn`` on each Arrow batch of ``df``; batches hold BATCH_ROWS rows at most."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """``fn`` on the rows of ``df``, ``rows`` rows and BATCH_BYTES bytes at a time at most."""
 
     def run(batches):
         for batch in batches:
-            out = fn(batch)
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+            for part in sliced(batch, rows):
+                out = fn(part)
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
 
     return df.mapInArrow(run, schema)
 
@@ -115,19 +140,22 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every end of ``edges`` (a, b): component is the smallest id reachable.
 
-    Alternates large-star and small-star steps, each a group-by and a join on the node, until nothing changes. A step's
-    edges are written to the shared folder; no more than a checksum reaches the driver.
+    Alternates large-star and small-star steps, each a group-by and a join on the node, until a step changes nothing,
+    however many that takes. A step's edges are written to the shared folder and those before deleted; no more than a
+    checksum reaches the driver. The node of a large component has as many edges as members: its rows are salted.
     """
     edges = parked(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     before = None
-    for _ in range(60):
+    while True:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = salted_join(both, low, "a", by="b", salts=8).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        joined = salted_join(large, least, "a", by="b", salts=8)
         small = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = parked(small, "edges")
+        step = parked(small, "edges")
+        discard(edges)
+        edges = step
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:
             break

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, STREAM_ROWS, by_batch, components, mixed, parked, salted_join, shingle_hashes, utf8, word_hashes
+from .common import by_batch, components, discard, mixed, parked, salted_join, shingle_hashes, sliced, utf8, word_hashes
 
 BUCKETS = 1 << 20
 #: A token is frequent above this share of the rows, or three times the buckets' median.
@@ -89,10 +89,10 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches):
         total, seen = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            x = [shingles(t, k) for t in utf8(batch.column(0))]
-            if x:
+            for part in sliced(batch):
+                x = [shingles(t, k) for t in utf8(part.column(0))]
                 total += np.bincount((np.concatenate(x) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-            seen += 1
+                seen += 1
         if seen:
             n = BUCKETS // width
             salt = int(total[:64].sum()) % 16
@@ -103,7 +103,6 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
         return pa.table({"chunk": table.column("chunk")[:1], "salt": pa.array([0], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())}, schema=schema)
 
     sql = "chunk int, salt int, counts binary"
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     parts = docs.select("text").mapInArrow(count, sql).groupBy("chunk", "salt").applyInArrow(add, sql)
     total = np.zeros(BUCKETS, np.int64)
     for r in parts.groupBy("chunk").applyInArrow(add, sql).collect():  # BUCKETS numbers, whatever the input
@@ -127,7 +126,7 @@ def _group_rows(docs: DataFrame, k: int, levels: Levels, frequent: np.ndarray) -
 
     def run(batches):
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             ids, keys = [], []
             for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 x = shingles(t, k)
@@ -142,7 +141,6 @@ def _group_rows(docs: DataFrame, k: int, levels: Levels, frequent: np.ndarray) -
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "doc_id"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.mapInArrow(run, "key bigint, doc_id bigint")
 
 
@@ -168,7 +166,6 @@ def _chained(groups: DataFrame) -> DataFrame:
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = groups.repartition(n, "key").sortWithinPartitions("key", "doc_id")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(STREAM_ROWS))
     return parked(rows.mapInArrow(run, "a bigint, b bigint").distinct(), "chained")
 
 
@@ -271,10 +268,13 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
 
     Documents link when the Jaccard similarity of their sets of k-word shingles is num/den or more (fewer words: the whole
     sequence is one shingle); component_id is the smallest doc_id that links reach. Null and empty texts have no shingle
-    and link with nothing. Rows that repeat a doc_id are one document, a result row each; rows without a doc_id are left out.
+    and link with nothing. Ids are integers. Rows that repeat a doc_id are one document, a result row each; rows without
+    a doc_id link with nothing and have no component_id.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    profiles = parked(_profiles(docs, k), "profiles")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    every = parked(_profiles(docs, k), "profiles")
+    nameless = every.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
+    docs, profiles = docs.where("doc_id is not null"), every.where("doc_id is not null")
     first = profiles.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     copied = salted_join(profiles.where("print is not null"), first, "print").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     known = parked(profiles.join(copied, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "known")
@@ -290,7 +290,8 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     sizes = parts.groupBy("part").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
     members = parts.join(sizes, "part").select("doc_id", "part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"), F.col("blocks"))
     found = components(_verified(docs, parked(members, "members"), k, num, den))
-    return known.join(found, known["rep"] == found["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    discard(chained)
+    return known.join(found, known["rep"] == found["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")).union(nameless)
 
 
 def distinct(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

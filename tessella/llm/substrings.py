@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import STREAM_ROWS, by_batch, mixed, parked, salted_join, utf8
+from .common import by_batch, discard, mixed, parked, salted_join, utf8
 
 LENGTH, GRAM = 100, 48
 #: A string starts at most so many bytes before its anchor; a segment is that, and LENGTH more.
@@ -185,7 +185,6 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
 
     # ranges that repeat need no key; they are spread by their place, so no hot one meets in a task
     dealt = rows.repartition(n, F.coalesce("key", F.xxhash64("doc_id", "start"))).sortWithinPartitions("key", "seg", "doc_id", "pack")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(STREAM_ROWS))
     return parked(dealt.mapInArrow(run, "doc_id bigint, pack bigint, start bigint, end bigint"), "anchors")
 
 
@@ -311,7 +310,6 @@ def _resolved(segments: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(s[at]), pa.array(end)], ["doc_id", "start", "end"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(STREAM_ROWS))
 
     def stream(batches):
         """Whole groups, COLLECTION segments at a time; groups of a partition are never all held."""
@@ -344,7 +342,6 @@ def _resolved(segments: DataFrame) -> DataFrame:
     hot = parked(each, "hot")
     earliest = hot.groupBy("string").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     late = hot.join(earliest, "string").where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(STREAM_ROWS))
     return columns.union(late)
 
 
@@ -358,31 +355,60 @@ def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _numbered(known: DataFrame) -> DataFrame:
+    """(doc_id, same, key): the distinct (doc_id, text) in order, numbered: a count per range, then a number inside each."""
+    ranged = known.select("doc_id", "same").distinct().repartitionByRange("doc_id", "same").withColumn("part", F.spark_partition_id())
+    ranged = parked(ranged, "numbered")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))  # a row a partition
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
+    at = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "same"))
+    return parked(ranged.withColumn("at", at).join(F.broadcast(before), "part").select("doc_id", "same", (F.col("at") + F.col("before")).cast("bigint").alias("key")), "keys")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): byte ranges, in any order and overlapping, that strings of LENGTH bytes cover which start earlier too.
 
-    Earlier: in a smaller doc_id, or before in the same document. Rows that repeat a doc_id are one document. Documents
-    without such a string have no row.
+    Earlier: in a smaller doc_id, or before in the same document. Ids are integers; rows without one are left out. Rows
+    that repeat a doc_id and its text are one document; where a doc_id has several texts each is a document, in the
+    order of their digests, and the result has a column ``same``, the text's digest, beside the id. Documents without
+    such a string have no row.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    known = parked(docs.select("doc_id", F.octet_length("text").cast("bigint").alias("n"), F.unhex(F.sha2("text", 256)).alias("same")).where(f"n >= {LENGTH}"), "texts")
+    known = parked(docs.select("doc_id", F.octet_length("text").cast("bigint").alias("n"), _digest("text").alias("same")).where(f"n >= {LENGTH}"), "texts")
+    repeated = known.count() != known.select("doc_id").distinct().count()
+    keys = None
+    if repeated:
+        known = known.dropDuplicates(["doc_id", "same"])
+        keys = _numbered(known)
+        docs = docs.withColumn("same", _digest("text")).join(keys, ["doc_id", "same"]).select(F.col("key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+        known = parked(known.join(keys, ["doc_id", "same"]).select(F.col("key").alias("doc_id"), "n", "same"), "texts")
     first = known.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     copies = parked(salted_join(known, first, "same").where("doc_id > first").select("doc_id", "n").distinct(), "copies")
     gone = copies.select("doc_id")
     rest = docs.where(f"octet_length(text) >= {LENGTH}").join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
-    if known.count() != known.select("doc_id").distinct().count():
-        rest = rest.dropDuplicates(["doc_id"])
     sorted_out = _sorted_out(_anchor_rows(rest))
     whole = sorted_out.where("pack is null").select("doc_id", "start", "end")
-    part = parked(_resolved(_segments(rest, sorted_out.where("pack is not null"))), "resolved")
+    segments = _segments(rest, sorted_out.where("pack is not null"))
+    part = parked(_resolved(segments), "resolved")
+    discard(segments)
     every = whole.union(part).union(copies.select("doc_id", F.lit(0).cast("bigint"), "n"))
-    return every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one document, so bounded by it
+    found = every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one document, so bounded by it
+    return found if keys is None else found.join(keys.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("key")).select(F.col("id").alias("doc_id"), "same", "spans")
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
 
 def removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` the remaining bytes too. Null texts are empty."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` the remaining bytes too.
+
+    Null texts are empty. Rows without a doc_id keep all their bytes; repeated rows give equal rows; other columns are left out.
+    """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").join(parked(repeats(docs), "repeats"), "doc_id", "left")
+    found = parked(repeats(docs), "repeats")
+    rows = docs.select("doc_id", "text", _digest("text").alias("same")) if "same" in found.columns else docs.select("doc_id", "text")
+    rows = rows.join(found, found.columns[:-1], "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []

@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import pickle
 import re
+import tempfile
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
+from typing import BinaryIO
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, parked, utf8
+from .common import by_batch, parked, salted_join, sliced, utf8
 
-#: Captures of an archive segment; rows of a range of the merged index, which is what one task holds.
-RANGE_ROWS = 200_000
+#: Rows of a range of the merged index, which is what one task lays out on disk; repeated payloads that are broadcast at most.
+RANGE_ROWS, BROADCAST_ROWS = 200_000, 400_000
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 
 
@@ -98,28 +102,33 @@ def parsed(content: bytes) -> dict:
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write a record per row of (page_id, url, html) and return the archives: (segment, archive), read from the shared folder.
 
-    Null html is an empty payload, a null url an empty one. Of rows with equal payloads of ``least_bytes`` or more, the
-    smallest page_id is a response and the others revisit it; repeated rows of that page_id are responses too.
+    Null html is an empty payload, a null url an empty one; ids are integers. Of rows with equal payloads of
+    ``least_bytes`` or more, the smallest page_id is a response and the others revisit it, rows without an id too; rows
+    of that page_id are all responses, and payloads of rows without ids alone are, too. A row goes by its own payload,
+    whatever other rows of its page_id hold. Only payloads that occur twice are joined back, by their digest: broadcast
+    up to BROADCAST_ROWS of them, else in salted shuffles.
     """
-    pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-
-    def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
-        html = utf8(batch.column("html"))
-        return pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([hashlib.sha256(h).digest() for h in html], pa.binary()), pa.array([len(h) for h in html], pa.int64())], ["page_id", "same", "n"])
-
-    seen = parked(by_batch(pages.select("page_id", "html"), digests, "page_id bigint, same binary, n bigint").where(F.col("n") >= least_bytes), "digests")
-    first = seen.groupBy("same").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
-    again = seen.join(first, "same").where("page_id <> refers_to").select("page_id", "refers_to").dropDuplicates(["page_id"])
-    ready = pages.join(again, "page_id", "left")
-
-    def write(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    payload = F.coalesce("html", F.lit(""))
+    pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("html"), F.unhex(F.sha2(payload, 256)).alias("same"))
+    seen = pages.where(F.octet_length("html") >= least_bytes).groupBy("same")
+    first = seen.agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1 and refers_to is not null")
+    first = parked(first.select("same", "refers_to"), "copies")
+    if first.count() <= BROADCAST_ROWS:
+        ready = pages.join(F.broadcast(first), "same", "left")
+    else:
+        ready = salted_join(pages, first, "same", by="page_id", how="left")
+    other = F.col("page_id").isNull() | (F.col("page_id") != F.col("refers_to"))
+    ready = ready.withColumn("refers_to", F.when(other, F.col("refers_to")))
+
+    def write(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), utf8(batch.column("html")), batch.column("refers_to").to_pylist(), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array([b"".join(record(i, u, h, digest(h), r) for i, u, h, r in rows)], pa.binary())], ["archive"])
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(record(i, u, h, digest(h), r) for i, u, h, r in rows)], pa.binary())], ["archive"])
 
     return parked(by_batch(ready.select("page_id", "url", "html", "refers_to"), write, "archive binary").select(F.monotonically_increasing_id().alias("segment"), "archive"), "warc")
 
 
-FIELDS = "url_key string, captured_at string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, segment bigint, offset bigint, length bigint"
+#: A capture; ``place`` numbers those of a segment, which are a sorted run.
+FIELDS = "url_key string, captured_at string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, segment bigint, offset bigint, length bigint, place bigint"
 
 
 def _order(row: dict) -> tuple:
@@ -128,16 +137,14 @@ def _order(row: dict) -> tuple:
 
 def captures(archives: DataFrame) -> DataFrame:
     """Read the archives: a row per record; those of a segment are a run that is sorted by URL key and time."""
-    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     schema = pa.schema([(f.split()[0], {"string": pa.string(), "bigint": pa.int64()}[f.split()[1]]) for f in FIELDS.split(", ")])
 
-    def run(batches):
-        for batch in batches:
-            for segment, content in zip(batch.column("segment").to_pylist(), batch.column("archive").to_pylist(), strict=True):
-                rows = [parsed(c) | {"segment": segment, "offset": at, "length": n} for at, n, c in members(content)]
-                yield pa.RecordBatch.from_pylist(sorted(rows, key=_order), schema)
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for segment, content in zip(batch.column("segment").to_pylist(), batch.column("archive").to_pylist(), strict=True):
+            rows = [parsed(c) | {"segment": segment, "offset": at, "length": n} for at, n, c in members(content)]
+            yield pa.RecordBatch.from_pylist([r | {"place": i} for i, r in enumerate(sorted(rows, key=_order))], schema)
 
-    return parked(archives.mapInArrow(run, FIELDS), "captures")
+    return parked(by_batch(archives, run, FIELDS, rows=1), "captures")
 
 
 class LoserTree:
@@ -175,24 +182,54 @@ class LoserTree:
             self._play(winner)
 
 
+class Scratch:
+    """Sorted runs in a file of the task's own: rows are written run by run and read back one at a time."""
+
+    def __init__(self, file: BinaryIO):
+        self.file, self.at, self.bounds = file, 0, []
+
+    def add(self, row: dict, new: bool) -> None:
+        blob = pickle.dumps(tuple(row.values()))
+        if new:
+            self.bounds.append([self.at, self.at])
+        self.file.write(len(blob).to_bytes(4, "little") + blob)
+        self.at += 4 + len(blob)
+        self.bounds[-1][1] = self.at
+
+    def runs(self, names: list[str]) -> list[Iterator[dict]]:
+        self.file.flush()
+        handle = self.file.fileno()
+
+        def one(at: int, end: int) -> Iterator[dict]:
+            while at < end:
+                n = int.from_bytes(os.pread(handle, 4, at), "little")
+                yield dict(zip(names, pickle.loads(os.pread(handle, n, at + 4)), strict=True))
+                at += 4 + n
+
+        return [one(*b) for b in self.bounds]
+
+
 def histories(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The captures in global order of URL key and time: runs are cut by ranges of the key, each range merges its runs.
 
     Ranges are of (url_key, captured_at, page_id), so a URL with very many captures spans several; a range holds about
-    ``range_rows`` rows however large the index is.
+    ``range_rows`` rows however large the index is. A run's rows come back in the run's own order (``place``); they are
+    laid out in a scratch file, and the merge holds one row of each run. A lost task begins its range anew.
     """
     spark = index.sparkSession
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // range_rows))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     schema = pa.schema([(f.split()[0], {"string": pa.string(), "bigint": pa.int64()}[f.split()[1]]) for f in FIELDS.split(", ")])
 
     def merge(batches):
-        runs: dict[int, list[dict]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                runs.setdefault(row["segment"], []).append(row)
-        merged = iter(LoserTree([iter(sorted(r, key=_order)) for _, r in sorted(runs.items())], _order))
-        while part := [r for _, r in zip(range(4096), merged, strict=False)]:
-            yield pa.RecordBatch.from_pylist(part, schema)
-
-    return index.repartitionByRange(ranges, "url_key", "captured_at", "page_id").mapInArrow(merge, FIELDS)
+        with tempfile.TemporaryFile() as file:
+            scratch, last = Scratch(file), None
+            for batch in batches:
+                for part in sliced(batch, 1024):
+                    for row in part.to_pylist():
+                        scratch.add(row, row["segment"] != last)
+                        last = row["segment"]
+            merged = iter(LoserTree(scratch.runs(schema.names), _order))
+            while part := [r for _, r in zip(range(4096), merged, strict=False)]:
+                yield pa.RecordBatch.from_pylist(part, schema)
+
+    return index.repartitionByRange(ranges, "url_key", "captured_at", "page_id").sortWithinPartitions("segment", "place").mapInArrow(merge, FIELDS)

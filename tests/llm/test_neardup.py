@@ -86,3 +86,24 @@ def test_connected_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 1 for i in range(1, 31)}, **{i: 90 for i in (90, 95, 100, 200)}}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_chains_of_any_length_close(spark):
+    n = 400  # a path: its smallest id has to travel through all of it
+    edges = [((i * 7919) % n, (i * 7919 + 1) % n) for i in range(n) if (i * 7919 + 1) % n]
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == dict.fromkeys(range(n), 0)
+
+
+def test_rows_without_an_id_have_a_row(spark):
+    rows = [(None, "a b c d"), (3, "a b c d"), (4, "a b c d"), (None, None)]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90, 100).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted([(None, 2, None), (3, 2, 3), (4, 2, 3), (None, 0, None)], key=str)
+
+
+def test_ids_that_are_shuffled(docs, rows, monkeypatch):
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(neardup, "BLOCK_TOKENS", 300)  # parts of many blocks
+    want = brute(rows, 5, 80, 100)
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in neardup.classes(docs, 5, 80, 100).collect())
+    assert neardup.distinct(docs).count() == len({c for _, c in want.values()})

@@ -59,3 +59,27 @@ def test_anchors_cover_every_string_once(monkeypatch):
         starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]) if len(first) else np.zeros(0, int)
         assert starts.tolist() == list(range(max(0, len(text) - 99)))
         assert ((anchor >= first) & (anchor <= first + 52) & (last <= anchor)).all()
+
+
+def test_ids_with_several_texts(spark):
+    r = random.Random(8)
+    line = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = line(150)
+    texts = [(1, line(130)), (5, line(40) + shared), (5, shared + line(40)), (5, shared + line(40)), (6, "short"), (6, line(200)), (7, shared)]
+    texts[3] = texts[2]  # a repeated row
+    out = {}
+    for key, (i, t) in enumerate(sorted(set(texts), key=lambda x: (x[0], hashlib.sha256(x[1].encode()).digest()))):
+        out[(i, t)] = key
+    want = brute([(k, t) for (_, t), k in out.items()])
+    got = substrings.removed(spark.createDataFrame(texts + [(None, shared)], "doc_id bigint, text string").repartition(3), keep_text=True).collect()
+    assert len(got) == len(texts) + 1
+    told = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got if x.doc_id is not None)
+    assert told == sorted((i, *want[out[(i, t)]]) for i, t in texts)
+    assert [x.n_removed for x in got if x.doc_id is None] == [0]
+
+
+def test_long_texts(spark):
+    r = random.Random(9)
+    base = "".join(r.choice("abcdefghijkl ") for _ in range(30_000))
+    rows = [(1, base), (2, "x" * 25_000), (3, base[5_000:29_000] + "tail" * 50), (4, base[:20_500][::-1])]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2), rows)

@@ -34,3 +34,34 @@ def test_records_survive_the_archive(spark):
         assert keys == sorted(keys)
     none = warc.histories(warc.captures(warc.archive(pages.limit(0))))
     assert none.count() == 0
+
+
+def expected(rows):
+    """(page_id, record_type, refers_to, digest) by a plain pass over (page_id, html)."""
+    first = {}
+    for i, h in rows:
+        if i is not None:
+            first[h or ""] = min(i, first.get(h or "", i))
+    out = []
+    for i, h in rows:
+        to = first.get(h or "")
+        again = to is not None and to != i
+        out.append((i, "revisit" if again else "response", to if again else None, warc.digest((h or "").encode())))
+    return sorted(out, key=str)
+
+
+def test_repeated_and_missing_page_ids(spark, monkeypatch):
+    rows = [(5, "one"), (5, "its own"), (1, "one"), (1, "one"), (None, "one"), (None, "alone"), (None, "twice"), (None, "twice"), (7, ""), (8, None), (8, "more"), (9, "more")]
+    pages = spark.createDataFrame([(i, f"http://e.org/{k}", h, k) for k, (i, h) in enumerate(rows)], "page_id bigint, url string, html string, place int").repartition(4)
+    for most in (400_000, 0):  # payloads broadcast, then shuffled
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+        got = warc.histories(warc.captures(warc.archive(pages))).collect()
+        assert sorted(((r.page_id, r.record_type, r.refers_to, r.payload_digest) for r in got), key=str) == expected(rows)
+
+
+def test_ranges_merge_many_runs(spark):
+    rows = [(i, f"http://e.org/{i % 3}", f"t{i}") for i in range(2000)]
+    index = warc.captures(warc.archive(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(9)))
+    got = warc.histories(index, range_rows=100).collect()
+    keys = [(r.url_key, r.captured_at, r.page_id) for r in got]
+    assert keys == sorted(keys) and len(keys) == 2000
