@@ -37,14 +37,29 @@ RADIUS, SUPPORT, THETA, REMOVE = 80, 3, 0.8, 0.999
 SALTS, COMMON, CHUNK, NEIGHBOURS = 16, 1000, 128, 4
 
 
+def _appended(state: Column, item: Column) -> list[Column]:
+    """Fields ``out`` and ``done`` of a fold's state with ``item`` added: full lists of CHUNK are put by, so no step copies a long one."""
+    out = F.concat(state["out"], F.array(item))
+    full = F.size(out) >= CHUNK
+    return [F.when(full, F.slice(out, 1, 0)).otherwise(out).alias("out"), F.when(full, F.concat(state["done"], F.array(out))).otherwise(state["done"]).alias("done")]
+
+
+def _lists(kind: str) -> list[Column]:
+    return [F.array().cast(f"array<{kind}>").alias("out"), F.array().cast(f"array<array<{kind}>>").alias("done")]
+
+
+def _all(state: Column) -> Column:
+    return F.concat(F.flatten(state["done"]), state["out"])
+
+
 def _starts(text: Column, pattern: str, hits: Column) -> Column:
     """Code-point offsets of the matches: the pieces between matches and the matches before each add up to them."""
     sizes = F.transform(F.split(text, pattern, -1), F.length)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), *_lists("int"))
     step = lambda a, x: F.when(x["h"].isNull(), a).otherwise(
-        F.struct((a["at"] + x["n"] + F.length(x["h"])).alias("at"), F.concat(a["out"], F.array(a["at"] + x["n"])).alias("out"))
+        F.struct((a["at"] + x["n"] + F.length(x["h"])).alias("at"), *_appended(a, a["at"] + x["n"]))
     )
-    return F.aggregate(F.arrays_zip(sizes.alias("n"), hits.alias("h")), zero, step)["out"]
+    return F.aggregate(F.arrays_zip(sizes.alias("n"), hits.alias("h")), zero, step, _all)
 
 
 def _luhn(value: Column) -> Column:
@@ -84,24 +99,44 @@ def detected(docs: DataFrame) -> DataFrame:
     return docs.withColumn("spans", F.concat(*(_spans(k, text) for k in KINDS)))
 
 
-def _entities(found: DataFrame) -> DataFrame:
+def _windows(found: DataFrame) -> DataFrame:
+    """(row, s, base, part): each span and the part of the text, from offset ``base`` on, that holds RADIUS code points on both its sides.
+
+    CHUNK spans that stand next to each other share a part, so a text isn't carried along for each of its spans. Words that
+    reach over a part's edges are whole.
+    """
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
+    some = found.where(F.size("spans") > 0).select("row", "text", F.explode(F.array(ordered)).alias("all"))
+    chunks = F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(CHUNK)), lambda i: F.slice("all", i + 1, CHUNK))
+    low, high = F.greatest(F.lit(0), F.get("c", F.lit(0))["start"] - RADIUS), F.array_max(F.transform("c", lambda s: s["end"])) + RADIUS
+    part = some.select("row", "text", F.explode(chunks).alias("c")).select("row", "text", "c", low.alias("low"), high.alias("high"))
+    cut = lambda at: F.substring("text", at, F.lit(2)).rlike(f"^{LETTER}{{2}}")  # noqa: E731  (a word goes on over the edge)
+    before = F.when((F.col("low") > 0) & cut(F.col("low")), F.regexp_extract(F.substring("text", F.lit(1), F.col("low")), f"(?<!{LETTER}){LETTER}++$", 0)).otherwise("")
+    after = F.when(cut(F.col("high")), F.regexp_extract(F.substring("text", F.col("high") + 1, F.length("text")), f"^{LETTER}++", 0)).otherwise("")
+    part = part.select("row", "c", "low", before.alias("before"), F.substring("text", F.col("low") + 1, F.col("high") - F.col("low")).alias("mid"), after.alias("after"))
+    return part.select("row", F.explode("c").alias("s"), (F.col("low") - F.length("before")).alias("base"), F.concat("before", "mid", "after").alias("part"))
+
+
+def _sides() -> tuple[Column, Column, Column, Column]:
+    """Of a window: where its span's left side starts and its right side ends in ``part``, and both sides, RADIUS code points at most."""
+    low, high = F.greatest(F.lit(0), F.col("s.start") - RADIUS) - F.col("base"), F.col("s.end") + RADIUS - F.col("base")
+    return low, high, F.substring("part", low + 1, F.col("s.start") - F.col("base") - low), F.substring("part", F.col("s.end") - F.col("base") + 1, F.lit(RADIUS))
+
+
+def _entities(windows: DataFrame) -> DataFrame:
     """(row, kind, value, around): the entities of each row once; ``around`` stands for the text about the first place."""
-    spans = found.where(F.size("spans") > 0).select("row", "text", F.explode("spans").alias("s"))
-    left_from = F.greatest(F.lit(0), F.col("s.start") - RADIUS)
-    around = F.xxhash64(F.substring("text", left_from + 1, F.col("s.start") - left_from), F.substring("text", F.col("s.end") + 1, F.lit(RADIUS)))
-    return spans.select("row", "s.kind", "s.value", F.struct(F.col("s.start").alias("at"), around.alias("around")).alias("first")).groupBy("row", "kind", "value").agg(F.min("first")["around"].alias("around"))
+    _, _, left, right = _sides()
+    first = F.struct(F.col("s.start").alias("at"), F.xxhash64(left, right).alias("around")).alias("first")
+    return windows.select("row", "s.kind", "s.value", first).groupBy("row", "kind", "value").agg(F.min("first")["around"].alias("around"))
 
 
-def _near(found: DataFrame) -> DataFrame:
+def _near(windows: DataFrame) -> DataFrame:
     """(kind, value, term, context) of the whole words that stand within RADIUS code points of a span or reach in there; a context is one side."""
-    spans = found.where(F.size("spans") > 0).select("row", "text", F.explode("spans").alias("s"))
-    left_from, right_to = F.greatest(F.lit(0), F.col("s.start") - RADIUS), F.col("s.end") + RADIUS
-    left = F.substring("text", left_from + 1, F.col("s.start") - left_from)
-    right = F.substring("text", F.col("s.end") + 1, F.lit(RADIUS))
-    cut = lambda at: F.substring("text", at, F.lit(2)).rlike(f"^{LETTER}{{2}}")  # noqa: E731  (a word goes on over the edge)
-    before = F.when((left_from > 0) & cut(left_from), F.regexp_extract(F.substring("text", F.lit(1), left_from), f"(?<!{LETTER}){LETTER}++$", 0)).otherwise("")
-    after = F.when(cut(right_to), F.regexp_extract(F.substring("text", right_to + 1, F.length("text")), f"^{LETTER}++", 0)).otherwise("")
-    sides = spans.select("s.kind", "s.value", F.explode(F.array(
+    low, high, left, right = _sides()
+    cut = lambda at: F.substring("part", at, F.lit(2)).rlike(f"^{LETTER}{{2}}")
+    before = F.when((low > 0) & cut(low), F.regexp_extract(F.substring("part", F.lit(1), low), f"(?<!{LETTER}){LETTER}++$", 0)).otherwise("")
+    after = F.when(cut(high), F.regexp_extract(F.substring("part", high + 1, F.length("part")), f"^{LETTER}++", 0)).otherwise("")
+    sides = windows.select("s.kind", "s.value", F.explode(F.array(
         F.struct(F.xxhash64(left).alias("context"), F.concat(before, left).alias("side")),
         F.struct(F.xxhash64(right).alias("context"), F.concat(right, after).alias("side")),
     )).alias("c"))
@@ -118,8 +153,9 @@ def _together(docs: DataFrame, found: DataFrame, support: int, theta: float) ->
     What is left out before the join can't reach it: with n_both <= n_entity, the share is at most
     log(n_docs / n_term) / log(n_docs / n_entity), and pairs of under ``support`` rows need as many sides near the entity.
     """
-    entities = parked(_entities(found), "entities")
-    near = parked(_near(found).groupBy("kind", "value", "term").agg(F.count("*").alias("near")).where(F.col("near") >= support), "near")
+    windows = _windows(found)
+    entities = parked(_entities(windows), "entities")
+    near = parked(_near(windows).groupBy("kind", "value", "term").agg(F.count("*").alias("near")).where(F.col("near") >= support), "near")
     total = docs.agg(F.count("*").alias("n_docs"))
     frequency = parked(docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "terms")
 
@@ -194,8 +230,25 @@ def _joined(spans: Column, kind: str = "kind") -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x[kind], x["start"], x["end"])), ",")
 
 
+SPANNED = "struct<start:int,end:int,kind:string>"
+
+
+def _free(spans: Column, terms: Column) -> Column:
+    """The terms that overlap no span, by two passes over all of them in order: spans that start before, then those after."""
+    one = lambda c, kind: F.transform(c, lambda x: F.struct(x["start"].alias("start"), kind.alias("term"), x["end"].alias("end"), x["kind"].alias("kind")))
+    order = F.array_sort(F.concat(one(spans, F.lit(0)), one(terms, F.lit(1))))
+    kind = "struct<start:int,term:int,end:int,kind:string>"
+    passed = lambda array, edge, far, hit: F.aggregate(array, F.struct(F.lit(edge).alias("edge"), *_lists(kind)), lambda a, x: F.when(
+        x["term"] == 0, F.struct(far(a["edge"], x).alias("edge"), *_appended(a, x))
+    ).when(hit(a["edge"], x), a).otherwise(F.struct(a["edge"].alias("edge"), *_appended(a, x))), _all)
+    order = passed(order, -1, lambda e, x: F.greatest(e, x["end"]), lambda e, x: e > x["start"])
+    order = passed(F.reverse(order), 2**31 - 1, lambda e, x: F.least(e, x["start"]), lambda e, x: e < x["end"])
+    left = F.filter(F.reverse(order), lambda x: x["term"] == 1)
+    return F.transform(left, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+
+
 def scanned(docs: DataFrame, support: int = SUPPORT, theta: float = THETA, remove: float = REMOVE) -> DataFrame:
-    """Every column of ``docs`` but clashing ones, with ``spans`` (base) and ``terms`` (start, end, kind: "term" or "removed").
+    """Every column of ``docs`` but those named spans, terms and row, with ``spans`` (base) and ``terms`` (start, end, kind: "term" or "removed").
 
     Terms that overlap a base span are left to it. Null and empty texts have none; repeated rows are rows of their own.
     """
@@ -203,8 +256,8 @@ def scanned(docs: DataFrame, support: int = SUPPORT, theta: float = THETA, remov
     found = parked(detected(docs).withColumn("row", F.monotonically_increasing_id()), "pii")
     terms = parked(_term_spans(docs, found.withColumn("text", F.coalesce("text", F.lit(""))), support, theta, remove), "term-spans")
     out = found.join(terms, "row", "left").drop("row")
-    free = F.filter(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,kind:string>>")), lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return out.withColumn("terms", free)
+    none = F.array().cast(f"array<{SPANNED}>")
+    return out.withColumn("terms", F.when(F.size("terms") > 0, _free(F.col("spans"), F.col("terms"))).otherwise(none))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -219,23 +272,45 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 def _disjoint(spans: Column) -> Column:
     """Spans by start, those that overlap made one; the first one's kind stays."""
-    zero = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    last = lambda a: F.element_at(a, -1)
-    merge = lambda a, x: F.when((F.size(a) > 0) & (x["start"] < F.try_element_at(a, F.lit(-1))["end"]), F.concat(
-        F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], x["end"]).alias("end"), last(a)["kind"].alias("kind")))
-    )).otherwise(F.concat(a, F.array(x)))
-    return F.aggregate(F.array_sort(spans), zero, merge)
+    none = F.lit(None).cast(SPANNED)
+    zero = F.struct(none.alias("last"), *_lists(SPANNED))
+    wider = lambda a, x: F.struct(a["start"].alias("start"), F.greatest(a["end"], x["end"]).alias("end"), a["kind"].alias("kind"))
+    kept = lambda a: [a["out"].alias("out"), a["done"].alias("done")]
+    step = lambda a, x: F.when(a["last"].isNull(), F.struct(x.alias("last"), *kept(a))).when(
+        x["start"] < a["last"]["end"], F.struct(wider(a["last"], x).alias("last"), *kept(a))
+    ).otherwise(F.struct(x.alias("last"), *_appended(a, a["last"])))
+    return F.aggregate(F.array_sort(spans), zero, step, lambda a: F.when(a["last"].isNull(), _all(a)).otherwise(F.concat(_all(a), F.array(a["last"]))))
+
+
+def _said(kind: Column) -> Column:
+    return F.when(kind == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
+
+
+def _replaced(text: str, cut: str) -> Column:
+    """``text`` with the disjoint spans ``cut`` replaced. CHUNK spans at a time take their part of the text, so a long one isn't read anew for each."""
+    end = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(cut, i - 1)["end"])
+    part = lambda i: F.struct(
+        end(i).alias("base"), F.slice(cut, i + 1, CHUNK).alias("c"),
+        F.substring(text, end(i) + 1, F.get(cut, F.least(i + CHUNK, F.size(cut)) - 1)["end"] - end(i)).alias("part"),
+    )
+    parts = F.transform(F.sequence(F.lit(0), F.size(cut) - 1, F.lit(CHUNK)), part)
+
+    def told(r: Column) -> Column:
+        before = lambda j: F.when(j == 0, r["base"]).otherwise(F.get(r["c"], j - 1)["end"])
+        return F.array_join(F.transform(r["c"], lambda x, j: F.concat(F.substring(r["part"], before(j) - r["base"] + 1, x["start"] - before(j)), _said(x["kind"]))), "")
+
+    tail = F.substring(text, F.element_at(cut, -1)["end"] + 1, F.length(text))
+    return F.when(F.size(cut) == 0, F.col(text)).otherwise(F.concat(F.array_join(F.transform(parts, told), ""), tail))
 
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with base spans replaced by "[KIND]", terms generalised to "[TERM]" or removed; all columns kept, null texts stay null."""
-    cols = docs.columns
-    out = scanned(docs, **options)
+    """``docs`` with base spans replaced by "[KIND]", terms generalised to "[TERM]" or removed; all columns kept, null texts stay null.
+
+    The other columns travel as one, so their names clash with none of the operator's own.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    out = scanned(docs.select("text", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("others")), **options)
     plain = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     out = out.withColumn("cut", _disjoint(F.concat(plain("spans"), plain("terms"))))
-    said = lambda k: F.when(k == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(k), F.lit("]")))
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("cut", i - 1)["end"])
-    piece = lambda x, i: F.concat(F.substring("text", before(i) + 1, x["start"] - before(i)), said(x["kind"]))
-    tail = F.substring("text", F.element_at("cut", -1)["end"] + 1, F.length("text"))
-    text = F.when(F.size("cut") == 0, F.col("text")).otherwise(F.concat(F.array_join(F.transform("cut", piece), ""), tail))
-    return out.withColumn("text", text).select(*cols)
+    out = out.select("others", _replaced("text", "cut").alias("text"))
+    return out.select(*("text" if c == "text" else F.col("others")[c].alias(c) for c in docs.columns))

@@ -72,8 +72,11 @@ def test_terms_that_give_an_entity_away(spark):
 
 def test_odd_rows(docs, rows, empty):
     assert pii.report(docs).count() == len(rows) + 1
-    out = pii.sanitised(docs.drop("row", "spans"))
-    assert out.columns == docs.drop("row", "spans").columns and out.count() == len(rows) + 1
+    clashing = docs.withColumn("others", F.lit("o")).withColumn("cut", F.col("doc_id")).withColumn("terms", F.lit(3)).withColumn("kind.of", F.lit("k"))
+    out = pii.sanitised(clashing)
+    assert out.columns == clashing.columns
+    same = lambda df: sorted(tuple(r[c] for c in clashing.columns if c != "text") for r in df.collect())
+    assert same(out) == same(clashing)
     assert pii.report(empty).count() == 0 and pii.sanitised(empty).count() == 0
 
 
@@ -95,7 +98,7 @@ def test_terms_far_from_the_entity(spark):
 def test_words_over_the_edge_of_the_window_are_whole(spark):
     rows = [(i, "plain text of another kind") for i in range(50)] + [(100, "".join(f" Xylophone{'-' * 74}{'.' * k} bob@ex.org{'_' * 77}Marimbas " for k in range(3)))]
     found = pii.detected(spark.createDataFrame(rows, "doc_id bigint, text string")).withColumn("row", F.monotonically_increasing_id())
-    terms = {r.term for r in pii._near(found).collect()}
+    terms = {r.term for r in pii._near(pii._windows(found)).collect()}
     assert {"xylophone", "marimbas"} <= terms and terms <= {"xylophone", "marimbas"}
 
 
@@ -104,3 +107,32 @@ def test_places(spark):
     df = spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], "row bigint, text string")
     got = sorted((r.row, r.start, r.end, r.term) for r in pii._places(df).collect())
     assert got == sorted((i, m.start(), m.end(), m.group().lower()) for i, t in enumerate(texts) for m in re.finditer(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]{4,}", t or ""))
+
+
+def test_shares_count_documents_not_places(spark):
+    # an entity in 10 documents, a word in 10, both in 3: the share is far under the threshold though each document has many places
+    both = [(i, "zebrafish bob@ex.org zebrafish " * 5 + f"alpha{i}") for i in range(3)]
+    one = [(10 + i, f"bob@ex.org writes beta{i} bob@ex.org") for i in range(7)]
+    two = [(20 + i, f"zebrafish swims gamma{i} zebrafish") for i in range(7)]
+    rest = [(100 + i, f"plain text of row{i}") for i in range(100)]
+    df = spark.createDataFrame(both + one + two + rest, "doc_id bigint, text string")
+    assert all("zebrafish" in r.text for r in pii.sanitised(df).collect() if r.doc_id in (0, 1, 2))
+
+
+def test_many_matches_in_long_texts(spark):
+    text = "".join(f"name{i}@example.org +1 555 010 {i:04d} 10.0.{i % 256}.7 " for i in range(4_000))
+    df = spark.createDataFrame([(1, text), (2, "é😀 " * 100_000 + "a@b.c")], "doc_id bigint, text string").repartition(2)
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert [got[1][f"n_{k}"] for k in PLAIN] == [sum(x[0] == k for x in base(text)) for k in PLAIN]
+    assert clean[1] == cut(text, base(text)) and clean[2] == "é😀 " * 100_000 + "[EMAIL]"
+
+
+def test_terms_beside_spans(spark):
+    r = random.Random(3)
+    for _ in range(20):
+        spans = sorted((a, a + r.randint(1, 30), "email") for a in r.sample(range(600), r.randint(0, 60)))
+        terms = sorted((a, a + r.randint(1, 9), "term") for a in r.sample(range(600), 40))
+        df = spark.createDataFrame([(spans, terms)], f"spans array<{pii.SPANNED}>, terms array<{pii.SPANNED}>")
+        got = [tuple(x) for x in df.select(pii._free(F.col("spans"), F.col("terms")).alias("x")).first().x]
+        assert got == [t for t in terms if not any(s[0] < t[1] and t[0] < s[1] for s in spans)]
