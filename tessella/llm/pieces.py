@@ -15,13 +15,16 @@ after the last cut vertex need lattice steps and the library encodes the stretch
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import by_batch
+from .common import by_batch, parked
 
 #: Texts of more characters than GIANT are split into chunks of CHUNK.
 GIANT, CHUNK = 65_536, 16_384
@@ -184,34 +187,38 @@ class Chunk:
         return text(head) + self.m.library(self.s[a:b]) + text(self.tail.trace((b, b), target))
 
 
+def _aligned(matrix: np.ndarray, targets: list[Node], sources: list[Node]) -> np.ndarray:
+    at = {n: i for i, n in enumerate(targets)}
+    none = np.full(matrix.shape[0], -np.inf)
+    return np.array([matrix[:, at[n]] if n in at else none for n in sources]).reshape(len(sources), -1).T
+
+
+def states(chunks: list[tuple[list[Node], list[Node], np.ndarray]], size: int) -> list[Node]:
+    """The node on each boundary of the best path, from (sources, targets, matrix) of every chunk of a text of ``size`` characters."""
+    matrices = [_aligned(a[2], a[1], b[0]) for a, b in zip(chunks, chunks[1:], strict=False)]
+    _, targets, matrix = chunks[-1]
+    ends = [i for i, n in enumerate(targets) if n[1] == size]
+    matrices.append(matrix[:, ends])
+    prefix = _scan(matrices)  # from the start of the text to each boundary
+    # the right end fixes the last node, and each boundary's node is the best one that leads on to the next
+    last = targets[ends[int(prefix[-1][0].argmax())]]
+    tails = [matrices[-1].max(1)]
+    for x in reversed(matrices[:-1]):
+        tails.append((x + tails[-1][None, :]).max(1))
+    tails.reverse()
+    inner = [c[0][int((prefix[i][0] + tails[i + 1]).argmax())] for i, c in enumerate(chunks[1:])]
+    return [(0, 0), *inner, last]
+
+
 def encode_giant(text: str, m: Model, chunk: int = CHUNK) -> list[int]:
-    """Ids of ``text`` by chunks: matrices, an associative scan over them, a trace of each chunk."""
+    """Ids of ``text`` by chunks, in one place: matrices, an associative scan over them, a trace of each chunk."""
     s = normal(text)
     if not s:
         return []
     bounds = [*range(0, len(s), chunk), len(s)]
     chunks = [Chunk(m, s, a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
-    matrices = []
-    for left, right in zip(chunks, chunks[1:], strict=False):
-        at = {n: i for i, n in enumerate(left.targets)}
-        matrices.append(np.array([left.matrix[:, at[n]] if n in at else np.full(len(left.sources), -np.inf) for n in right.sources]).T)
-    last = chunks[-1]
-    ends = [i for i, n in enumerate(last.targets) if n[1] == len(s)]
-    matrices.append(last.matrix[:, ends])
-    prefix = _scan(matrices)  # from the start of the text to each boundary
-    # the right end fixes the last node, and each boundary's node is the best one that leads on to the next
-    suffix = matrices[-1].max(1)
-    states: list[Node] = [last.targets[ends[int((prefix[-1][0]).argmax())]]]
-    tails = [suffix]
-    for x in reversed(matrices[:-1]):
-        tails.append((x + tails[-1][None, :]).max(1))
-    tails.reverse()
-    inner = [right.sources[int((prefix[i][0] + tails[i + 1]).argmax())] for i, right in enumerate(chunks[1:])]
-    edges = [(0, 0), *inner, *states]
-    out: list[int] = []
-    for c, a, b in zip(chunks, edges, edges[1:], strict=False):
-        out += c.trace(a, b)
-    return out
+    edges = states([(c.sources, c.targets, c.matrix) for c in chunks], len(s))
+    return [x for c, a, b in zip(chunks, edges, edges[1:], strict=False) for x in c.trace(a, b)]
 
 
 def _scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
@@ -223,32 +230,118 @@ def _scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
     return left + [combine(left[-1], x) for x in right]
 
 
-def encode(texts: list[str], m: Model, giant: int = GIANT, chunk: int = CHUNK) -> list[list[int]]:
-    out = m.sp.encode([t if len(t) <= giant else "" for t in texts], num_threads=1)
-    return [x if len(t) <= giant else encode_giant(t, m, chunk) for t, x in zip(texts, out, strict=True)]
+class Window:
+    """A chunk of a giant text that lies in a row of its own: the characters about it, and where they start."""
+
+    def __init__(self, m: Model, text: str, base: int, low: int, high: int):
+        self.base = base
+        self.chunk = Chunk(m, text, low - base, high - base)
+
+    def out(self, nodes: list[Node]) -> list[Node]:
+        """Places in the whole text; the start of the text is (0, 0) in both."""
+        return [(a + self.base, e + self.base) for a, e in nodes]
+
+    def trace(self, source: Node, target: Node) -> list[int]:
+        into = lambda n: (n[0] - self.base, n[1] - self.base)
+        return self.chunk.trace(into(source), into(target))
+
+
+def _pairs(nodes: list[Node]) -> list[int]:
+    return [x for n in nodes for x in n]
+
 
+def _nodes(flat: list[int]) -> list[Node]:
+    return list(zip(flat[::2], flat[1::2], strict=True))
 
-def encoded(docs: DataFrame, path: str, keep_ids: bool = False, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+
+def _giants(big: DataFrame, path: str, chunk: int) -> DataFrame:
+    """(row, ids, wanted) of rows (row, text) of giant texts; ``wanted`` is the digest that the decoded text should have.
+
+    Every chunk is a row: its matrix, and later its trace, is made wherever the row lies. A text's matrices, a few numbers
+    a chunk, meet in one group and are combined there.
+    """
+    spark = big.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = "row bigint, i bigint, size bigint, base bigint, low bigint, high bigint, part string, wanted string"
+
+    def split(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        reach = model(path).longest
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            s, wanted = normal(text), hashlib.sha256(text.replace(BLANK, " ").encode()).hexdigest()
+            n = -(-len(s) // chunk)
+            for i in range(n):
+                low, high = i * chunk, min(len(s), (i + 1) * chunk)
+                base = max(0, low - reach)
+                yield pa.RecordBatch.from_pylist([{"row": row, "i": i, "size": len(s), "base": base, "low": low, "high": high, "part": s[base : high + reach], "wanted": wanted}])
+
+    windows = parked(by_batch(big, split, dealt).repartition(parts, "row", "i"), "chunks")
+
+    def matrix(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for r in batch.to_pylist():
+            w = Window(model(path), r["part"], r["base"], r["low"], r["high"])
+            out.append({"row": r["row"], "i": r["i"], "size": r["size"], "sources": _pairs(w.out(w.chunk.sources)), "targets": _pairs(w.out(w.chunk.targets)), "weights": w.chunk.matrix.ravel().tolist()})
+        return pa.RecordBatch.from_pylist(out, schema=pa.schema([("row", pa.int64()), ("i", pa.int64()), ("size", pa.int64()), ("sources", pa.list_(pa.int32())), ("targets", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64()))]))
+
+    def scan(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("i").to_pylist()
+        chunks = [(_nodes(r["sources"]), _nodes(r["targets"]), np.array(r["weights"], float).reshape(len(r["sources"]) // 2, -1)) for r in rows]
+        edges = states(chunks, rows[0]["size"])
+        return pa.table({"row": [r["row"] for r in rows], "i": pa.array([r["i"] for r in rows], pa.int64()), "edges": pa.array([_pairs([a, b]) for a, b in zip(edges, edges[1:], strict=False)], pa.list_(pa.int32()))})
+
+    matrices = by_batch(windows, matrix, "row bigint, i bigint, size bigint, sources array<int>, targets array<int>, weights array<double>", rows=8)
+    edges = matrices.groupBy("row").applyInArrow(scan, "row bigint, i bigint, edges array<int>")
+
+    def trace(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for r in batch.to_pylist():
+            ids = Window(model(path), r["part"], r["base"], r["low"], r["high"]).trace(*_nodes(r["edges"]))
+            out.append({"row": r["row"], "i": r["i"], "wanted": r["wanted"], "ids": ids})
+        return pa.RecordBatch.from_pylist(out, schema=pa.schema([("row", pa.int64()), ("i", pa.int64()), ("wanted", pa.string()), ("ids", pa.list_(pa.int32()))]))
+
+    traced = by_batch(windows.join(edges, ["row", "i"]), trace, "row bigint, i bigint, wanted string, ids array<int>", rows=8)
+    whole = traced.groupBy("row").agg(F.first("wanted").alias("wanted"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids"))  # of one text
+    return parked(whole, "giants")
+
+
+RESULTS = "n_pieces bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean, ids array<int>"
+
+
+def encoded(docs: DataFrame, path: str, keep_ids: bool = False, giant: int = GIANT, chunk: int = CHUNK, keep_columns: bool = False) -> DataFrame:
     """Per row: doc_id, n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_sha256, round_trip.
 
     decoded_sha256 is of the text that the ids decode to; round_trip tells whether that is the text itself, its marked
-    blanks (U+2581) as blanks. Null and empty texts have no pieces. With ``keep_ids`` the ids come along. Other columns
-    are left out; repeated rows give a row each.
+    blanks (U+2581) as blanks. Null and empty texts have no pieces; repeated rows give a row each. With ``keep_ids`` the
+    ids come along. Other columns are left out, or stay with ``keep_columns``, but for those named like a result.
     """
+    names = ["n_pieces", "ids_sha256", "decoded_sha256", "round_trip"] + ["ids"] * keep_ids
+    kept = [c for c in docs.columns if c not in {"n_pieces", "ids_sha256", "decoded_sha256", "round_trip", "ids"}] if keep_columns else ["doc_id"]
+    fields = [docs.schema[c] for c in kept]
+    out = StructType(fields + [f for f in StructType.fromDDL(RESULTS).fields if f.name in names])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = model(path)
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        ids = encode(texts, m, giant, chunk)
-        back = m.sp.decode(ids)
+    def results(ids: list[list[int]], wanted: list[str]) -> list[pa.Array]:
+        back = [hashlib.sha256(b.encode()).hexdigest() for b in model(path).sp.decode(ids)]
         cols = [
-            batch.column(0),
-            pa.array([len(x) for x in ids], pa.int64()),
-            pa.array([hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in ids]),
-            pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back]),
-            pa.array([b == t.replace(BLANK, " ") for b, t in zip(back, texts, strict=True)], pa.bool_()),
-        ]
-        return pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.list_(pa.int32()))] * keep_ids, ["doc_id", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"] + ["ids"] * keep_ids)
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return by_batch(docs.select("doc_id", "text"), run, f"doc_id {id_type}, n_pieces bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * keep_ids)
+            pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in ids], pa.string()),
+            pa.array(back, pa.string()), pa.array([b == w for b, w in zip(back, wanted, strict=True)], pa.bool_()),
+        ]
+        return cols + [pa.array(ids, pa.list_(pa.int32()))] * keep_ids
+
+    def short(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [x or "" for x in batch.column(len(kept)).to_pylist()]
+        ids = model(path).sp.encode(texts, num_threads=1)
+        return pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + results(ids, [hashlib.sha256(t.replace(BLANK, " ").encode()).hexdigest() for t in texts]), [*kept, *names])
+
+    def long(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + results(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist()), [*kept, *names])
+
+    size = F.length(F.coalesce("text", F.lit("")))
+    columns = [F.col(f"`{c}`") for c in kept]
+    more = "_" * (1 + max(map(len, kept)))  # no column is called that
+    few = by_batch(docs.where(size <= giant).select(*columns, F.col("text").alias(more)), short, out)
+    big = docs.where(size > giant).select(F.monotonically_increasing_id().alias("row"), "text", F.struct(*columns).alias("kept"))
+    big = parked(big, "giant-texts")
+    if not big.limit(1).count():
+        return few
+    whole = big.select("row", "kept").join(_giants(big.select("row", "text"), path, chunk), "row")
+    return few.union(by_batch(whole.select(*(F.col("kept")[c].alias(c) for c in kept), F.col("ids").alias(more), F.col("wanted").alias(more + "_")), long, out))

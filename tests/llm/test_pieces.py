@@ -27,3 +27,22 @@ def test_query(docs, rows, empty):
     for i, t in rows:
         assert got[i].ids == m.sp.encode(t or "") and got[i].n_pieces == len(got[i].ids) and got[i].round_trip
     assert pieces.encoded(empty, PATH).count() == 0
+
+
+def test_columns_stay(docs, rows):
+    clashing = docs.withColumn("_text", docs["doc_id"]).withColumn("n_pieces", docs["row"]).withColumn("kept", docs["row"])
+    out = pieces.encoded(clashing, PATH, keep_columns=True, giant=2000, chunk=500)
+    assert out.columns == [c for c in clashing.columns if c != "n_pieces"] + ["n_pieces", "ids_sha256", "decoded_sha256", "round_trip"]
+    texts = dict(rows)
+    got = out.collect()
+    assert len(got) == len(rows) + 1 and all(r.text == texts[r.doc_id] and r["_text"] == r.doc_id and r.round_trip for r in got)
+
+
+def test_a_text_of_many_chunks(spark):
+    m = pieces.model(PATH)
+    words = "the quick brown föx jumps over lazy dogs 梦 again".split()
+    text = " ".join(words[i * i % len(words)] for i in range(200_000)) + "a" * 3000 + "  " * 2000
+    df = spark.createDataFrame([(1, text), (None, text[::-1]), (3, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pieces.encoded(df, PATH, keep_ids=True).collect()}
+    assert got[1].ids == m.sp.encode(text) and got[None].ids == m.sp.encode(text[::-1]) and got[3].n_pieces == 0
+    assert all(r.round_trip for r in got.values())
