@@ -10,7 +10,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_batch, utf8
+from .common import by_batch, parked, utf8
 
 #: Payloads are padded to a positive multiple of so many bytes.
 UNIT = 64
@@ -28,7 +28,19 @@ def padded(text: bytes) -> bytes:
     return text + b"\0" * (max(UNIT, -(-len(text) // UNIT) * UNIT) - len(text))
 
 
-def _riff(b: memoryview, at: int) -> tuple[str, int] | None:
+class Bytes(bytes):
+    """Media with searches that remember: the next place of a needle is looked up once, however many candidates ask."""
+
+    def next(self, needle: bytes, at: int) -> int:
+        known = self.__dict__.setdefault("known", {})
+        asked, place = known.get(needle, (0, -2))
+        if place == -2 or at < asked or 0 <= place < at:
+            asked, place = at, self.find(needle, at)
+            known[needle] = asked, place
+        return place
+
+
+def _riff(b: Bytes, at: int) -> tuple[str, int] | None:
     if at + 12 > len(b):
         return None
     size = struct.unpack_from("<I", b, at + 4)[0] + 8
@@ -41,12 +53,12 @@ def _riff(b: memoryview, at: int) -> tuple[str, int] | None:
     return (kind, size) if p == at + size else None
 
 
-def _png(b: memoryview, at: int) -> tuple[str, int] | None:
+def _png(b: Bytes, at: int) -> tuple[str, int] | None:
     p, first = at + 8, True
     while p + 12 <= len(b):
         n = struct.unpack_from(">I", b, p)[0]
         kind = bytes(b[p + 4 : p + 8])
-        if p + 12 + n > len(b) or first and (kind != b"IHDR" or n != 13) or zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
+        if p + 12 + n > len(b) or first and (kind != b"IHDR" or n != 13) or zlib.crc32(memoryview(b)[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
             return None
         p, first = p + 12 + n, False
         if kind == b"IEND":
@@ -54,7 +66,7 @@ def _png(b: memoryview, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _gif(b: memoryview, at: int) -> tuple[str, int] | None:
+def _gif(b: Bytes, at: int) -> tuple[str, int] | None:
     if at + 13 > len(b):
         return None
     p = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
@@ -77,7 +89,7 @@ def _gif(b: memoryview, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(b: memoryview, at: int) -> tuple[str, int] | None:
+def _jpeg(b: Bytes, at: int) -> tuple[str, int] | None:
     p, scanned = at + 2, False
     while p + 4 <= len(b):
         if b[p] != 0xFF:
@@ -94,17 +106,16 @@ def _jpeg(b: memoryview, at: int) -> tuple[str, int] | None:
         p += 2 + n
         if mark == 0xDA:
             scanned = True
-            raw = bytes(b[p:])
-            q = raw.find(b"\xff")
-            while q >= 0 and q + 1 < len(raw) and (raw[q + 1] == 0 or 0xD0 <= raw[q + 1] <= 0xD7):
-                q = raw.find(b"\xff", q + 2)
-            if q < 0 or q + 1 >= len(raw):
+            q = b.find(b"\xff", p)
+            while q >= 0 and q + 1 < len(b) and (b[q + 1] == 0 or 0xD0 <= b[q + 1] <= 0xD7):
+                q = b.find(b"\xff", q + 2)
+            if q < 0 or q + 1 >= len(b):
                 return None
-            p += q
+            p = q
     return ("image/jpeg", p + 2 - at) if p + 2 <= len(b) and scanned and b[p] == 0xFF and b[p + 1] == 0xD9 else None
 
 
-def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
+def _bmp(b: Bytes, at: int) -> tuple[str, int] | None:
     if at + 30 > len(b):
         return None
     size, zero, offset, head = struct.unpack_from("<IIII", b, at + 2)
@@ -113,10 +124,10 @@ def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
     return ("image/bmp", size) if good else None
 
 
-def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
+def _gzip(b: Bytes, at: int) -> tuple[str, int] | None:
     d = zlib.decompressobj(31)
     try:
-        rest = b[at:]
+        rest = memoryview(b)[at:]
         while not d.eof:
             if not len(rest):
                 return None
@@ -127,38 +138,87 @@ def _gzip(b: memoryview, at: int) -> tuple[str, int] | None:
         return None
 
 
-def _zip(b: memoryview, at: int) -> tuple[str, int] | None:
-    raw = bytes(b[at:])
-    end = raw.find(b"PK\x05\x06")
-    while end >= 0 and end + 22 <= len(raw):
-        size, offset, note = struct.unpack_from("<IIH", raw, end + 12)
-        if offset + size == end and end + 22 + note <= len(raw) and (not size or raw[offset : offset + 4] == b"PK\x01\x02"):
-            return "application/zip", end + 22 + note
-        end = raw.find(b"PK\x05\x06", end + 4)
+def _zip(b: Bytes, at: int) -> tuple[str, int] | None:
+    """To the first end record whose directory lies right before it and starts where it says, counted from the file's start."""
+    end = b.next(b"PK\x05\x06", at)
+    while end >= 0 and end + 22 <= len(b):
+        size, offset, note = struct.unpack_from("<IIH", b, end + 12)
+        start = end - size - offset  # where a file with this end record starts
+        if start == at and end + 22 + note <= len(b) and (not size or b[at + offset : at + offset + 4] == b"PK\x01\x02"):
+            return "application/zip", end + 22 + note - at
+        if start >= at:
+            return None  # the record ends another file, which starts later
+        end = b.find(b"PK\x05\x06", end + 4)
     return None
 
 
-def _pdf(b: memoryview, at: int) -> tuple[str, int] | None:
-    raw = bytes(b[at:])
-    if len(raw) < 8 or not (raw[5:6].isdigit() and raw[6:7] == b"." and raw[7:8].isdigit()):
+def _pdf(b: Bytes, at: int) -> tuple[str, int] | None:
+    if not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"." and b[at + 7 : at + 8].isdigit()):
         return None
-    end = raw.find(b"%%EOF")
-    return ("application/pdf", end + 5) if end > 0 and raw.rfind(b"startxref", 0, end) > 0 else None
-
-
-def _flac(b: memoryview, at: int) -> tuple[str, int] | None:
-    p, first = at + 4, True
-    while p + 4 <= len(b):
+    end, table = b.next(b"%%EOF", at), b.next(b"startxref", at)
+    return ("application/pdf", end + 5 - at) if 0 <= table < end else None
+
+
+def _crc(data: bytes, poly: int, bits: int) -> int:
+    """CRC of ``bits`` bits with an initial value of 0, most significant bit first."""
+    if (poly, bits) not in _CRC:
+        top, mask, table = 1 << bits - 1, (1 << bits) - 1, []
+        for n in range(256):
+            c = n << bits - 8
+            for _ in range(8):
+                c = (c << 1 ^ poly if c & top else c << 1) & mask
+            table.append(c)
+        _CRC[poly, bits] = table
+    table, c, mask = _CRC[poly, bits], 0, (1 << bits) - 1
+    for x in data:
+        c = (c << 8 & mask) ^ table[(c >> bits - 8) ^ x]
+    return c
+
+
+_CRC: dict[tuple[int, int], list[int]] = {}
+
+
+def _flac_header(b: Bytes, p: int) -> int:
+    """The length of the frame header at ``p``, its check value included; 0 if there is none."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8 or b[p + 2] >> 4 == 0 or b[p + 2] & 15 == 15 or b[p + 3] >> 4 > 10 or b[p + 3] & 1:
+        return 0
+    lead, n = b[p + 4], 1  # the frame's number, in as many bytes as its leading ones say
+    while n < 8 and lead & 0x80 and lead << n & 0x80:
+        n += 1
+    n += 4 + {6: 1, 7: 2}.get(b[p + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(b[p + 2] & 15, 0)
+    return n + 1 if p + n < len(b) and _crc(b[p : p + n], 0x07, 8) == b[p + n] else 0
+
+
+def _flac(b: Bytes, at: int) -> tuple[str, int] | None:
+    """Metadata blocks, then frames: each starts with a checked header and ends with the check value of all its bytes."""
+    p, first, last = at + 4, True, False
+    while not last:
+        if p + 4 > len(b):
+            return None
         kind, n = b[p], int.from_bytes(b[p + 1 : p + 4], "big")
         if first and (kind & 0x7F or n != 34) or p + 4 + n > len(b):
             return None
-        p, first = p + 4 + n, False
-        if kind & 0x80:
-            return "audio/flac", len(b) - at
-    return None
+        p, first, last = p + 4 + n, False, bool(kind & 0x80)
+    smallest = max(10, int.from_bytes(b[at + 12 : at + 15], "big"))
+    largest = int.from_bytes(b[at + 15 : at + 18], "big") or 1 << 16  # of a frame, as the stream says or the usual bound
+    while _flac_header(b, p):
+        # the frame ends before another header, or somewhere up to its largest size: where its check value fits
+        c, table, end = 0, None, 0
+        _crc(b"", 0x8005, 16)
+        table = _CRC[0x8005, 16]
+        for q in range(p, min(len(b), p + largest)):
+            c = (c << 8 & 0xFFFF) ^ table[(c >> 8) ^ b[q]]
+            if c == 0 and q + 1 - p >= smallest and (q + 1 == len(b) or _flac_header(b, q + 1) or not end):
+                end = q + 1  # a check value over itself leaves 0
+                if end == len(b) or _flac_header(b, end):
+                    break
+        if not end:
+            return None
+        p = end
+    return "audio/flac", p - at
 
 
-def _ogg(b: memoryview, at: int) -> tuple[str, int] | None:
+def _ogg(b: Bytes, at: int) -> tuple[str, int] | None:
     p, pages = at, 0
     while p + 27 <= len(b) and bytes(b[p : p + 5]) == b"OggS\0":
         table = b[p + 27 : p + 27 + b[p + 26]]
@@ -169,7 +229,7 @@ def _ogg(b: memoryview, at: int) -> tuple[str, int] | None:
     return ("audio/ogg", p - at) if pages else None
 
 
-def _mp4(b: memoryview, at: int) -> tuple[str, int] | None:
+def _mp4(b: Bytes, at: int) -> tuple[str, int] | None:
     at, p, kinds = at - 4, at - 4, []  # the size stands before the signature
     while 0 <= p and p + 8 <= len(b):
         n, kind = struct.unpack_from(">I", b, p)[0], bytes(b[p + 4 : p + 8])
@@ -180,19 +240,49 @@ def _mp4(b: memoryview, at: int) -> tuple[str, int] | None:
     return ("video/mp4", p - at) if kinds[:1] == [b"ftyp"] and {b"moov", b"moof", b"mdat"} & set(kinds) else None
 
 
-def _tiff(b: memoryview, at: int) -> tuple[str, int] | None:
-    order = "<" if b[at] == 0x49 else ">"
-    if at + 8 > len(b):
+#: Bytes of a value of each field type of a TIFF directory.
+_TIFF_SIZE = (0, 1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8)
+#: Fields that hold offsets of data, and those with the lengths: strips, tiles, an embedded thumbnail.
+_TIFF_DATA = {273: 279, 324: 325, 513: 514}
+
+
+def _tiff(b: Bytes, at: int) -> tuple[str, int] | None:
+    """The directories one after the other; the file ends where the last directory, value or strip of data does."""
+    order, end, seen = "<" if b[at] == 0x49 else ">", at + 8, set()
+    if end > len(b):
         return None
     p = struct.unpack_from(order + "I", b, at + 4)[0]
-    if p < 8 or at + p + 2 > len(b):
-        return None
-    n = struct.unpack_from(order + "H", b, at + p)[0]
-    return ("image/tiff", len(b) - at) if 0 < n < 4096 and at + p + 2 + 12 * n + 4 <= len(b) else None
+    while p:
+        if p < 8 or p in seen or at + p + 2 > len(b):
+            return None
+        seen.add(p)
+        n = struct.unpack_from(order + "H", b, at + p)[0]
+        last = at + p + 2 + 12 * n
+        if not 0 < n < 4096 or last + 4 > len(b):
+            return None
+        end, data = max(end, last + 4), {}
+        for e in range(at + p + 2, last, 12):
+            tag, kind, count = struct.unpack_from(order + "HHI", b, e)
+            if not 0 < kind < len(_TIFF_SIZE):
+                return None
+            size = _TIFF_SIZE[kind] * count
+            where = e + 8 if size <= 4 else at + struct.unpack_from(order + "I", b, e + 8)[0]
+            if where + size > len(b):
+                return None
+            end = max(end, where + size) if size > 4 else end
+            if kind in (3, 4) and (tag in _TIFF_DATA or tag in _TIFF_DATA.values()):
+                data[tag] = struct.unpack_from(f"{order}{count}{'H' if kind == 3 else 'I'}", b, where)
+        for offsets, lengths in _TIFF_DATA.items():
+            for start, length in zip(data.get(offsets, ()), data.get(lengths, ()), strict=False):
+                if at + start + length > len(b):
+                    return None
+                end = max(end, at + start + length)
+        p = struct.unpack_from(order + "I", b, last)[0]
+    return ("image/tiff", end - at) if seen else None
 
 
 # Magic bytes of the formats.
-SIGNATURES: dict[bytes, Callable[[memoryview, int], tuple[str, int] | None]] = {
+SIGNATURES: dict[bytes, Callable[[Bytes, int], tuple[str, int] | None]] = {
     b"RIFF": _riff,
     b"\x89PNG\r\n\x1a\n": _png,
     b"GIF87a": _gif,
@@ -232,7 +322,7 @@ def sniff(media: bytes) -> list[tuple[int, int, str]]:
     """
     if not media:
         return []
-    view, out = memoryview(media), []
+    view, out = Bytes(media), []
     for last, magic in automaton().iter(media.decode("latin-1")):
         at = last - len(magic) + 1
         if got := SIGNATURES[magic](view, at):
@@ -260,7 +350,10 @@ def samples(media: bytes) -> bytes:
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, declared, media: each text's bytes (null: none) as 8-bit samples. Other columns are left out."""
+    """doc_id, n_bytes, declared, media: each text's bytes (null: none) as 8-bit samples, written to the shared folder and read from there.
+
+    Repeated rows are stored each, an empty table gives an empty one, other columns are left out.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = utf8(batch.column(1))
@@ -269,7 +362,7 @@ def stored(docs: DataFrame) -> DataFrame:
             ["doc_id", "n_bytes", "declared", "media"],
         )
 
-    return by_batch(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, declared string, media binary")
+    return parked(by_batch(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, declared string, media binary"), "media")
 
 
 def sniffed(media: DataFrame, keep_carved: bool = False) -> DataFrame:
