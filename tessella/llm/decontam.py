@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,17 +124,20 @@ def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _passes(docs: DataFrame, bench: DataFrame, window: int, shingle: int, item_col: str, a_pass: int) -> list[Windows]:
+def _passes(docs: DataFrame, bench: DataFrame, window: int, shingle: int, item_col: str, a_pass: int) -> tuple[int, Iterator[Windows]]:
+    """How many passes, and the windows of each: one pass's items are held at a time."""
     n = bench.count()
     parts = max(1, -(-n // a_pass))
     rows = bench.select(F.col(item_col).alias("item"), "text").withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
-    out = []
-    for part in range(parts):
-        items = sorted(((r.item, ascii_words((r.text or "").encode())) for r in rows.where(F.col("part") == part).collect()), key=str)
-        w = Windows(items, window, shingle)
-        w.rank(_counts(docs, w))
-        out.append(w)
-    return out
+
+    def each() -> Iterator[Windows]:
+        for part in range(parts):
+            items = sorted(((r.item, ascii_words((r.text or "").encode())) for r in rows.where(F.col("part") == part).collect()), key=str)
+            w = Windows(items, window, shingle)
+            w.rank(_counts(docs, w))
+            yield w
+
+    return parts, each()
 
 
 def contaminated(
@@ -145,16 +149,15 @@ def contaminated(
     row each. Other columns are left out, so their names can't clash.
     """
     docs = docs.select("doc_id", "text")
-    passes = _passes(docs, bench, window, shingle, item_col, a_pass)
-    found = [_pass(docs, w) for w in passes]
-    if len(found) == 1:
-        merged = found[0]
+    parts, passes = _passes(docs, bench, window, shingle, item_col, a_pass)
+    if parts == 1:
+        merged = _pass(docs.withColumn("row", F.lit(0).cast("bigint")), next(passes))
     else:
+        # every pass reads the same numbered rows; a pass is written before the next one's items are fetched
+        rows = parked(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        every = reduce(DataFrame.union, (parked(_pass(rows, w), "pass") for w in passes))
         # a row of a document from each pass: the lists of a document are bounded by its own length and the items in it
-        every = found[0]
-        for x in found[1:]:
-            every = every.union(x)
-        merged = parked(every, "passes").groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.flatten(F.collect_list("items")).alias("items"))
+        merged = every.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.flatten(F.collect_list("items")).alias("items"))
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols = {n: batch.column(n).to_pylist() for n in ("starts", "ends", "items")}
@@ -175,6 +178,7 @@ def contaminated(
 
 
 def _pass(docs: DataFrame, windows: Windows) -> DataFrame:
+    """(row, doc_id, n_words, starts, ends, items) of the windows of one pass."""
     probe = Probe(windows.prefix)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -193,19 +197,21 @@ def _pass(docs: DataFrame, windows: Windows) -> DataFrame:
         )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return by_batch(rows, run, f"row bigint, doc_id {id_type}, n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>")
+    return by_batch(docs.select("row", "doc_id", "text"), run, f"row bigint, doc_id {id_type}, n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>")
 
 
 def without_contaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` in which no window of ``bench`` occurs, all columns kept."""
+    parts, passes = _passes(docs, bench, options.get("window", WINDOW), options.get("shingle", SHINGLE), "item_id", options.get("a_pass", ITEMS_A_PASS))
     out = docs
-    for windows in _passes(docs, bench, options.get("window", WINDOW), options.get("shingle", SHINGLE), "item_id", options.get("a_pass", ITEMS_A_PASS)):
+    for at, windows in enumerate(passes):
         probe = Probe(windows.prefix)
 
         def run(batch: pa.RecordBatch, windows=windows, probe=probe) -> pa.RecordBatch:
             clean = [not occurrences(ascii_words(t), windows, probe) for t in utf8(batch.column("text"))]
-            return batch.filter(pc.cast(pa.array(clean, pa.bool_()), pa.bool_()))
+            return batch.filter(pa.array(clean, pa.bool_()))
 
         out = by_batch(out, run, out.schema)
+        if at < parts - 1:
+            out = parked(out, "pass")
     return out
