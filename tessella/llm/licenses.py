@@ -1,8 +1,14 @@
-"""Licence scans: an exact set-similarity join of text blocks with licence sentences."""
+"""Licence scans: an exact set-similarity join of text blocks with licence texts.
+
+A template goes with blocks of its own size. Tokens of all templates are ordered by their frequency in the corpus; a block
+that holds the share ``threshold`` of a template's tokens holds one of the template's first ones in that order (prefix),
+has tokens enough (length), and enough of them after the shared one (position). Only such blocks are compared in full.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_words, by_batch, utf8, word_hashes
 from .decontam import Probe
+from .licence_texts import TEMPLATES
 
 # Phrases and the label of each.
 PHRASES = {
@@ -19,58 +26,44 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Sentences that licences are known by, 32 words at most, and the label of each.
-TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
-    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages"),
-]
-
-#: Words of a block, and from one block to the next: every passage of STEP words or fewer lies wholly in some block.
-BLOCK, STEP = 64, 32
+#: Words from one block to the next are a power of two from STEP on; a block is two of them, so a passage as long as its
+#: template, that is as many words or fewer, lies wholly in some block.
+STEP = 32
 THRESHOLD = 0.85
 
 
 class Templates:
-    """Token sets of the templates; ``order`` sorts them by the frequency of tokens in all blocks, rare ones first."""
+    """Token sets of the templates; ``order`` sorts them by the frequency of tokens in all documents, rare ones first."""
 
     def __init__(self, templates: list[tuple[str, str]], threshold: float):
-        self.threshold = threshold
-        self.sets = [(label, np.unique(word_hashes(ascii_words(text.encode())))) for label, text in templates]
+        words = [word_hashes(ascii_words(text.encode())) for _, text in templates]
+        self.sets = [(label, np.unique(w)) for (label, _), w in zip(templates, words, strict=True)]
+        self.step = [max(STEP, 1 << (len(w) - 1).bit_length()) for w in words]
+        self.need = [int(np.ceil(threshold * len(s) - 1e-9)) for _, s in self.sets]
         self.vocabulary = np.unique(np.concatenate([s for _, s in self.sets]))
 
     def order(self, counts: np.ndarray) -> None:
         rank = np.empty(len(counts), np.int64)
         rank[np.lexsort((self.vocabulary, counts))] = np.arange(len(counts))
         self.rank = rank  # of each token of the vocabulary
-        self.ranked = [(label, np.sort(rank[np.searchsorted(self.vocabulary, s)])) for label, s in self.sets]
-        self.need = [int(np.ceil(self.threshold * len(s) - 1e-9)) for _, s in self.ranked]
-        self.prefix: dict[int, list[tuple[int, int]]] = {}
-        for t, (_, s) in enumerate(self.ranked):
+        self.ranked = [np.sort(rank[np.searchsorted(self.vocabulary, s)]) for _, s in self.sets]
+        #: by block size: the templates and places of each prefix token, and marks of these tokens
+        self.prefix: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for t, s in enumerate(self.ranked):
+            mine = self.prefix.setdefault(self.step[t], {})
             for i in range(len(s) - self.need[t] + 1):
-                self.prefix.setdefault(int(s[i]), []).append((t, i))
+                mine.setdefault(int(s[i]), []).append((t, i))
+        self.marked = {step: np.isin(np.arange(len(counts)), list(mine)) for step, mine in self.prefix.items()}
 
-    def matches(self, block: np.ndarray) -> list[tuple[int, float]]:
+    def matches(self, block: np.ndarray, step: int) -> list[tuple[int, float]]:
         """(template, containment) of those that meet the threshold; ``block`` has the sorted ranks of its distinct tokens."""
-        seen, out = set(), []
-        for j, r in enumerate(block.tolist()):
-            for t, i in self.prefix.get(r, ()):
+        seen, out, prefix = set(), [], self.prefix[step]
+        for j in np.flatnonzero(self.marked[step][block]).tolist():
+            for t, i in prefix[int(block[j])]:
                 if t in seen:
                     continue
                 seen.add(t)  # the first shared prefix token: no token before i and j is shared
-                s, need = self.ranked[t][1], self.need[t]
+                s, need = self.ranked[t], self.need[t]
                 if len(block) < need or 1 + min(len(s) - i - 1, len(block) - j - 1) < need:
                     continue
                 shared = len(np.intersect1d(s, block, assume_unique=True))
@@ -78,13 +71,22 @@ class Templates:
                     out.append((t, shared / len(s)))
         return out
 
-
-def _blocks(n: int) -> list[tuple[int, int]]:
-    return [(a, min(n, a + BLOCK)) for a in range(0, max(1, n - BLOCK + STEP), STEP)] if n else []
+    def blocks(self, places: np.ndarray, ranks: np.ndarray, n: int) -> Iterator[tuple[int, int, int, float]]:
+        """(template, start, end, containment) of all blocks of a text of ``n`` words; its vocabulary words have ``ranks`` and stand at ``places``."""
+        for step, marked in self.marked.items():
+            least = min(self.need[t] for t, s in enumerate(self.step) if s == step)
+            at = np.unique(places[marked[ranks]] // step)
+            for k in np.unique(np.concatenate([at - 1, at])).tolist():
+                start, end = k * step, min(n, (k + 2) * step)
+                if start < 0 or start and start + step >= n:
+                    continue  # the block before holds all of it
+                low, high = np.searchsorted(places, [start, end])
+                if high - low >= least:
+                    yield from ((t, start, end, share) for t, share in self.matches(np.unique(ranks[low:high]), step))
 
 
 def _frequencies(docs: DataFrame, templates: Templates) -> np.ndarray:
-    """How many blocks of all documents hold each token of the vocabulary, counted by STEP-word pieces."""
+    """How many pieces of STEP words of all documents hold each token of the vocabulary."""
     vocabulary, probe = templates.vocabulary, Probe(templates.vocabulary)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -106,7 +108,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tup
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks ("label:start:end").
 
     score is 1 where a phrase stands, else the largest containment of a template in a block, else 0. Null and empty
-    texts have no words and no labels; repeated rows give a row each; other columns are left out.
+    texts have no words and no labels; repeated rows give a row each, an empty table none; other columns are left out.
     """
     found = Templates(templates, threshold)
     found.order(_frequencies(docs, found))
@@ -132,15 +134,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tup
         hit = probe(h)
         if len(hit):
             ranks = found.rank[np.searchsorted(found.vocabulary, h[hit])]
-            for a, b in _blocks(len(words)):
-                low, high = np.searchsorted(hit, [a, b])
-                if high - low < min(found.need):
-                    continue
-                for t, share in found.matches(np.unique(ranks[low:high])):
-                    labels.add(found.ranked[t][0])
-                    blocks.append(f"{found.ranked[t][0]}:{a}:{b}")
-                    score = max(score, share)
-        return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if base else score, ",".join(blocks)
+            for t, a, b, share in found.blocks(hit, ranks, len(words)):
+                labels.add(found.sets[t][0])
+                blocks.append(f"{found.sets[t][0]}:{a}:{b}")
+                score = max(score, share)
+        return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if base else score, ",".join(dict.fromkeys(blocks))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [one(t) for t in utf8(batch.column(1))]

@@ -33,16 +33,52 @@ def test_phrases_against_a_plain_scan(spark, docs, rows, empty):
     assert licenses.scan(empty).count() == 0
 
 
-def test_the_join_finds_every_block_that_meets_the_threshold():
-    t = licenses.Templates(licenses.TEMPLATES, 0.8)
-    r = np.random.default_rng(1)
-    t.order(r.integers(0, 50, len(t.vocabulary)))
-    for _ in range(400):
-        _, full = t.ranked[r.integers(len(t.ranked))]
-        kept = full[r.random(len(full)) < r.choice([0.5, 0.8, 0.95])]
-        block = np.unique(np.concatenate([kept, r.choice(len(t.vocabulary), r.integers(0, 20))]))
-        brute = [(i, len(np.intersect1d(s, block)) / len(s)) for i, (_, s) in enumerate(t.ranked)]
-        assert sorted(t.matches(block)) == [(i, c) for i, c in brute if c >= 0.8 - 1e-12]
+def variants():
+    """Licence texts whole, cut, with words changed, inside others, one after the other."""
+    import random
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    out = []
+    for _, text in licenses.TEMPLATES:
+        w = text.split()
+        for share in (0, 0.05, 0.12, 0.2, 0.4):
+            changed = [word() if r.random() < share else x for x in w]
+            out.append(" ".join([word() for _ in range(r.randint(0, 150))] + changed + [word() for _ in range(r.randint(0, 80))]))
+        out.append(" ".join(w[: len(w) * 4 // 5]))
+    return out + [" ".join(text for _, text in licenses.TEMPLATES), " ".join(text for _, text in reversed(licenses.TEMPLATES))]
+
+
+def test_labels_against_every_block(spark):
+    texts = variants()
+    templates = [(label, set(WORD.findall(lower(t))), len(WORD.findall(lower(t)))) for label, t in licenses.TEMPLATES]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    found = 0
+    for r in licenses.scan(df).collect():
+        w = WORD.findall(lower(texts[r.doc_id]))
+        blocks, score, labels = set(), 0.0, set()
+        for label, have, size in templates:
+            step = 32
+            while step < size:
+                step *= 2
+            for a in range(0, max(1, len(w) - step), step):
+                share = len(have & set(w[a : a + 2 * step])) / len(have)
+                if share >= licenses.THRESHOLD - 1e-12:
+                    labels.add(label)
+                    blocks.add(f"{label}:{a}:{min(len(w), a + 2 * step)}")
+                    score = max(score, share)
+        base = set(filter(None, r.base_labels.split(",")))
+        method = {b for b in r.blocks.split(",") if b} - {b for b in r.blocks.split(",") if b and b.split(":")[0] in base}
+        assert method == {b for b in blocks if b.split(":")[0] not in base}
+        assert r.labels == ",".join(sorted(labels | base)) and r.score == (1.0 if base else score)
+        found += bool(labels)
+    assert found > len(texts) // 2
+
+
+def test_whole_texts_are_found_wherever_they_lie(spark):
+    rows = [(k, "x " * pad + text + " y" * 50) for k, (text, pad) in enumerate((t, p) for _, t in licenses.TEMPLATES for p in (0, 17, 201))]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(licenses.TEMPLATES[k // 3][0] in v for k, v in got.items())
 
 
 def test_words_hash_apart():
