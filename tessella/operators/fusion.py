@@ -1,4 +1,4 @@
-"""Fusion of rankings, hierarchy, reranking (FUS01-FUS04, RNK01, SCP01-SCP02)."""
+"""Fusion of rankings and the route hierarchy (FUS01, FUS04)."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import POLICY
-from ..functions.text import tokens
-from .lexical import top
 
 
 def rrf(*rankings: DataFrame, constant: int = POLICY.rrf_constant, key: str = "doc_id") -> DataFrame:
@@ -24,28 +22,3 @@ def routes_first(ranked: DataFrame, routes: DataFrame) -> DataFrame:
     chosen = routes.select("qid", "route", F.lit(1).alias("chosen")).distinct()
     out = ranked.join(chosen, ["qid", "route"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(0)))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("chosen"), "rank")))
-
-
-def reranked(ranked: DataFrame, texts: DataFrame, questions: DataFrame, depth: int = POLICY.rerank_depth) -> DataFrame:
-    """The first ``depth`` in order of a pair score, then the rest as it was (RNK01).
-
-    The default scorer is lexical: the share of the question's distinct tokens that the text has.
-    """
-    q = questions.select("qid", F.array_distinct(tokens(F.col("text"))).alias("asked"))
-    t = texts.select("doc_id", tokens(F.col("text")).alias("has"))
-    head = ranked.where(F.col("rank") <= depth).join(q, "qid").join(t, "doc_id")
-    share = F.size(F.array_intersect("asked", "has")) / F.greatest(F.lit(1), F.size("asked"))
-    head = head.select("qid", "doc_id", F.round(share, 9).alias("pair_score"))
-    head = head.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("pair_score"), "doc_id")))
-    tail = ranked.where(F.col("rank") > depth).select("qid", "doc_id", F.lit(None).cast("double").alias("pair_score"), "rank")
-    return head.unionByName(tail)
-
-
-def scope_of(questions: DataFrame, docs: DataFrame, kind: str = "corpus") -> DataFrame:
-    """(qid, doc_id) that a question may see: all, or those of its project (SCP01)."""
-    if kind == "corpus":
-        raise ValueError("the whole corpus needs no scope; a scope frame would pair every question with every document")
-    return questions.select("qid", "project").join(docs.select("doc_id", "project"), "project").select("qid", "doc_id")
-
-
-__all__ = ["reranked", "routes_first", "rrf", "scope_of", "top"]

@@ -9,9 +9,9 @@ from ..config import POLICY, Policy
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """(node, neighbour, edge) of each edge in both directions, self-links left out."""
-    e = edges.where("source_id <> target_id")
-    return e.select(F.col("source_id").alias("node"), F.col("target_id").alias("neighbour"), "edge").union(e.select("target_id", "source_id", "edge"))
+    """(node, neighbour, edge) of each edge in both directions, self-links left out; other columns come along."""
+    e, others = edges.where("source_id <> target_id"), [c for c in edges.columns if c not in ("source_id", "target_id")]
+    return e.select(F.col("source_id").alias("node"), F.col("target_id").alias("neighbour"), *others).union(e.select("target_id", "source_id", *others))
 
 
 def capped(sides: DataFrame, cap: int = POLICY.degree_cap) -> DataFrame:
@@ -20,15 +20,16 @@ def capped(sides: DataFrame, cap: int = POLICY.degree_cap) -> DataFrame:
     return sides.join(few, "node", "left_semi")
 
 
-def multihop(seeds: DataFrame, edges: DataFrame, edge_rank: DataFrame, scope: DataFrame | None = None, policy: Policy = POLICY) -> DataFrame:
+def multihop(seeds: DataFrame, edges: DataFrame, edge_rank: DataFrame, scope: DataFrame | None = None, policy: Policy = POLICY, within: DataFrame | None = None) -> DataFrame:
     """(qid, doc_id, boost, hop): best boosts of pages that bounded, query-ranked paths reach (GRF13).
 
     ``seeds``: (qid, doc_id, rank); ``edges``: (source_id, target_id, edge); ``edge_rank``: (qid, edge, rank). Each hop is
     a join of the frontier with the edges; a page expands ``neighbours`` distinct pages by (edge rank, id), never one that
     lies on its path; at most ``discovered`` new pages of a question are expanded further or boosted, in the order of the
-    frontier. A frontier is bounded by seeds, neighbours and hops, whatever the graph's size.
+    frontier. A frontier is bounded by seeds, neighbours and hops, whatever the graph's size. ``scope``, (qid, doc_id), or
+    ``within``, (qid, project) beside edges with the project of both their ends, says which pages a question may see.
     """
-    sides = undirected(edges)
+    sides = undirected(edges.select("source_id", "target_id", "edge", *(["project"] if within is not None else [])))
     front = seeds.where(F.col("rank") <= policy.seeds).select(
         "qid", "doc_id", F.col("rank").alias("seed_rank"), F.lit(0.0).alias("paths"), F.array("doc_id").alias("seen"), F.col("rank").alias("ord")
     )
@@ -36,6 +37,8 @@ def multihop(seeds: DataFrame, edges: DataFrame, edge_rank: DataFrame, scope: Da
     boosts = None
     for hop in range(1, policy.hops + 1):
         step = front.withColumnRenamed("doc_id", "node").join(sides, "node").where(~F.array_contains("seen", F.col("neighbour")))
+        if within is not None:
+            step = step.join(within, ["qid", "project"], "left_semi").drop("project")
         if scope is not None:
             step = step.join(scope.withColumnRenamed("doc_id", "neighbour"), ["qid", "neighbour"], "left_semi")
         step = step.join(edge_rank.withColumnRenamed("rank", "edge_rank"), ["qid", "edge"], "left")
@@ -65,3 +68,75 @@ def linked_pairs(qrels: DataFrame, edges: DataFrame) -> DataFrame:
     pair = qrels.select("qid", F.col("doc_id").alias("source_id")).join(edges.select("source_id", "target_id").distinct(), "source_id")
     both = pair.join(qrels.select("qid", F.col("doc_id").alias("target_id")), ["qid", "target_id"]).where("source_id <> target_id").select("qid").distinct()
     return qrels.select("qid").distinct().join(both.withColumn("linked", F.lit(True)), "qid", "left").select("qid", F.coalesce("linked", F.lit(False)).alias("linked"))
+
+
+#: Weights of the branches of a typed expansion, and the largest degree of an entity that is followed.
+BRANCHES = {"shared_reusable": 0.85, "shared_code_entity": 0.70, "bounded_route": 0.35}
+HOP_WEIGHT = {1: 1.0, 2: 0.5}
+CLAIM_WEIGHT = 0.90
+
+
+def _first(rows: DataFrame, order: list, policy: Policy) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy("qid", "seed").orderBy(*order))
+    return rows.withColumn("at", at).where(F.col("at") <= policy.neighbours).drop("at")
+
+
+def _link_branch(seeds: DataFrame, edges: DataFrame, policy: Policy) -> DataFrame:
+    """Pages at the ends of paths of one link, then of two, the first ones by (hops, id); a page may stand at both distances."""
+    sides = undirected(edges).select("node", "neighbour").distinct()
+    one = seeds.join(sides, F.col("seed") == F.col("node")).select("qid", "seed", F.col("neighbour").alias("doc_id"))
+    enough = F.row_number().over(Window.partitionBy("qid", "seed").orderBy("doc_id"))
+    first = one.withColumn("at", enough).where(F.col("at") <= policy.neighbours).drop("at")
+    hop1 = first.withColumn("hops", F.lit(1))
+    # beyond every direct neighbour, not beyond the first ones only; of one neighbour's pages the first ones are enough
+    spread = F.row_number().over(Window.partitionBy("qid", "seed", "via").orderBy("doc_id"))
+    two = one.withColumnRenamed("doc_id", "via").join(sides, F.col("via") == F.col("node")).where("neighbour <> seed").select("qid", "seed", "via", F.col("neighbour").alias("doc_id"))
+    two = two.withColumn("at", spread).where(F.col("at") <= policy.neighbours)
+    hop2 = two.select("qid", "seed", "doc_id").distinct().withColumn("hops", F.lit(2))
+    both = _first(hop1.union(hop2), ["hops", "doc_id"], policy)
+    weight = F.when(F.col("hops") == 1, HOP_WEIGHT[1]).otherwise(HOP_WEIGHT[2])
+    return both.select("qid", "seed", "doc_id", weight.alias("weight"), F.concat(F.lit("link_"), F.col("hops").cast("string"), F.lit("hop")).alias("path"), "hops")
+
+
+def _shared_branch(seeds: DataFrame, mentions: DataFrame, kind: str, cap: int, policy: Policy) -> DataFrame:
+    """Pages that mention what a seed mentions, by entities of ``cap`` pages at most, so an entity adds no more than that."""
+    mine = mentions.where(F.col("kind") == kind).select("doc_id", "entity").distinct()
+    fine = mine.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") <= cap).select("entity")
+    mine = mine.join(fine, "entity", "left_semi")
+    own = seeds.join(mine.withColumnRenamed("doc_id", "seed"), "seed").select("qid", "seed", "entity")
+    found = own.join(mine, "entity").where("doc_id <> seed").select("qid", "seed", "doc_id").distinct()
+    return _first(found, ["doc_id"], policy).select("qid", "seed", "doc_id", F.lit(BRANCHES[kind]).alias("weight"), F.lit(kind).alias("path"), F.lit(1).alias("hops"))
+
+
+def _claim_branch(seeds: DataFrame, claims: DataFrame, cap: int, policy: Policy) -> DataFrame:
+    """Pages whose claims share an entity, subject or object, with a seed's claims; the path names the other claim's predicate."""
+    ends = claims.select("claim_id", "doc_id", "predicate", F.explode(F.array_distinct(F.array("subject", "object"))).alias("entity"))
+    fine = ends.groupBy("entity").agg(F.countDistinct("claim_id").alias("n")).where(F.col("n") <= cap).select("entity")
+    ends = ends.join(fine, "entity", "left_semi")
+    own = seeds.join(ends.select(F.col("doc_id").alias("seed"), "entity").distinct(), "seed")
+    found = own.join(ends, "entity").where("doc_id <> seed").select("qid", "seed", "doc_id", "predicate").distinct()
+    return _first(found, ["doc_id", "predicate"], policy).select("qid", "seed", "doc_id", F.lit(CLAIM_WEIGHT).alias("weight"), F.concat(F.lit("claim:"), F.col("predicate")).alias("path"), F.lit(1).alias("hops"))
+
+
+def expanded(seeds: DataFrame, edges: DataFrame, mentions: DataFrame, claims: DataFrame, relevance: DataFrame, policy: Policy = POLICY) -> DataFrame:
+    """(qid, doc_id, score, hops, seeds, paths, rank) that a bounded typed expansion reaches (GRF12).
+
+    ``seeds``: (qid, doc_id, rank), the first ones of each question count; ``edges``: (source_id, target_id, edge);
+    ``mentions``: (doc_id, kind, entity); ``claims``: (claim_id, doc_id, subject, predicate, object); ``relevance``: (qid,
+    doc_id, cosine), a page's best. Of every seed five branches give ``neighbours`` pages each, the best of all those by
+    weight go on. A page scores its largest weight times its relevance, plus 1 / (60 + its first seed's rank).
+    """
+    few = seeds.where(F.col("rank") <= policy.seeds)
+    own = few.select("qid", F.col("doc_id").alias("seed"))
+    found = _link_branch(own, edges, policy)
+    for kind in BRANCHES:
+        found = found.union(_shared_branch(own, mentions, kind, policy.degree_cap, policy))
+    found = found.union(_claim_branch(own, claims, policy.degree_cap, policy))
+    found = found.join(few.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").select("qid", "seed", "doc_id", "weight", "path", "hops")
+    kept = _first(found, [F.desc("weight"), "hops", "doc_id", "path"], policy)
+    kept = kept.join(few.select("qid", F.col("doc_id").alias("seed"), F.col("rank").alias("seed_rank")), ["qid", "seed"])
+    out = kept.groupBy("qid", "doc_id").agg(F.max("weight").alias("w"), F.min("seed_rank").alias("r"), F.min("hops").alias("hops"), F.array_sort(F.collect_set("seed")).alias("seeds"), F.array_sort(F.collect_set("path")).alias("paths"))
+    out = out.join(relevance, ["qid", "doc_id"], "left")
+    score = F.round(F.col("w") * F.greatest(F.lit(0.0), F.coalesce("cosine", F.lit(0.0))) + 1.0 / (60.0 + F.col("r")), 9)
+    out = out.select("qid", "doc_id", score.alias("score"), "hops", "seeds", "paths")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")))

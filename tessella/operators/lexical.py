@@ -1,4 +1,4 @@
-"""BM25 over postings: all questions of a run in one plan (LEX01-LEX12)."""
+"""BM25 over stored postings: all questions of a run in one plan (LEX01-LEX13)."""
 
 from __future__ import annotations
 
@@ -8,25 +8,44 @@ from pyspark.sql import functions as F
 from ..config import POLICY
 from ..functions.text import tokens, with_bigrams
 
+#: Rows of question terms that are broadcast at most; more are joined in a shuffle.
+BROADCAST_TERMS = 500_000
 
-def indexed(units: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``units`` with their terms and length; narrow, so it is recomputed rather than shuffled."""
+
+def postings(units: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(columns of ``units`` but the text, term, tf, dl): a row per unit and distinct term.
+
+    Term frequencies are run lengths of a unit's sorted terms, so nothing is shuffled. A unit without terms has no row.
+    """
+    others = [c for c in units.columns if c != text]
     # the words are a column of their own: a project that uses an expensive column several times is not collapsed into it
-    words = units.withColumn("_words", tokens(F.col(text))).drop(text)
-    return words.withColumn("terms", with_bigrams(F.col("_words"))).drop("_words").withColumn("dl", F.size("terms").cast("double"))
+    words = units.select(*others, tokens(F.col(text)).alias("_words"))
+    terms = words.select(*others, F.array_sort(with_bigrams(F.col("_words"))).alias("_terms")).where(F.size("_terms") > 0)
+    place = F.sequence(F.lit(0), F.size("_terms") - 1)
+    starts = F.filter(place, lambda i: (i == 0) | (F.get("_terms", i) != F.get("_terms", F.greatest(i - 1, F.lit(0)))))
+    runs = terms.select(*others, "_terms", starts.alias("_starts"))
+    each = F.transform("_starts", lambda s, j: F.struct(F.get("_terms", s).alias("term"), (F.coalesce(F.get("_starts", j + 1), F.size("_terms")) - s).cast("double").alias("tf")))
+    out = runs.select(*others, F.size("_terms").cast("double").alias("dl"), F.explode(each).alias("_t"))
+    return out.select(*others, "dl", "_t.term", "_t.tf")
 
 
-def vocabulary(index: DataFrame, min_df: int = 1, max_features: int | None = None) -> DataFrame:
+def by_term(found: DataFrame, key: str) -> DataFrame:
+    """Postings as they are stored: in ranges of term and key, so a common term spans several files and a scan skips what isn't asked for."""
+    return found.repartitionByRange("term", key).sortWithinPartitions("term", key)
+
+
+def vocabulary(found: DataFrame, min_df: int = 1, max_features: int | None = None) -> DataFrame:
     """(term, df, cf), most frequent first, ties by term (LEX02)."""
-    out = index.select("terms").withColumn("term", F.explode("terms")).groupBy("term").agg(F.count("*").alias("cf"))
-    df = index.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    out = out.join(df, "term").where(F.col("df") >= min_df).select("term", "df", "cf")
+    out = found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("cf")).where(F.col("df") >= min_df)
     return out.orderBy(F.desc("cf"), "term").limit(max_features) if max_features else out
 
 
-def collection(index: DataFrame) -> DataFrame:
-    """One row: n, avgdl (LEX03)."""
-    return index.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+def collection(found: DataFrame, units: DataFrame, key: str) -> DataFrame:
+    """One row: n, avgdl (LEX03). Units without terms count with a length of 0."""
+    lengths = found.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.coalesce(F.sum("dl"), F.lit(0.0)).alias("total"))
+    n = units.agg(F.count("*").cast("double").alias("n"))
+    average = F.coalesce(F.nullif(F.col("total") / F.nullif(F.col("n"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return n.crossJoin(lengths).select("n", average.alias("avgdl"))  # one row each
 
 
 def question_terms(questions: DataFrame, key: str = "qid", text: str = "text") -> DataFrame:
@@ -35,26 +54,29 @@ def question_terms(questions: DataFrame, key: str = "qid", text: str = "text") -
     return words.select(key, F.explode(F.array_distinct(with_bigrams(F.col("_words")))).alias("term"))
 
 
-def weights(index: DataFrame, wanted: DataFrame, key: str, k1: float = POLICY.k1, b: float = POLICY.b) -> DataFrame:
-    """(key, term, weight) of the wanted terms (LEX04).
+def few(df: DataFrame, most: int) -> DataFrame:
+    """``df``, broadcast if it has ``most`` rows at most."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
-    Postings of other terms never leave the scan's stage: the questions' terms are joined right after the explode, before
-    any shuffle; lengths need no postings at all.
-    """
-    hits = index.select(key, "dl", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term")
-    tf = hits.groupBy(key, "dl", "term").agg(F.count("*").cast("double").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(collection(index)))  # one row
+
+def weights(found: DataFrame, stats: DataFrame, wanted: DataFrame, k1: float = POLICY.k1, b: float = POLICY.b) -> DataFrame:
+    """``found`` of the wanted (term, df) rows with their weight (LEX04). What else ``wanted`` has comes along."""
+    hits = found.join(wanted, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log1p((F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     norm = F.lit(k1) * (F.lit(1.0) - F.lit(b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    return scored.select(key, "term", (F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm) * idf).alias("weight"))
+    return hits.withColumn("weight", F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm) * idf).drop("n", "avgdl", "df", "tf", "dl")
+
 
+def scores(found: DataFrame, stats: DataFrame, words: DataFrame, asked: DataFrame, keep: list[str]) -> DataFrame:
+    """(qid, keep, score) above 0, rounded to 9 digits (LEX06). ``words`` is the vocabulary, ``asked`` the (qid, term) rows.
 
-def scores(index: DataFrame, questions: DataFrame, key: str, scope: DataFrame | None = None) -> DataFrame:
-    """(qid, key, score) above 0, rounded to 9 digits (LEX06). ``scope`` has the (qid, key) pairs that are allowed."""
-    q = question_terms(questions)
-    out = weights(index, q, key).join(q, "term").groupBy("qid", key).agg(F.round(F.sum("weight"), 9).alias("score")).where("score > 0")
-    return out if scope is None else out.join(scope, ["qid", key], "left_semi")
+    Only the postings of asked terms leave the scan; their frequencies come with the terms, and no posting is shuffled
+    before it is scored.
+    """
+    terms = few(asked.select("term").distinct(), BROADCAST_TERMS)
+    wanted = asked.join(words.join(terms, "term").select("term", F.col("df").cast("double").alias("df")), "term")
+    out = weights(found, stats, few(wanted, BROADCAST_TERMS))
+    return out.groupBy("qid", *keep).agg(F.round(F.sum("weight"), 9).alias("score")).where("score > 0")
 
 
 def top(scored: DataFrame, key: str, depth: int, by: str = "qid") -> DataFrame:
@@ -69,16 +91,8 @@ def collapsed(hits: DataFrame, key: str = "chunk_ord", depth: int = POLICY.colla
     return top(docs, "doc_id", depth)
 
 
-def bm25_documents(chunks: DataFrame, questions: DataFrame, scope: DataFrame | None = None, depth: int = POLICY.retrieval_depth) -> DataFrame:
-    """(qid, doc_id, score, best_chunk, rank): the best chunks, then their documents (LEX09). ``scope`` is of (qid, doc_id)."""
-    found = scores(indexed(chunks.select("chunk_ord", "text"), "chunk_ord"), questions, "chunk_ord").join(chunks.select("chunk_ord", "doc_id"), "chunk_ord")
-    if scope is not None:
-        found = found.join(scope, ["qid", "doc_id"], "left_semi")
-    return collapsed(top(found, "chunk_ord", depth))
-
-
 def route_texts(pages: DataFrame) -> DataFrame:
-    """One text per route: the route and its sorted distinct titles (LEX10)."""
+    """One text per route: the route and its sorted distinct titles (LEX10). A route's titles are its text, so bounded by a directory's listing."""
     return pages.groupBy("route").agg(F.concat_ws("\n", F.col("route"), F.array_sort(F.collect_set("title"))).alias("text"))
 
 
@@ -86,12 +100,15 @@ def grep(docs: DataFrame, wanted: DataFrame, per_term: int = 250) -> DataFrame:
     """(qid, doc_id, score): literal matches, line by line (LEX13).
 
     A document scores 1 / (60 + its place among a term's documents) once a term, and 0.003 times the share of the
-    question's terms on each matching line. Lines count in the order (doc_id, line), ``per_term`` of them at most.
+    question's terms on each matching line. Lines count in the order (doc_id, line), ``per_term`` of them at most. The
+    terms are a stated, bounded set that goes to all lines: substrings have no key to join on.
     """
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body")).withColumn("body", F.lower("body"))
     n = Window.partitionBy("qid")
     terms_of = wanted.withColumn("n_terms", F.count("*").over(n))
-    hits = lines.join(F.broadcast(terms_of), F.contains(F.col("body"), F.lower(F.col("term"))))  # a few terms a question
+    distinct = F.broadcast(wanted.select("term").distinct())  # a few terms a question
+    bodies = lines.join(distinct, F.contains(F.col("body"), F.lower(F.col("term")))).select("doc_id", "line", "term")
+    hits = bodies.join(terms_of, "term")
     place = Window.partitionBy("qid", "term").orderBy("doc_id", "line")
     hits = hits.withColumn("at", F.row_number().over(place)).where(F.col("at") <= per_term)
     firsts = hits.groupBy("qid", "term", "doc_id").agg(F.min("at").alias("at"))

@@ -1,49 +1,176 @@
-"""Exact cosine retrieval (VEC02, VEC04) and its approximate form (VEC03)."""
+"""Embeddings, exact cosine retrieval, and inverted lists for approximate retrieval (VEC01-VEC04, SRC09)."""
 
 from __future__ import annotations
 
+from typing import Protocol
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import POLICY
+from ..functions.text import tokens
+from ..storage import built, parked
 from .lexical import top
 
+#: Questions that go to all vectors as one matrix; more go in several passes, one after the other.
+BLOCK = 4096
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(questions: DataFrame, vectors: DataFrame, depth: int = POLICY.retrieval_depth, scope: str | None = None) -> DataFrame:
-    """(qid, vec_id, score, rank) of the ``depth`` nearest vectors of each question, ties by id (VEC02).
+class EmbeddingProvider(Protocol):
+    """Where vectors come from (VEC01): ``name`` identifies the model, ``encode`` adds ``embedding``, L2-normalised, and drops the text."""
+
+    name: str
+
+    def encode(self, units: DataFrame, key: str, text: str = "text") -> DataFrame: ...
+
+
+class HashedTokens:
+    """Embeddings without a model: each token adds 1 or -1 to one of ``size`` dimensions, both told by its MD5 digest."""
+
+    def __init__(self, size: int = 64):
+        self.size, self.name = size, f"hashed-tokens-{size}"
+
+    def encode(self, units: DataFrame, key: str, text: str = "text") -> DataFrame:
+        """Sums of a unit are made in its own partition before the shuffle by key; a unit without tokens has the zero vector."""
+        others = [c for c in units.columns if c != text]
+        words = units.select(*others, tokens(F.col(text)).alias("_words"))
+        digest = F.md5("token")
+        place = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % self.size).cast("int")
+        sign = F.when(F.substring(digest, 9, 1) < "8", 1).otherwise(-1)
+        parts = words.select(key, F.explode("_words").alias("token")).select(key, place.alias("i"), sign.alias("s")).groupBy(key, "i").agg(F.sum("s").alias("v"))
+        value = F.collect_list(F.struct("i", "v"))  # ``size`` at most
+        sums = parts.groupBy(key).agg(F.map_from_entries(value).alias("m"))
+        dims = F.transform(F.sequence(F.lit(0), F.lit(self.size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
+        raw = units.drop(text).join(sums, key, "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,bigint>"))).withColumn("raw", dims)
+        norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
+        return raw.withColumn("norm", norm).select(*others, F.transform("raw", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)).alias("embedding"))
 
-    With ``scope``, a column of both sides, vectors outside the question's scope are never compared: an equi-join deals
-    them. Without it the questions, a stated and bounded set, go to every block of vectors as a matrix; each block returns
-    its own best, so a question's rows are as many as blocks times depth, not as many as vectors.
+
+def cached(provider: EmbeddingProvider, source: DataFrame, units: DataFrame, key: str) -> DataFrame:
+    """Vectors of ``units``, made once for the model's name and the files that the units come from (SRC09)."""
+    return built(source, f"vectors-{provider.name}", lambda: provider.encode(units, key))
+
+
+def _blocks(questions: DataFrame) -> list[DataFrame]:
+    n = -(-questions.count() // BLOCK)
+    return [questions] if n <= 1 else [questions.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
+
+
+def nearest(questions: DataFrame, vectors: DataFrame, depth: int = POLICY.retrieval_depth, scope: str | None = None, key: str = "vec_id", keep: list[str] = ()) -> DataFrame:
+    """(qid, key, keep, score, rank) of the ``depth`` nearest vectors of each question, ties by key (VEC02).
+
+    With ``scope``, a column of both sides, vectors outside the question's scope are left out. The questions, a stated set,
+    go to every batch of vectors as a matrix, BLOCK of them a pass; each batch returns its own best, so a question's rows
+    are as many as batches times depth, not as many as vectors.
     """
-    if scope:
-        pairs = vectors.join(F.broadcast(questions.select("qid", F.col(scope), F.col("embedding").alias("q"))), scope)
-        return top(pairs.select("qid", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 9).alias("score")), "vec_id", depth)
-    rows = questions.orderBy("qid").collect()  # the question set
-    ids = np.array([r.qid for r in rows], np.int64)
-    q = np.array([r.embedding for r in rows], np.float64)
+    schema = vectors.select(key, *keep).schema.add("qid", questions.schema["qid"].dataType).add("score", "double")
+    found, blocks = None, _blocks(questions)
+    for block in blocks:
+        rows = block.select("qid", "embedding", *([scope] if scope else [])).orderBy("qid").collect()  # BLOCK or about as many
+        ids, q = np.array([r.qid for r in rows]), np.array([r.embedding for r in rows], np.float64)
+        mine = np.array([r[scope] for r in rows], object) if scope else None
+        part = _best(vectors.select(key, *keep, "embedding", *([F.col(scope).alias("_scope")] if scope else [])), ids, q, mine, depth, len(keep), schema)
+        part = top(part, key, depth)
+        part = parked(part, "nearest") if len(blocks) > 1 else part
+        found = part if found is None else found.union(part)
+    return found.select("qid", key, *keep, "score", "rank")
+
 
+def _best(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, mine: np.ndarray | None, depth: int, kept: int, schema) -> DataFrame:
     def block(batches):
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            x = np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_pylist()])
-            vec = batch.column(0).to_numpy()
+            x = np.stack([np.asarray(v, np.float64) for v in batch.column(1 + kept).to_pylist()])
             s = np.round(q @ x.T, 9)
-            order = np.lexsort((np.broadcast_to(vec, s.shape), -s), axis=1)[:, :depth]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, order.shape[1])), pa.array(vec[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["qid", "vec_id", "score"]
-            )
+            if mine is not None:
+                s[mine[:, None] != np.array(batch.column(2 + kept).to_pylist(), object)[None, :]] = -np.inf
+            key = np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), s.shape)
+            order = np.lexsort((key, -s), axis=1)[:, :depth]
+            best, who = np.take_along_axis(s, order, 1).ravel(), np.repeat(ids, order.shape[1])
+            good = np.isfinite(best)
+            rows = batch.select(list(range(1 + kept))).take(pa.array(order.ravel()[good]))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(who[good]), pa.array(best[good])], schema.names)
 
-    return top(vectors.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(block, "qid bigint, vec_id bigint, score double"), "vec_id", depth)
+    return vectors.mapInArrow(block, schema)
+
+
+def lists(vectors: DataFrame, count: int, sample: int = 8192, rounds: int = 12, seed: int = 17) -> np.ndarray:
+    """Centres of ``count`` inverted lists, fitted on ``sample`` vectors at most: those with the smallest hashes of their ids."""
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()  # ``sample`` rows
+    x = np.array([r.embedding for r in rows], np.float64)
+    if not len(x):
+        return np.zeros((0, 0))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = x[np.random.default_rng(seed).permutation(len(x))[:count]].copy()
+    for _ in range(rounds):
+        mine = (x @ centres.T).argmax(1)
+        for c in range(len(centres)):
+            if (mine == c).any():
+                centres[c] = x[mine == c].mean(0)
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    return centres
+
+
+def _listed(vectors: DataFrame, key: str, centres: np.ndarray, probes: int) -> DataFrame:
+    """``vectors`` with ``list``, a row for each of the ``probes`` nearest centres."""
+
+    def assign(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_pylist()])
+                order = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
+                rows = batch.take(pa.array(np.repeat(np.arange(len(x)), order.shape[1])))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(order.ravel().astype(np.int32))], [key, "embedding", "list"])
+
+    rows = vectors.select(key, "embedding")
+    return rows.mapInArrow(assign, rows.schema.add("list", "int"))
+
+
+def approximate(questions: DataFrame, vectors: DataFrame, depth: int = POLICY.retrieval_depth, count: int = 16, probes: int = 6) -> DataFrame:
+    """(qid, vec_id, score, rank): the nearest vectors in the ``probes`` lists nearest to each question (VEC03).
+
+    Every vector is in the list of its nearest centre; only lists that a question probes are compared with it, by an
+    equi-join on the list. Scores are exact, the set of candidates is not: tests measure recall.
+    """
+    centres = lists(vectors, count)
+    if not len(centres):
+        return nearest(questions, vectors, depth)
+    index = _listed(vectors, "vec_id", centres, 1)
+    asked = _listed(questions, "qid", centres, probes).select("qid", F.col("embedding").alias("q"), "list")
+    pairs = index.join(asked, "list").select("qid", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 9).alias("score"))
+    return top(pairs, "vec_id", depth)
 
 
 def best_per_group(pairs: DataFrame, group: str) -> DataFrame:
     """The largest cosine of a group's units (VEC04)."""
     return pairs.groupBy("qid", group).agg(F.max("score").alias("score"))
+
+
+def group_best(questions: DataFrame, vectors: DataFrame, group: str) -> DataFrame:
+    """(qid, group, score): the largest cosine of each group's vectors (VEC04), a block of vectors at a time: no pair leaves its batch."""
+    schema = vectors.select(group).schema.add("qid", questions.schema["qid"].dataType).add("score", "double")
+    found, blocks = None, _blocks(questions)
+    for part in blocks:
+        rows = part.select("qid", "embedding").orderBy("qid").collect()  # BLOCK or about as many
+        ids, q = np.array([r.qid for r in rows]), np.array([r.embedding for r in rows], np.float64)
+
+        def block(batches, ids=ids, q=q):
+            for batch in batches:
+                if not batch.num_rows or not len(ids):
+                    continue
+                s = np.round(q @ np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_pylist()]).T, 9)
+                names, code = np.unique(np.array(batch.column(0).to_pylist()), return_inverse=True)
+                best = np.stack([s[:, code == k].max(1) for k in range(len(names))], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(names, len(ids)), batch.schema[0].type), pa.array(np.repeat(ids, len(names))), pa.array(best.ravel())], schema.names)
+
+        one = vectors.select(group, "embedding").mapInArrow(block, schema).groupBy("qid", group).agg(F.max("score").alias("score"))
+        one = parked(one, "group-best") if len(blocks) > 1 else one
+        found = one if found is None else found.union(one)
+    return found

@@ -28,25 +28,6 @@ def _edges(spark, d):
 
 
 EDGES = "e AS (SELECT DISTINCT l_suppkey AS source_id, l_partkey + 1000000 AS target_id, l_suppkey * 10000000 + l_partkey AS edge FROM lineitem), s AS (SELECT source_id AS node, target_id AS neighbour, edge FROM e UNION ALL SELECT target_id, source_id, edge FROM e)"
-CAPPED = EDGES + ", few AS (SELECT node FROM s GROUP BY node HAVING count(DISTINCT neighbour) <= 20), c AS (SELECT s.* FROM s WHERE node IN (SELECT node FROM few))"
-
-
-@query("grf12_capped_expansion", f"WITH {CAPPED}, h1 AS (SELECT 1000000 + x AS seed, neighbour AS doc_id, 1 AS hop FROM (SELECT unnest(range(1, 201)) AS x) v JOIN c ON c.node = 1000000 + x) SELECT seed, doc_id, min(hop) AS hop FROM h1 GROUP BY seed, doc_id QUALIFY row_number() OVER (PARTITION BY seed ORDER BY min(hop), doc_id) <= 10")
-def grf12(spark, d):
-    """Direct neighbours of fixed seeds under the degree cap, ten a seed; GRF12's second hop, branches and weights are not built."""
-    seeds = spark.range(1, 201).select((F.col("id") + 1_000_000).alias("node"))
-    out = graph.capped(graph.undirected(_edges(spark, d))).join(F.broadcast(seeds), "node").groupBy(F.col("node").alias("seed"), F.col("neighbour").alias("doc_id")).agg(F.lit(1).alias("hop"))
-    return out.withColumn("at", F.row_number().over(Window.partitionBy("seed").orderBy("hop", "doc_id"))).where("at <= 10").drop("at")
-
-
-@query("grf13_multihop_links")
-def grf13(spark, d):
-    """Bounded, query-ranked link paths of two hops from five seeds a question (tested against a step-by-step version)."""
-    seeds = spark.range(0, 4).select(F.col("id").alias("qid"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank")).select("qid", (F.col("qid") * 5 + F.col("rank")).alias("doc_id"), "rank")
-    edges = _edges(spark, d)
-    found = spark.range(0, 4).select(F.col("id").alias("qid")).join(edges.where("edge % 5 = 0").select("edge")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy((F.col("edge") * 31 + F.col("qid") * 17) % 1009, "edge"))).where("rank <= 1500")
-    return graph.multihop(seeds, edges, found)
-
 
 @query("grf14_allowed_edges", f"WITH {EDGES} SELECT e.* FROM e WHERE source_id % 2 = 0 AND target_id % 3 = 0")
 def grf14(spark, d):

@@ -6,8 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import fusion, lexical, stats
-from . import retrieval as R
+from ..operators import fusion, stats
 from .registry import query, table
 from .shapes import same
 from .texts import duck, scalar
@@ -64,13 +63,6 @@ def chk03(spark, d):
     return table(spark, d, "documents").where(F.length("text") > 300).select("doc_id", (F.coalesce(find(500), find(80)) - 1).cast("bigint").alias("start"))
 
 
-@query("lex08_collapse", f"WITH {R.BM25} SELECT qid, lang AS doc_id, max(round(score, 6)) AS score FROM ranked JOIN documents USING (doc_id) WHERE rank <= 50 GROUP BY qid, lang")
-def lex08(spark, d):
-    """Unit hits to their parents: the best score of each."""
-    hits = R.bm25(spark, d, 50).select("qid", F.col("doc_id").alias("chunk_ord"), "score").join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_ord"), F.col("lang").alias("doc_id")), "chunk_ord")
-    return lexical.collapsed(hits).select("qid", "doc_id", F.round("score", 6).alias("score"))
-
-
 @query("fus01_rrf", "WITH a AS (SELECT o_custkey AS qid, o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), b AS (SELECT o_custkey AS qid, o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank FROM orders) SELECT qid, doc_id, round(sum(1::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY qid, doc_id")
 def fus01(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("doc_id"), "o_totalprice", "o_orderdate")
@@ -79,34 +71,6 @@ def fus01(spark, d):
     return fusion.rrf(one, two).select("qid", "doc_id", F.round("score", 9).alias("score"))
 
 
-@query("fus03_graph_fusion", f"WITH {R.HYBRID} SELECT qid, count(*) AS fused, CAST(sum((doc_id % 3 = 0)::INT) AS BIGINT) AS boosted, min(round(score, 9)) AS least FROM hybrid WHERE rank <= 50 GROUP BY qid")
-def fus03(spark, d):
-    """Counts of a second fusion: documents that a graph ranking boosts."""
-    return R.hybrid(spark, d).where("rank <= 50").groupBy("qid").agg(F.count("*").alias("fused"), F.count_if(F.col("doc_id") % 3 == 0).alias("boosted"), F.min(F.round("score", 9)).alias("least"))
-
-
-METHODS = {"bm25": R.bm25, "bm25_rrf": R.hybrid}
-
-
-@query("rnk02_methods", f"WITH {R.HYBRID} SELECT 'bm25' AS method, qid, doc_id, rank FROM ranked WHERE rank <= 10 UNION ALL SELECT 'bm25_rrf', qid, doc_id, rank FROM hybrid WHERE rank <= 10")
-def rnk02(spark, d):
-    """Methods by name, all questions at once, the first ten of each."""
-    out = None
-    for name, method in METHODS.items():
-        part = method(spark, d).where("rank <= 10").select(F.lit(name).alias("method"), "qid", "doc_id", F.col("rank").cast("bigint").alias("rank"))
-        out = part if out is None else out.union(part)
-    return out
-
-
-@query("lex11_routed_bm25", f"WITH {R.BM25}, x AS (SELECT qid, doc_id, score, lang || '/' || source AS route FROM scores JOIN documents USING (doc_id)), r AS (SELECT qid, route, row_number() OVER (PARTITION BY qid ORDER BY max(score) DESC, route) AS n FROM x GROUP BY qid, route) SELECT * FROM (SELECT x.qid, doc_id, row_number() OVER (PARTITION BY x.qid ORDER BY score DESC, doc_id) AS rank FROM x JOIN r ON x.qid = r.qid AND x.route = r.route WHERE n <= 4) z WHERE rank <= 10")
-def lex11(spark, d):
-    """Four routes a question, documents of those routes only."""
-    docs = R.documents(spark, d)
-    x = lexical.scores(lexical.indexed(docs.select("doc_id", "text"), "doc_id"), R.questions(spark, d), "doc_id").join(docs.select("doc_id", "route"), "doc_id")
-    routes = lexical.top(x.groupBy("qid", "route").agg(F.max("score").alias("score")), "route", 4).select("qid", "route")
-    return lexical.top(x.join(routes, ["qid", "route"], "left_semi"), "doc_id", 10).select("qid", "doc_id", F.col("rank").cast("bigint").alias("rank"))
-
-
 same("trc03_search_read", "SELECT a.conv_id, a.turn AS search_turn, min(b.turn) AS read_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn > a.turn AND b.role = 'assistant' WHERE a.role = 'user' GROUP BY a.conv_id, a.turn", "conversations")
 same("hlp03_rollout_outcomes", "SELECT conv_id, turn, coalesce(CASE WHEN role = 'assistant' THEN 'success' END, CASE WHEN length(text) > 50 THEN 'embedded' END, 'unknown') AS outcome FROM conversations", "conversations")
 same("svc02_expand_requests", "SELECT o_custkey AS seed, count(DISTINCT o_orderkey) AS neighbours FROM orders WHERE o_custkey <= 50 GROUP BY o_custkey", "orders")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MASK, STOP_WORDS, TOKEN, paragraph_chunks, tokens, with_bigrams
-from ..operators import fusion, lexical, metrics, stats, vector
+from ..operators import fusion, graph, lexical, metrics, stats, vector
+from ..operators.passages import holding
+from ..operators.retriever import Lexicon, Retriever, TokenShare, graph_fused
+from ..storage import built, fingerprint
 from .registry import query, table
 
 STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -20,67 +25,172 @@ def _terms(name: str, source: str, key: str) -> str:
     return TERMS.replace("@name", name).replace("@source", source).replace("@key", key)
 
 
-BM25 = f"""{_terms('d', 'documents', 'doc_id')},{_terms('q', 'benchmark', 'item_id')},
-stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(CAST(len(t) AS DOUBLE)) AS avgdl FROM d),
-tf AS (SELECT k, CAST(any_value(len) AS DOUBLE) AS dl, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT k, len(t) AS len, unnest(t) AS term FROM d) GROUP BY k, term),
-qt AS (SELECT DISTINCT k AS qid, unnest(t) AS term FROM q),
-df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY term),
-weights AS (SELECT k, term, tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1::DOUBLE - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl)) * ln(1::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS weight
-  FROM tf JOIN df USING (term), stats WHERE term IN (SELECT term FROM qt)),
-scores AS (SELECT qid, k AS doc_id, round(sum(weight), 9) AS score FROM weights JOIN qt USING (term) GROUP BY qid, k HAVING round(sum(weight), 9) > 0),
-ranked AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scores)"""
-QRELS = "qrels AS (SELECT item_id AS qid, doc_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text))"
+# Pages, chunks and questions as the oracle sees them. Documents hold no blank line, so a chunk is a slice of 1400
+# characters with the end of the slice before it.
+PAGES = """docs AS (SELECT doc_id, text, lang AS project, lang || '/' || source || '/' || CAST(doc_id // 200 AS VARCHAR) AS route,
+  coalesce(nullif(trim(substr(string_split(text, chr(10))[1], 1, 60)), ''), CAST(doc_id AS VARCHAR)) AS title FROM documents),
+qs AS (SELECT item_id AS qid, text, (['en', 'fr', 'de', 'es'])[CAST(item_id % 4 + 1 AS INT)] AS project FROM benchmark)"""
+STRIP = r"regexp_replace(regexp_replace({x}, '^\s+', ''), '\s+$', '')"
+CHUNKS = f"""{PAGES},
+whole AS (SELECT *, {STRIP.format(x="text")} AS s FROM docs),
+slices AS (SELECT *, unnest(range(0, CAST(greatest(1, ceil(length(s) / 1400.0)) AS BIGINT))) AS i FROM whole),
+pieces AS (SELECT *, substr(s, 1400 * i + 1, 1400) AS piece, CASE WHEN i > 0 THEN {STRIP.format(x="substr(s, 1400 * i - 179, 180)")} ELSE '' END AS overlap FROM slices),
+ch AS (SELECT doc_id, project, route, title, doc_id * 100000 + i AS chunk_ord, printf('%d::c%04d', doc_id, i) AS chunk_id,
+  title || chr(10) || doc_id || chr(10) || CASE WHEN s = '' THEN title ELSE {STRIP.format(x="CASE WHEN overlap = '' THEN piece ELSE overlap || chr(10) || chr(10) || piece END")} END AS text FROM pieces)"""
+
+
+def _bm25(name: str, units: str, key: str, carry: str) -> str:
+    """CTEs of BM25 over the units of a CTE: @_scores has (qid, key, carry, score)."""
+    return f"""{_terms(name, units, key)},
+{name}_stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(CAST(len(t) AS DOUBLE)) AS avgdl FROM {name}),
+{name}_tf AS (SELECT k, CAST(any_value(len) AS DOUBLE) AS dl, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT k, len(t) AS len, unnest(t) AS term FROM {name}) GROUP BY k, term),
+{name}_df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM {name}_tf GROUP BY term),
+{name}_weights AS (SELECT k, term, tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1::DOUBLE - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl)) * ln(1::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS weight
+  FROM {name}_tf JOIN {name}_df USING (term), {name}_stats WHERE term IN (SELECT term FROM qt)),
+{name}_scores AS (SELECT qid, {key}, {carry}, score FROM (SELECT qid, k, round(sum(weight), 9) AS score FROM {name}_weights JOIN qt USING (term) GROUP BY qid, k) JOIN {units} ON {key} = k WHERE score > 0)"""
+
+
+QUESTIONS = f"""{_terms('q', 'qs', 'qid')}, qt AS (SELECT DISTINCT k AS qid, unnest(t) AS term FROM q)"""
+BM25 = f"""{CHUNKS}, {QUESTIONS}, {_bm25('d', 'ch', 'chunk_ord', 'doc_id, project, route')}"""
+
+
+def _collapsed(name: str, hits: str, where: str = "true") -> str:
+    """CTEs of the best 50 chunks a question and their pages: @ has (qid, doc_id, score, best_chunk, rank)."""
+    return f"""{name}_top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_ord) AS n FROM {hits} WHERE {where} QUALIFY n <= 50),
+{name}_pages AS (SELECT qid, doc_id, max(score) AS score, arg_min(chunk_ord, n) AS best_chunk FROM {name}_top GROUP BY qid, doc_id),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM {name}_pages)"""
+
+
+def _hashed(name: str, words: str) -> str:
+    """CTEs of the hashed-token vectors of a CTE's words: (k, i, v) by dimension, v of unit length."""
+    return f"""{name}_raw AS (SELECT k, ('0x' || substr(md5(x), 1, 8))::BIGINT % 64 AS i, CAST(sum(CASE WHEN substr(md5(x), 9, 1) < '8' THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM (SELECT k, unnest(w) AS x FROM {words}) GROUP BY 1, 2),
+{name} AS (SELECT k, i, v / sqrt(sum(v * v) OVER (PARTITION BY k)) AS v FROM {name}_raw WHERE v <> 0)"""
+
+
+SCOPED = "project = (['en', 'fr', 'de', 'es'])[CAST(qid % 4 + 1 AS INT)]"
+
+
+def _methods(scoped: bool) -> str:
+    """CTEs of all methods but the linked one."""
+    mine = SCOPED if scoped else "true"
+    return f"""{BM25}, {_hashed('cv', 'd_w')}, {_hashed('qv', 'q_w')},
+cosine AS (SELECT qid, chunk_ord, doc_id, project, route, score FROM (SELECT b.k AS qid, a.k AS chunk_ord, round(sum(a.v * b.v), 9) AS score FROM cv a JOIN qv b ON a.i = b.i GROUP BY 1, 2) JOIN ch USING (chunk_ord)),
+rt AS (SELECT route, any_value(project) AS project, route || chr(10) || string_agg(DISTINCT title, chr(10) ORDER BY title) AS text FROM docs GROUP BY route),
+{_bm25('r', 'rt', 'route', 'project')},
+chosen AS (SELECT qid, route FROM r_scores WHERE {mine} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, route) <= 4),
+{_collapsed('bm25', 'd_scores', mine)}, {_collapsed('dense', 'cosine', mine)},
+{_collapsed('routing_bm25', 'd_scores', mine + ' AND (qid, route) IN (SELECT (qid, route) FROM chosen)')},
+hybrid AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT qid, doc_id, round(sum(1::DOUBLE / (60 + rank)), 12) AS score, arg_min(best_chunk, kind) AS best_chunk
+  FROM (SELECT qid, doc_id, rank, best_chunk, 0 AS kind FROM bm25 UNION ALL SELECT qid, doc_id, rank, best_chunk, 1 FROM dense) GROUP BY qid, doc_id)),
+hierarchy AS (SELECT h.qid, h.doc_id, best_chunk, row_number() OVER (PARTITION BY h.qid ORDER BY (c.route IS NULL), h.rank) AS rank FROM hybrid h JOIN docs ON docs.doc_id = h.doc_id LEFT JOIN chosen c ON c.qid = h.qid AND c.route = docs.route),
+{_reranked('hybrid_rerank', 'hybrid')}, {_reranked('hierarchy_rerank', 'hierarchy')}"""
+
+
+def _reranked(name: str, ranked: str) -> str:
+    share = "round(len(list_intersect(list_distinct(qw.w), list_distinct(dw.w))) / greatest(1, len(list_distinct(qw.w))), 9)"
+    return f"""{name} AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY head DESC, s DESC, CASE WHEN head THEN doc_id END, rank) AS rank FROM
+  (SELECT h.qid, h.doc_id, h.rank, h.rank <= 45 AS head, CASE WHEN h.rank <= 45 THEN {share} END AS s FROM {ranked} h JOIN q_w qw ON h.qid = qw.k JOIN d_w dw ON h.best_chunk = dw.k))"""
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    """Benchmark items as questions, each about the pages of one language."""
+    project = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("item_id") % 4 + 1).cast("int"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text", project.alias("project"))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as pages: a language is a project, a source a route."""
-    return table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("project"), F.concat_ws("/", "lang", "source").alias("route"), F.col("doc_id").cast("string").alias("title"))
+    """Documents as pages: a language is a project, 200 neighbouring pages of a source a route."""
+    title = F.coalesce(F.nullif(F.trim(F.substring(F.substring_index("text", "\n", 1), 1, 60)), F.lit("")), F.col("doc_id").cast("string"))
+    route = F.concat_ws("/", "lang", "source", F.floor(F.col("doc_id") / 200).cast("string"))
+    return table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("project"), route.alias("route"), title.alias("title"))
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk table (CHK02), written once; chunk_ord is doc_id and place, no global numbering is needed."""
+    source = table(spark, d, "documents")
+
+    def make() -> DataFrame:
+        parts = paragraph_chunks(F.coalesce("text", F.lit("")))
+        docs = documents(spark, d).withColumn("parts", parts).withColumn("parts", F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array("title")))
+        out = docs.select("doc_id", "project", "route", "title", F.posexplode("parts").alias("at", "part"))
+        return out.select(
+            "doc_id", "project", "route", "title", (F.col("doc_id") * 100_000 + F.col("at")).alias("chunk_ord"),
+            F.format_string("%d::c%04d", "doc_id", "at").alias("chunk_id"), F.concat_ws("\n", "title", F.col("doc_id").cast("string"), "part").alias("text"),
+        )
+
+    return built(source, "chunks", make)
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    """Links between pages, two a page: (edge, source_id, target_id, project of both ends or null, text). The driver's documents have
+    none, so targets are computed; their text is made of titles, section, anchor and context as for any link (LEX12)."""
+    source = table(spark, d, "documents")
+
+    def make() -> DataFrame:
+        docs = documents(spark, d)
+        size = docs.agg((F.max("doc_id") + 1).alias("size"))
+        one = docs.crossJoin(F.broadcast(size)).select("doc_id", "title", "project", F.substring("text", 1, 200).alias("context"), F.explode(F.array((F.col("doc_id") * 7 + 3) % F.col("size"), (F.col("doc_id") * 13 + 5) % F.col("size"))).alias("target_id"), "size")  # one row
+        second = F.when(F.col("target_id") == (F.col("doc_id") * 7 + 3) % F.col("size"), 0).otherwise(1)
+        target = docs.select(F.col("doc_id").alias("target_id"), F.col("title").alias("target_title"), F.col("project").alias("target_project"))
+        both = one.withColumn("edge", F.col("doc_id") * 2 + second).dropDuplicates(["edge"]).join(target, "target_id")
+        fields = ("title", F.concat(F.lit("part "), (F.col("doc_id") % 5).cast("string")), F.substring("target_title", 1, 20), "context", "target_title", F.col("target_id").cast("string"))
+        text = F.array_join(F.filter(F.array(*fields), lambda x: x != ""), "\n")
+        return both.select("edge", F.col("doc_id").alias("source_id"), "target_id", F.when(F.col("project") == F.col("target_project"), F.col("project")).alias("project"), text.alias("text"))
+
+    return built(source, "links", make)
+
+
+LINKS = """n AS (SELECT max(doc_id) + 1 AS size FROM documents),
+lk AS (SELECT DISTINCT ON (edge) edge, source_id, target_id FROM (SELECT doc_id AS source_id, CASE WHEN k = 0 THEN (doc_id * 7 + 3) % size ELSE (doc_id * 13 + 5) % size END AS target_id,
+  doc_id * 2 + CASE WHEN k = 0 OR (doc_id * 7 + 3) % size = (doc_id * 13 + 5) % size THEN 0 ELSE 1 END AS edge FROM documents, n, (VALUES (0), (1)) AS v(k))),
+links AS (SELECT edge, source_id, target_id, CASE WHEN a.project = b.project THEN a.project END AS project, array_to_string(list_filter([a.title, 'part ' || a.doc_id % 5, substr(b.title, 1, 20), substr(a.text, 1, 200), b.title, CAST(b.doc_id AS VARCHAR)], lambda x: x <> ''), chr(10)) AS text
+  FROM lk JOIN docs a ON a.doc_id = source_id JOIN docs b ON b.doc_id = target_id)"""
+
+
+def retriever(spark: SparkSession, d: str) -> Retriever:
+    """The indexes of a set of tables, written at the first question and read by all others."""
+    source, provider = table(spark, d, "documents"), vector.HashedTokens()
+    units, edges = chunks(spark, d), links(spark, d)
+    routed = lexical.route_texts(documents(spark, d)).withColumn("project", F.substring_index("route", "/", 1))
+    return Retriever(
+        units, Lexicon.of(source, "chunks", units.select("chunk_ord", "doc_id", "project", "route", "text"), "chunk_ord"),
+        vector.cached(provider, source, units.select("chunk_ord", "doc_id", "project", "text"), "chunk_ord"),
+        Lexicon.of(source, "routes", routed, "route"), Lexicon.of(source, "links", edges.select("edge", "project", "text"), "edge"), edges.drop("text"), provider, TokenShare(),
+    )
 
 
 def qrels(spark: SparkSession, d: str) -> DataFrame:
-    """(qid, doc_id): documents that hold a question's passage (JON08). The questions are a stated set that goes to all documents."""
+    """(qid, doc_id): documents that hold a question's passage (JON08)."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    return table(spark, d, "documents").join(F.broadcast(q), F.contains("text", F.col("passage"))).select("qid", "doc_id")
+    name = f"qrels-{fingerprint(q)[:16]}"
+    return built(table(spark, d, "documents"), name, lambda: holding(table(spark, d, "documents").select("doc_id", "text"), q))
+
 
+QRELS = "qrels AS (SELECT item_id AS qid, doc_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text))"
 
-def bm25(spark: SparkSession, d: str, depth: int = 50) -> DataFrame:
-    """(qid, doc_id, score, rank) with each document as one unit."""
-    docs = documents(spark, d).select("doc_id", "text")
-    return lexical.top(lexical.scores(lexical.indexed(docs, "doc_id"), questions(spark, d), "doc_id"), "doc_id", depth)
 
+def bm25(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, doc_id, score, best_chunk, rank) of all questions over the whole corpus."""
+    return retriever(spark, d).sparse(questions(spark, d))
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """The chunk table (CHK02); chunk_ord is doc_id and place, no global numbering is needed."""
-    parts = paragraph_chunks(F.col("text"))
-    docs = documents(spark, d).withColumn("parts", F.when(F.size(parts) > 0, parts).otherwise(F.array("title")))
-    out = docs.select("doc_id", "project", "route", "title", F.posexplode("parts").alias("at", "part"))
-    return out.select(
-        "doc_id", "project", "route", "title", (F.col("doc_id") * 100_000 + F.col("at")).alias("chunk_ord"),
-        F.format_string("%s::c%04d", F.col("title"), "at").alias("chunk_id"), F.concat_ws("\n", "title", "title", "part").alias("text"),
-    )
+
+def _rounded(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*keep, F.round("score", 6).alias("score"))
 
 
 CHUNK_FIXTURE = [("a", ""), ("b", "x" * 1400), ("c", "y" * 1401), ("d", "one\n\ntwo\n\n \n\nthree"), ("e", "\n\n".join(c * 600 for c in "pqrst")), ("f", "\n\n".join(["z" * 1390, "tail", "m" * 3000]))]
 
 
-@query("chk01_paragraph_chunks")
+
+@query("chk01_paragraph_chunks", f"WITH {CHUNKS} SELECT doc_id, i AS place, CAST(length(c) AS BIGINT) AS n_chars, sha256(c) AS digest FROM (SELECT doc_id, i, {STRIP.format(x="CASE WHEN overlap = '' THEN piece ELSE overlap || chr(10) || chr(10) || piece END")} AS c FROM pieces WHERE s <> '')")
 def chk01(spark, d):
-    rows = spark.createDataFrame(CHUNK_FIXTURE, "doc_id string, text string").select("doc_id", F.posexplode(paragraph_chunks(F.col("text"))).alias("at", "chunk"))
-    return rows.select("doc_id", "at", F.length("chunk").alias("n_chars"), F.sha2("chunk", 256).alias("digest"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(paragraph_chunks(F.coalesce("text", F.lit("")))).alias("place", "chunk"))
+    return rows.select("doc_id", F.col("place").cast("bigint").alias("place"), F.length("chunk").cast("bigint").alias("n_chars"), F.sha2("chunk", 256).alias("digest"))
 
 
-@query(
-    "chk02_chunk_table",
-    """WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS t FROM documents),
-    p AS (SELECT doc_id, unnest(range(0, CAST(greatest(1, ceil(length(t) / 1400.0)) AS BIGINT))) AS i FROM s)
-    SELECT doc_id, printf('%d::c%04d', doc_id, i) AS chunk_id, doc_id * 100000 + i AS chunk_ord FROM p""",
-)
+@query("chk02_chunk_table", f"WITH {CHUNKS} SELECT doc_id, chunk_id, chunk_ord, route, sha256(text) AS digest FROM ch")
 def chk02(spark, d):
-    return chunks(spark, d).select("doc_id", "chunk_id", "chunk_ord")
+    return chunks(spark, d).select("doc_id", "chunk_id", "chunk_ord", "route", F.sha2("text", 256).alias("digest"))
 
 
 @query("chk08_fixed_batches", "SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 64) AS BIGINT) AS batch FROM documents")
@@ -99,69 +209,82 @@ def lex01(spark, d):
     return rows.select("doc_id", F.size("w").cast("bigint").alias("n_tokens"), F.size(with_bigrams(F.col("w"))).cast("bigint").alias("n_terms"), F.get("w", F.lit(0)).alias("first_token"))
 
 
-@query(
-    "lex02_vocabulary",
-    f"""WITH {_terms('d', 'documents', 'doc_id')}, x AS (SELECT k, unnest(t) AS term FROM d)
-    SELECT term, count(DISTINCT k) AS df, count(*) AS cf FROM x GROUP BY term HAVING count(DISTINCT k) >= 2 ORDER BY cf DESC, term LIMIT 2000""",
-)
+@query("lex02_vocabulary", f"WITH {CHUNKS}, {_terms('d', 'ch', 'chunk_ord')}, x AS (SELECT k, unnest(t) AS term FROM d) SELECT term, count(DISTINCT k) AS df, count(*) AS cf FROM x GROUP BY term HAVING count(DISTINCT k) >= 2 ORDER BY cf DESC, term LIMIT 2000")
 def lex02(spark, d):
-    index = lexical.indexed(documents(spark, d).select("doc_id", "text"), "doc_id")
-    return lexical.vocabulary(index, min_df=2, max_features=2000)
+    return lexical.vocabulary(retriever(spark, d).lexicon.found, min_df=2, max_features=2000)
 
 
-@query("lex03_collection", f"WITH {_terms('d', 'documents', 'doc_id')} SELECT CAST(count(*) AS DOUBLE) AS n, round(avg(CAST(len(t) AS DOUBLE)), 6) AS avgdl FROM d")
+@query("lex03_collection", f"WITH {CHUNKS}, {_terms('d', 'ch', 'chunk_ord')} SELECT CAST(count(*) AS DOUBLE) AS n, round(avg(CAST(len(t) AS DOUBLE)), 6) AS avgdl FROM d")
 def lex03(spark, d):
-    return lexical.collection(lexical.indexed(documents(spark, d).select("doc_id", "text"), "doc_id")).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return retriever(spark, d).lexicon.stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query("lex04_weights", f"WITH {BM25} SELECT k AS doc_id, term, round(weight, 6) AS weight FROM weights")
+@query("lex04_weights", f"WITH {BM25} SELECT k AS chunk_ord, term, round(weight, 6) AS weight FROM d_weights")
 def lex04(spark, d):
-    index = lexical.indexed(documents(spark, d).select("doc_id", "text"), "doc_id")
-    return lexical.weights(index, lexical.question_terms(questions(spark, d)), "doc_id").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    lexicon = retriever(spark, d).lexicon
+    wanted = lexical.question_terms(questions(spark, d)).select("term").distinct().join(lexicon.words.select("term", F.col("df").cast("double").alias("df")), "term")
+    return lexical.weights(lexicon.found.select("chunk_ord", "term", "tf", "dl"), lexicon.stats, wanted).select("chunk_ord", "term", F.round("weight", 6).alias("weight"))
 
 
-@query("lex05_question_terms", f"WITH {_terms('q', 'benchmark', 'item_id')} SELECT DISTINCT k AS qid, unnest(t) AS term FROM q")
+@query("lex05_question_terms", f"WITH {PAGES}, {QUESTIONS} SELECT qid, term FROM qt")
 def lex05(spark, d):
     return lexical.question_terms(questions(spark, d))
 
 
-@query("lex06_scores", f"WITH {BM25} SELECT qid, doc_id, round(score, 6) AS score FROM scores")
+@query("lex06_scores", f"WITH {BM25} SELECT qid, chunk_ord, round(score, 6) AS score FROM d_scores")
 def lex06(spark, d):
-    docs = documents(spark, d).select("doc_id", "text")
-    return lexical.scores(lexical.indexed(docs, "doc_id"), questions(spark, d), "doc_id").select("qid", "doc_id", F.round("score", 6).alias("score"))
+    return _rounded(retriever(spark, d).lexicon.scores(questions(spark, d), ["chunk_ord"]), "qid", "chunk_ord")
 
 
-@query("lex07_top_k", f"WITH {BM25} SELECT qid, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
+@query("lex07_top_k", f"WITH {BM25} SELECT qid, chunk_ord, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_ord) AS rank FROM d_scores QUALIFY rank <= 10")
 def lex07(spark, d):
-    return bm25(spark, d, 10).select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    found = lexical.top(retriever(spark, d).lexicon.scores(questions(spark, d), ["chunk_ord"]), "chunk_ord", 10)
+    return found.select("qid", "chunk_ord", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
 
+@query("lex08_collapse", f"WITH {BM25}, {_collapsed('bm25', 'd_scores')} SELECT qid, doc_id, round(score, 6) AS score, best_chunk FROM bm25")
+def lex08(spark, d):
+    """All pages of the best chunks, each with its best one."""
+    return bm25(spark, d).select("qid", "doc_id", F.round("score", 6).alias("score"), "best_chunk")
 
-@query("lex09_chunk_bm25")
+
+@query("lex09_chunk_bm25", f"WITH {BM25}, {_collapsed('bm25', 'd_scores')} SELECT qid, doc_id, round(score, 6) AS score, best_chunk, rank FROM bm25 WHERE rank <= 10")
 def lex09(spark, d):
-    """Chunks scored, their documents ranked (LEX08, LEX09)."""
-    out = lexical.bm25_documents(chunks(spark, d), questions(spark, d))
-    return out.where("rank <= 10").select("qid", "doc_id", F.round("score", 6).alias("score"), "best_chunk", "rank")
+    """Chunks scored, their pages ranked (LEX08, LEX09)."""
+    return bm25(spark, d).where("rank <= 10").select("qid", "doc_id", F.round("score", 6).alias("score"), "best_chunk", F.col("rank").cast("bigint").alias("rank"))
 
 
-ROUTES = """r AS (SELECT lang || '/' || source AS route, string_agg(DISTINCT CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR)) AS titles FROM documents GROUP BY 1)"""
+ROUTES = """r AS (SELECT route, string_agg(DISTINCT title, chr(10) ORDER BY title) AS titles FROM docs GROUP BY route)"""
 
 
-@query("lex10_route_texts", f"WITH {ROUTES} SELECT route, sha256(route || chr(10) || titles) AS digest FROM r")
+@query("lex10_route_texts", f"WITH {PAGES}, {ROUTES} SELECT route, sha256(route || chr(10) || titles) AS digest FROM r")
 def lex10(spark, d):
     return lexical.route_texts(documents(spark, d)).select("route", F.sha2("text", 256).alias("digest"))
 
 
-@query(
-    "scp01_project_bm25",
-    f"""WITH {BM25}, scoped AS (SELECT s.* FROM scores s JOIN documents x USING (doc_id) WHERE x.lang = (['en', 'fr', 'de', 'es'])[CAST(s.qid % 4 + 1 AS INT)])
-    SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scoped QUALIFY rank <= 10""",
-)
+@query("lex10_route_selection", f"WITH {_methods(False)} SELECT qid, route FROM chosen")
+def lex10b(spark, d):
+    """The four best routes of each question."""
+    return retriever(spark, d).selected_routes(questions(spark, d)).select("qid", "route")
+
+
+@query("lex11_routed_bm25", f"WITH {_methods(False)} SELECT qid, doc_id, rank FROM routing_bm25 WHERE rank <= 10")
+def lex11(spark, d):
+    """Four routes a question, pages of those routes only."""
+    return retriever(spark, d).search(questions(spark, d), "routing_bm25")
+
+
+@query("lex12_edge_bm25", f"WITH {PAGES}, {QUESTIONS}, {LINKS}, {_bm25('l', 'links', 'edge', 'project')} SELECT qid, edge, row_number() OVER (PARTITION BY qid ORDER BY score DESC, edge) AS rank FROM l_scores QUALIFY rank <= 1500")
+def lex12(spark, d):
+    """Links ranked by their text: titles of both ends, section, anchor, context."""
+    return retriever(spark, d).edge_ranks(questions(spark, d)).select("qid", "edge", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("scp01_project_bm25", f"WITH {BM25}, {_collapsed('bm25', 'd_scores', SCOPED)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bm25 WHERE rank <= 10")
 def scp01(spark, d):
-    docs = documents(spark, d)
-    q = questions(spark, d).withColumn("project", F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("qid") % 4 + 1).cast("int")))
-    found = lexical.scores(lexical.indexed(docs.select("doc_id", "text"), "doc_id"), q, "doc_id")
-    allowed = found.join(docs.select("doc_id", "project"), "doc_id").join(F.broadcast(q.select("qid", "project")), ["qid", "project"], "left_semi")
-    return lexical.top(allowed.select("qid", "doc_id", F.round("score", 9).alias("score")), "doc_id", 10).select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    """Questions that see pages of their own project only."""
+    found = retriever(spark, d).sparse(questions(spark, d), scoped=True).where("rank <= 10")
+    return found.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 VEC_Q = "vec_id % 50 = 0"
@@ -188,61 +311,154 @@ def vec02s(spark, d):
     return lexical.top(out, "vec_id", 10).drop("rank")
 
 
+@query("vec03_inverted_lists", f"WITH {VEC} SELECT qid, vec_id, score FROM vs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) <= 1")
+def vec03(spark, d):
+    """The nearest vector by inverted lists, which is the question itself; recall of further ones is tested."""
+    e, q = _vectors(spark, d)
+    out = vector.approximate(q, e, 10).select("qid", "vec_id", F.round("score", 6).alias("score"))
+    return lexical.top(out, "vec_id", 1).drop("rank")
+
+
 @query("vec04_best_per_group", f"WITH {VEC} SELECT qid, label, max(score) AS score FROM vs GROUP BY qid, label")
 def vec04(spark, d):
     e, q = _vectors(spark, d)
-    pairs = e.crossJoin(F.broadcast(q.select("qid", F.col("embedding").alias("q")))).select("qid", "label", F.round(vector.dot(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return vector.best_per_group(pairs, "label")
+    return vector.group_best(q, e, "label").select("qid", "label", F.round("score", 6).alias("score"))
 
 
-#: A second ranking for fusion: documents by their shared first words, deterministic on both sides.
-PRIOR = "prior AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY ((doc_id * 7919 + qid * 104729) % 1000), doc_id) AS rank FROM ranked WHERE rank <= 50)"
+@query("vec01_encoded_chunks", f"WITH {CHUNKS}, {_terms('d', 'ch', 'chunk_ord')}, {_hashed('cv', 'd_w')} SELECT k AS chunk_ord, count(*) AS n_dims, round(sum(v * (i + 1)), 6) AS moment FROM cv GROUP BY k")
+def vec01(spark, d):
+    """Vectors of all chunks: how many dimensions are not 0, and their moment."""
+    moment = F.aggregate(F.transform("embedding", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    out = retriever(spark, d).vectors.select("chunk_ord", F.size(F.filter("embedding", lambda v: v != 0)).cast("bigint").alias("n_dims"), F.round(moment, 6).alias("moment"))
+    return out.where("n_dims > 0")
 
 
-def _prior(ranked: DataFrame) -> DataFrame:
-    order = Window.partitionBy("qid").orderBy((F.col("doc_id") * 7919 + F.col("qid") * 104729) % 1000, "doc_id")
-    return ranked.select("qid", "doc_id", F.row_number().over(order).alias("rank"))
+@query("rrf_hybrid", f"WITH {_methods(False)} SELECT qid, doc_id, round(score, 9) AS score, rank FROM hybrid WHERE rank <= 10")
+def rrf_hybrid(spark, d):
+    """BM25 pages and pages by cosine, fused by reciprocal ranks (FUS02)."""
+    out = retriever(spark, d).fused(questions(spark, d)).where("rank <= 10")
+    return out.select("qid", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-HYBRID = f"""{BM25}, {PRIOR},
-pair AS (SELECT qid, doc_id, rank FROM ranked WHERE rank <= 50 UNION ALL SELECT qid, doc_id, rank FROM prior),
-fused AS (SELECT qid, doc_id, round(sum(1::DOUBLE / (60 + rank)), 12) AS score FROM pair GROUP BY qid, doc_id),
-hybrid AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM fused)"""
+@query("fus04_soft_hierarchy", f"WITH {_methods(False)} SELECT qid, doc_id, rank FROM hierarchy WHERE rank <= 10")
+def fus04(spark, d):
+    r, q = retriever(spark, d), questions(spark, d)
+    return r.hierarchy(r.fused(q), q).where("rank <= 10").select("qid", "doc_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-def hybrid(spark, d):
-    first = bm25(spark, d, 50)
-    return fusion.rrf(first, _prior(first))
+@query("rnk01_rerank", f"WITH {_methods(False)} SELECT qid, doc_id, rank FROM hybrid_rerank WHERE rank <= 10")
+def rnk01(spark, d):
+    return retriever(spark, d).search(questions(spark, d), "hybrid_rerank")
 
 
-@query("rrf_hybrid", f"WITH {HYBRID} SELECT qid, doc_id, round(score, 9) AS score, rank FROM hybrid WHERE rank <= 10")
-def rrf_hybrid(spark, d):
-    return hybrid(spark, d).where("rank <= 10").select("qid", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+UNLINKED = ("bm25", "dense", "hybrid", "hybrid_rerank", "routing_bm25", "hierarchy_rerank")
 
 
-@query(
-    "fus04_soft_hierarchy",
-    f"""WITH {HYBRID}, x AS (SELECT qid, h.doc_id, rank, lang || '/' || source AS route FROM hybrid h JOIN documents USING (doc_id) WHERE rank <= 50),
-    c AS (SELECT DISTINCT qid, route FROM x WHERE rank <= 2)
-    SELECT * FROM (SELECT x.qid, doc_id, row_number() OVER (PARTITION BY x.qid ORDER BY (c.route IS NULL), x.rank) AS rank FROM x LEFT JOIN c ON x.qid = c.qid AND x.route = c.route) z WHERE rank <= 10""",
-)
-def fus04(spark, d):
-    ranked = hybrid(spark, d).where("rank <= 50").join(documents(spark, d).select("doc_id", "route"), "doc_id")
-    return fusion.routes_first(ranked, ranked.where("rank <= 2").select("qid", "route")).where("rank <= 10").select("qid", "doc_id", F.col("rank").cast("bigint").alias("rank"))
+def _every_method(spark, d, scoped: bool) -> DataFrame:
+    r, q = retriever(spark, d), questions(spark, d)
+    return reduce(DataFrame.union, (r.search(q, m, scoped=scoped).select(F.lit(m).alias("method"), "qid", "doc_id", "rank") for m in UNLINKED))
+
+
+def _every_sql(scoped: bool) -> str:
+    return f"WITH {_methods(scoped)} " + " UNION ALL ".join(f"SELECT '{m}' AS method, qid, doc_id, rank FROM {m} WHERE rank <= 10" for m in UNLINKED)
+
+
+@query("rnk02_methods", _every_sql(False))
+def rnk02(spark, d):
+    """Six of the seven methods, all questions at once; the seventh is grf13_multihop_links."""
+    return _every_method(spark, d, False)
+
+
+@query("rnk02_scoped_methods", _every_sql(True))
+def rnk02s(spark, d):
+    """The same where a question sees its own project only."""
+    return _every_method(spark, d, True)
+
+
+@query("grf13_multihop_links")
+def grf13(spark, d):
+    """The hybrid ranking raised along link paths of two hops (tested against a step-by-step version)."""
+    r, q = retriever(spark, d), questions(spark, d)
+    return r.linked(r.fused(q), q).where("rank <= 20").select("qid", "doc_id", "score", "hop", "added", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("grf13_scoped_links")
+def grf13s(spark, d):
+    """The same within the question's own project: every page of a path lies in it (GRF14)."""
+    return retriever(spark, d).search(questions(spark, d), "hybrid_links", 20, scoped=True)
+
+
+# What pages mention and claim: computed like their links
+MENTIONS = """mentions AS (SELECT doc_id, 'shared_reusable' AS kind, 'r' || doc_id // 7 AS entity FROM documents UNION ALL SELECT doc_id, 'shared_code_entity', 'c' || doc_id // 11 FROM documents
+  UNION ALL SELECT doc_id, 'shared_code_entity', 'everywhere' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'bounded_route', lang || '/' || source || '/' || doc_id // 200 FROM documents),
+claims AS (SELECT doc_id AS claim_id, doc_id, 'e' || doc_id % (size // 4 + 1) AS subject, (['uses', 'needs', 'extends'])[CAST(doc_id % 3 + 1 AS INT)] AS predicate, 'e' || (doc_id * 5 + 1) % (size // 4 + 1) AS object FROM documents, n)"""
+
+
+def mentions(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    entity = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("entity"))
+    part = lambda k: F.floor(F.col("doc_id") / k).cast("string")
+    every = F.array(
+        entity("shared_reusable", F.concat(F.lit("r"), part(7))), entity("shared_code_entity", F.concat(F.lit("c"), part(11))),
+        F.when(F.col("doc_id") % 3 == 0, entity("shared_code_entity", F.lit("everywhere"))), entity("bounded_route", F.concat_ws("/", "lang", "source", part(200))),
+    )
+    return docs.select("doc_id", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("m")).select("doc_id", "m.kind", "m.entity")
+
+
+def claims(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id")
+    size = docs.agg(F.floor((F.max("doc_id") + 1) / 4 + 1).alias("size"))
+    name = lambda x: F.concat(F.lit("e"), (x % F.col("size")).cast("string"))
+    predicate = F.element_at(F.array(*map(F.lit, ("uses", "needs", "extends"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    return docs.crossJoin(F.broadcast(size)).select(F.col("doc_id").alias("claim_id"), "doc_id", name(F.col("doc_id")).alias("subject"), predicate.alias("predicate"), name(F.col("doc_id") * 5 + 1).alias("object"))  # one row
+
+
+EXPANDED = f"""seeds AS (SELECT qid, doc_id AS seed, rank FROM hybrid WHERE rank <= 5), {LINKS}, {MENTIONS},
+sides AS (SELECT DISTINCT node, neighbour FROM (SELECT source_id AS node, target_id AS neighbour FROM lk UNION ALL SELECT target_id, source_id FROM lk) WHERE node <> neighbour),
+hops AS (SELECT DISTINCT qid, seed, a.neighbour AS doc_id, 1 AS hops FROM seeds JOIN sides a ON a.node = seed UNION SELECT qid, seed, b.neighbour, 2 FROM seeds JOIN sides a ON a.node = seed JOIN sides b ON b.node = a.neighbour WHERE b.neighbour <> seed),
+fine AS (SELECT kind, entity FROM mentions GROUP BY kind, entity HAVING count(DISTINCT doc_id) <= 20),
+shared AS (SELECT DISTINCT qid, seed, b.doc_id, a.kind FROM seeds JOIN mentions a ON a.doc_id = seed JOIN fine USING (kind, entity) JOIN mentions b ON b.kind = a.kind AND b.entity = a.entity WHERE b.doc_id <> seed),
+ends AS (SELECT claim_id, doc_id, predicate, subject AS entity FROM claims UNION SELECT claim_id, doc_id, predicate, object FROM claims),
+known AS (SELECT entity FROM ends GROUP BY entity HAVING count(DISTINCT claim_id) <= 20),
+told AS (SELECT DISTINCT qid, seed, b.doc_id, b.predicate FROM seeds JOIN ends a ON a.doc_id = seed JOIN known USING (entity) JOIN ends b ON b.entity = a.entity WHERE b.doc_id <> seed),
+branches AS (SELECT qid, seed, doc_id, CASE hops WHEN 1 THEN 1.0 ELSE 0.5 END AS weight, 'link_' || hops || 'hop' AS path, hops FROM hops QUALIFY row_number() OVER (PARTITION BY qid, seed ORDER BY hops, doc_id) <= 10
+  UNION ALL SELECT qid, seed, doc_id, CASE kind WHEN 'shared_reusable' THEN 0.85 WHEN 'shared_code_entity' THEN 0.7 ELSE 0.35 END, kind, 1 FROM shared QUALIFY row_number() OVER (PARTITION BY qid, seed, kind ORDER BY doc_id) <= 10
+  UNION ALL SELECT qid, seed, doc_id, 0.9, 'claim:' || predicate, 1 FROM told QUALIFY row_number() OVER (PARTITION BY qid, seed ORDER BY doc_id, predicate) <= 10),
+best AS (SELECT * FROM branches WHERE (qid, doc_id) NOT IN (SELECT (qid, seed) FROM seeds) QUALIFY row_number() OVER (PARTITION BY qid, seed ORDER BY weight DESC, hops, doc_id, path) <= 10),
+relevance AS (SELECT qid, doc_id, max(score) AS cosine FROM cosine GROUP BY qid, doc_id),
+reached AS (SELECT b.qid, b.doc_id, max(weight) AS w, min(s.rank) AS r, CAST(min(hops) AS INT) AS hops, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM best b JOIN seeds s ON s.qid = b.qid AND s.seed = b.seed GROUP BY b.qid, b.doc_id),
+graph AS (SELECT reached.qid, reached.doc_id, round(w::DOUBLE * greatest(0, coalesce(cosine, 0)) + 1::DOUBLE / (60 + r), 9) AS score, hops, paths FROM reached LEFT JOIN relevance ON relevance.qid = reached.qid AND relevance.doc_id = reached.doc_id),
+granked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM graph)"""
+
+
+def expansion(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The hybrid ranking, and what the typed expansion reaches from its first pages."""
+    r, q = retriever(spark, d), questions(spark, d)
+    fused = r.fused(q)
+    asked = r.provider.encode(q.select("qid", "text"), "qid")
+    relevance = vector.group_best(asked, r.vectors, "doc_id").withColumnRenamed("score", "cosine")
+    return fused, graph.expanded(fused, r.edges, mentions(spark, d), claims(spark, d), relevance)
+
+
+@query("grf12_typed_expansion", f"WITH {_methods(False)}, {EXPANDED} SELECT qid, doc_id, round(score, 6) AS score, hops, paths, rank FROM granked WHERE rank <= 50")
+def grf12(spark, d):
+    """Five capped branches from the first pages of the hybrid ranking: links of one and two hops, reusables, code, routes, claims."""
+    out = expansion(spark, d)[1].where("rank <= 50")
+    return out.select("qid", "doc_id", F.round("score", 6).alias("score"), "hops", F.array_join("paths", ",").alias("paths"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(
-    "rnk01_rerank",
-    f"""WITH {HYBRID}, s AS (SELECT h.qid, h.doc_id, h.rank, round(len(list_intersect(list_distinct(qw.w), list_distinct(dw.w))) / greatest(1, len(list_distinct(qw.w))), 9) AS s
-      FROM hybrid h JOIN q_w qw ON h.qid = qw.k JOIN d_w dw ON h.doc_id = dw.k WHERE rank <= 45)
-    SELECT * FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc_id) AS rank FROM s) z WHERE rank <= 10""",
+    "fus03_graph_fusion",
+    f"""WITH {_methods(False)}, {EXPANDED}, both_ AS (SELECT qid, doc_id, rank FROM hybrid UNION ALL SELECT qid, doc_id, rank FROM granked), f AS (SELECT qid, doc_id, round(sum(1::DOUBLE / (60 + rank)), 12) AS score FROM both_ GROUP BY ALL),
+    g AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f)
+    SELECT qid, doc_id, rank, (qid, doc_id) IN (SELECT (qid, doc_id) FROM hybrid) AS in_base, (qid, doc_id) IN (SELECT (qid, doc_id) FROM granked) AS in_graph FROM g WHERE rank <= 10""",
 )
-def rnk01(spark, d):
-    out = fusion.reranked(hybrid(spark, d), documents(spark, d).select("doc_id", "text"), questions(spark, d))
-    return out.where("rank <= 10").select("qid", "doc_id", F.col("rank").cast("bigint").alias("rank"))
+def fus03(spark, d):
+    """The hybrid ranking fused with that of the typed expansion; which results the graph added or raised."""
+    return graph_fused(*expansion(spark, d)).select("qid", "doc_id", F.col("rank").cast("bigint").alias("rank"), "in_base", "in_graph")
 
 
-MET = f"""{BM25}, {QRELS},
+MET = f"""{BM25}, {_collapsed('ranked', 'd_scores')}, {QRELS},
 n AS (SELECT qid, count(*) AS n_relevant FROM qrels GROUP BY qid),
 hit AS (SELECT qid, sum((rank <= 1)::INT) AS f1, sum((rank <= 5)::INT) AS f5, sum((rank <= 10)::INT) AS f10, sum((rank <= 20)::INT) AS f20, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg
   FROM ranked JOIN qrels USING (qid, doc_id) WHERE rank <= 50 GROUP BY qid),
@@ -254,7 +470,7 @@ m AS (SELECT qid, CAST(n_relevant AS BIGINT) AS n_relevant, f1 / greatest(1, n_r
 
 
 def run_metrics(spark, d):
-    return metrics.ranking_metrics(questions(spark, d), bm25(spark, d, 50), qrels(spark, d))
+    return metrics.ranking_metrics(questions(spark, d), bm25(spark, d), qrels(spark, d))
 
 
 @query(
