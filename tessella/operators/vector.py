@@ -130,7 +130,7 @@ def _listed(vectors: DataFrame, key: str, centres: np.ndarray, probes: int) -> D
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(order.ravel().astype(np.int32))], [key, "embedding", "list"])
 
     rows = vectors.select(key, "embedding")
-    return rows.mapInArrow(assign, rows.schema.add("list", "int"))
+    return rows.mapInArrow(assign, rows.schema.add("list", "integer"))
 
 
 def approximate(questions: DataFrame, vectors: DataFrame, depth: int = POLICY.retrieval_depth, count: int = 16, probes: int = 6) -> DataFrame:

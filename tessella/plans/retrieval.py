@@ -74,7 +74,8 @@ def _methods(scoped: bool) -> str:
     """CTEs of all methods but the linked one."""
     mine = SCOPED if scoped else "true"
     return f"""{BM25}, {_hashed('cv', 'd_w')}, {_hashed('qv', 'q_w')},
-cosine AS (SELECT qid, chunk_ord, doc_id, project, route, score FROM (SELECT b.k AS qid, a.k AS chunk_ord, round(sum(a.v * b.v), 9) AS score FROM cv a JOIN qv b ON a.i = b.i GROUP BY 1, 2) JOIN ch USING (chunk_ord)),
+dots AS (SELECT b.k AS qid, a.k AS chunk_ord, round(sum(a.v * b.v), 9) AS score FROM cv a JOIN qv b ON a.i = b.i GROUP BY 1, 2),
+cosine AS (SELECT qs.qid, ch.chunk_ord, doc_id, ch.project, route, coalesce(score, 0) AS score FROM ch CROSS JOIN qs LEFT JOIN dots ON dots.qid = qs.qid AND dots.chunk_ord = ch.chunk_ord),
 rt AS (SELECT route, any_value(project) AS project, route || chr(10) || string_agg(DISTINCT title, chr(10) ORDER BY title) AS text FROM docs GROUP BY route),
 {_bm25('r', 'rt', 'route', 'project')},
 chosen AS (SELECT qid, route FROM r_scores WHERE {mine} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, route) <= 4),

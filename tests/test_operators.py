@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from tessella.config import POLICY
 from tessella.functions.text import paragraph_chunks
 from tessella.operators import fusion, graph, lexical, metrics, stats, vector
+from tessella.operators.passages import holding
+from tessella.plans import retrieval
 from tessella.plans.retrieval import CHUNK_FIXTURE
 from tessella.sources import jsonl
+from tessella.storage import built
 
 SF = "/root/testdata/sf0.001"
 
@@ -123,9 +126,68 @@ def test_json_lines_round_trip(spark, tmp_path):
     assert jsonl.inventory(spark, str(tmp_path / "md")).count() == 1
 
 
-def test_a_scope_of_everything_is_refused(spark):
+def test_sources_are_checked(spark):
     with pytest.raises(ValueError):
-        fusion.scope_of(None, None, "corpus")
+        retrieval.retriever(spark, SF).search(retrieval.questions(spark, SF), "no such method")
+
+
+def test_methods_by_steps(spark):
+    """The linked method, whole corpus and scoped, against plain loops over the parts that SQL covers."""
+    r, q = retrieval.retriever(spark, SF), retrieval.questions(spark, SF).where("qid < 6")
+    edges = [tuple(e) for e in r.edges.select("source_id", "target_id", "edge", "project").collect()]
+    project = {x.qid: x.project for x in q.collect()}
+    for scoped in (False, True):
+        fused = sorted(map(tuple, r.fused(q, scoped).select("qid", "rank", "doc_id", "score").collect()))
+        ranks = r.edge_ranks(q, scoped).collect()
+        got = sorted((x.qid, x.rank, x.doc_id) for x in r.linked(r.fused(q, scoped), q, scoped).collect())
+        want = []
+        for qid in project:
+            mine = [(d, s) for i, _, d, s in fused if i == qid]
+            allowed = [e[:3] for e in edges if not scoped or e[3] == project[qid]]
+            boosts = walked([d for d, _ in mine[: POLICY.seeds]], allowed, {x.edge: x.rank for x in ranks if x.qid == qid}, POLICY)
+            scores = dict(mine)
+            for d, b in boosts.items():
+                scores[d] = scores.get(d, 0.0) + round(b, 12)
+            order = sorted(scores, key=lambda d: (-round(scores[d], 12), d))
+            want += [(qid, n, d) for n, d in enumerate(order, 1)]
+        assert got == sorted(want)
+
+
+def test_inverted_lists_recall(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").cast("bigint").alias("qid"), "embedding")
+    exact = {(r.qid, r.vec_id) for r in vector.nearest(q, e, 10).collect()}
+    near = {(r.qid, r.vec_id) for r in vector.approximate(q, e, 10).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    assert vector.approximate(q, e.limit(0), 5).count() == 0
+
+
+def test_questions_in_blocks(spark, monkeypatch):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").cast("bigint").alias("qid"), "embedding", "label")
+    take = lambda: (sorted(map(tuple, vector.nearest(q, e, 7, "label").collect())), sorted(map(tuple, vector.group_best(q, e, "label").collect())))
+    whole = take()
+    monkeypatch.setattr(vector, "BLOCK", 3)
+    assert take() == whole
+
+
+def test_passages(spark):
+    docs = [(1, "say: alpha beta gamma. end"), (2, "alpha beta gamma"), (3, "xalpha beta gammax"), (4, "12 34"), (5, None), (6, "a,b")]
+    passages = [(1, "alpha beta gamma"), (2, "12 34"), (3, ""), (4, ","), (5, "beta"), (6, "alpha beta gamma.")]
+    d, p = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(passages, "qid int, passage string")
+    got = sorted((r.qid, r.doc_id) for r in holding(d, p).collect())
+    assert got == sorted((i, k) for i, t in passages if t for k, x in docs if x and t in x)
+
+
+def test_indexes_are_written_once(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    spark.range(3).write.parquet(path)
+    calls = []
+    make = lambda: calls.append(1) or spark.read.parquet(path).selectExpr("id + 1 AS id")
+    one, two = built(spark.read.parquet(path), "t", make), built(spark.read.parquet(path), "t", make)
+    assert len(calls) == 1 and one.count() == two.count() == 3
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert built(spark.read.parquet(path), "t", make).count() == 5 and len(calls) == 2
 
 
 def plan_of(df):
@@ -137,8 +199,10 @@ def plan_of(df):
 
 def test_plans(spark):
     docs, q = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("item_id as qid", "text")
-    plan = plan_of(lexical.scores(lexical.indexed(docs.select("doc_id", "text"), "doc_id"), q, "doc_id"))
-    assert "Python" not in plan and "CartesianProduct" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    plan = plan_of(lexical.postings(docs.select("doc_id", "text"), "doc_id"))
+    assert "Python" not in plan and "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    plan = plan_of(retrieval.retriever(spark, SF).lexicon.scores(q, ["chunk_ord"]))
+    assert "Python" not in plan and "CartesianProduct" not in plan and plan.count("ENSURE_REQUIREMENTS") <= 6
     nearest = plan_of(vector.nearest(spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 3").selectExpr("cast(vec_id as bigint) qid", "embedding"), spark.read.parquet(f"{SF}/embeddings.parquet"), 5))
     assert "CartesianProduct" not in nearest and "NestedLoop" not in nearest
 
