@@ -1,11 +1,12 @@
-"""Summaries, duplicate audits, bootstrap intervals (AGG01-AGG17)."""
+"""Summaries, duplicate audits, bootstrap intervals (AGG01, AGG10, AGG15)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from ..storage import parked
 
 
 def summary(rows: DataFrame, keys: list[str], metrics: list[str], optional: list[str] = ()) -> DataFrame:
@@ -28,31 +29,36 @@ def lexical_shingles(words, k: int = 3):
 
 
 def near_duplicate_pairs(rows: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, least_tokens: int = 8) -> DataFrame:
-    """(a, b, jaccard) of rows whose shingle sets are alike, equal texts left out (AGG10).
+    """(a, b, jaccard, n_a, n_b) of different texts whose shingle sets are alike (AGG10): the smallest key of each text and how many rows have it.
 
-    A prefix filter keeps the join linear in practice: shingles ordered by how few rows hold them, two sets at the
-    threshold share one among the first n - ceil(threshold * n) + 1; overlaps are counted for such pairs only.
+    Equal texts are one from the start, so copies cost nothing. Sets are sorted arrays of 64-bit hashes, written once.
+    With shingles ordered by how few texts hold them, two sets at the threshold share one among the first
+    n - ceil(threshold * n) + 1, at places that leave room for the overlap needed; only such pairs are compared.
     """
-    sets = rows.select(F.col(key).alias("id"), F.xxhash64(text).alias("same"), lexical_tokens(F.col(text)).alias("words")).where(F.size("words") >= least_tokens)
-    sets = sets.select("id", "same", lexical_shingles(F.col("words")).alias("sh"))
-    sets = sets.withColumn("n", F.size("sh"))
+    one = rows.where(F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("same"), F.sha2(text, 256).alias("digest")).agg(F.min(key).alias("id"), F.count("*").alias("copies"))
+    first = rows.select(F.col(key).alias("id"), text).join(one.select("id", "copies", "digest"), "id").where(F.sha2(text, 256) == F.col("digest")).dropDuplicates(["id", "digest"])
+    words = first.select("id", "copies", lexical_tokens(F.col(text)).alias("words")).where(F.size("words") >= least_tokens)
+    place = F.sequence(F.lit(0), F.size("words") - 3)
+    hashed = F.transform(place, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
+    sets = parked(words.select("id", "copies", F.array_sort(F.array_distinct(hashed)).alias("sh")).withColumn("n", F.size("sh")), "shingles")
     flat = sets.select("id", "n", F.explode("sh").alias("s"))
     held = flat.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    from pyspark.sql import Window
-
+    shared = flat.join(held, "s")  # shingles of one text alone match nothing: they only come first in its order
+    number = Window.partitionBy("id")
+    at = F.col("n") - F.count("*").over(number) + F.row_number().over(number.orderBy("df", "s"))
     prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    # shingles that one row alone holds come first in its order and match nothing: they only shorten the prefix
-    lone = flat.join(held, "s", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    ranked = lone.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "s"))).where((F.col("at") <= prefix) & (F.col("df") > 1))
-    a = ranked.select("s", F.col("id").alias("a"), F.col("n").alias("na"))
-    b = ranked.select("s", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "s").where("a < b").where((F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)).select("a", "b").distinct()
-    one = sets.select(F.col("id").alias("a"), F.col("sh").alias("sa"), F.col("same").alias("ha"))
-    two = sets.select(F.col("id").alias("b"), F.col("sh").alias("sb"), F.col("same").alias("hb"))
-    joined = pairs.join(one, "a").join(two, "b").where("ha <> hb")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    j = shared / (F.size("sa") + F.size("sb") - shared)
-    return joined.select("a", "b", j.alias("j")).where(F.col("j") + 1e-12 >= threshold).select("a", "b", F.round("j", 6).alias("jaccard"))
+    ranked = shared.select("id", "n", "s", at.alias("at")).where(F.col("at") <= prefix)
+    a, b = (ranked.select("s", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}")) for x in "ab")
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
+    fits = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
+    first_at = F.min(F.struct("ata", "atb")).alias("p")
+    pairs = a.join(b, "s").where("a < b").where(fits).groupBy("a", "b", "na", "nb").agg(first_at)
+    pairs = pairs.where(1 + F.least(F.col("na") - F.col("p.ata"), F.col("nb") - F.col("p.atb")) >= need).select("a", "b")
+    one, two = (sets.select(F.col("id").alias(x), F.col("sh").alias(f"s{x}"), F.col("copies").alias(f"n_{x}")) for x in "ab")
+    joined = pairs.join(one, "a").join(two, "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    j = both / (F.size("sa") + F.size("sb") - both)
+    return joined.select("a", "b", "n_a", "n_b", j.alias("j")).where(F.col("j") + 1e-12 >= threshold).select("a", "b", F.round("j", 6).alias("jaccard"), "n_a", "n_b")
 
 
 def bootstrap_delta(paired: DataFrame, samples: int = 10_000, seed: int = 17) -> DataFrame:

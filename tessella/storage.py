@@ -27,7 +27,9 @@ def parked(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet and read it again: lineage ends there, and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/tessella-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.parked_at = path
+    return out
 
 
 def fingerprint(df: DataFrame) -> str:
@@ -56,3 +58,10 @@ def built(source: DataFrame, name: str, make: Callable[[], DataFrame]) -> DataFr
     make().write.option("compression", "zstd").parquet(path)
     _BUILT[key] = path
     return spark.read.parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a parked table that no later step and no result reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.parked_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

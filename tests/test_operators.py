@@ -103,9 +103,28 @@ def test_rrf_and_ties(spark):
 
 def test_near_duplicate_audit(spark):
     base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".split()
-    rows = [(1, " ".join(base)), (2, " ".join([*base, "more"])), (3, " ".join(base)), (4, "one two three"), (5, " ".join(base[::-1]))]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "more"])), (3, " ".join(base)), (4, "one two three"), (5, " ".join(base[::-1])), (6, None)]
     got = stats.near_duplicate_pairs(spark.createDataFrame(rows, "doc_id int, text string"))
-    assert sorted((r.a, r.b, r.jaccard) for r in got.collect()) == [(1, 2, round(14 / 15, 6)), (2, 3, round(14 / 15, 6))]
+    assert [tuple(r) for r in got.collect()] == [(1, 2, round(14 / 15, 6), 2, 1)]
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    import random
+
+    r = random.Random(6)
+    rows = []
+    for _ in range(40):
+        base = [f"w{r.randint(0, 300)}" for _ in range(r.randint(8, 60))]
+        for _ in range(r.randint(1, 4)):
+            rows.append((len(rows), " ".join(w if r.random() > 0.03 else f"v{r.randint(0, 9)}" for w in base)))
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets.setdefault(t, (i, {tuple(w[k : k + 3]) for k in range(len(w) - 2)}))
+    texts = sorted(sets.values(), key=lambda x: x[0])
+    want = [(a, b) for k, (a, x) in enumerate(texts) for b, y in texts[k + 1 :] if len(x & y) / len(x | y) + 1e-12 >= 0.8]
+    got = stats.near_duplicate_pairs(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted(want) and want
 
 
 def test_bootstrap_is_repeatable(spark):
