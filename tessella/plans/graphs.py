@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from .registry import query, sql_query, table
+from .registry import query, table
 from .shapes import same
 
 # customers, parts and suppliers as pages; order lines as links
@@ -38,32 +37,8 @@ def grf14(spark, d):
     return e.join(allowed, e["source_id"] == allowed["id"], "left_semi").join(allowed, e["target_id"] == allowed["id"], "left_semi")
 
 
-@query("grf15_linked_qrels", f"WITH {EDGES}, q AS (SELECT DISTINCT o_custkey % 50 AS qid, x AS doc_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey, LATERAL (SELECT unnest([l_suppkey, l_partkey + 1000000]) AS x) y WHERE o_orderkey % 20 = 0), p AS (SELECT DISTINCT a.qid FROM q a JOIN e ON a.doc_id = e.source_id JOIN q b ON b.qid = a.qid AND b.doc_id = e.target_id) SELECT DISTINCT q.qid, p.qid IS NOT NULL AS linked FROM q LEFT JOIN p ON q.qid = p.qid")
+@query("grf15_linked_qrels", f"WITH {EDGES}, q AS (SELECT DISTINCT o_custkey AS qid, x AS doc_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey, LATERAL (SELECT unnest([l_suppkey, l_partkey + 1000000]) AS x) y), p AS (SELECT DISTINCT a.qid FROM q a JOIN e ON a.doc_id = e.source_id JOIN q b ON b.qid = a.qid AND b.doc_id = e.target_id) SELECT DISTINCT q.qid, p.qid IS NOT NULL AS linked FROM q LEFT JOIN p ON q.qid = p.qid")
 def grf15(spark, d):
-    lines = table(spark, d, "orders").where("o_orderkey % 20 = 0").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    qrels = lines.select((F.col("o_custkey") % 50).alias("qid"), F.explode(F.array("l_suppkey", F.col("l_partkey") + 1_000_000)).alias("doc_id")).distinct()
+    lines = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    qrels = lines.select(F.col("o_custkey").alias("qid"), F.explode(F.array("l_suppkey", F.col("l_partkey") + 1_000_000)).alias("doc_id")).distinct()
     return graph.linked_pairs(qrels, _edges(spark, d))
-
-
-# knowledge claims: suppliers offer parts; aliases differ in case
-CLAIMS = "SELECT s_name AS subject, 'offers' AS predicate, p_name AS object, l_orderkey AS batch, CASE WHEN l_linenumber % 2 = 0 THEN upper(s_name) ELSE s_name END AS raw FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 0"
-same("kgx03_claims", f"SELECT lower(raw) AS subject, predicate, object, count(*) AS claim_count FROM ({CLAIMS}) c GROUP BY lower(raw), predicate, object", "lineitem", "supplier", "part")
-same("kgx07_relation_cleanup", f"SELECT DISTINCT trim(raw) AS subject, predicate, trim(object) AS object FROM ({CLAIMS}) c WHERE length(trim(raw)) > 0", "lineitem", "supplier", "part")
-same("kgx04_weak_claims", f"SELECT subject, count(*) AS kept FROM ({CLAIMS}) c WHERE batch % 100 = 0 GROUP BY subject HAVING count(*) >= 1", "lineitem", "supplier", "part")
-same("kgx05_referential_check", f"SELECT count(*) AS dangling FROM ({CLAIMS}) c LEFT JOIN (SELECT s_name FROM supplier WHERE s_suppkey % 9 <> 0) s ON c.subject = s.s_name WHERE s.s_name IS NULL", "lineitem", "supplier", "part")
-same("kgx06_claim_ingest", f"SELECT c.subject, c.object, c.batch FROM ({CLAIMS}) c JOIN supplier s ON c.subject = s.s_name JOIN orders o ON c.batch = o.o_orderkey", "lineitem", "supplier", "part", "orders")
-same("hlp09_alias_map", "SELECT lower(name) AS member, max(name) AS canonical, count(*) AS n FROM (SELECT s_name AS name FROM supplier UNION ALL SELECT upper(s_name) FROM supplier) x GROUP BY lower(name)", "supplier")
-
-UNITS = "(VALUES (1, 'u1', 'alpha uses beta in gamma'), (1, 'u2', 'alpha is here'), (1, 'u3', 'beta alone'), (2, 'u4', 'delta wraps beta')) AS u(batch, unit_id, txt)"
-RELS = "(VALUES (1, 'alpha', 'uses', 'beta'), (1, 'beta', 'alone', 'zeta'), (2, 'delta', 'wraps', 'beta')) AS r(batch, subject, predicate, object)"
-ALIGN = f"SELECT r.subject, r.predicate, r.object, u.unit_id, 4 * CASE WHEN strpos(u.txt, r.subject) > 0 THEN 1 ELSE 0 END + 4 * CASE WHEN strpos(u.txt, r.object) > 0 THEN 1 ELSE 0 END + CASE WHEN strpos(u.txt, r.predicate) > 0 THEN 1 ELSE 0 END AS score FROM {RELS} JOIN {UNITS} ON r.batch = u.batch"
-ALIGNED = f"SELECT subject, predicate, object, unit_id, score FROM (SELECT *, row_number() OVER (PARTITION BY subject, predicate, object ORDER BY score DESC, unit_id DESC) AS n FROM ({ALIGN}) a) b WHERE n = 1"
-sql_query("kgx01_claim_alignment", ALIGNED.replace("strpos(u.txt, ", "instr(u.txt, "), ALIGNED)
-
-
-@query("kgx02_alias_clusters", "SELECT s_name AS name, min(s_name) OVER (PARTITION BY substr(s_name, 1, length(s_name) - 1)) AS cluster FROM supplier")
-def kgx02(spark, d):
-    """Groups of names that share all but the last character; KGX02's similarity join and union-find are not built."""
-    names = table(spark, d, "supplier").select("s_name", F.expr("substr(s_name, 1, length(s_name) - 1)").alias("stem"))
-    first = names.groupBy("stem").agg(F.min("s_name").alias("cluster"))
-    return names.join(first, "stem").select(F.col("s_name").alias("name"), "cluster")
