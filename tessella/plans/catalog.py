@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, graphs, knowledge, more, retrieval, shapes, texts, traces  # noqa: F401  they register their queries
+from . import answers, corpus, evaluation, files, graphs, knowledge, more, normalise, retrieval, shapes, texts, traces  # noqa: F401  they register their queries
 from .registry import ORACLES, PLANS
 
 

@@ -8,8 +8,6 @@ from .registry import query, table
 from .shapes import same
 
 same("nrm02_url_cascade", "SELECT p.page_id, CASE WHEN a.n IS NOT NULL THEN 'exact' WHEN p.page_id % 7 = 0 THEN 'redirect' ELSE 'none' END AS method FROM pages p LEFT JOIN (SELECT url, count(*) AS n FROM pages WHERE page_id < 100 GROUP BY url) a ON p.url = a.url", "pages")
-same("nrm03_recovery_margin", "SELECT c_nationkey, c_custkey, score, coalesce(score - next_score, score) AS margin FROM (SELECT c_nationkey, c_custkey, score, lead(score) OVER (PARTITION BY c_nationkey ORDER BY score DESC, c_custkey) AS next_score, row_number() OVER (PARTITION BY c_nationkey ORDER BY score DESC, c_custkey) AS place FROM (SELECT c_nationkey, c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS score FROM customer) a) b WHERE place = 1 AND coalesce(score - next_score, score) >= 8", "customer")
-same("nrm04_empty_pages", "SELECT * FROM (SELECT n.n_name AS page, c.c_custkey AS child, round(c.c_acctbal / 1000, 6) AS score, row_number() OVER (PARTITION BY n.n_name ORDER BY c.c_acctbal DESC, c.c_custkey) AS place FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey) t WHERE place <= 3", "nation", "customer")
 same("nrm07_enrichment", "SELECT d.doc_id, CAST(length(d.text) + coalesce(x.n, 0) AS BIGINT) AS n_chars FROM documents d LEFT JOIN (SELECT page_id, length(html) AS n FROM pages) x ON d.doc_id = x.page_id WHERE length(d.text) > 0", "documents", "pages")
 same("nrm08_question_upgrade", "SELECT item_id, CAST(length(concat(text, ' [image] ', CAST(item_id AS VARCHAR(10)))) AS BIGINT) AS n FROM benchmark", "benchmark")
 same("nrm09_replay", "SELECT count(*) AS pending FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL", "documents", "labels")

@@ -11,7 +11,6 @@ from .shapes import same
 
 same("agg02_slices", "SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean_chars, GROUPING(lang) AS g_lang, GROUPING(source) AS g_source FROM documents GROUP BY GROUPING SETS ((), (lang), (source), (lang, source))", "documents")
 same("agg04_group_unknown", "SELECT coalesce(CAST(l.quality AS VARCHAR(10)), 'unknown') AS quality, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1", "documents", "labels")
-same("agg05_judge_summary", "SELECT d.lang AS arm, count(*) AS n, round(avg(CASE WHEN l.quality = 1 THEN 1.0E0 ELSE 0.0E0 END), 6) AS accepted, round(avg(CASE WHEN l.toxic = 1 THEN 1.0E0 ELSE 0.0E0 END), 6) AS unsafe FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.lang", "documents", "labels")
 same("agg07_frequency", "SELECT coalesce(CAST(o_orderstatus AS VARCHAR(10)), 'None') AS value, count(*) AS n FROM orders GROUP BY 1", "orders")
 same("agg08_describe", "SELECT count(*) AS n, CAST(sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS BIGINT) AS english, min(n_chars) AS shortest, max(n_chars) AS longest, count(DISTINCT source) AS sources FROM documents", "documents")
 same("agg12_usage_rollup", "SELECT event_type, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP(event_type)", "events")
@@ -19,13 +18,10 @@ same("agg13_status_report", "SELECT o_orderstatus AS status, o_orderpriority AS
 same("met09_answerability", "SELECT doc_id, round(0.35E0 * quality + 0.25E0 * (1 - toxic) + 0.2E0 * CASE WHEN n_chars > 500 THEN 1 ELSE 0 END + 0.1E0 * CASE WHEN lang = 'en' THEN 1 ELSE 0 END + 0.05E0 + 0.05E0 * CASE WHEN source = 'src0' THEN 1 ELSE 0 END, 6) AS score FROM (SELECT l.doc_id, l.quality, l.toxic, d.n_chars, d.lang, d.source FROM labels l JOIN documents d ON l.doc_id = d.doc_id) x", "labels", "documents")
 same("met13_distinct_grades", "SELECT DISTINCT quality, toxic FROM labels", "labels")
 same("met11_frozen_weights", "SELECT p_brand, p_partkey, round(CAST(p_size AS DOUBLE) / sum(p_size) OVER (PARTITION BY p_brand), 8) AS weight FROM part", "part")
-same("met08_coverage", "SELECT d.lang AS qid, round(sum(CASE WHEN l.quality = 1 THEN d.n_chars ELSE 0 END) / CAST(sum(d.n_chars) AS DOUBLE), 6) AS wac, CASE WHEN min(l.quality) = 1 THEN 'complete' WHEN max(l.quality) = 1 THEN 'partial' ELSE 'failed' END AS outcome FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.lang", "labels", "documents")
 same("met10_validity", "SELECT doc_id, CASE WHEN quality IS NULL THEN 'missing' WHEN quality NOT IN (0, 1) THEN 'range' ELSE '' END AS error FROM labels", "labels")
 same("met14_fallback_metrics", "SELECT d.doc_id, coalesce(l.quality, l.toxic, 0) AS primary_metric FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", "documents", "labels")
 same("hlp01_replay", "SELECT count(*) AS differing FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang EXCEPT SELECT lang, CAST(sum(one) AS BIGINT) FROM (SELECT lang, 1 AS one FROM documents) x GROUP BY lang) y", "documents")
 same("hlp05_candidate_packet", "SELECT o_custkey AS qid, o_orderkey AS doc_id, place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) t WHERE place <= 10", "orders")
-same("nrm05_section_ranking", "SELECT * FROM (SELECT c_nationkey, c_custkey, round(c_acctbal, 2) AS score, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place, count(*) OVER (PARTITION BY c_nationkey) AS candidates FROM customer) t WHERE place <= 4", "customer")
-same("nrm01_term_postings", "SELECT lang AS project, source AS term, count(DISTINCT doc_id) AS docs FROM documents GROUP BY lang, source", "documents")
 
 
 @query("agg03_percentiles", "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
@@ -100,12 +96,3 @@ def met05(spark, d):
 @query("met06_alpha_ndcg")
 def met06(spark, d):
     return metrics.alpha_ndcg(*_aspects(spark, d))
-
-
-@query("met07_source_resolver", "WITH a AS (SELECT lower(s_name) AS alias, s_suppkey AS id FROM supplier UNION ALL SELECT lower(substr(s_name, 1, length(s_name) - 1)), s_suppkey FROM supplier), u AS (SELECT alias, any_value(id) AS id FROM a GROUP BY alias HAVING count(DISTINCT id) = 1) SELECT s_suppkey, u.id AS resolved FROM supplier LEFT JOIN u ON lower(s_name) = u.alias")
-def met07(spark, d):
-    """Aliases that name two pages are dropped; the rest resolve (MET07)."""
-    s = table(spark, d, "supplier")
-    alias = s.select(F.lower("s_name").alias("alias"), "s_suppkey").union(s.select(F.lower(F.expr("substr(s_name, 1, length(s_name) - 1)")), "s_suppkey"))
-    unique = alias.groupBy("alias").agg(F.min("s_suppkey").alias("resolved"), F.max("s_suppkey").alias("other")).where("resolved = other").select("alias", "resolved")
-    return s.join(unique, F.lower("s_name") == F.col("alias"), "left").select("s_suppkey", "resolved")

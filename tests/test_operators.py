@@ -235,3 +235,24 @@ def test_bootstrap_takes_all_pairs(spark):
     want = one.join(two, "l_orderkey").agg(F.avg(F.col("q1") - F.col("q2")).alias("quantity"), F.avg(F.col("d1") - F.col("d2")).alias("discount")).first()
     got = {r.metric: r for r in evaluation.agg15(spark, sf).collect()}
     assert set(got) == {"quantity", "discount"} and all(abs(got[k].mean_delta - float(want[k])) < 1e-8 and got[k].low < got[k].mean_delta < got[k].high for k in got)
+
+
+def test_one_stream_for_all_contrasts(spark):
+    import random
+    import statistics
+
+    from tessella.operators import answers
+
+    rows = [(q, arm, float((q * 7 + k * 3) % 5) / 4 if (q + k) % 6 else None) for q in range(25) for k, arm in enumerate(("x", "y", "z"))]
+    scores = spark.createDataFrame(rows, "qid int, arm string, coverage double").repartition(3)
+    contrasts = [("y", "x"), ("z", "y"), ("z", "x")]
+    got = {r.contrast: r for r in answers.shared_bootstrap(answers.paired_deltas(scores, contrasts), 200).collect()}
+    rng, value = random.Random(20260831), {(q, a): v for q, a, v in rows}
+    for a, b in contrasts:
+        d = [value[q, a] - value[q, b] for q in range(25) if value[q, a] is not None and value[q, b] is not None]
+        means = sorted(statistics.fmean(d[rng.randrange(len(d))] for _ in d) for _ in range(200))
+        at = lambda p: means[int(p * 199)] + (p * 199 - int(p * 199)) * (means[int(p * 199) + 1] - means[int(p * 199)])  # noqa: E731, B023
+        r = got[f"{a}_minus_{b}"]
+        assert r.n == len(d) and abs(r.mean_delta - statistics.fmean(d)) < 1e-8 and abs(r.low - at(0.025)) < 1e-8 and abs(r.high - at(0.975)) < 1e-8
+    with pytest.raises(Exception):
+        answers.paired_deltas(scores.union(scores), contrasts).collect()
