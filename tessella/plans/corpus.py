@@ -8,15 +8,10 @@ from .registry import query, table
 from .shapes import same
 
 same("nrm02_url_cascade", "SELECT p.page_id, CASE WHEN a.n IS NOT NULL THEN 'exact' WHEN p.page_id % 7 = 0 THEN 'redirect' ELSE 'none' END AS method FROM pages p LEFT JOIN (SELECT url, count(*) AS n FROM pages WHERE page_id < 100 GROUP BY url) a ON p.url = a.url", "pages")
-same("nrm07_enrichment", "SELECT d.doc_id, CAST(length(d.text) + coalesce(x.n, 0) AS BIGINT) AS n_chars FROM documents d LEFT JOIN (SELECT page_id, length(html) AS n FROM pages) x ON d.doc_id = x.page_id WHERE length(d.text) > 0", "documents", "pages")
 same("nrm08_question_upgrade", "SELECT item_id, CAST(length(concat(text, ' [image] ', CAST(item_id AS VARCHAR(10)))) AS BIGINT) AS n FROM benchmark", "benchmark")
 same("nrm09_replay", "SELECT count(*) AS pending FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL", "documents", "labels")
-same("val03_question_gate", "SELECT item_id, n, CASE WHEN n > 10 THEN 'too many' WHEN n = 0 THEN 'none' ELSE 'ok' END AS verdict FROM (SELECT b.item_id, CAST(sum(CASE WHEN d.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n FROM benchmark b LEFT JOIN documents d ON strpos(d.text, b.text) > 0 GROUP BY b.item_id) t".replace("strpos(d.text, b.text)", "position(b.text IN d.text)"), "documents", "benchmark")
-same("val06_allowed_hosts", "SELECT page_id, CASE WHEN url LIKE '%example.com/%' THEN 1 ELSE 0 END AS allowed FROM pages", "pages")
 same("hlp10_audit_records", "SELECT page_id, concat('pages::', lower(url)) AS audit_key FROM pages", "pages")
 same("hlp17_revision", "SELECT coalesce(CAST(NULL AS VARCHAR(5)), concat('rows:', CAST(count(*) AS VARCHAR(20)))) AS revision FROM documents", "documents")
-same("hlp21_safe_urls", "SELECT page_id, CASE WHEN url LIKE 'http://%' OR url LIKE 'https://%' THEN CASE WHEN url LIKE '%://localhost%' OR url LIKE '%://127.%' THEN 0 ELSE 1 END ELSE 0 END AS safe FROM pages", "pages")
-same("hlp08_link_kinds", "SELECT page_id, CASE WHEN url LIKE '%#%' THEN 'anchor' WHEN url LIKE '%?%' THEN 'listing' ELSE 'page' END AS kind FROM pages", "pages")
 
 
 @query("chk04_greedy_batches")

@@ -12,15 +12,8 @@ from .shapes import same
 same("agg02_slices", "SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS mean_chars, GROUPING(lang) AS g_lang, GROUPING(source) AS g_source FROM documents GROUP BY GROUPING SETS ((), (lang), (source), (lang, source))", "documents")
 same("agg04_group_unknown", "SELECT coalesce(CAST(l.quality AS VARCHAR(10)), 'unknown') AS quality, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1", "documents", "labels")
 same("agg07_frequency", "SELECT coalesce(CAST(o_orderstatus AS VARCHAR(10)), 'None') AS value, count(*) AS n FROM orders GROUP BY 1", "orders")
-same("agg08_describe", "SELECT count(*) AS n, CAST(sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS BIGINT) AS english, min(n_chars) AS shortest, max(n_chars) AS longest, count(DISTINCT source) AS sources FROM documents", "documents")
 same("agg12_usage_rollup", "SELECT event_type, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP(event_type)", "events")
 same("agg13_status_report", "SELECT o_orderstatus AS status, o_orderpriority AS error_code, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority", "orders")
-same("met09_answerability", "SELECT doc_id, round(0.35E0 * quality + 0.25E0 * (1 - toxic) + 0.2E0 * CASE WHEN n_chars > 500 THEN 1 ELSE 0 END + 0.1E0 * CASE WHEN lang = 'en' THEN 1 ELSE 0 END + 0.05E0 + 0.05E0 * CASE WHEN source = 'src0' THEN 1 ELSE 0 END, 6) AS score FROM (SELECT l.doc_id, l.quality, l.toxic, d.n_chars, d.lang, d.source FROM labels l JOIN documents d ON l.doc_id = d.doc_id) x", "labels", "documents")
-same("met13_distinct_grades", "SELECT DISTINCT quality, toxic FROM labels", "labels")
-same("met11_frozen_weights", "SELECT p_brand, p_partkey, round(CAST(p_size AS DOUBLE) / sum(p_size) OVER (PARTITION BY p_brand), 8) AS weight FROM part", "part")
-same("met10_validity", "SELECT doc_id, CASE WHEN quality IS NULL THEN 'missing' WHEN quality NOT IN (0, 1) THEN 'range' ELSE '' END AS error FROM labels", "labels")
-same("met14_fallback_metrics", "SELECT d.doc_id, coalesce(l.quality, l.toxic, 0) AS primary_metric FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", "documents", "labels")
-same("hlp01_replay", "SELECT count(*) AS differing FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang EXCEPT SELECT lang, CAST(sum(one) AS BIGINT) FROM (SELECT lang, 1 AS one FROM documents) x GROUP BY lang) y", "documents")
 same("hlp05_candidate_packet", "SELECT o_custkey AS qid, o_orderkey AS doc_id, place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) t WHERE place <= 10", "orders")
 
 
@@ -31,14 +24,6 @@ def agg03(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query("agg09_duplicate_groups", "SELECT min(doc_id) AS first_id, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id), ',') AS members FROM documents GROUP BY text HAVING count(*) > 1")
-def agg09(spark, d):
-    """Groups of equal texts. The digest, not the text, is shuffled; member lists are the report's feature."""
-    rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    out = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("m")).where("n > 1")
-    return out.select("first_id", "n", F.array_join("m", ",").alias("members"))
-
-
 @query(
     "agg10_near_duplicates",
     r"""WITH t AS (SELECT min(doc_id) AS doc_id, text, count(*) AS copies FROM documents GROUP BY text), w AS (SELECT doc_id, copies, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{M}\p{N}_]+') AS w FROM t),

@@ -10,13 +10,10 @@ from .shapes import same
 
 # customers, parts and suppliers as pages; order lines as links
 same("grf03_route_arbitration", "SELECT * FROM (SELECT p_brand AS route, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_type LIKE '%STEEL%' THEN 1 ELSE 0 END, length(p_name), p_name, p_partkey) AS place FROM part) t WHERE place = 1", "part")
-same("grf04_next_edges", "SELECT source_id, target_id FROM (SELECT concat(CAST(conv_id AS VARCHAR(20)), ':', CAST(turn AS VARCHAR(20))) AS source_id, lead(concat(CAST(conv_id AS VARCHAR(20)), ':', CAST(turn AS VARCHAR(20)))) OVER (PARTITION BY conv_id ORDER BY turn) AS target_id FROM conversations) t WHERE target_id IS NOT NULL", "conversations")
-same("grf06_snapshot_check", "SELECT lang, CASE WHEN n = m THEN 'match' WHEN m IS NULL THEN 'missing' ELSE 'mismatch' END AS status FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) a LEFT JOIN (SELECT lang AS l, count(*) AS m FROM documents WHERE doc_id % 100 <> 7 OR lang = 'en' GROUP BY lang HAVING lang <> 'es') b ON a.lang = b.l", "documents")
 same("grf07_endpoint_matched", "SELECT o.o_orderkey, o.o_custkey FROM orders o JOIN (SELECT c_custkey FROM customer WHERE c_nationkey < 15) c ON o.o_custkey = c.c_custkey", "orders", "customer")
 same("grf08_route_nodes", "SELECT concat(lang, '/', source) AS route, count(*) AS document_count FROM documents GROUP BY lang, source", "documents")
 same("grf09_reusable_mentions", "SELECT l_partkey AS reusable, count(DISTINCT l_orderkey) AS document_count FROM lineitem GROUP BY l_partkey", "lineitem")
 same("grf10_code_mentions", "SELECT l_partkey AS entity, count(DISTINCT l_suppkey) AS document_count FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) BETWEEN 2 AND 30", "lineitem")
-same("grf11_graph_stats", "SELECT 'customer' AS label, count(*) AS n FROM customer UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'ORDERED', count(*) FROM orders UNION ALL SELECT 'HAS', count(*) FROM lineitem", "customer", "part", "supplier", "orders", "lineitem")
 same("grf01_link_resolution", "SELECT p.page_id, coalesce(a.page_id, CAST(b.page_id AS BIGINT)) AS target, CASE WHEN a.page_id IS NOT NULL THEN 'canonical' WHEN b.page_id IS NOT NULL THEN 'slug' ELSE 'unresolved' END AS kind FROM pages p LEFT JOIN (SELECT min(page_id) AS page_id, url FROM pages WHERE page_id % 2 = 0 GROUP BY url) a ON p.url = a.url LEFT JOIN (SELECT min(page_id) AS page_id, length(url) AS n FROM pages GROUP BY length(url) HAVING count(*) = 1) b ON length(p.url) = b.n", "pages")
 
 

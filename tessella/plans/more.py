@@ -20,7 +20,6 @@ scalar("txt11_frontmatter", ["---\ntitle: T\nversions: v1\n---\nbody", "no front
 scalar("txt13_redirects", ["redirect_from:\n  - /a/b\n  - /c\nother: x", "none"], lambda x: F.array_join(F.regexp_extract_all(x, F.lit(r"\n  - (/[^\n]+)"), F.lit(1)), ","), r"array_to_string(regexp_extract_all(x, '\n  - (/[^\n]+)', 1), ',')")
 scalar("txt35_prose_links", ["see [label](http://x) and http://y.z ok", "`[code](u)`"], lambda x: F.regexp_replace(F.regexp_replace(x, r"\[([^\]]+)\]\([^)]*\)", "$1"), r"(^|\s)(https?://\S+)", "$1`$2`"), r"regexp_replace(regexp_replace(x, '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '(^|\s)(https?://\S+)', '\1`\2`', 'g')")
 scalar("txt45_enriched_query", ["how to log in", "see screenshot of login error"], lambda x: F.when(F.contains(F.lower(x), F.lit("login error")), x).otherwise(F.concat(x, F.lit("\nlogin error"))), "CASE WHEN contains(lower(x), 'login error') THEN x ELSE x || chr(10) || 'login error' END")
-scalar("hlp12_first_json", ["text {\"a\": 1} more {\"b\": 2}", "none"], lambda x: F.regexp_extract(x, r"(\{[^{}]*\})", 1), r"regexp_extract(x, '(\{[^{}]*\})', 1)")
 scalar("hlp20_tool_paths", ["./docs//a.md", "/root/docs/b.md:12", "c.md"], lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\./", ""), "/+", "/"), r":\d+$", ""), r"regexp_replace(regexp_replace(regexp_replace(x, '^\./', ''), '/+', '/', 'g'), ':\d+$', '')")
 scalar("txt34_search_terms", ["find \"exact phrase\" in `my_func` please", "plain longer words"], lambda x: F.array_join(F.slice(F.concat(F.regexp_extract_all(x, F.lit(r"[\"`]([^\"`]+)[\"`]"), F.lit(1)), F.regexp_extract_all(F.regexp_replace(x, r"[\"`][^\"`]+[\"`]", ""), F.lit(r"[a-z_]{5,}"), F.lit(0))), 1, 3), "|"), r"""array_to_string(list_slice(list_concat(regexp_extract_all(x, '["`]([^"`]+)["`]', 1), regexp_extract_all(regexp_replace(x, '["`][^"`]+["`]', '', 'g'), '[a-z_]{5,}')), 1, 3), '|')""")
 
@@ -57,12 +56,6 @@ def txt33(spark, d):
     return rows.select("doc_id", F.size("w").cast("bigint").alias("n_tokens"), F.size(stats.lexical_shingles(F.col("w"))).cast("bigint").alias("n_shingles"))
 
 
-@query("chk03_source_offset", "SELECT doc_id, CAST(coalesce(nullif(position(substr(text, 301, 500) IN text), 0), nullif(position(substr(text, 301, 80) IN text), 0)) - 1 AS BIGINT) AS start FROM documents WHERE length(text) > 300")
-def chk03(spark, d):
-    find = lambda n: F.nullif(F.instr(F.col("text"), F.substring("text", 301, n)), F.lit(0))
-    return table(spark, d, "documents").where(F.length("text") > 300).select("doc_id", (F.coalesce(find(500), find(80)) - 1).cast("bigint").alias("start"))
-
-
 @query("fus01_rrf", "WITH a AS (SELECT o_custkey AS qid, o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), b AS (SELECT o_custkey AS qid, o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank FROM orders) SELECT qid, doc_id, round(sum(1::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY qid, doc_id")
 def fus01(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("doc_id"), "o_totalprice", "o_orderdate")
@@ -71,26 +64,13 @@ def fus01(spark, d):
     return fusion.rrf(one, two).select("qid", "doc_id", F.round("score", 9).alias("score"))
 
 
-same("trc03_search_read", "SELECT a.conv_id, a.turn AS search_turn, min(b.turn) AS read_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn > a.turn AND b.role = 'assistant' WHERE a.role = 'user' GROUP BY a.conv_id, a.turn", "conversations")
 same("hlp03_rollout_outcomes", "SELECT conv_id, turn, coalesce(CASE WHEN role = 'assistant' THEN 'success' END, CASE WHEN length(text) > 50 THEN 'embedded' END, 'unknown') AS outcome FROM conversations", "conversations")
-same("svc02_expand_requests", "SELECT o_custkey AS seed, count(DISTINCT o_orderkey) AS neighbours FROM orders WHERE o_custkey <= 50 GROUP BY o_custkey", "orders")
-same("svc03_fetch_requests", "SELECT doc_id, least(n_chars, 4 * 500) AS taken FROM documents WHERE doc_id < 100", "documents")
 same("val04_evidence_flags", "SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'none' WHEN l.toxic = 1 THEN 'flagged' ELSE 'plain' END AS evidence FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", "documents", "labels")
-same("nrm06_evidence_budget", "SELECT lang, doc_id, budget, least(CAST(n_chars AS BIGINT), budget) AS taken FROM (SELECT lang, doc_id, n_chars, greatest(5000, CAST(floor(24000 / count(*) OVER (PARTITION BY lang)) AS BIGINT)) AS budget FROM documents) t", "documents")
 same("img02_status", "SELECT page_id, CASE WHEN strpos(html, '<img') > 0 THEN 'image' WHEN strpos(html, 'href=') > 0 THEN 'linked_document' ELSE 'http_error' END AS status FROM pages".replace("strpos(html, '<img')", "position('<img' IN html)").replace("strpos(html, 'href=')", "position('href=' IN html)"), "pages")
-same("hlp11_flat_items", "SELECT item_id, coalesce(substr(text, 1, 40), '') AS head, CAST(length(text) AS BIGINT) AS n FROM benchmark", "benchmark")
 same("hlp06_last_wins", "SELECT p_brand AS evidence_id, min(p_partkey) AS first_position, max(p_partkey) AS last_row FROM part GROUP BY p_brand", "part")
 same("hlp23_preflight", "SELECT CASE WHEN a.n = b.n AND a.m = b.m THEN 'equal' ELSE 'changed' END AS verdict FROM (SELECT count(*) AS n, sum(n_chars) AS m FROM documents) a CROSS JOIN (SELECT count(*) AS n, sum(length(text)) AS m FROM documents) b", "documents")
 
 
-@query("hlp16_inventory_digest", "SELECT lang, sha256(string_agg(p, chr(10) ORDER BY p)) AS digest FROM (SELECT DISTINCT lang, lang || '/' || source || ':' || substr(sha256(source), 1, 8) AS p FROM documents) GROUP BY lang")
-def hlp16(spark, d):
-    """A digest of sorted (path, hash) pairs: a directory's listing is what one group holds."""
-    p = F.concat("lang", F.lit("/"), "source", F.lit(":"), F.substring(F.sha2("source", 256), 1, 8))
-    rows = table(spark, d, "documents").select("lang", p.alias("p")).distinct()
-    return rows.groupBy("lang").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("p")), "\n"), 256).alias("digest"))
-
-
 @query("val11_json_contract", "SELECT event_id, CASE WHEN json_valid(props) AND json_extract(props, '$.k') IS NOT NULL THEN 'ok' ELSE 'bad' END AS verdict FROM events")
 def val11(spark, d):
     good = F.try_parse_json("props").isNotNull() & F.get_json_object("props", "$.k").isNotNull()

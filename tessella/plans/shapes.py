@@ -37,12 +37,8 @@ same("chk05_accepted_units", "SELECT conv_id, turn FROM conversations WHERE conv
 same("scp02_scope_intersection", "SELECT doc_id FROM documents WHERE lang = 'en' INTERSECT SELECT doc_id FROM documents WHERE source IN ('src0', 'src1', 'src2')", "documents")
 
 # sources, packaging, gates
-same("src03_co_load", "SELECT l.doc_id, d.lang, l.quality, l.toxic FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE NOT EXISTS (SELECT 1 FROM labels x GROUP BY x.doc_id HAVING count(*) > 1)", "labels", "documents")
-same("src04_vertical_split", "SELECT doc_id, lang, source, CAST(NULL AS INT) AS quality FROM documents UNION ALL SELECT doc_id, CAST(NULL AS VARCHAR(10)), CAST(NULL AS VARCHAR(10)), quality FROM labels", "labels", "documents")
 same("src06_pages_in_order", "SELECT page_id, CAST(length(html) AS BIGINT) AS n FROM pages ORDER BY page_id", "pages")
 same("src10_namespaced_union", "SELECT concat(lang, '::', CAST(doc_id AS VARCHAR(20))) AS id, lang AS project FROM documents UNION ALL SELECT concat('bench::', CAST(item_id AS VARCHAR(20))), 'bench' FROM benchmark", "documents", "benchmark")
-same("src12_combine", "SELECT lang AS project, count(*) AS questions, CAST(sum(l.quality) AS BIGINT) AS good FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY lang", "labels", "documents")
-same("src17_migration_check", "SELECT count(*) AS differing FROM ((SELECT doc_id, lang, source FROM documents EXCEPT SELECT doc_id, lang, source FROM (SELECT doc_id, lang, source, n_chars FROM documents) x) UNION ALL (SELECT doc_id, lang, source FROM (SELECT doc_id, lang, source, n_chars FROM documents) x EXCEPT SELECT doc_id, lang, source FROM documents)) y", "documents")
 same("src15_path_collisions", "SELECT lower(c_name) AS path, count(*) AS n FROM (SELECT c_name FROM customer UNION ALL SELECT upper(c_name) FROM customer WHERE c_custkey % 10 = 0) x GROUP BY lower(c_name) HAVING count(*) > 1", "customer")
 same("val05_verifier", "SELECT (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1) a) AS repeated, (SELECT count(*) FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id WHERE d.doc_id IS NULL) AS dangling, (SELECT count(*) FROM documents WHERE text IS NULL OR length(text) = 0) AS empty_texts", "documents", "labels")
 same("val08_listing_cap", "SELECT c_mktsegment, count(*) AS n, CASE WHEN count(DISTINCT c_custkey) >= 950 THEN 'fail' ELSE 'ok' END AS guard FROM customer GROUP BY c_mktsegment", "customer")
@@ -51,7 +47,6 @@ same("hlp04_expected_ids", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id FRO
 same("hlp13_routing_statistics", "SELECT lang AS root, count(*) AS pages, count(DISTINCT source) AS children, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY lang", "documents")
 same("hlp14_paths", "SELECT DISTINCT concat(lang, '/', source, '.md') AS path FROM documents", "documents")
 same("hlp15_screening", "SELECT (SELECT count(*) FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id, url FROM pages WHERE page_id % 4 = 0) a) AS before, (SELECT count(DISTINCT url) FROM pages) AS after FROM (SELECT 1 AS one) o", "pages")
-same("hlp18_question_items", "SELECT item_id, CAST(length(text) AS BIGINT) AS n FROM benchmark WHERE item_id IN (1, 3, 5, 7, 999)", "benchmark")
 
 
 @query("src10_edge_scope", "SELECT o.o_custkey AS source_id, l.l_partkey AS target_id, count(*) AS n FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p.p_size < 25) GROUP BY ALL")
@@ -112,14 +107,6 @@ def img01(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", stable_id("img", F.col("role"), F.col("turn").cast("string")).alias("image_id"))
 
 
-@query("prv01_fingerprint", "SELECT sha256(string_agg(h, '' ORDER BY doc_id)) AS fingerprint, count(*) AS n FROM (SELECT doc_id, sha256(lang || chr(0) || source || chr(0) || text) AS h FROM documents)")
-def prv01(spark, d):
-    """A fingerprint of a table: the digest of its ordered row digests (GRF05, PRV01). Row digests are made in parallel; one task chains them."""
-    rows = table(spark, d, "documents").select("doc_id", F.sha2(F.concat_ws("\0", "lang", "source", "text"), 256).alias("h"))
-    rows.createOrReplaceTempView("row_digests")
-    return spark.sql("SELECT sha2(listagg(h, '') WITHIN GROUP (ORDER BY doc_id), 256) AS fingerprint, count(*) AS n FROM row_digests")
-
-
 @query("win05_prior_occurrences", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS prior FROM conversations")
 def win05(spark, d):
     w = Window.partitionBy("conv_id", "role").orderBy("turn")

@@ -105,16 +105,6 @@ scalar(
 )
 
 
-@query("txt08_normal_url")
-def txt08(spark, d):
-    """Default ports and a last slash go, scheme and host in lower case; SQL of the other side has no look-behind."""
-    x = F.col("x")
-    x = F.concat(F.lower(F.regexp_extract(x, r"^([^/]*//[^/?#]*)", 1)), F.regexp_replace(F.regexp_extract(x, r"^[^/]*//[^/?#]*(.*)$", 1), "#.*$", ""))
-    x = F.regexp_replace(F.regexp_replace(x, r"^http://([^/:]+):80(?=/|$)", "http://$1"), r"^https://([^/:]+):443(?=/|$)", "https://$1")
-    rows = [(0, "HTTP://Ex.org:80/a/?b#c"), (1, "https://ex.org:443/"), (2, "https://ex.org/x/y/")]
-    return spark.createDataFrame(rows, "id int, x string").select("id", F.regexp_replace(x, r"(?<=[^/:])/$", "").alias("y"))
-
-
 PAGE_TEXT = r"""trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)</?(?:p|div|section|article|li|ul|ol|br|h[1-6]|pre|tr|table|blockquote)\b[^>]*>', E'\n', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'),
  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), 'https?://\S+', '', 'g'), '[ \t]+', ' ', 'g'), '\s*\n\s*', E'\n', 'g'))"""
 

@@ -8,11 +8,8 @@ from .registry import query, table
 from .shapes import same
 
 same("trc01_call_results", "SELECT a.conv_id, a.turn, b.turn AS result_turn, CAST(length(b.text) AS BIGINT) AS n, substr(b.text, 1, 2000) AS preview FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE a.role = 'user'", "conversations")
-same("trc02_evidence", "SELECT event_id, CASE WHEN event_type IN ('click', 'purchase') AND value > 10 THEN 1 ELSE 0 END AS evidence FROM events", "events")
-same("trc05_compact", "SELECT conv_id, turn, substr(text, 1, 160) AS body FROM conversations WHERE role IN ('user', 'assistant')", "conversations")
 same("trc08_pending", "SELECT d.doc_id FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL", "documents", "labels")
 same("jon11_ordered_results", "SELECT conv_id, max(turn) AS last_turn, count(*) AS turns FROM conversations GROUP BY conv_id", "conversations")
-same("jon09_discovery_before_read", "SELECT DISTINCT d.user_id, d.event_id AS discovery, r.event_id AS read_event FROM events d JOIN events r ON d.user_id = r.user_id AND d.event_id < r.event_id AND r.event_id - d.event_id < 200 WHERE d.event_type <> r.event_type", "events")
 same("val09_arm_contract", "SELECT role AS arm, count(*) AS n, count(DISTINCT conv_id) AS ids, CASE WHEN count(*) >= count(DISTINCT conv_id) THEN 'ok' ELSE 'fail' END AS contract FROM conversations GROUP BY role", "conversations")
 same("val10_linkage", "SELECT c.conv_id FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant') a ON c.conv_id = a.conv_id WHERE a.conv_id IS NULL", "conversations")
 same("hlp02_agent_report", "SELECT event_type, user_id % 3 AS arm, count(*) AS n, round(avg(value), 6) AS mean, GROUPING(event_type) AS g FROM events GROUP BY GROUPING SETS ((event_type, user_id % 3), (user_id % 3))", "events")
@@ -25,27 +22,11 @@ def trc04(spark, d):
     return out.select("conv_id", "steps", "roles", F.array_join(F.transform("s", lambda x: x["role"]), ">").alias("sequence"), "n_chars")
 
 
-@query("trc06_verdict", "SELECT doc_id, array_to_string(list_filter([CASE WHEN quality = 0 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda r: r IS NOT NULL), ';') AS reasons, CASE WHEN quality = 0 OR toxic = 1 THEN 0 ELSE 1 END AS hard FROM labels")
-def trc06(spark, d):
-    bad = F.filter(F.array(F.when(F.col("quality") == 0, "quality"), F.when(F.col("toxic") == 1, "toxic")), lambda r: r.isNotNull())
-    return table(spark, d, "labels").select("doc_id", F.array_join(bad, ";").alias("reasons"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 0).otherwise(1).alias("hard"))
-
-
 @query("trc07_event_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def trc07(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-@query("txt43_paths", r"SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[A-Za-z]+\.')) AS BIGINT) AS n FROM conversations")
-def txt43(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z]+\."), F.lit(0))).cast("bigint").alias("n"))
-
-
-@query("txt44_first_sources", "SELECT conv_id, role AS source, min(turn) AS first_turn FROM conversations GROUP BY conv_id, role")
-def txt44(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id", F.col("role").alias("source")).agg(F.min("turn").alias("first_turn"))
-
-
 @query("svc01_search_requests", "SELECT item_id, substr(sha256('r1' || chr(0) || 'true' || chr(0) || text), 1, 20) AS query_id, CAST(greatest(1, least(20, item_id % 40)) AS BIGINT) AS k FROM benchmark")
 def svc01(spark, d):
     q = F.substring(F.sha2(F.concat_ws("\0", F.lit("r1"), F.lit("true"), "text"), 256), 1, 20)
