@@ -242,7 +242,7 @@ def met13(spark, d):
     return g.union(g).groupBy("qid").agg(F.size(F.array_distinct(F.collect_list("g"))).cast("bigint").alias("grades"))  # six a question
 
 
-@query("met14_primary_metrics", f"WITH {_methods(False)}, {QRELS}, ranks AS (SELECT 'cited' AS kind, qid, doc_id, rank FROM hybrid_rerank WHERE rank <= 10 AND qid % 3 <> 0 UNION ALL SELECT 'visible', qid, doc_id, rank FROM hybrid WHERE rank <= 10), h AS (SELECT kind, r.qid, count(qrels.doc_id) AS hits FROM ranks LEFT JOIN qrels ON qrels.qid = ranks.qid AND qrels.doc_id = ranks.doc_id GROUP BY kind, ranks.qid) SELECT qs.qid, c.hits AS cited, v.hits AS visible, coalesce(c.hits, v.hits, 0) AS primary_hits FROM qs LEFT JOIN h c ON c.qid = qs.qid AND c.kind = 'cited' LEFT JOIN h v ON v.qid = qs.qid AND v.kind = 'visible'")
+@query("met14_primary_metrics", f"WITH {_methods(False)}, {QRELS}, ranks AS (SELECT 'cited' AS kind, qid, doc_id, rank FROM hybrid_rerank WHERE rank <= 10 AND qid % 3 <> 0 UNION ALL SELECT 'visible', qid, doc_id, rank FROM hybrid WHERE rank <= 10), h AS (SELECT kind, ranks.qid, count(qrels.doc_id) AS hits FROM ranks LEFT JOIN qrels ON qrels.qid = ranks.qid AND qrels.doc_id = ranks.doc_id GROUP BY kind, ranks.qid) SELECT qs.qid, c.hits AS cited, v.hits AS visible, coalesce(c.hits, v.hits, 0) AS primary_hits FROM qs LEFT JOIN h c ON c.qid = qs.qid AND c.kind = 'cited' LEFT JOIN h v ON v.qid = qs.qid AND v.kind = 'visible'")
 def met14(spark, d):
     """Hits of what an answer cites, else of what its agent saw."""
     from .retrieval import retriever
