@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import POLICY, Policy
+from ..storage import parked
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -63,6 +66,24 @@ def multihop(seeds: DataFrame, edges: DataFrame, edge_rank: DataFrame, scope: Da
     return boosts.groupBy("qid", "doc_id").agg(F.round(F.max("boost"), 12).alias("boost"), F.min("hop").alias("hop"))
 
 
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, node) of every node that links lead to from a root, itself included (SRC14).
+
+    ``seeds``: (root); ``edges``: (source_id, target_id). A round follows the links of what the round before found anew, and
+    is written down, so cycles end and no plan grows with the rounds.
+    """
+    known = parked(seeds.select("root", F.col("root").alias("node")).distinct(), "closure")
+    found, front = [known], known
+    while True:
+        step = front.join(edges.select(F.col("source_id").alias("node"), "target_id"), "node").select("root", F.col("target_id").alias("node")).where("node is not null").distinct()
+        for part in found:
+            step = step.join(part, ["root", "node"], "left_anti")
+        front = parked(step, "closure")
+        if not front.limit(1).count():
+            return reduce(DataFrame.union, found)
+        found.append(front)
+
+
 def linked_pairs(qrels: DataFrame, edges: DataFrame) -> DataFrame:
     """(qid, linked): whether any two of a question's documents are joined by an edge (GRF15)."""
     pair = qrels.select("qid", F.col("doc_id").alias("source_id")).join(edges.select("source_id", "target_id").distinct(), "source_id")

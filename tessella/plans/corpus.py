@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .registry import query, table
 from .shapes import same
 
-same("nrm02_url_cascade", "SELECT p.page_id, CASE WHEN a.n IS NOT NULL THEN 'exact' WHEN p.page_id % 7 = 0 THEN 'redirect' ELSE 'none' END AS method FROM pages p LEFT JOIN (SELECT url, count(*) AS n FROM pages WHERE page_id < 100 GROUP BY url) a ON p.url = a.url", "pages")
 same("nrm08_question_upgrade", "SELECT item_id, CAST(length(concat(text, ' [image] ', CAST(item_id AS VARCHAR(10)))) AS BIGINT) AS n FROM benchmark", "benchmark")
 same("nrm09_replay", "SELECT count(*) AS pending FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL", "documents", "labels")
 same("hlp10_audit_records", "SELECT page_id, concat('pages::', lower(url)) AS audit_key FROM pages", "pages")

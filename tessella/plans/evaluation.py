@@ -14,7 +14,6 @@ same("agg04_group_unknown", "SELECT coalesce(CAST(l.quality AS VARCHAR(10)), 'un
 same("agg07_frequency", "SELECT coalesce(CAST(o_orderstatus AS VARCHAR(10)), 'None') AS value, count(*) AS n FROM orders GROUP BY 1", "orders")
 same("agg12_usage_rollup", "SELECT event_type, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY ROLLUP(event_type)", "events")
 same("agg13_status_report", "SELECT o_orderstatus AS status, o_orderpriority AS error_code, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority", "orders")
-same("hlp05_candidate_packet", "SELECT o_custkey AS qid, o_orderkey AS doc_id, place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) t WHERE place <= 10", "orders")
 
 
 @query("agg03_percentiles", "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY event_type")

@@ -34,7 +34,6 @@ same("win01_rank", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION B
 same("chk06_compact_evidence", "SELECT conv_id, turn, least(n, 400, greatest(0, 2000 - before)) AS kept FROM (SELECT conv_id, turn, n, CAST(coalesce(sum(least(n, 400)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM (SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS n FROM conversations) a) b WHERE before < 2000", "conversations")
 same("chk07_fetch_budget", "SELECT conv_id, turn, least(n, 1200 - before) AS taken FROM (SELECT conv_id, turn, n, CAST(coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM (SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS n FROM conversations) a) b WHERE before < 1200", "conversations")
 same("chk05_accepted_units", "SELECT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND length(text) >= 20", "conversations")
-same("scp02_scope_intersection", "SELECT doc_id FROM documents WHERE lang = 'en' INTERSECT SELECT doc_id FROM documents WHERE source IN ('src0', 'src1', 'src2')", "documents")
 
 # sources, packaging, gates
 same("src06_pages_in_order", "SELECT page_id, CAST(length(html) AS BIGINT) AS n FROM pages ORDER BY page_id", "pages")

@@ -7,21 +7,9 @@ from pyspark.sql import functions as F
 from .registry import query, table
 from .shapes import same
 
-same("trc01_call_results", "SELECT a.conv_id, a.turn, b.turn AS result_turn, CAST(length(b.text) AS BIGINT) AS n, substr(b.text, 1, 2000) AS preview FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE a.role = 'user'", "conversations")
-same("trc08_pending", "SELECT d.doc_id FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL", "documents", "labels")
-same("jon11_ordered_results", "SELECT conv_id, max(turn) AS last_turn, count(*) AS turns FROM conversations GROUP BY conv_id", "conversations")
-same("val09_arm_contract", "SELECT role AS arm, count(*) AS n, count(DISTINCT conv_id) AS ids, CASE WHEN count(*) >= count(DISTINCT conv_id) THEN 'ok' ELSE 'fail' END AS contract FROM conversations GROUP BY role", "conversations")
-same("val10_linkage", "SELECT c.conv_id FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant') a ON c.conv_id = a.conv_id WHERE a.conv_id IS NULL", "conversations")
 same("hlp02_agent_report", "SELECT event_type, user_id % 3 AS arm, count(*) AS n, round(avg(value), 6) AS mean, GROUPING(event_type) AS g FROM events GROUP BY GROUPING SETS ((event_type, user_id % 3), (user_id % 3))", "events")
 
 
-@query("trc04_trace_summary", "SELECT conv_id, count(*) AS steps, count(DISTINCT role) AS roles, array_to_string(list(role ORDER BY turn), '>') AS sequence, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id")
-def trc04(spark, d):
-    seq = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    out = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("steps"), F.countDistinct("role").alias("roles"), seq.alias("s"), F.sum(F.length("text")).cast("bigint").alias("n_chars"))
-    return out.select("conv_id", "steps", "roles", F.array_join(F.transform("s", lambda x: x["role"]), ">").alias("sequence"), "n_chars")
-
-
 @query("trc07_event_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def trc07(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
