@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answers, checks, corpus, episodes, evaluation, files, graphs, knowledge, more, normalise, retrieval, shapes, texts, traces  # noqa: F401  they register their queries
+from . import answers, checks, content, corpus, episodes, evaluation, files, graphs, knowledge, more, normalise, retrieval, shapes, texts, traces  # noqa: F401  they register their queries
 from .registry import ORACLES, PLANS
 
 
