@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components as components
+from ..storage import discard as discard
+from ..storage import parked as parked
+
 #: Rows and bytes that a function gets at once. Spark ends an Arrow batch at 64 MB, and a batch is cut again in the Python
 #: worker, so its memory is bounded by bytes, whatever the texts' lengths; the session's settings are left alone.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
@@ -27,33 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = f"file:///tmp/tessella-{os.getuid()}"
-    return where.rstrip("/")
-
-
-def parked(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.parked_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a parked table that no later step and no result reads."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(df.parked_at)
-    path.getFileSystem(conf).delete(path, True)
-
-
 def salted_join(rows: DataFrame, first: DataFrame, key: str, by: str = "doc_id", salts: int = 16, how: str = "inner") -> DataFrame:
     """Join of ``rows`` with ``first``, one row a key, where a key may hold a third of ``rows``: each key's rows are dealt to ``salts`` tasks by ``by``."""
     salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
@@ -135,29 +110,3 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = mixed(out * _ODD[i % len(_ODD)] + h[i : n + i])
     return out
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every end of ``edges`` (a, b): component is the smallest id reachable.
-
-    Alternates large-star and small-star steps, each a group-by and a join on the node, until a step changes nothing,
-    however many that takes. A step's edges are written to the shared folder and those before deleted; no more than a
-    checksum reaches the driver. The node of a large component has as many edges as members: its rows are salted.
-    """
-    edges = parked(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    before = None
-    while True:
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = salted_join(both, low, "a", by="b", salts=8).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = salted_join(large, least, "a", by="b", salts=8)
-        small = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        step = parked(small, "edges")
-        discard(edges)
-        edges = step
-        after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
