@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from .registry import query, table
 from .shapes import same
 
-same("nrm08_question_upgrade", "SELECT item_id, CAST(length(concat(text, ' [image] ', CAST(item_id AS VARCHAR(10)))) AS BIGINT) AS n FROM benchmark", "benchmark")
-same("nrm09_replay", "SELECT count(*) AS pending FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL", "documents", "labels")
 same("hlp10_audit_records", "SELECT page_id, concat('pages::', lower(url)) AS audit_key FROM pages", "pages")
 same("hlp17_revision", "SELECT coalesce(CAST(NULL AS VARCHAR(5)), concat('rows:', CAST(count(*) AS VARCHAR(20)))) AS revision FROM documents", "documents")
 

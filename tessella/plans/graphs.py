@@ -14,7 +14,6 @@ same("grf07_endpoint_matched", "SELECT o.o_orderkey, o.o_custkey FROM orders o J
 same("grf08_route_nodes", "SELECT concat(lang, '/', source) AS route, count(*) AS document_count FROM documents GROUP BY lang, source", "documents")
 same("grf09_reusable_mentions", "SELECT l_partkey AS reusable, count(DISTINCT l_orderkey) AS document_count FROM lineitem GROUP BY l_partkey", "lineitem")
 same("grf10_code_mentions", "SELECT l_partkey AS entity, count(DISTINCT l_suppkey) AS document_count FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) BETWEEN 2 AND 30", "lineitem")
-same("grf01_link_resolution", "SELECT p.page_id, coalesce(a.page_id, CAST(b.page_id AS BIGINT)) AS target, CASE WHEN a.page_id IS NOT NULL THEN 'canonical' WHEN b.page_id IS NOT NULL THEN 'slug' ELSE 'unresolved' END AS kind FROM pages p LEFT JOIN (SELECT min(page_id) AS page_id, url FROM pages WHERE page_id % 2 = 0 GROUP BY url) a ON p.url = a.url LEFT JOIN (SELECT min(page_id) AS page_id, length(url) AS n FROM pages GROUP BY length(url) HAVING count(*) = 1) b ON length(p.url) = b.n", "pages")
 
 
 def _edges(spark, d):

@@ -64,11 +64,7 @@ def fus01(spark, d):
     return fusion.rrf(one, two).select("qid", "doc_id", F.round("score", 9).alias("score"))
 
 
-same("hlp03_rollout_outcomes", "SELECT conv_id, turn, coalesce(CASE WHEN role = 'assistant' THEN 'success' END, CASE WHEN length(text) > 50 THEN 'embedded' END, 'unknown') AS outcome FROM conversations", "conversations")
-same("val04_evidence_flags", "SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'none' WHEN l.toxic = 1 THEN 'flagged' ELSE 'plain' END AS evidence FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", "documents", "labels")
-same("img02_status", "SELECT page_id, CASE WHEN strpos(html, '<img') > 0 THEN 'image' WHEN strpos(html, 'href=') > 0 THEN 'linked_document' ELSE 'http_error' END AS status FROM pages".replace("strpos(html, '<img')", "position('<img' IN html)").replace("strpos(html, 'href=')", "position('href=' IN html)"), "pages")
 same("hlp06_last_wins", "SELECT p_brand AS evidence_id, min(p_partkey) AS first_position, max(p_partkey) AS last_row FROM part GROUP BY p_brand", "part")
-same("hlp23_preflight", "SELECT CASE WHEN a.n = b.n AND a.m = b.m THEN 'equal' ELSE 'changed' END AS verdict FROM (SELECT count(*) AS n, sum(n_chars) AS m FROM documents) a CROSS JOIN (SELECT count(*) AS n, sum(length(text)) AS m FROM documents) b", "documents")
 
 
 @query("val11_json_contract", "SELECT event_id, CASE WHEN json_valid(props) AND json_extract(props, '$.k') IS NOT NULL THEN 'ok' ELSE 'bad' END AS verdict FROM events")

@@ -39,13 +39,10 @@ same("chk05_accepted_units", "SELECT conv_id, turn FROM conversations WHERE conv
 same("src06_pages_in_order", "SELECT page_id, CAST(length(html) AS BIGINT) AS n FROM pages ORDER BY page_id", "pages")
 same("src10_namespaced_union", "SELECT concat(lang, '::', CAST(doc_id AS VARCHAR(20))) AS id, lang AS project FROM documents UNION ALL SELECT concat('bench::', CAST(item_id AS VARCHAR(20))), 'bench' FROM benchmark", "documents", "benchmark")
 same("src15_path_collisions", "SELECT lower(c_name) AS path, count(*) AS n FROM (SELECT c_name FROM customer UNION ALL SELECT upper(c_name) FROM customer WHERE c_custkey % 10 = 0) x GROUP BY lower(c_name) HAVING count(*) > 1", "customer")
-same("val05_verifier", "SELECT (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1) a) AS repeated, (SELECT count(*) FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id WHERE d.doc_id IS NULL) AS dangling, (SELECT count(*) FROM documents WHERE text IS NULL OR length(text) = 0) AS empty_texts", "documents", "labels")
 same("val08_listing_cap", "SELECT c_mktsegment, count(*) AS n, CASE WHEN count(DISTINCT c_custkey) >= 950 THEN 'fail' ELSE 'ok' END AS guard FROM customer GROUP BY c_mktsegment", "customer")
-same("val07_frozen_audit", "SELECT lang, count(*) AS n, count(DISTINCT doc_id) AS ids, CASE WHEN count(*) = count(DISTINCT doc_id) THEN 'pass' ELSE 'fail' END AS verdict FROM documents GROUP BY lang", "documents")
 same("hlp04_expected_ids", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 11 = 0) x GROUP BY doc_id HAVING count(*) > 1", "labels")
 same("hlp13_routing_statistics", "SELECT lang AS root, count(*) AS pages, count(DISTINCT source) AS children, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY lang", "documents")
 same("hlp14_paths", "SELECT DISTINCT concat(lang, '/', source, '.md') AS path FROM documents", "documents")
-same("hlp15_screening", "SELECT (SELECT count(*) FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id, url FROM pages WHERE page_id % 4 = 0) a) AS before, (SELECT count(DISTINCT url) FROM pages) AS after FROM (SELECT 1 AS one) o", "pages")
 
 
 @query("src10_edge_scope", "SELECT o.o_custkey AS source_id, l.l_partkey AS target_id, count(*) AS n FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p.p_size < 25) GROUP BY ALL")
@@ -74,12 +71,6 @@ def srt04(spark, d):
     return table(spark, d, "documents").select("doc_id", (h % 3).alias("turn"))
 
 
-@query("val01_gates", "SELECT doc_id, array_to_string(list_filter([CASE WHEN length(text) < 100 THEN 'short' END, CASE WHEN lang NOT IN ('en', 'fr') THEN 'language' END, CASE WHEN n_chars <> length(text) THEN 'length' END], lambda e: e IS NOT NULL), ';') AS errors FROM documents")
-def val01(spark, d):
-    checks = F.array(F.when(F.length("text") < 100, "short"), F.when(~F.col("lang").isin("en", "fr"), "language"), F.when(F.col("n_chars") != F.length("text"), "length"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.filter(checks, lambda e: e.isNotNull()), ";").alias("errors"))
-
-
 @query("agg11_rejections", "SELECT e AS reason, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN length(text) < 100 THEN 'short' END, CASE WHEN lang NOT IN ('en', 'fr') THEN 'language' END], lambda e: e IS NOT NULL)) AS e FROM documents) GROUP BY e")
 def agg11(spark, d):
     checks = F.array(F.when(F.length("text") < 100, "short"), F.when(~F.col("lang").isin("en", "fr"), "language"))
@@ -99,13 +90,6 @@ def val02(spark, d):
     )
 
 
-@query("img01_image_ids", "SELECT conv_id, turn, 'img-' || substr(sha256(role || chr(0) || CAST(turn AS VARCHAR)), 1, 24) AS image_id FROM conversations")
-def img01(spark, d):
-    from ..functions.text import stable_id
-
-    return table(spark, d, "conversations").select("conv_id", "turn", stable_id("img", F.col("role"), F.col("turn").cast("string")).alias("image_id"))
-
-
 @query("win05_prior_occurrences", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS prior FROM conversations")
 def win05(spark, d):
     w = Window.partitionBy("conv_id", "role").orderBy("turn")

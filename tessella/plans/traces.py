@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .registry import query, table
 from .shapes import same
 
-same("hlp02_agent_report", "SELECT event_type, user_id % 3 AS arm, count(*) AS n, round(avg(value), 6) AS mean, GROUPING(event_type) AS g FROM events GROUP BY GROUPING SETS ((event_type, user_id % 3), (user_id % 3))", "events")
 
 
 @query("trc07_event_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
