@@ -61,6 +61,7 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iter
                     yield out
                 else:
                     yield from out
+        pa.default_memory_pool().release_unused()  # a worker waits for its next task without it
 
     return df.mapInArrow(run, schema)
 
@@ -80,7 +81,7 @@ class _Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 200_000:
             self[word] = value
         return value
 
