@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..config import POLICY
 from ..functions.text import tokens
@@ -130,7 +131,7 @@ def _listed(vectors: DataFrame, key: str, centres: np.ndarray, probes: int) -> D
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(order.ravel().astype(np.int32))], [key, "embedding", "list"])
 
     rows = vectors.select(key, "embedding")
-    return rows.mapInArrow(assign, rows.schema.add("list", "integer"))
+    return rows.mapInArrow(assign, StructType([*rows.schema.fields, StructField("list", IntegerType())]))
 
 
 def approximate(questions: DataFrame, vectors: DataFrame, depth: int = POLICY.retrieval_depth, count: int = 16, probes: int = 6) -> DataFrame:
