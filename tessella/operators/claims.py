@@ -43,7 +43,7 @@ def alias_clusters(names: DataFrame, num: int = 7, den: int = 10) -> DataFrame:
     """(name, canonical) of distinct trimmed names (KGX02, HLP09).
 
     Names that are equal when folded are one; those of similar spelling are joined, and whatever joins reach is a cluster
-    with one canonical name. Spelling stands for the reference's embedding model: trigrams need none.
+    with one canonical name. Trigrams need no embedding model.
     """
     distinct = names.select(F.trim("name").alias("name")).where("name <> ''").distinct().withColumn("id", fold(F.col("name")))
     heads = distinct.withColumn("at", _preferred(["id"])).where("at = 1").select("id", F.col("id").alias("folded"))

@@ -1,4 +1,4 @@
-"""Gates, audits, fingerprints, requests and traces over whole tables, with the rules that the reference has."""
+"""Audits, fingerprints, requests and traces over whole tables, by their rules."""
 
 from __future__ import annotations
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MASK, STOP_WORDS, TOKEN, paragraph_chunks, tokens, with_bigrams
-from ..operators import fusion, graph, lexical, metrics, stats, vector
+from ..operators import graph, lexical, metrics, stats, vector
 from ..operators.passages import holding
 from ..operators.retriever import Lexicon, Retriever, TokenShare, graph_fused
 from ..storage import built, fingerprint

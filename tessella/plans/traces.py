@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .shapes import same
 
 
 
