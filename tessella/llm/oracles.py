@@ -35,3 +35,34 @@ SQL: dict[str, str] = {
     array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(q, '&')), '&') END AS url_key,
     strftime(TIMESTAMP '2020-01-01' + to_seconds(p.page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured_at FROM p JOIN u ON p.page_id = u.page_id""",
 }
+
+SQL["op12_filter_audit"] = r"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    f AS (SELECT doc_id, part, len(w) < 50 AS "A", 100 * len(list_distinct(w)) < 65 * len(w) AS "B", 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * length(x) AS "C", regexp_matches(x, '[#$%&*|]') AS "D", doc_id > min(doc_id) OVER (PARTITION BY x) AS "E" FROM t),
+    l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS tx FROM labels GROUP BY doc_id),
+    g AS (SELECT part, CASE WHEN "A" THEN 'A' ELSE '' END || CASE WHEN "B" THEN 'B' ELSE '' END || CASE WHEN "C" THEN 'C' ELSE '' END || CASE WHEN "D" THEN 'D' ELSE '' END || CASE WHEN "E" THEN 'E' ELSE '' END AS failed, coalesce(q = 1, false) AS good, coalesce(tx = 1, false) AS toxic FROM f LEFT JOIN l ON f.doc_id = l.doc_id),
+    c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT a.x || b.x || c3.x || d.x || e.x AS filter_order FROM c a, c b, c c3, c d, c e WHERE len(list_distinct([a.x, b.x, c3.x, d.x, e.x])) = 5),
+    s AS (SELECT part, filter_order, k AS step, substr(filter_order, k, 1) AS filter, failed, good, toxic, contains(failed, substr(filter_order, k, 1)) AS fails, regexp_matches(failed, '[' || substr(filter_order, 1, k - 1) || '_]') AS gone FROM g, o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS k)),
+    n AS (SELECT part, filter_order, step, filter, count(*) FILTER (NOT gone AND NOT fails) AS kept, count(*) FILTER (fails AND NOT gone) AS removed, count(*) FILTER (fails AND gone) AS redundant, count(*) FILTER (failed = filter) AS unique_fails, count(*) FILTER (fails AND NOT gone AND good) AS good_lost, count(*) FILTER (fails AND NOT gone AND toxic) AS toxic_lost FROM s GROUP BY ALL)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM n"""
+
+
+def _codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds of assignment in whole numbers, written out one after the other."""
+    ctes = [
+        "v AS MATERIALIZED (SELECT vec_id, label, embedding AS e, len(embedding) // %d AS width FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)" % parts,
+        "x AS MATERIALIZED (SELECT vec_id, (i - 1) // width AS part, (i - 1) % width AS pos, CAST(floor(4096 * CAST(e[i] AS DOUBLE)) AS BIGINT) AS val FROM (SELECT vec_id, e, width, unnest(range(1, len(e) + 1)) AS i FROM v))",
+        f"b0 AS MATERIALIZED (SELECT part, r AS entry, pos, val FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM v ORDER BY vec_id LIMIT {entries}) USING (vec_id))",
+    ]
+    assign = "SELECT vec_id, part, min_by(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT vec_id, x.part AS part, entry, CAST(sum((x.val - b.val) * (x.val - b.val)) AS BIGINT) AS d FROM x JOIN b{0} b ON x.part = b.part AND x.pos = b.pos GROUP BY ALL) GROUP BY vec_id, part"
+    for k in range(rounds):
+        ctes.append(f"a{k} AS MATERIALIZED ({assign.format(k)})")
+        ctes.append(f"m{k} AS MATERIALIZED (SELECT part, entry, pos, CAST(sum(val) AS BIGINT) AS s, count(*) AS n FROM x JOIN a{k} USING (vec_id, part) GROUP BY ALL)")
+        ctes.append(f"b{k + 1} AS MATERIALIZED (SELECT part, entry, pos, CASE WHEN n IS NULL THEN val ELSE (s - ((s % n) + n) % n) // n END AS val FROM b{k} LEFT JOIN m{k} USING (part, entry, pos))")
+    ctes.append(f"z AS MATERIALIZED ({assign.format(rounds)})")
+    ctes.append("c AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM z GROUP BY vec_id)")
+    digest = f"(SELECT sha256(string_agg(CAST(val AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b{rounds})"
+    return f"WITH {', '.join(ctes)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, {digest} AS codebooks_sha256 FROM c JOIN v USING (vec_id)"
+
+
+SQL["op13_vector_codes"] = _codes()

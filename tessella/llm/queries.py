@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators. Each is thin: it reads a whole table, applies an operator, names columns."""
+"""The registered queries of the operators. Each is thin: it reads a whole table, applies an operator, names columns."""
 
 from __future__ import annotations
 
@@ -74,6 +74,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import compressed
+
+    return compressed(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
