@@ -66,3 +66,9 @@ def _codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
 
 
 SQL["op13_vector_codes"] = _codes()
+
+#: For the pages at hand, whose article is one element of headings and paragraphs.
+SQL["op11_main_text"] = r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS x FROM pages),
+    b AS (SELECT page_id, url, list_transform(regexp_split_to_array(x, '</?(h1|p)>'), lambda t: replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', CASE WHEN t LIKE '%<br>%' THEN ' ' ELSE '' END, 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&#39;', '''')) AS l FROM a),
+    c AS (SELECT page_id, url, list_filter(list_transform(l, lambda t: trim(regexp_replace(regexp_replace(t, '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda t: t <> '') AS l FROM b)
+    SELECT page_id, url, array_to_string(l, chr(10)) AS text, CAST(length(array_to_string(l, chr(10))) AS BIGINT) AS n_chars FROM c"""

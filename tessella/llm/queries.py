@@ -74,6 +74,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extract import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .audit import audit
 
