@@ -8,8 +8,8 @@ index. Rounds read the vectors in place; what a task gives back is sums and coun
 
 Nulls and edges: a row whose vector is null, or holds a null, NaN or infinite component, is dropped. Of several rows of
 one vec_id each is a row; the first entries are taken in the order of vec_id, then of the vector; null ids come last.
-Fewer rows than entries give as many entries as rows. The dimension is that of the first kept row: other lengths
-(empty vectors too) stay in the result with null code and error. A dimension that the parts don't divide, or a component
+Fewer rows than entries give as many entries as rows. The dimension is that of the first kept row with components: other
+lengths (empty vectors too) stay in the result with null code and error. A dimension that the parts don't divide, or a component
 of 32768 or more in size, beyond which int64 can't hold a distance, is a ValueError. No rows give no rows. Further
 columns of the input don't matter.
 """
@@ -83,13 +83,13 @@ def _blocks(batches, dim: int, columns: int):
         for at in range(0, batch.num_rows, BLOCK):
             part = batch.slice(at, BLOCK)
             rows, size, flat = integers(part.column(columns))
-            fits = size == dim
-            yield [part.column(i).take(pa.array(rows)) for i in range(columns)], flat[np.repeat(fits, size)].reshape(-1, dim), fits
+            fits = (size == dim) & (dim > 0)
+            yield [part.column(i).take(pa.array(rows)) for i in range(columns)], flat[np.repeat(fits, size)].reshape(int(fits.sum()), dim), fits
 
 
 def first_entries(vectors: DataFrame, entries: int = ENTRIES) -> list[list[int]]:
     """Scaled vectors of the smallest kept ids, all of the first one's dimension."""
-    clean = vectors.where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))")
+    clean = vectors.where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf')) AND size(embedding) > 0")
     order = F.col("vec_id").asc_nulls_last(), F.col("embedding").asc()
     one = clean.select("vec_id", "embedding").orderBy(*order).first()
     if one is None:
