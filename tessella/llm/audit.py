@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import salted_join
@@ -73,8 +73,7 @@ def replay(rows: DataFrame) -> DataFrame:
         count(F.col("fails") == F.col("bit")).alias("unique_fails"), count(here & (F.col("good") == 1)).alias("good_lost"), count(here & (F.col("toxic") == 1)).alias("toxic_lost"),
     )
     named = counted.withColumn("filter", F.substring("filter_order", F.col("step"), F.lit(1)))
-    shares = named.groupBy("part", "filter").agg(F.sum("removed").cast("long").alias("shapley"))
-    return named.join(shares, ["part", "filter"]).drop("filter")
+    return named.withColumn("shapley", F.sum("removed").over(Window.partitionBy("part", "filter")).cast("long")).drop("filter")
 
 
 def audit(documents: DataFrame, labels: DataFrame) -> DataFrame:
