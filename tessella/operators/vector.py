@@ -1,4 +1,4 @@
-"""Embeddings, exact cosine retrieval, and inverted lists for approximate retrieval (VEC01-VEC04, SRC09)."""
+"""Embeddings and exact cosine retrieval (VEC01, VEC02, VEC04, SRC09)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..config import POLICY
 from ..functions.text import tokens
@@ -17,6 +16,8 @@ from .lexical import top
 
 #: Questions that go to all vectors as one matrix; more go in several passes, one after the other.
 BLOCK = 4096
+#: Scores that a task holds at once.
+SCORES = 1 << 22
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,7 +59,8 @@ def cached(provider: EmbeddingProvider, source: DataFrame, units: DataFrame, key
     return built(source, f"vectors-{provider.name}", lambda: provider.encode(units, key))
 
 
-def _blocks(questions: DataFrame) -> list[DataFrame]:
+def blocks(questions: DataFrame) -> list[DataFrame]:
+    """The questions in parts of about BLOCK."""
     n = -(-questions.count() // BLOCK)
     return [questions] if n <= 1 else [questions.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
 
@@ -71,84 +73,42 @@ def nearest(questions: DataFrame, vectors: DataFrame, depth: int = POLICY.retrie
     are as many as batches times depth, not as many as vectors.
     """
     schema = vectors.select(key, *keep).schema.add("qid", questions.schema["qid"].dataType).add("score", "double")
-    found, blocks = None, _blocks(questions)
-    for block in blocks:
+    found, parts = None, blocks(questions)
+    for block in parts:
         rows = block.select("qid", "embedding", *([scope] if scope else [])).orderBy("qid").collect()  # BLOCK or about as many
         ids, q = np.array([r.qid for r in rows]), np.array([r.embedding for r in rows], np.float64)
         mine = np.array([r[scope] for r in rows], object) if scope else None
         part = _best(vectors.select(key, *keep, "embedding", *([F.col(scope).alias("_scope")] if scope else [])), ids, q, mine, depth, len(keep), schema)
         part = top(part, key, depth)
-        part = parked(part, "nearest") if len(blocks) > 1 else part
+        part = parked(part, "nearest") if len(parts) > 1 else part
         found = part if found is None else found.union(part)
     return found.select("qid", key, *keep, "score", "rank")
 
 
 def _best(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, mine: np.ndarray | None, depth: int, kept: int, schema) -> DataFrame:
     def block(batches):
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            x = np.stack([np.asarray(v, np.float64) for v in batch.column(1 + kept).to_pylist()])
-            s = np.round(q @ x.T, 9)
-            if mine is not None:
-                s[mine[:, None] != np.array(batch.column(2 + kept).to_pylist(), object)[None, :]] = -np.inf
-            key = np.broadcast_to(batch.column(0).to_numpy(zero_copy_only=False), s.shape)
-            order = np.lexsort((key, -s), axis=1)[:, :depth]
-            best, who = np.take_along_axis(s, order, 1).ravel(), np.repeat(ids, order.shape[1])
-            good = np.isfinite(best)
-            rows = batch.select(list(range(1 + kept))).take(pa.array(order.ravel()[good]))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(who[good]), pa.array(best[good])], schema.names)
+        step = max(1, SCORES // max(1, len(ids)))
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(ids) else 0, step):
+                yield best(whole.slice(at, step))
+
+    def best(batch):
+        x = np.stack([np.asarray(v, np.float64) for v in batch.column(1 + kept).to_pylist()])
+        s = np.round(q @ x.T, 9)
+        if mine is not None:
+            s[mine[:, None] != np.array(batch.column(2 + kept).to_pylist(), object)[None, :]] = -np.inf
+        least = np.partition(s, max(0, s.shape[1] - depth), axis=1)[:, max(0, s.shape[1] - depth)]
+        who, at = np.nonzero((s >= least[:, None]) & np.isfinite(s))  # the best and what ties with the last of them
+        order = np.lexsort((batch.column(0).to_numpy(zero_copy_only=False)[at], -s[who, at], who))
+        who, at = who[order], at[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        who, at = who[place < depth], at[place < depth]
+        rows = batch.select(list(range(1 + kept))).take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids[who]), pa.array(s[who, at])], schema.names)
 
     return vectors.mapInArrow(block, schema)
 
 
-def lists(vectors: DataFrame, count: int, sample: int = 8192, rounds: int = 12, seed: int = 17) -> np.ndarray:
-    """Centres of ``count`` inverted lists, fitted on ``sample`` vectors at most: those with the smallest hashes of their ids."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()  # ``sample`` rows
-    x = np.array([r.embedding for r in rows], np.float64)
-    if not len(x):
-        return np.zeros((0, 0))
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centres = x[np.random.default_rng(seed).permutation(len(x))[:count]].copy()
-    for _ in range(rounds):
-        mine = (x @ centres.T).argmax(1)
-        for c in range(len(centres)):
-            if (mine == c).any():
-                centres[c] = x[mine == c].mean(0)
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    return centres
-
-
-def _listed(vectors: DataFrame, key: str, centres: np.ndarray, probes: int) -> DataFrame:
-    """``vectors`` with ``list``, a row for each of the ``probes`` nearest centres."""
-
-    def assign(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_pylist()])
-                order = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
-                rows = batch.take(pa.array(np.repeat(np.arange(len(x)), order.shape[1])))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(order.ravel().astype(np.int32))], [key, "embedding", "list"])
-
-    rows = vectors.select(key, "embedding")
-    return rows.mapInArrow(assign, StructType([*rows.schema.fields, StructField("list", IntegerType())]))
-
-
-def approximate(questions: DataFrame, vectors: DataFrame, depth: int = POLICY.retrieval_depth, count: int = 16, probes: int = 6) -> DataFrame:
-    """(qid, vec_id, score, rank): the nearest vectors in the ``probes`` lists nearest to each question (VEC03).
-
-    Every vector is in the list of its nearest centre; only lists that a question probes are compared with it, by an
-    equi-join on the list. Scores are exact, the set of candidates is not: tests measure recall.
-    """
-    centres = lists(vectors, count)
-    if not len(centres):
-        return nearest(questions, vectors, depth)
-    index = _listed(vectors, "vec_id", centres, 1)
-    asked = _listed(questions, "qid", centres, probes).select("qid", F.col("embedding").alias("q"), "list")
-    pairs = index.join(asked, "list").select("qid", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 9).alias("score"))
-    return top(pairs, "vec_id", depth)
-
-
 def best_per_group(pairs: DataFrame, group: str) -> DataFrame:
     """The largest cosine of a group's units (VEC04)."""
     return pairs.groupBy("qid", group).agg(F.max("score").alias("score"))
@@ -157,8 +117,8 @@ def best_per_group(pairs: DataFrame, group: str) -> DataFrame:
 def group_best(questions: DataFrame, vectors: DataFrame, group: str) -> DataFrame:
     """(qid, group, score): the largest cosine of each group's vectors (VEC04), a block of vectors at a time: no pair leaves its batch."""
     schema = vectors.select(group).schema.add("qid", questions.schema["qid"].dataType).add("score", "double")
-    found, blocks = None, _blocks(questions)
-    for part in blocks:
+    found, parts = None, blocks(questions)
+    for part in parts:
         rows = part.select("qid", "embedding").orderBy("qid").collect()  # BLOCK or about as many
         ids, q = np.array([r.qid for r in rows]), np.array([r.embedding for r in rows], np.float64)
 
@@ -172,6 +132,6 @@ def group_best(questions: DataFrame, vectors: DataFrame, group: str) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(names, len(ids)), batch.schema[0].type), pa.array(np.repeat(ids, len(names))), pa.array(best.ravel())], schema.names)
 
         one = vectors.select(group, "embedding").mapInArrow(block, schema).groupBy("qid", group).agg(F.max("score").alias("score"))
-        one = parked(one, "group-best") if len(blocks) > 1 else one
+        one = parked(one, "group-best") if len(parts) > 1 else one
         found = one if found is None else found.union(one)
     return found

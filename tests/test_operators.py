@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import POLICY
 from tessella.functions.text import paragraph_chunks
-from tessella.operators import fusion, graph, lexical, metrics, stats, vector
+from tessella.operators import fusion, graph, lexical, metrics, neighbours, stats, vector
 from tessella.operators.passages import holding
 from tessella.plans import retrieval
 from tessella.plans.retrieval import CHUNK_FIXTURE
@@ -172,13 +172,42 @@ def test_methods_by_steps(spark):
         assert got == sorted(want)
 
 
-def test_inverted_lists_recall(spark):
+def test_neighbour_graph_recall(spark):
+    """Recall of ten ranks against exact search over the table's questions, and the share of vectors that are looked at."""
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").cast("bigint").alias("qid"), "embedding")
     exact = {(r.qid, r.vec_id) for r in vector.nearest(q, e, 10).collect()}
-    near = {(r.qid, r.vec_id) for r in vector.approximate(q, e, 10).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-    assert vector.approximate(q, e.limit(0), 5).count() == 0
+    near = neighbours.approximate(q, neighbours.index(e, e, "test"), 10).collect()
+    assert sorted({r["rank"] for r in near}) == list(range(1, 11)) and len(near) == 10 * q.count()
+    assert len(exact & {(r.qid, r.vec_id) for r in near}) >= 0.9 * len(exact)
+    assert sum({r.qid: r.looked for r in near}.values()) < e.count() * q.count() / 3
+
+
+def test_neighbour_graph_segments_and_copies(spark, monkeypatch):
+    """Several segments; clusters without a link between them; a third of the rows one vector; rows without a vector."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(c, 0.02, (150, 12)) for c in np.eye(12)[:4]] + [np.tile(r.normal(0, 1, 12), (300, 1))])
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(5000, None), (5001, [])]
+    e = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    q = e.where("vec_id % 30 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(vector, "BLOCK", 7)
+    got = {}
+    for row in neighbours.approximate(q, neighbours.graphs(e, segment_rows=200), 5).orderBy("qid", "rank").collect():
+        got.setdefault(row.qid, []).append(row.vec_id)
+    hits = 0
+    for qid, found in got.items():
+        s = np.round(unit @ unit[qid], 9)
+        want = sorted(range(len(x)), key=lambda i: (-s[i], i))[:5]
+        hits += len(set(found) & set(want))
+        if qid >= 600:
+            assert found == want
+    assert len(got) == 30 and hits >= 0.9 * 150
+    none = neighbours.graphs(e.limit(0))
+    assert neighbours.approximate(q, none, 5).count() == 0
+    assert neighbours.approximate(q.limit(0), neighbours.graphs(e), 5).count() == 0
 
 
 def test_questions_in_blocks(spark, monkeypatch):
