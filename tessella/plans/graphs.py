@@ -9,7 +9,6 @@ from .registry import query, table
 from .shapes import same
 
 # customers, parts and suppliers as pages; order lines as links
-same("grf03_route_arbitration", "SELECT * FROM (SELECT p_brand AS route, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_type LIKE '%STEEL%' THEN 1 ELSE 0 END, length(p_name), p_name, p_partkey) AS place FROM part) t WHERE place = 1", "part")
 same("grf07_endpoint_matched", "SELECT o.o_orderkey, o.o_custkey FROM orders o JOIN (SELECT c_custkey FROM customer WHERE c_nationkey < 15) c ON o.o_custkey = c.c_custkey", "orders", "customer")
 same("grf08_route_nodes", "SELECT concat(lang, '/', source) AS route, count(*) AS document_count FROM documents GROUP BY lang, source", "documents")
 same("grf09_reusable_mentions", "SELECT l_partkey AS reusable, count(DISTINCT l_orderkey) AS document_count FROM lineitem GROUP BY l_partkey", "lineitem")
