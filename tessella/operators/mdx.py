@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import urls, yaml
 
 # What counts as a link or a heading, and how many characters about a link are its context.
 MARKDOWN_LINK = re.compile(r"\[([^\]]*)\]\(([^)\s]+)(?:\s+[^)]*)?\)")
@@ -37,6 +37,21 @@ def route(source_path: Column, declared: Column, kind: str, prefix: str = "/docs
     return urls.canonical_path(F.concat(F.lit(prefix), value))
 
 
+def _front(batches):
+    for batch in batches:
+        parts = [yaml.split(x or "") for x in batch.column(batch.num_columns - 1).to_pylist()]
+        columns = [pa.array([p[k] for p in parts], pa.string()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "metadata", "body"])
+
+
+def with_front_matter(pages: DataFrame, text: str = "text") -> DataFrame:
+    """``pages`` without ``text``, with ``metadata``, the front matter as VARIANT, and ``body`` (TXT12). Invalid front matter is an empty map."""
+    others = [f for f in pages.schema.fields if f.name != text]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "metadata string, body string"])
+    read = pages.select(*(f.name for f in others), text).mapInArrow(_front, schema)
+    return read.select(*(f.name for f in others), F.parse_json("metadata").alias("metadata"), "body")
+
+
 def one_page_a_route(pages: DataFrame) -> DataFrame:
     """Of pages that share a ``route``: one without a version in its path before others, then the shortest path, then the first (GRF03)."""
     versioned = F.concat(F.lit("/"), F.col("source_path")).rlike(r"/(?:v\d+|legacy)/")

@@ -6,8 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import urls
-from ..operators import mdx
+from ..operators import mdx, qa
 from .registry import query, table
 
 SITE = r"""pg AS (SELECT lower(regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '(\.html)?/*$', '')) AS p, page_id FROM pages),
@@ -61,3 +60,66 @@ def grf03(spark, d):
     rows = files(spark, d).withColumn("route", mdx.route(F.col("source_path"), F.col("declared"), "declared"))
     n = rows.groupBy("route").agg(F.count("*").alias("n_files"))
     return mdx.one_page_a_route(rows).select("route", "source_path").join(n, "route")
+
+
+@query(
+    "txt12_front_matter",
+    """SELECT doc_id, CASE WHEN bad THEN NULL ELSE 'Doc ' || doc_id || ': it''s ' || lang END AS title, CASE WHEN NOT bad THEN 'src, ' || source END AS second_tag, CASE WHEN NOT bad THEN n_chars END AS size, CASE WHEN NOT bad THEN source END AS part,
+    CASE WHEN NOT bad THEN doc_id % 7 END AS rank, CASE WHEN NOT bad THEN doc_id END AS inner_id, CASE WHEN NOT bad THEN 'first ' || lang || chr(10) || '  second' || chr(10) END AS note, CASE WHEN NOT bad THEN doc_id % 2 = 0 END AS draft,
+    CASE WHEN NOT bad THEN round(n_chars / 2.0, 1) END AS half, sha256(coalesce(text, '')) AS body FROM (SELECT *, doc_id % 10 = 9 AS bad FROM documents)""",
+)
+def txt12(spark, d):
+    """Front matter made of every document's columns, read again; that of one in ten is broken and counts as empty."""
+    i = F.col("doc_id").cast("string")
+    front = F.concat(
+        F.lit("---\ntitle: 'Doc "), i, F.lit(": it''s "), "lang", F.lit("' # the title\ntags: ["), "lang", F.lit(', "src, '), "source", F.lit('", {k: [~]}]\nmeta:\n  size: '), F.col("n_chars").cast("string"), F.lit("\n  parts:\n    - name: "), "source", F.lit("\n      rank: "),
+        (F.col("doc_id") % 7).cast("string"), F.lit("\n    - - x\n      - "), i, F.lit("\n  note: |\n    first "), "lang", F.lit("\n      second\ndraft: "), F.when(F.col("doc_id") % 2 == 0, "yes").otherwise("no"), F.lit("\nhalf: "), F.format_string("%.1f", F.col("n_chars") / 2),
+        F.when(F.col("doc_id") % 10 == 9, "\nbroken: [1,").otherwise(""), F.lit("\n---\n"), F.coalesce("text", F.lit("")),
+    )
+    read = mdx.with_front_matter(table(spark, d, "documents").select("doc_id", front.alias("text")))
+    get = lambda path, kind: F.try_variant_get("metadata", path, kind)
+    return read.select(
+        "doc_id", get("$.title", "string").alias("title"), get("$.tags[1]", "string").alias("second_tag"), get("$.meta.size", "bigint").alias("size"), get("$.meta.parts[0].name", "string").alias("part"), get("$.meta.parts[0].rank", "bigint").alias("rank"),
+        get("$.meta.parts[1][1]", "bigint").alias("inner_id"), get("$.meta.note", "string").alias("note"), get("$.draft", "boolean").alias("draft"), get("$.half", "double").alias("half"), F.sha2("body", 256).alias("body"),
+    )
+
+
+@query(
+    "txt25_page_references",
+    r"""WITH a AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS root, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS x, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'), 1) - 1 AS place FROM pages)
+    SELECT page_id, CAST(place AS BIGINT) AS place, 'link' AS kind, root || regexp_replace(replace(replace(regexp_extract(x, 'href="([^"]*)"', 1), '&amp;', '&'), '&quot;', '"'), '^/[.]{1,2}$', '/') AS url, replace(replace(trim(regexp_extract(x, '>([^<]*)<', 1)), '&amp;', '&'), '&quot;', '"') AS text FROM a""",
+)
+def txt25r(spark, d):
+    """Every link and image of all pages with its text, targets joined with the page's address."""
+    pages = table(spark, d, "pages").select("page_id", "url", "html")
+    found = qa.resolved(qa.with_references(pages, "html").select("page_id", F.col("url").alias("base"), "html_references"), "html_references", "base")
+    return found.select("page_id", F.col("place").cast("bigint").alias("place"), "kind", "url", "text")
+
+
+def question_files(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, url, html): pages with structured data behind their own HTML: nested, in lists, after broken data, without an answer."""
+    i = F.col("page_id").cast("string")
+    asked = F.concat(F.lit('<p>Why <a href="../x?a=1#f">link <b>one</b></a> and <a href=\'/abs/./p\'>two</a> <img src="img/'), i, F.lit('.png" alt=" An alt " title=T> <a name=x>none</a> <a href="unclosed">'))
+    said = F.concat(F.lit("<div>See <a href=\"https://o.example/"), i, F.lit('">that</a><br><IMG SRC=//cdn.example/'), i, F.lit(".gif></div>"))
+    answer = F.array(F.struct(said.alias("text")))
+    question = lambda field: F.struct(F.lit("Question").alias("@type"), F.concat(F.lit("T "), i).alias("name"), asked.alias(field), answer.alias("acceptedAnswer"))
+    graph = F.to_json(F.struct(F.array(F.struct(F.lit("WebPage").alias("@type"), F.array(F.struct(F.lit(1).alias("y"))).alias("x"))).alias("before"), F.array(F.struct(F.lit("QAPage").alias("@type"), question("text").alias("mainEntity"))).alias("@graph")))
+    single = F.to_json(question("description"))
+    silent = F.to_json(F.struct(F.lit("Question").alias("@type"), F.lit("no answer").alias("name"), F.array().cast("array<string>").alias("acceptedAnswer")))
+    script = lambda x: F.concat(F.lit("<script async type='application/ld+json'>\n"), x, F.lit("\n</script>"))
+    kinds = [script(graph), script(single), F.concat(script(F.lit("{oops")), script(silent), script(graph)), script(silent)]
+    return table(spark, d, "pages").select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), F.element_at(F.array(*kinds), (F.col("page_id") % 4 + 1).cast("int"))).alias("html"))
+
+
+@query(
+    "hlp07_question_pages",
+    r"""WITH b AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS root, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS folder FROM pages WHERE page_id % 4 <> 3)
+    SELECT page_id, 'T ' || page_id AS title, 'Why link one and two none' AS question_text, 'See that' AS answer_text, k AS place, side, kind,
+      CASE k WHEN 0 THEN root || CASE WHEN folder = '/' THEN '/' ELSE regexp_replace(folder, '[^/]*/$', '') END || 'x?a=1#f' WHEN 1 THEN root || '/abs/p' WHEN 2 THEN root || folder || 'img/' || page_id || '.png' WHEN 3 THEN 'https://o.example/' || page_id ELSE scheme || '://cdn.example/' || page_id || '.gif' END AS url, text, t AS image_title
+    FROM b, (VALUES (0, 'question', 'link', 'link one', ''), (1, 'question', 'link', 'two', ''), (2, 'question', 'image', 'An alt', 'T'), (3, 'answer', 'link', 'that', ''), (4, 'answer', 'image', '', '')) AS v(k, side, kind, text, t)""",
+)
+def hlp07(spark, d):
+    """Questions and accepted answers of pages with structured data, with the links and images of both."""
+    found = qa.question_pages(question_files(spark, d))
+    each = found.select("page_id", "title", "question_text", "answer_text", F.posexplode("references").alias("place", "r"))
+    return each.select("page_id", "title", "question_text", "answer_text", "place", "r.side", "r.kind", "r.url", "r.text", F.col("r.title").alias("image_title"))
