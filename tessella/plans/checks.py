@@ -258,21 +258,6 @@ def met14(spark, d):
 # --- graph store
 
 
-@query(
-    "grf04_graph_records",
-    f"""WITH {CHUNKS}, s AS (SELECT doc_id, generate_subscripts(b, 1) - 1 AS line, unnest(b) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS b FROM docs))
-    SELECT 'project' AS label, count(DISTINCT project) AS n FROM docs UNION ALL SELECT 'document', count(*) FROM docs UNION ALL SELECT 'section', count(*) FROM (SELECT DISTINCT doc_id, body FROM s WHERE trim(body) <> '') UNION ALL SELECT 'unit', count(*) FROM ch
-    UNION ALL SELECT 'next', count(*) FROM (SELECT lead(chunk_ord) OVER (PARTITION BY doc_id ORDER BY chunk_ord) AS x FROM ch) WHERE x IS NOT NULL""",
-)
-def grf04(spark, d):
-    """Projects, documents, sections (of equal ones in a page the first), units and the edges between neighbours, by number."""
-    docs, units = documents(spark, d), chunks(spark, d)
-    lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("body")).where(F.trim("body") != "")
-    following = units.select(F.lead("chunk_ord").over(Window.partitionBy("doc_id").orderBy("chunk_ord")).alias("x")).where("x is not null")
-    count = lambda name, rows: rows.agg(F.lit(name).alias("label"), F.count("*").alias("n"))
-    return reduce(DataFrame.union, (count(*x) for x in (("project", docs.select("project").distinct()), ("document", docs), ("section", lines), ("unit", units), ("next", following))))
-
-
 @query("grf11_graph_stats", f"WITH {PAGES}, {LINKS}, {MENTIONS} SELECT 'links_to' AS kind, count(*) AS n FROM lk UNION ALL SELECT 'in_route', count(*) FROM docs UNION ALL SELECT kind, count(*) FROM mentions GROUP BY kind UNION ALL SELECT 'entity', count(*) FROM (SELECT subject FROM claims UNION SELECT object FROM claims) UNION ALL SELECT 'predicate', count(DISTINCT predicate) FROM claims UNION ALL SELECT 'claim', count(*) FROM claims")
 def grf11(spark, d):
     """Counts of every kind of node and relationship."""

@@ -3,11 +3,15 @@ question pages, front matter. Each engine computes the repository from the table
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import mdx, qa
+from ..operators import mdx, qa, records
+from ..storage import built
 from .registry import query, table
+from .retrieval import PAGES, documents
 
 SITE = r"""pg AS (SELECT lower(regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '(\.html)?/*$', '')) AS p, page_id FROM pages),
 base AS (SELECT p, min(page_id) AS i FROM pg WHERE p <> '' GROUP BY p),
@@ -123,3 +127,48 @@ def hlp07(spark, d):
     found = qa.question_pages(question_files(spark, d))
     each = found.select("page_id", "title", "question_text", "answer_text", F.posexplode("references").alias("place", "r"))
     return each.select("page_id", "title", "question_text", "answer_text", "place", "r.side", "r.kind", "r.url", "r.text", F.col("r.title").alias("image_title"))
+
+
+# Documents with a heading, an image, a second heading and another image put into them
+ILLUSTRATED = rf"""{PAGES}, t0 AS (SELECT doc_id, project, replace(title, '#', '+') AS title, replace(coalesce(text, ''), '#', '+') AS t FROM docs),
+t1 AS (SELECT *, '# Top ' || doc_id || chr(10) || substr(t, 1, 1500) || chr(10) AS a, '![Fig ' || doc_id || '](img/' || doc_id % 50 || '.png "Ti")' || chr(10) || '## Sec ' || doc_id % 3 || chr(10) || substr(t, 1501) || chr(10) AS b, '<img class="x" src="img/b' || doc_id || '.gif" alt=''Bee'' title="tt">' || chr(10) AS c FROM t0),
+pg AS (SELECT doc_id, project, title, a || b || c AS text, length(a) AS at1, length(a) + length(b) AS at2 FROM t1),
+ck AS (SELECT *, title || chr(10) || doc_id || chr(10) || substr(text, 1400 * k + 1, 1400) AS chunk FROM (SELECT *, unnest(range(0, CAST(ceil(length(text) / 1400.0) AS BIGINT))) AS k FROM pg)),
+cb AS (SELECT *, regexp_replace(regexp_replace(array_to_string(string_split(chunk, chr(10))[3:], chr(10)), '^\s+', ''), '\s+$', '') AS body FROM ck),
+cu AS (SELECT doc_id, project, title, text, k, chunk, printf('%d::c%04d', doc_id, k) AS unit_id, CASE WHEN body = '' THEN 1400 * k ELSE coalesce(nullif(strpos(text, body), 0), nullif(strpos(text, substr(body, 1, 500)), 0), nullif(strpos(text, substr(body, 1, 200)), 0), nullif(strpos(text, substr(body, 1, 80)), 0), 1400 * k + 1) - 1 END AS pos,
+  coalesce(nullif(regexp_extract(chunk, '(?m)^(#{{1,6}})\s+(.+?)\s*$', 2), ''), title) AS section, CAST(greatest(1, length(regexp_extract(chunk, '(?m)^(#{{1,6}})\s+(.+?)\s*$', 1))) AS BIGINT) AS level FROM cb),
+im AS (SELECT doc_id, project, title, text, 0 AS k, 'img/' || doc_id % 50 || '.png' AS url, 'Fig ' || doc_id AS alt, at1 AS pos, 'Top ' || doc_id AS section, 1 AS level FROM pg UNION ALL SELECT doc_id, project, title, text, 1, 'img/b' || doc_id || '.gif', 'Bee', at2, 'Sec ' || doc_id % 3, 2 FROM pg),
+iu AS (SELECT *, 'image-occurrence-' || substr(sha256(doc_id || chr(0) || k || chr(0) || url), 1, 24) AS unit_id, 'image-asset-' || substr(sha256(project || chr(0) || url), 1, 24) AS asset_id FROM im),
+un AS (SELECT doc_id, text, unit_id, pos, 0 AS kind, k AS place, section, level FROM cu UNION ALL SELECT iu.doc_id, text, unit_id, pos, 1, n + k, section, level FROM iu JOIN (SELECT doc_id, count(*) AS n FROM cu GROUP BY doc_id) c ON c.doc_id = iu.doc_id),
+ord AS (SELECT *, 'section-' || substr(sha256(doc_id || chr(0) || level || chr(0) || replace(lower(section), 'ß', 'ss')), 1, 24) AS section_id, row_number() OVER w - 1 AS ordinal, lead(unit_id) OVER w AS following, length(substr(text, 1, CAST(pos AS BIGINT))) - length(replace(substr(text, 1, CAST(pos AS BIGINT)), chr(10), '')) + 1 AS line FROM un WINDOW w AS (PARTITION BY doc_id ORDER BY pos, kind, unit_id)),
+near AS (SELECT iu.unit_id, coalesce(min(cu.unit_id) FILTER (WHERE contains(chunk, url) OR contains(chunk, alt)), min(cu.unit_id)) AS near FROM iu JOIN cu ON cu.doc_id = iu.doc_id GROUP BY iu.unit_id)"""
+
+
+def illustrated(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    i, t = F.col("doc_id").cast("string"), F.replace(F.coalesce("text", F.lit("")), F.lit("#"), F.lit("+"))
+    text = F.concat(
+        F.lit("# Top "), i, F.lit("\n"), F.substring(t, 1, 1500), F.lit("\n![Fig "), i, F.lit("](img/"), (F.col("doc_id") % 50).cast("string"), F.lit('.png "Ti")\n## Sec '), (F.col("doc_id") % 3).cast("string"), F.lit("\n"), F.substring(t, 1501, 1 << 30),
+        F.lit('\n<img class="x" src="img/b'), i, F.lit(".gif\" alt='Bee' title=\"tt\">\n"),
+    )
+    pages = docs.select("doc_id", "project", F.replace("title", F.lit("#"), F.lit("+")).alias("title"), text.alias("text"))
+    return pages.withColumn("chunks", records.slices(F.col("title"), F.col("doc_id"), F.col("text")))
+
+
+@query(
+    "grf04_graph_records",
+    f"""WITH {ILLUSTRATED} SELECT DISTINCT 'project' AS label, project AS id, '' AS ref, 0 AS n FROM pg UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR), project, 0 FROM pg
+    UNION ALL SELECT 'section', section_id, CAST(any_value(doc_id) AS VARCHAR), CAST(min(place) AS BIGINT) FROM ord GROUP BY section_id UNION ALL SELECT 'unit', unit_id, section_id, ordinal FROM ord UNION ALL SELECT 'line', unit_id, '', CAST(line AS BIGINT) FROM ord
+    UNION ALL SELECT 'next', unit_id, following, 0 FROM ord WHERE following IS NOT NULL UNION ALL SELECT 'asset', asset_id, any_value(url), min(doc_id) FROM iu GROUP BY asset_id UNION ALL SELECT 'occurrence', unit_id, asset_id, 0 FROM iu UNION ALL SELECT 'near', unit_id, near, 0 FROM near""",
+)
+def grf04(spark, d):
+    """All records of a graph over documents with headings and images put into them."""
+    pages = illustrated(spark, d)
+    made = built(table(spark, d, "documents"), "graph-units", lambda: records.units(pages))
+    r = records.records(pages, made)
+    row = lambda label, df, a, b, n: df.select(F.lit(label).alias("label"), F.col(a).cast("string").alias("id"), b.cast("string").alias("ref"), n.cast("bigint").alias("n"))
+    zero, none, c = F.lit(0), F.lit(""), F.col
+    return reduce(DataFrame.union, [
+        row("project", r["projects"], "project_id", none, zero), row("document", r["documents"], "doc_id", c("project_id"), zero), row("section", r["sections"], "section_id", c("doc_id"), c("ordinal")), row("unit", r["units"], "unit_id", c("section_id"), c("ordinal")),
+        row("line", r["units"], "unit_id", none, c("source_line")), row("next", r["next_edges"], "source", c("target"), zero), row("asset", r["image_assets"], "asset_id", c("source_url"), c("first_doc_id")), row("occurrence", r["image_occurrences"], "occurrence_id", c("asset_id"), zero), row("near", r["near_edges"], "occurrence_id", c("unit_id"), zero),
+    ])
