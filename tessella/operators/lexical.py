@@ -94,26 +94,3 @@ def collapsed(hits: DataFrame, key: str = "chunk_ord", depth: int = POLICY.colla
 def route_texts(pages: DataFrame) -> DataFrame:
     """One text per route: the route and its sorted distinct titles (LEX10). A route's titles are its text, so bounded by a directory's listing."""
     return pages.groupBy("route").agg(F.concat_ws("\n", F.col("route"), F.array_sort(F.collect_set("title"))).alias("text"))
-
-
-def grep(docs: DataFrame, wanted: DataFrame, per_term: int = 250) -> DataFrame:
-    """(qid, doc_id, score): literal matches, line by line (LEX13).
-
-    A document scores 1 / (60 + its place among a term's documents) once a term, and 0.003 times the share of the
-    question's terms on each matching line. Lines count in the order (doc_id, line), ``per_term`` of them at most. The
-    terms are a stated, bounded set that goes to all lines: substrings have no key to join on.
-    """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body")).withColumn("body", F.lower("body"))
-    n = Window.partitionBy("qid")
-    terms_of = wanted.withColumn("n_terms", F.count("*").over(n))
-    distinct = F.broadcast(wanted.select("term").distinct())  # a few terms a question
-    bodies = lines.join(distinct, F.contains(F.col("body"), F.lower(F.col("term")))).select("doc_id", "line", "term")
-    hits = bodies.join(terms_of, "term")
-    place = Window.partitionBy("qid", "term").orderBy("doc_id", "line")
-    hits = hits.withColumn("at", F.row_number().over(place)).where(F.col("at") <= per_term)
-    firsts = hits.groupBy("qid", "term", "doc_id").agg(F.min("at").alias("at"))
-    files = firsts.withColumn("place", F.row_number().over(Window.partitionBy("qid", "term").orderBy("at")))
-    by_file = files.groupBy("qid", "doc_id").agg(F.sum(1.0 / (F.lit(60.0) + F.col("place"))).alias("s"))
-    cover = hits.groupBy("qid", "doc_id", "line", "n_terms").agg(F.count("*").alias("k"))
-    by_line = cover.groupBy("qid", "doc_id").agg(F.sum(F.lit(0.003) * F.col("k") * F.col("k") / F.col("n_terms")).alias("l"))
-    return by_file.join(by_line, ["qid", "doc_id"]).select("qid", "doc_id", F.round(F.col("s") + F.col("l"), 9).alias("score"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls, yaml
+from .components import salted_join
 
 # What counts as a link or a heading, and how many characters about a link are its context.
 MARKDOWN_LINK = re.compile(r"\[([^\]]*)\]\(([^)\s]+)(?:\s+[^)]*)?\)")
@@ -105,7 +106,7 @@ def candidate(raw: Column, source: Column, hosts: list[str], prefix: str | None
 def edges(pages: DataFrame, hosts: list[str], prefix: str | None = None) -> DataFrame:
     """(source, target, anchor, section, context, target_anchor, place): distinct links between pages (route, body)."""
     asked = links(pages).withColumn("target", candidate(F.col("raw"), F.col("source"), hosts, prefix)).where("target IS NOT NULL AND target <> source")
-    found = asked.join(pages.select(F.col("route").alias("target")).distinct(), "target", "left_semi")
+    found = salted_join(asked, pages.select(F.col("route").alias("target")).distinct(), "target", "source")  # a start page is linked from everywhere
     last = F.max_by(F.struct("context", F.lower(urls.unquoted(urls.fragment(F.col("raw")))).alias("target_anchor")), "at")
     once = found.groupBy("source", "target", "anchor", "section").agg(F.min("at").alias("first"), last.alias("last"))
     place = F.row_number().over(Window.partitionBy("source").orderBy("first"))

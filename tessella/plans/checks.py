@@ -54,14 +54,6 @@ def grf06(spark, d):
     return expected.join(observed, "part", "left").select("part", status.alias("status"))
 
 
-@query("hlp16_inventory_digest", f"SELECT lang, count(*) AS n, {SUM} AS digest FROM (SELECT DISTINCT lang, lang || '/' || source AS path, sha256(lang || '/' || source || chr(0) || substr(sha256(source), 1, 8)) AS h FROM documents) GROUP BY lang")
-def hlp16(spark, d):
-    """The digest of a directory's (path, hash) pairs, in any order."""
-    rows = table(spark, d, "documents").select("lang", F.concat_ws("/", "lang", "source").alias("path"), F.substring(F.sha2("source", 256), 1, 8).alias("hash")).distinct()
-    h = F.conv(F.substring(F.sha2(F.concat_ws("\0", "path", "hash"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.sum(h).cast("string")), 256).alias("digest"))
-
-
 @query("src17_migration_check", "SELECT 'old' AS side, count(*) AS n, CAST(0 AS BIGINT) AS differing FROM documents UNION ALL SELECT 'new', count(*), CAST(0 AS BIGINT) FROM documents")
 def src17(spark, d):
     """A package without its partition fields, written as JSON Lines and read again, against the old one: rows on either side that the other lacks."""

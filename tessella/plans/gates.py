@@ -133,26 +133,6 @@ def img01(spark, d):
     return _refs(spark, d).select("role", "owner", "position", image.alias("image_id"))
 
 
-@query(
-    "img02_status",
-    f"""WITH {REFS}, f AS (SELECT *, owner % 5 AS k, regexp_matches(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '{PRIVATE}') AS local FROM refs)
-    SELECT role, CASE WHEN local THEN 'unsafe_url' WHEN role = 'document' THEN 'linked_document' WHEN k IN (0, 3) AND length(alt) >= 20 THEN 'alt_text' WHEN k = 0 THEN 'http_error' WHEN k = 3 THEN 'empty' ELSE 'resolved' END AS status, count(*) AS n FROM f GROUP BY ALL""",
-)
-def img02(spark, d):
-    """What became of each image: unsafe ones aren't fetched, pages are no images, failed and empty ones fall back to a description of 20 characters."""
-    k = F.col("owner") % 5
-    fetched = F.when(F.col("role") == "document", "text/html").when(k == 0, F.lit(None)).otherwise("image/png")
-    size = F.when(k == 3, 0).otherwise(100)
-    host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#:]*)", 1))
-    rows = _refs(spark, d).select("role", "alt", host.rlike(PRIVATE).alias("local"), fetched.alias("type"), size.alias("size"))
-    failed = F.col("type").isNull() | (F.col("size") == 0)
-    status = (
-        F.when(F.col("local"), "unsafe_url").when(F.col("type") == "text/html", "linked_document").when(failed & (F.length("alt") >= 20), "alt_text").when(F.col("type").isNull(), "http_error")
-        .when(F.col("size") == 0, "empty").otherwise("resolved")
-    )
-    return rows.groupBy("role", status.alias("status")).agg(F.count("*").alias("n"))
-
-
 @query("nrm08_question_upgrade", f"WITH {REFS}, i AS (SELECT owner, string_agg('[image ' || position || '] ' || alt, chr(10) ORDER BY position) AS block FROM refs WHERE role = 'question' AND length(alt) >= 20 GROUP BY owner), {QRELS}, c AS (SELECT qid, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS cited FROM qrels GROUP BY qid) SELECT item_id AS qid, sha256(text || coalesce(chr(10) || block, '')) AS query, coalesce(cited, '') AS citations FROM benchmark LEFT JOIN i ON owner = item_id LEFT JOIN c ON qid = item_id")
 def nrm08(spark, d):
     """Questions with what their images show and the pages that they cite."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MASK, STOP_WORDS, TOKEN, paragraph_chunks, tokens, with_bigrams
-from ..operators import graph, lexical, metrics, neighbours, stats, vector
+from ..operators import graph, grep, lexical, metrics, neighbours, stats, vector
 from ..operators.passages import holding
 from ..operators.retriever import Lexicon, Retriever, TokenShare, graph_fused
 from ..storage import built, fingerprint
@@ -518,4 +518,4 @@ def agg14(spark, d):
 def lex13(spark, d):
     found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))
     wanted = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.slice(F.array_distinct(F.array_sort(found)), 1, 3)).alias("term"))
-    return lexical.grep(table(spark, d, "documents"), wanted).select("qid", "doc_id", F.round("score", 6).alias("score"))
+    return grep.search(table(spark, d, "documents"), wanted).select("qid", "doc_id", F.round("score", 6).alias("score"))
