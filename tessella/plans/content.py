@@ -69,21 +69,28 @@ def met12(spark, d):
     return N.repaired(cited, rows.select("scope", join(F.col("doc"), F.col("anchor")).alias("id")))
 
 
-@query("svc06_policy", "SELECT 1400 AS chunk_chars, 50 AS retrieval_depth, 10 AS results, 5 AS seeds, 10 AS neighbours, 2 AS hops, 20 AS degree_cap")
+@query(
+    "svc06_policy",
+    "SELECT item_id, CAST(greatest(1, least(item_id % 90, 50)) AS BIGINT) AS depth, CAST(greatest(1, least(item_id % 25, 10)) AS BIGINT) AS results, CAST(greatest(1, least(item_id % 9, 5)) AS BIGINT) AS seeds, CAST(greatest(1, least(item_id % 15, 10)) AS BIGINT) AS neighbours, CAST(greatest(1, least(item_id % 4, 2)) AS BIGINT) AS hops FROM benchmark",
+)
 def svc06(spark, d):
-    """The frozen depths and caps."""
-    names = ("chunk_chars", "retrieval_depth", "results", "seeds", "neighbours", "hops", "degree_cap")
-    return spark.createDataFrame([tuple(getattr(POLICY, n) for n in names)], ", ".join(f"{n} int" for n in names))
+    """What the frozen policy allows of each request's wishes."""
+    wishes = {"depth": (90, POLICY.retrieval_depth), "results": (25, POLICY.results), "seeds": (9, POLICY.seeds), "neighbours": (15, POLICY.neighbours), "hops": (4, POLICY.hops)}
+    return table(spark, d, "benchmark").select("item_id", *(F.greatest(F.lit(1), F.least(F.col("item_id") % n, F.lit(most))).cast("bigint").alias(name) for name, (n, most) in wishes.items()))
 
 
-STABLE = '{"b":0.75,"chunk_chars":1400,"degree_cap":20,"discovered":50,"graph_weight":0.25,"hop_decay":0.5,"hops":2,"k1":1.5,"neighbours":10,"rerank_depth":45,"results":10,"retrieval_depth":50,"routes":4,"rrf_constant":60,"seeds":5}'
+STABLE = '"b":0.75,"chunk_chars":1400,"degree_cap":20,"discovered":50,"graph_weight":0.25,"hop_decay":0.5,"hops":2,"k1":1.5,"neighbours":10,"rerank_depth":45,"results":10,"retrieval_depth":50,"routes":4,"rrf_constant":60,"seeds":5'
 
 
-@query("hlp22_stable_config", f"SELECT sha256('{STABLE}') AS fingerprint")
+@query("hlp22_stable_config", f"""SELECT item_id, sha256('{{"method":"' || (['bm25', 'dense', 'hybrid'])[CAST(item_id % 3 + 1 AS INT)] || '",{STABLE}}}') AS fingerprint FROM benchmark""")
 def hlp22(spark, d):
-    """The digest of what a run's results depend on, as canonical JSON; edge hits, overlap and collapse depth follow from the rest."""
+    """For each run, the digest of what its results depend on: its configuration as canonical JSON without times, hosts and what follows from the rest."""
     import json
 
     stable = {k: v for k, v in dataclasses.asdict(POLICY).items() if k not in ("edge_hits", "overlap_chars", "collapse_depth")}
-    text = json.dumps(stable, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    return spark.createDataFrame([(text,)], "x string").select(F.sha2("x", 256).alias("fingerprint"))
+    policy = json.dumps(stable, sort_keys=True, separators=(",", ":"), ensure_ascii=False)[1:-1]
+    method = F.element_at(F.array(*map(F.lit, ("bm25", "dense", "hybrid"))), (F.col("item_id") % 3 + 1).cast("int"))
+    run = F.to_json(F.struct(F.current_timestamp().alias("started_at"), method.alias("method"), F.lit("host-1").alias("host")))
+    kept = F.to_json(F.struct(F.get_json_object("run", "$.method").alias("method")))
+    text = F.concat(F.regexp_replace(kept, r"\}$", ","), F.lit(policy + "}"))
+    return table(spark, d, "benchmark").select("item_id", run.alias("run")).select("item_id", F.sha2(text, 256).alias("fingerprint"))

@@ -6,48 +6,49 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import urls
 from ..operators import fusion, stats
 from .registry import query, table
 from .shapes import same
-from .texts import duck, scalar
+from .texts import made, made_sql, scalar
 
 scalar(
     "txt03_url_slug", ["Some%20Heading <b>x</b>", "A {b} C", "--x--"],
-    lambda x: F.regexp_replace(F.regexp_replace(T.fold(F.regexp_replace(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), r"<[^>]+>|\{[^}]*\}", " ")), r"[^\w]+", "-"), r"^-+|-+$", ""),
+    lambda x: F.regexp_replace(F.regexp_replace(T.fold(F.regexp_replace(urls.unquoted(x), r"<[^>]+>|\{[^}]*\}", " ")), r"[^\w]+", "-"), r"^-+|-+$", ""),
     r"regexp_replace(regexp_replace(replace(lower(regexp_replace(url_decode(x), '<[^>]+>|\{[^}]*\}', ' ', 'g')), 'ß', 'ss'), '[^\w]+', '-', 'g'), '^-+|-+$', '', 'g')",
+    ["Some%20Heading <b>§lang§</b>", "A {§source§} §id§", "--§lang§--", "§text§"], digest=True,
 )
-scalar("txt11_frontmatter", ["---\ntitle: T\nversions: v1\n---\nbody", "no front", "---\nbroken"], lambda x: F.concat_ws("|", F.regexp_extract(x, r"(?s)^---\n.*?(?:^|\n)title: *([^\n]*)", 1), F.regexp_replace(x, r"(?s)^---\n.*?\n---\n", "")), r"concat_ws('|', regexp_extract(x, '(?s)^---\n.*?(?:^|\n)title: *([^\n]*)', 1), regexp_replace(x, '(?s)^---\n.*?\n---\n', ''))")
-scalar("txt13_redirects", ["redirect_from:\n  - /a/b\n  - /c\nother: x", "none"], lambda x: F.array_join(F.regexp_extract_all(x, F.lit(r"\n  - (/[^\n]+)"), F.lit(1)), ","), r"array_to_string(regexp_extract_all(x, '\n  - (/[^\n]+)', 1), ',')")
-scalar("txt35_prose_links", ["see [label](http://x) and http://y.z ok", "`[code](u)`"], lambda x: F.regexp_replace(F.regexp_replace(x, r"\[([^\]]+)\]\([^)]*\)", "$1"), r"(^|\s)(https?://\S+)", "$1`$2`"), r"regexp_replace(regexp_replace(x, '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '(^|\s)(https?://\S+)', '\1`\2`', 'g')")
-scalar("txt45_enriched_query", ["how to log in", "see screenshot of login error"], lambda x: F.when(F.contains(F.lower(x), F.lit("login error")), x).otherwise(F.concat(x, F.lit("\nlogin error"))), "CASE WHEN contains(lower(x), 'login error') THEN x ELSE x || chr(10) || 'login error' END")
-scalar("hlp20_tool_paths", ["./docs//a.md", "/root/docs/b.md:12", "c.md"], lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\./", ""), "/+", "/"), r":\d+$", ""), r"regexp_replace(regexp_replace(regexp_replace(x, '^\./', ''), '/+', '/', 'g'), ':\d+$', '')")
-scalar("txt34_search_terms", ["find \"exact phrase\" in `my_func` please", "plain longer words"], lambda x: F.array_join(F.slice(F.concat(F.regexp_extract_all(x, F.lit(r"[\"`]([^\"`]+)[\"`]"), F.lit(1)), F.regexp_extract_all(F.regexp_replace(x, r"[\"`][^\"`]+[\"`]", ""), F.lit(r"[a-z_]{5,}"), F.lit(0))), 1, 3), "|"), r"""array_to_string(list_slice(list_concat(regexp_extract_all(x, '["`]([^"`]+)["`]', 1), regexp_extract_all(regexp_replace(x, '["`][^"`]+["`]', '', 'g'), '[a-z_]{5,}')), 1, 3), '|')""")
+scalar("txt11_frontmatter", ["---\ntitle: T\nversions: v1\n---\nbody", "no front", "---\nbroken"], lambda x: F.concat_ws("|", F.regexp_extract(x, r"(?s)^---\n.*?(?:^|\n)title: *([^\n]*)", 1), F.regexp_replace(x, r"(?s)^---\n.*?\n---\n", "")), r"concat_ws('|', regexp_extract(x, '(?s)^---\n.*?(?:^|\n)title: *([^\n]*)', 1), regexp_replace(x, '(?s)^---\n.*?\n---\n', ''))", ["---\ntitle: §lang§ T\nversions: v§id§\n---\n§text§", "§text§", "---\nbroken §id§"], digest=True)
+scalar("txt13_redirects", ["redirect_from:\n  - /a/b\n  - /c\nother: x", "none"], lambda x: F.array_join(F.regexp_extract_all(x, F.lit(r"\n  - (/[^\n]+)"), F.lit(1)), ","), r"array_to_string(regexp_extract_all(x, '\n  - (/[^\n]+)', 1), ',')", ["redirect_from:\n  - /a/§lang§\n  - /c/§id§\nother: x\n§text§", "§text§"])
+scalar("txt35_prose_links", ["see [label](http://x) and http://y.z ok", "`[code](u)`"], lambda x: F.regexp_replace(F.regexp_replace(x, r"\[([^\]]+)\]\([^)]*\)", "$1"), r"(^|\s)(https?://\S+)", "$1`$2`"), r"regexp_replace(regexp_replace(x, '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '(^|\s)(https?://\S+)', '\1`\2`', 'g')", ["see [label §lang§](http://x/§id§) and http://y.z ok\n§text§", "`[code](u)` §id§"], digest=True)
+scalar("txt45_enriched_query", ["how to log in", "see screenshot of login error"], lambda x: F.when(F.contains(F.lower(x), F.lit("login error")), x).otherwise(F.concat(x, F.lit("\nlogin error"))), "CASE WHEN contains(lower(x), 'login error') THEN x ELSE x || chr(10) || 'login error' END", ["how to log in §lang§", "see screenshot of login error §id§", "§text§"], digest=True)
+scalar("hlp20_tool_paths", ["./docs//a.md", "/root/docs/b.md:12", "c.md"], lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\./", ""), "/+", "/"), r":\d+$", ""), r"regexp_replace(regexp_replace(regexp_replace(x, '^\./', ''), '/+', '/', 'g'), ':\d+$', '')", ["./docs//§lang§/§id§.md", "/root/docs/§source§.md:12", "§id§.md"])
+scalar("txt34_search_terms", ["find \"exact phrase\" in `my_func` please", "plain longer words"], lambda x: F.array_join(F.slice(F.concat(F.regexp_extract_all(x, F.lit(r"[\"`]([^\"`]+)[\"`]"), F.lit(1)), F.regexp_extract_all(F.regexp_replace(x, r"[\"`][^\"`]+[\"`]", ""), F.lit(r"[a-z_]{5,}"), F.lit(0))), 1, 3), "|"), r"""array_to_string(list_slice(list_concat(regexp_extract_all(x, '["`]([^"`]+)["`]', 1), regexp_extract_all(regexp_replace(x, '["`][^"`]+["`]', '', 'g'), '[a-z_]{5,}')), 1, 3), '|')""", ["find \"exact §lang§\" in `my_func` please", "§text§"])
 
-LINKS = ["a [one](x.md#s) b [two](/y)", "![img](p.png) [three](z)"]
+LINKS = ["a [one §id§](x/§lang§.md#s) b [two](/y)\n§text§", "![img §source§](p§id§.png) [three](z)\n§text§ ![](q.gif)", "§text§"]
 
 
-@query("txt23_markdown_links", rf"SELECT id, anchor, target FROM (SELECT id, unnest(regexp_extract_all(x, '\[([^\]]+)\]\(([^)\s]+)\)', 1)) AS anchor, unnest(regexp_extract_all(x, '\[([^\]]+)\]\(([^)\s]+)\)', 2)) AS target FROM {duck(*LINKS)})")
+@query("txt23_markdown_links", rf"SELECT id, anchor, target FROM (SELECT id, unnest(regexp_extract_all(x, '\[([^\]]+)\]\(([^)\s]+)\)', 1)) AS anchor, unnest(regexp_extract_all(x, '\[([^\]]+)\]\(([^)\s]+)\)', 2)) AS target FROM (SELECT doc_id AS id, {made_sql('documents', LINKS)} AS x FROM documents))")
 def txt23(spark, d):
     p = r"\[([^\]]+)\]\(([^)\s]+)\)"
-    rows = spark.createDataFrame(list(enumerate(LINKS)), "id int, x string")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), made("documents", LINKS).alias("x"))
     both = F.arrays_zip(F.regexp_extract_all("x", F.lit(p), F.lit(1)).alias("anchor"), F.regexp_extract_all("x", F.lit(p), F.lit(2)).alias("target"))
     return rows.select("id", F.explode(both).alias("l")).select("id", "l.anchor", "l.target")
 
 
-@query("txt26_images", rf"SELECT id, unnest(regexp_extract_all(x, '!\[[^\]]*\]\(([^)\s]+)\)', 1)) AS url FROM {duck(*LINKS)}")
+@query("txt26_images", rf"SELECT id, unnest(regexp_extract_all(x, '!\[[^\]]*\]\(([^)\s]+)\)', 1)) AS url FROM (SELECT doc_id AS id, {made_sql('documents', LINKS)} AS x FROM documents)")
 def txt26(spark, d):
-    rows = spark.createDataFrame(list(enumerate(LINKS)), "id int, x string")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), made("documents", LINKS).alias("x"))
     return rows.select("id", F.explode(F.regexp_extract_all("x", F.lit(r"!\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1))).alias("url"))
 
 
-QA = ['<script type="application/ld+json">{"@type": "QAPage", "mainEntity": {"name": "How?", "acceptedAnswer": {"text": "So."}}}</script>', "<p>no script</p>"]
-
-
-@query("txt29_json_ld", f"SELECT id, json_extract_string(j, '$.mainEntity.name') AS question, json_extract_string(j, '$.mainEntity.acceptedAnswer.text') AS answer FROM (SELECT id, regexp_extract(x, '<script type=\"application/ld\\+json\">(.*?)</script>', 1) AS j FROM {duck(*QA)}) WHERE j <> ''")
+@query("txt29_json_ld", "SELECT page_id, 'T ' || page_id AS question, '<div>See <a href=\"https://o.example/' || page_id || '\">that</a><br><IMG SRC=//cdn.example/' || page_id || '.gif></div>' AS answer FROM pages WHERE page_id % 4 <> 3")
 def txt29(spark, d):
-    j = F.regexp_extract("x", r'<script type="application/ld\+json">(.*?)</script>', 1)
-    rows = spark.createDataFrame(list(enumerate(QA)), "id int, x string").select("id", j.alias("j")).where("j <> ''")
-    return rows.select("id", F.get_json_object("j", "$.mainEntity.name").alias("question"), F.get_json_object("j", "$.mainEntity.acceptedAnswer.text").alias("answer"))
+    """The question and answer of each page with structured data, however deep they stand, as HTML."""
+    from ..operators import qa
+    from .docs import question_files
+
+    return qa.questions(question_files(spark, d), "page_id", "html", "url").select("page_id", F.col("name").alias("question"), "answer")
 
 
 @query("txt33_shingles", r"SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(len(list_distinct(list_transform(range(1, greatest(1, len(w) - 1)), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]))) AS BIGINT) AS n_shingles FROM (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{M}\p{N}_]+') AS w FROM documents)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from .registry import query, sql_query, table
 
 
@@ -77,17 +78,20 @@ def agg11(spark, d):
     return table(spark, d, "documents").select(F.explode(F.filter(checks, lambda e: e.isNotNull())).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-LINKS = "(VALUES (1, 2), (2, 3), (3, 1), (4, 5), (5, 6), (6, CAST(NULL AS INT))) AS t(id, target)"
-
-
-@query("val02_closure", f"WITH RECURSIVE r(root, node, path) AS (SELECT id, id, [id] FROM {LINKS} UNION ALL SELECT root, target, list_append(path, target) FROM r JOIN {LINKS} ON t.id = r.node WHERE target IS NOT NULL AND NOT list_contains(path, target)) SELECT root, CAST(count(*) AS BIGINT) AS reached FROM r GROUP BY root")
+@query(
+    "val02_closure",
+    """WITH RECURSIVE t AS (SELECT doc_id AS id, CASE WHEN doc_id % 6 < 5 THEN doc_id + 1 WHEN doc_id % 12 = 5 THEN doc_id - 5 END AS target FROM documents),
+    r(root, node) AS (SELECT id, id FROM t UNION SELECT root, target FROM r JOIN t ON t.id = r.node WHERE target IS NOT NULL)
+    SELECT root, count(*) AS reached, coalesce(bool_or(node <> root AND b.id IS NOT NULL), false) AS in_cycle FROM r LEFT JOIN t b ON b.id = r.node AND b.target = r.root GROUP BY root""",
+)
 def val02(spark, d):
-    """Recursive linked answers with cycle detection (VAL02) and closure of linked files (SRC14)."""
-    spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (5, 6), (6, None)], "id int, target int").createOrReplaceTempView("answer_links")
-    return spark.sql(
-        """WITH RECURSIVE r(root, node, path) AS (SELECT id, id, array(id) FROM answer_links UNION ALL SELECT r.root, l.target, array_append(r.path, l.target) FROM r JOIN answer_links l ON l.id = r.node
-        WHERE l.target IS NOT NULL AND NOT array_contains(r.path, l.target)) SELECT root, count(*) AS reached FROM r GROUP BY root"""
-    )
+    """What each answer leads to by its linked answers, chains of six and cycles of six, hop by hop until nothing new is met."""
+    i = F.col("doc_id")
+    target = F.when(i % 6 < 5, i + 1).when(i % 12 == 5, i - 5)
+    t = table(spark, d, "documents").select(i.alias("source_id"), target.alias("target_id")).where("target_id IS NOT NULL")
+    met = graph.closure(table(spark, d, "documents").select(i.alias("root")), t)
+    back = t.select(F.col("source_id").alias("node"), F.col("target_id").alias("root"), F.lit(True).alias("back"))
+    return met.join(back, ["node", "root"], "left").groupBy("root").agg(F.count("*").alias("reached"), F.coalesce(F.bool_or((F.col("node") != F.col("root")) & F.col("back")), F.lit(False)).alias("in_cycle"))
 
 
 @query("win05_prior_occurrences", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS prior FROM conversations")
