@@ -2,36 +2,57 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..config import POLICY
 from ..functions.text import tokens, with_bigrams
 
 #: Rows of question terms that are broadcast at most; more are joined in a shuffle.
 BROADCAST_TERMS = 500_000
+#: Units that are counted at once; tasks that a term's postings are dealt to.
+UNITS, SALTS = 256, 16
 
 
 def postings(units: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(columns of ``units`` but the text, term, tf, dl): a row per unit and distinct term.
+    """(columns of ``units`` but the text, dl, term, tf): a row per unit and distinct term. A unit without terms has no row.
 
-    Term frequencies are run lengths of a unit's sorted terms, so nothing is shuffled. A unit without terms has no row.
+    Tokens are made in the JVM and counted UNITS units at a time where they lie, so nothing is shuffled.
     """
     others = [c for c in units.columns if c != text]
-    # the words are a column of their own: a project that uses an expensive column several times is not collapsed into it
     words = units.select(*others, tokens(F.col(text)).alias("_words"))
-    terms = words.select(*others, F.array_sort(with_bigrams(F.col("_words"))).alias("_terms")).where(F.size("_terms") > 0)
-    place = F.sequence(F.lit(0), F.size("_terms") - 1)
-    starts = F.filter(place, lambda i: (i == 0) | (F.get("_terms", i) != F.get("_terms", F.greatest(i - 1, F.lit(0)))))
-    runs = terms.select(*others, "_terms", starts.alias("_starts"))
-    each = F.transform("_starts", lambda s, j: F.struct(F.get("_terms", s).alias("term"), (F.coalesce(F.get("_starts", j + 1), F.size("_terms")) - s).cast("double").alias("tf")))
-    out = runs.select(*others, F.size("_terms").cast("double").alias("dl"), F.explode(each).alias("_t"))
-    return out.select(*others, "dl", "_t.term", "_t.tf")
+    schema = StructType([*(units.schema[c] for c in others), StructField("dl", DoubleType()), StructField("term", StringType()), StructField("tf", DoubleType())])
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, UNITS):
+                yield counted(whole.slice(at, UNITS))
+
+    def counted(batch):
+        row, length, term, tf = [], [], [], []
+        for i, w in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            counts = Counter(w or ())
+            counts.update(map(" ".join, pairwise(w or ())))  # stop words are gone by then, so a pair may span one
+            row.append(len(counts))
+            length.append(max(0, 2 * len(w or ()) - 1))
+            term += counts.keys()
+            tf += counts.values()
+        at = np.repeat(np.arange(len(row)), row)
+        kept = [c.take(pa.array(at)) for c in batch.columns[:-1]]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(np.array(length, np.float64)[at]), pa.array(term, pa.string()), pa.array(np.array(tf, np.float64))], schema.names)
+
+    return words.mapInArrow(run, schema)
 
 
 def by_term(found: DataFrame, key: str) -> DataFrame:
-    """Postings as they are stored: in ranges of term and key, so a common term spans several files and a scan skips what isn't asked for."""
-    return found.repartitionByRange("term", key).sortWithinPartitions("term", key)
+    """Postings as they are stored: dealt by term, a common one over SALTS tasks, and sorted, so a scan skips the pages of a file that it isn't asked for."""
+    return found.repartition("term", F.pmod(F.xxhash64(key), F.lit(SALTS))).sortWithinPartitions("term", key)
 
 
 def vocabulary(found: DataFrame, min_df: int = 1, max_features: int | None = None) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..config import POLICY
 from ..functions.text import tokens
@@ -18,6 +20,8 @@ from .lexical import top
 BLOCK = 4096
 #: Scores that a task holds at once.
 SCORES = 1 << 22
+#: Words whose places a task remembers.
+WORDS = 200_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,24 +43,38 @@ class HashedTokens:
         self.size, self.name = size, f"hashed-tokens-{size}"
 
     def encode(self, units: DataFrame, key: str, text: str = "text") -> DataFrame:
-        """Sums of a unit are made in its own partition before the shuffle by key; a unit without tokens has the zero vector."""
+        """Every unit where it lies; one without tokens has the zero vector."""
         others = [c for c in units.columns if c != text]
         words = units.select(*others, tokens(F.col(text)).alias("_words"))
-        digest = F.md5("token")
-        place = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % self.size).cast("int")
-        sign = F.when(F.substring(digest, 9, 1) < "8", 1).otherwise(-1)
-        parts = words.select(key, F.explode("_words").alias("token")).select(key, place.alias("i"), sign.alias("s")).groupBy(key, "i").agg(F.sum("s").alias("v"))
-        value = F.collect_list(F.struct("i", "v"))  # ``size`` at most
-        sums = parts.groupBy(key).agg(F.map_from_entries(value).alias("m"))
-        dims = F.transform(F.sequence(F.lit(0), F.lit(self.size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
-        raw = units.drop(text).join(sums, key, "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,bigint>"))).withColumn("raw", dims)
-        norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
-        return raw.withColumn("norm", norm).select(*others, F.transform("raw", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)).alias("embedding"))
-
-
-def cached(provider: EmbeddingProvider, source: DataFrame, units: DataFrame, key: str) -> DataFrame:
-    """Vectors of ``units``, made once for the model's name and the files that the units come from (SRC09)."""
-    return built(source, f"vectors-{provider.name}", lambda: provider.encode(units, key))
+        schema = StructType([*(units.schema[c] for c in others), StructField("embedding", ArrayType(DoubleType()))])
+        size = self.size
+
+        def place(word: str, known: dict[str, tuple[int, int]]) -> tuple[int, int]:
+            digest = hashlib.md5(word.encode()).hexdigest()
+            found = int(digest[:8], 16) % size, 1 if digest[8] < "8" else -1
+            if len(known) < WORDS:
+                known[word] = found
+            return found
+
+        def run(batches):
+            known: dict[str, tuple[int, int]] = {}
+            for batch in batches:
+                raw = np.zeros((batch.num_rows, size))
+                for i, ws in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                    for w in ws or ():
+                        at, sign = known.get(w) or place(w, known)
+                        raw[i, at] += sign
+                norm = np.sqrt((raw * raw).sum(1, keepdims=True))
+                unit = np.divide(raw, norm, out=np.zeros_like(raw), where=norm > 0)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, size), pa.int32()), pa.array(unit.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], schema.names)
+
+        return words.mapInArrow(run, schema)
+
+
+def cached(provider: EmbeddingProvider, source: DataFrame, units: DataFrame, key: str, mark: str | None = None) -> DataFrame:
+    """Vectors of ``units``, made once for the model's name and the files that the units come from; ``operators.cache`` has them by content."""
+    return built(source, f"vectors-{provider.name}", lambda: provider.encode(units, key), mark)
 
 
 def blocks(questions: DataFrame) -> list[DataFrame]:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import MASK, STOP_WORDS, TOKEN, paragraph_chunks, tokens, with_bigrams
+from ..functions.text import MASK, STOP_WORDS, TOKEN, packed, paragraph_chunks, tokens, with_bigrams
 from ..operators import graph, grep, lexical, metrics, neighbours, stats, vector
 from ..operators.passages import holding
 from ..operators.retriever import Lexicon, Retriever, TokenShare, graph_fused
@@ -106,23 +107,28 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("project"), route.alias("route"), title.alias("title"))
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
+def chunks(spark: SparkSession, d: str, mark: str | None = None) -> DataFrame:
     """The chunk table (CHK02), written once; chunk_ord is doc_id and place, no global numbering is needed."""
     source = table(spark, d, "documents")
 
+    def cut(batches):
+        for batch in batches:
+            texts = pa.array([packed(x or "") for x in batch.column(4).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], texts], [*batch.schema.names[:4], "parts"])
+
     def make() -> DataFrame:
-        parts = paragraph_chunks(F.coalesce("text", F.lit("")))
-        docs = documents(spark, d).withColumn("parts", parts).withColumn("parts", F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array("title")))
+        docs = documents(spark, d).select("doc_id", "project", "route", "title", "text").mapInArrow(cut, "doc_id long, project string, route string, title string, parts array<string>")
+        docs = docs.withColumn("parts", F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array("title")))
         out = docs.select("doc_id", "project", "route", "title", F.posexplode("parts").alias("at", "part"))
         return out.select(
             "doc_id", "project", "route", "title", (F.col("doc_id") * 100_000 + F.col("at")).alias("chunk_ord"),
             F.format_string("%d::c%04d", "doc_id", "at").alias("chunk_id"), F.concat_ws("\n", "title", F.col("doc_id").cast("string"), "part").alias("text"),
         )
 
-    return built(source, "chunks", make)
+    return built(source, "chunks", make, mark)
 
 
-def links(spark: SparkSession, d: str) -> DataFrame:
+def links(spark: SparkSession, d: str, mark: str | None = None) -> DataFrame:
     """Links between pages, two a page: (edge, source_id, target_id, project of both ends or null, text). The driver's documents have
     none, so targets are computed; their text is made of titles, section, anchor and context as for any link (LEX12)."""
     source = table(spark, d, "documents")
@@ -138,7 +144,7 @@ def links(spark: SparkSession, d: str) -> DataFrame:
         text = F.array_join(F.filter(F.array(*fields), lambda x: x != ""), "\n")
         return both.select("edge", F.col("doc_id").alias("source_id"), "target_id", F.when(F.col("project") == F.col("target_project"), F.col("project")).alias("project"), text.alias("text"))
 
-    return built(source, "links", make)
+    return built(source, "links", make, mark)
 
 
 LINKS = """n AS (SELECT max(doc_id) + 1 AS size FROM documents),
@@ -151,12 +157,13 @@ links AS (SELECT edge, source_id, target_id, CASE WHEN a.project = b.project THE
 def retriever(spark: SparkSession, d: str) -> Retriever:
     """The indexes of a set of tables, written at the first question and read by all others."""
     source, provider = table(spark, d, "documents"), vector.HashedTokens()
-    units, edges = chunks(spark, d), links(spark, d)
+    mark = fingerprint(source)
+    units, edges = chunks(spark, d, mark), links(spark, d, mark)
     routed = lexical.route_texts(documents(spark, d)).withColumn("project", F.substring_index("route", "/", 1))
     return Retriever(
-        units, Lexicon.of(source, "chunks", units.select("chunk_ord", "doc_id", "project", "route", "text"), "chunk_ord"),
-        vector.cached(provider, source, units.select("chunk_ord", "doc_id", "project", "text"), "chunk_ord"),
-        Lexicon.of(source, "routes", routed, "route"), Lexicon.of(source, "links", edges.select("edge", "project", "text"), "edge"), edges.drop("text"), provider, TokenShare(),
+        units, Lexicon.of(source, "chunks", units.select("chunk_ord", "doc_id", "project", "route", "text"), "chunk_ord", mark),
+        vector.cached(provider, source, units.select("chunk_ord", "doc_id", "project", "text"), "chunk_ord", mark),
+        Lexicon.of(source, "routes", routed, "route", mark), Lexicon.of(source, "links", edges.select("edge", "project", "text"), "edge", mark), edges.drop("text"), provider, TokenShare(),
     )
 
 

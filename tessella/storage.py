@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import uuid
@@ -9,9 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables built in this process: (application, name, what they are made of) to the folder they lie in.
-_BUILT: dict[tuple[str, str, str], str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a local session without one gets a folder of its own, a cluster an error."""
@@ -33,30 +31,48 @@ def parked(df: DataFrame, name: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> str:
-    """Of the files that ``df`` reads: their paths, and the sizes and times of change that their file system gives."""
+    """Of the files that ``df`` reads: their paths, and the sizes and times of change that their file system gives, a listing a folder."""
     spark, out = df.sparkSession, []
     path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
-    for file in sorted(df.inputFiles()):
-        path = path_of(file)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        out.append(f"{file}\0{status.getLen()}\0{status.getModificationTime()}")
-    return hashlib.sha256("\n".join(out).encode()).hexdigest()
-
-
-def built(source: DataFrame, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that ``make`` gives for ``source``, written once a session and read wherever it is asked for again.
-
-    It is made anew if a file of ``source`` changes, or if the written table has been deleted.
+    files = sorted(df.inputFiles())
+    for folder in sorted({f.rsplit("/", 1)[0] for f in files}):
+        path = path_of(folder)
+        for status in path.getFileSystem(conf).listStatus(path):
+            out.append(f"{status.getPath().toUri().getPath()}\0{status.getLen()}\0{status.getModificationTime()}")
+    names = {spark._jvm.java.net.URI(f).getPath() for f in files} if len(files) < 10_000 else None
+    kept = out if names is None else [x for x in out if x.split("\0")[0] in names]
+    return hashlib.sha256("\n".join(sorted(kept)).encode()).hexdigest()
+
+
+@functools.cache
+def _code() -> str:
+    """The digest of the library's sources: an index that other code made is not this code's index."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    out = hashlib.sha256()
+    for folder, folders, names in os.walk(here):
+        folders[:] = sorted(f for f in folders if f not in ("llm", "__pycache__"))
+        for name in sorted(n for n in names if n.endswith(".py")):
+            with open(os.path.join(folder, name), "rb") as f:
+                out.update(f.read())
+    return out.hexdigest()
+
+
+def built(source: DataFrame, name: str, make: Callable[[], DataFrame], mark: str | None = None) -> DataFrame:
+    """The table that ``make`` gives for ``source``, written once and read wherever, and by whatever session, it is asked for again.
+
+    It is made anew if a file of ``source`` or the library's code changes, or if the written table has been deleted. It is
+    written beside its place and renamed, so what is there is whole. ``mark`` is the source's fingerprint where it is known.
     """
     spark = source.sparkSession
-    key = (spark.sparkContext.applicationId, name, fingerprint(source))
-    if key in _BUILT:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_BUILT[key])
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            return spark.read.parquet(_BUILT[key])
-    path = f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
-    make().write.option("compression", "zstd").parquet(path)
-    _BUILT[key] = path
+    key = hashlib.sha256("\0".join((name, mark or fingerprint(source), _code())).encode()).hexdigest()[:32]
+    path = f"{shared_dir(spark)}/tessella-{name}-{key}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        beside = f"{path}-{uuid.uuid4().hex}"
+        make().write.option("compression", "zstd").parquet(beside)
+        if exists(spark, path):  # another run was faster, or an older one left a part
+            delete(spark, path if not exists(spark, f"{path}/_SUCCESS") else beside)
+        if exists(spark, beside):
+            rename(spark, beside, path)
     return spark.read.parquet(path)
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.config import POLICY
-from tessella.functions.text import paragraph_chunks
+from tessella.functions.text import packed, paragraph_chunks
 from tessella.operators import fusion, graph, lexical, metrics, neighbours, stats, vector
 from tessella.operators.passages import holding
 from tessella.plans import retrieval
@@ -227,6 +227,18 @@ def test_passages(spark):
     assert got == sorted((i, k) for i, t in passages if t for k, x in docs if x and t in x)
 
 
+def test_chunks_of_a_worker(spark):
+    """The worker's packing against the column's."""
+    import random
+
+    r = random.Random(3)
+    texts = ["".join(r.choice(["a", "bc ", "\n", "\n\n", " \u2003", "é", "x" * 50]) for _ in range(r.randint(0, 120))) for _ in range(150)] + [t for _, t in CHUNK_FIXTURE]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, x string")
+    for size, overlap in ((1400, 180), (60, 10)):
+        got = {x.id: x.c for x in df.select("id", paragraph_chunks(F.col("x"), size, overlap).alias("c")).collect()}
+        assert all(packed(t, size, overlap) == got[i] for i, t in enumerate(texts))
+
+
 def test_indexes_are_written_once(spark, tmp_path):
     path = f"{tmp_path}/t.parquet"
     spark.range(3).write.parquet(path)
@@ -248,7 +260,7 @@ def plan_of(df):
 def test_plans(spark):
     docs, q = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("item_id as qid", "text")
     plan = plan_of(lexical.postings(docs.select("doc_id", "text"), "doc_id"))
-    assert "Python" not in plan and "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     plan = plan_of(retrieval.retriever(spark, SF).lexicon.scores(q, ["chunk_ord"]))
     assert "Python" not in plan and "CartesianProduct" not in plan and plan.count("ENSURE_REQUIREMENTS") <= 6
     nearest = plan_of(vector.nearest(spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 3").selectExpr("cast(vec_id as bigint) qid", "embedding"), spark.read.parquet(f"{SF}/embeddings.parquet"), 5))
