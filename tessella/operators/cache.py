@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import delete, exists, listed, parked, rename, shared_dir
+from .lexical import few
 from .vector import EmbeddingProvider
 
+#: Texts whose digests are broadcast to be encoded where they lie.
+FEW = 200_000
 SCHEMA = "digest string, embedding array<double>"
 
 
@@ -30,24 +33,33 @@ class ContentCache:
         self.spark, self.provider, self.encoded = spark, provider, 0
         self.folder = folder or f"{shared_dir(spark)}/tessella-vectors-{sha256(provider.name.encode()).hexdigest()[:16]}"
 
-    def known(self) -> DataFrame:
+    def stored(self) -> DataFrame:
+        """(digest, embedding) as it was written."""
         batches = [f"{self.folder}/{n}" for n in listed(self.spark, self.folder) if n.startswith("batch-")]
-        if not batches:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(*batches).dropDuplicates(["digest"])
+        return self.spark.read.schema(SCHEMA).parquet(*batches) if batches else self.spark.createDataFrame([], SCHEMA)
+
+    def known(self) -> DataFrame:
+        """The same, a row a digest."""
+        return self.stored().groupBy("digest").agg(F.first("embedding").alias("embedding"))
 
     def vectors(self, units: DataFrame, key: str, text: str = "text") -> DataFrame:
-        """``units`` with ``embedding`` in place of the text. Only texts that the cache lacks are encoded, each once."""
-        rows = parked(units.withColumn("digest", address(self.provider.name, F.col(text))), "addressed")
-        missing = rows.select("digest", F.coalesce(text, F.lit("")).alias("text")).dropDuplicates(["digest"]).join(self.known().select("digest"), "digest", "left_anti")
+        """``units``, whose keys differ, with ``embedding`` in place of the text. Only texts that the cache lacks are encoded, each once.
+
+        What is compared are digests; a text leaves its place only if it is encoded, and not even then while FEW or fewer are.
+        """
+        addressed = units.withColumn("digest", address(self.provider.name, F.col(text)))
+        wanted = parked(addressed.select(key, "digest"), "addressed")
+        missing = wanted.groupBy("digest").agg(F.min(key).alias(key)).join(self.stored().select("digest"), "digest", "left_anti")
+        chosen = few(parked(missing, "missing"), FEW)
+        texts = addressed.join(chosen, [key, "digest"], "left_semi").select("digest", F.coalesce(text, F.lit("")).alias("text"))
         staged = f"{self.folder}/staged-{uuid.uuid4().hex}"
-        self.provider.encode(missing, "digest").select("digest", "embedding").write.parquet(staged)
+        self.provider.encode(texts, "digest").select("digest", "embedding").write.parquet(staged)
         self.encoded = self.spark.read.schema(SCHEMA).parquet(staged).count()
         if self.encoded:
             rename(self.spark, staged, f"{self.folder}/batch-{uuid.uuid4().hex}")
         else:
             delete(self.spark, staged)
-        return rows.drop(text).join(self.known(), "digest").drop("digest")
+        return wanted.join(units.drop(text), key).join(self.known(), "digest").drop("digest") if len(units.columns) > 2 else wanted.join(self.known(), "digest").drop("digest")
 
     def clear(self) -> None:
         if exists(self.spark, self.folder):
