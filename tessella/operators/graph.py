@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -139,12 +140,12 @@ def _claim_branch(seeds: DataFrame, claims: DataFrame, cap: int, policy: Policy)
     return _first(found, ["doc_id", "predicate"], policy).select("qid", "seed", "doc_id", F.lit(CLAIM_WEIGHT).alias("weight"), F.concat(F.lit("claim:"), F.col("predicate")).alias("path"), F.lit(1).alias("hops"))
 
 
-def expanded(seeds: DataFrame, edges: DataFrame, mentions: DataFrame, claims: DataFrame, relevance: DataFrame, policy: Policy = POLICY) -> DataFrame:
+def expanded(seeds: DataFrame, edges: DataFrame, mentions: DataFrame, claims: DataFrame, relevance: Callable[[DataFrame], DataFrame], policy: Policy = POLICY) -> DataFrame:
     """(qid, doc_id, score, hops, seeds, paths, rank) that a bounded typed expansion reaches (GRF12).
 
     ``seeds``: (qid, doc_id, rank), the first ones of each question count; ``edges``: (source_id, target_id, edge);
-    ``mentions``: (doc_id, kind, entity); ``claims``: (claim_id, doc_id, subject, predicate, object); ``relevance``: (qid,
-    doc_id, cosine), a page's best. Of every seed five branches give ``neighbours`` pages each, the best of all those by
+    ``mentions``: (doc_id, kind, entity); ``claims``: (claim_id, doc_id, subject, predicate, object); ``relevance``
+    gives (qid, doc_id, cosine), a page's best, for the (qid, doc_id) that are reached. Of every seed five branches give ``neighbours`` pages each, the best of all those by
     weight go on. A page scores its largest weight times its relevance, plus 1 / (60 + its first seed's rank).
     """
     few = seeds.where(F.col("rank") <= policy.seeds)
@@ -157,7 +158,8 @@ def expanded(seeds: DataFrame, edges: DataFrame, mentions: DataFrame, claims: Da
     kept = _first(found, [F.desc("weight"), "hops", "doc_id", "path"], policy)
     kept = kept.join(few.select("qid", F.col("doc_id").alias("seed"), F.col("rank").alias("seed_rank")), ["qid", "seed"])
     out = kept.groupBy("qid", "doc_id").agg(F.max("weight").alias("w"), F.min("seed_rank").alias("r"), F.min("hops").alias("hops"), F.array_sort(F.collect_set("seed")).alias("seeds"), F.array_sort(F.collect_set("path")).alias("paths"))
-    out = out.join(relevance, ["qid", "doc_id"], "left")
+    out = parked(out, "reached")  # seeds times neighbours a question
+    out = out.join(relevance(out.select("qid", "doc_id")), ["qid", "doc_id"], "left")
     score = F.round(F.col("w") * F.greatest(F.lit(0.0), F.coalesce("cosine", F.lit(0.0))) + 1.0 / (60.0 + F.col("r")), 9)
     out = out.select("qid", "doc_id", score.alias("score"), "hops", "seeds", "paths")
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")))

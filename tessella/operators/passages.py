@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from .lexical import few
 
@@ -21,7 +25,7 @@ def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
     A passage's key is its longest inner word, one that other signs enclose: a text that holds the passage has that very
     word. Texts are joined by their distinct words with the keys, and only those that meet are searched. Passages without
-    an inner word, a few signs long, go to all texts; so do no others. Empty passages stand in every text and are left out.
+    an inner word, a few signs long, are looked for in all texts as one automaton. Empty passages stand in every text and are left out.
     """
     inner = F.filter(F.transform(F.split("passage", r"[\x00-\x40\x5B-\x60\x7B-\x7F]", -1), lambda w, i: F.struct(F.length(w).alias("n"), w.alias("w"), i.alias("i"))), lambda s: s["w"] != "")
     last = F.size(F.split("passage", r"[\x00-\x40\x5B-\x60\x7B-\x7F]", -1)) - 1
@@ -31,5 +35,35 @@ def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
     words = docs.select("doc_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("key"))
     pairs = words.join(few(with_key.select("qid", "key"), BROADCAST_PASSAGES), "key").select("doc_id", "qid")
     checked = docs.join(pairs, "doc_id").join(few(passages, BROADCAST_PASSAGES), "qid").where(F.contains("text", F.col("passage"))).select("qid", "doc_id")
-    short = few(without.select("qid", "passage"), BROADCAST_PASSAGES)
-    return checked.union(docs.join(short, F.contains(F.col("text"), F.col("passage"))).select("qid", "doc_id"))
+    short = without.select("qid", "passage")
+    return checked.union(_short(docs, short))
+
+
+def _short(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """The same for passages of a few signs: one automaton of all of them, BROADCAST_PASSAGES a pass, over each text once."""
+    n = max(1, -(-passages.count() // BROADCAST_PASSAGES))
+    found = None
+    kinds = [to_arrow_type(f.dataType) for f in (passages.schema["qid"], docs.schema["doc_id"])]
+    schema = StructType([passages.schema["qid"], docs.schema["doc_id"]])
+    for k in range(n):
+        rows = passages.where(F.pmod(F.xxhash64("qid", "passage"), F.lit(n)) == k).collect()  # about BROADCAST_PASSAGES
+        asked: dict[str, list] = {}
+        for r in rows:
+            asked.setdefault(r.passage, []).append(r.qid)
+
+        def run(batches, asked=asked):
+            automaton = ahocorasick.Automaton()
+            for p in asked:
+                automaton.add_word(p, p)
+            automaton.make_automaton()
+            for batch in batches:
+                qids, ids = [], []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    for p in {p for _, p in automaton.iter(text or "")} if asked else ():
+                        qids += asked[p]
+                        ids += [doc_id] * len(asked[p])
+                yield pa.RecordBatch.from_arrays([pa.array(qids, kinds[0]), pa.array(ids, kinds[1])], ["qid", "doc_id"])
+
+        one = docs.select("doc_id", "text").mapInArrow(run, schema)
+        found = one if found is None else found.union(one)
+    return found

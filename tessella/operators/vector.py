@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from ..config import POLICY
 from ..functions.text import tokens
 from ..storage import built, parked
-from .lexical import top
+from .lexical import few, top
 
 #: Questions that go to all vectors as one matrix; more go in several passes, one after the other.
 BLOCK = 4096
@@ -153,3 +153,10 @@ def group_best(questions: DataFrame, vectors: DataFrame, group: str) -> DataFram
         one = parked(one, "group-best") if len(parts) > 1 else one
         found = one if found is None else found.union(one)
     return found
+
+
+def pair_best(pairs: DataFrame, questions: DataFrame, vectors: DataFrame, group: str, most: int = 200_000) -> DataFrame:
+    """(qid, group, score): the largest cosine of the vectors of each group that ``pairs`` (qid, group) names, and of no other."""
+    asked = pairs.select("qid", group).distinct().join(questions.select("qid", F.col("embedding").alias("_q")), "qid")
+    met = vectors.select(group, "embedding").join(few(asked, most), group)
+    return met.groupBy("qid", group).agg(F.max(F.round(dot(F.col("_q"), F.col("embedding")), 9)).alias("score"))

@@ -364,7 +364,8 @@ UNLINKED = ("bm25", "dense", "hybrid", "hybrid_rerank", "routing_bm25", "hierarc
 
 def _every_method(spark, d, scoped: bool) -> DataFrame:
     r, q = retriever(spark, d), questions(spark, d)
-    return reduce(DataFrame.union, (r.search(q, m, scoped=scoped).select(F.lit(m).alias("method"), "qid", "doc_id", "rank") for m in UNLINKED))
+    made = r.rankings(q, scoped)
+    return reduce(DataFrame.union, (r.search(q, m, scoped=scoped, made=made).select(F.lit(m).alias("method"), "qid", "doc_id", "rank") for m in UNLINKED))
 
 
 def _every_sql(scoped: bool) -> str:
@@ -444,7 +445,7 @@ def expansion(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     r, q = retriever(spark, d), questions(spark, d)
     fused = r.fused(q)
     asked = r.provider.encode(q.select("qid", "text"), "qid")
-    relevance = vector.group_best(asked, r.vectors, "doc_id").withColumnRenamed("score", "cosine")
+    relevance = lambda pairs: vector.pair_best(pairs, asked, r.vectors, "doc_id").withColumnRenamed("score", "cosine")
     return fused, graph.expanded(fused, r.edges, mentions(spark, d), claims(spark, d), relevance)
 
 
