@@ -16,43 +16,86 @@ from .common import ascii_words, by_batch, parked, shingle_hashes, utf8, word_ha
 
 #: Words of a window, and of the shingles that make up a window's set.
 WINDOW, SHINGLE = 10, 3
-#: Items that a pass over the documents takes along; more items make more passes, so what is broadcast stays bounded.
-ITEMS_A_PASS = 20_000
+#: Items, and bytes of their texts, that a pass over the documents takes along; more of either make more passes, so what is
+#: broadcast stays bounded (about ten times these bytes).
+ITEMS_A_PASS, BYTES_A_PASS = 20_000, 16 << 20
 
 
 class Windows:
     """The distinct windows of some items, indexed by the rarest shingle of each.
 
     A window occurs in a document only where all its shingles do, so with shingles ordered by rarity a prefix of one is
-    all that the containment threshold of 1 needs: documents are probed with the rarest shingle alone.
+    all that the containment threshold of 1 needs: documents are probed with the rarest shingle alone. A window is a place
+    in its item's words, some 40 bytes in arrays; words of the same spelling are one object.
     """
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int, shingle: int):
-        self.shingle, self.of = shingle, {}
-        self.owners: list[list[object]] = []
-        for item, words in items:
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                key = tuple(words[i : i + window])
-                if key not in self.of:
-                    self.of[key] = len(self.owners)
-                    self.owners.append([])
-                if not self.owners[self.of[key]] or self.owners[self.of[key]][-1] != item:
-                    self.owners[self.of[key]].append(item)
-        self.words = list(self.of)
-        self.hashes = [shingle_hashes(word_hashes(list(w)), shingle) for w in self.words]
-        self.vocabulary = np.unique(np.concatenate([*self.hashes, np.zeros(0, np.uint64)]))
+        known: dict[bytes, bytes] = {}
+        self.shingle = shingle
+        self.items = [item for item, words in items if words]
+        self.words = [[known.setdefault(w, w) for w in words] for _, words in items if words]
+        self.grams = [shingle_hashes(word_hashes(w), shingle) for w in self.words]
+        sizes = np.array([min(window, len(w)) for w in self.words], np.int64)
+        counts = np.array([len(w) for w in self.words], np.int64) - sizes + 1
+        owner = np.repeat(np.arange(len(self.words)), counts)
+        start = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        whole = [shingle_hashes(word_hashes(w), int(z)) for w, z in zip(self.words, sizes)]
+        order = np.lexsort((start, owner, np.concatenate([*whole, np.zeros(0, np.uint64)])))
+        prints = np.concatenate([*whole, np.zeros(0, np.uint64)])[order]
+        first = np.concatenate([[True], prints[1:] != prints[:-1]]) if len(prints) else np.zeros(0, bool)
+        # equal prints are equal windows, unless two texts collide: then each text is a window
+        number, at = np.cumsum(first) - 1, np.flatnonzero(first)
+        extra = len(at)
+        texts: dict[tuple, int] = {}
+        for k in np.flatnonzero(~first).tolist():
+            text, one = self._text(owner[order[k]], start[order[k]], sizes), int(at[number[k]])
+            if text != self._text(owner[order[one]], start[order[one]], sizes):
+                if text not in texts:
+                    texts[text] = extra
+                    extra += 1
+                number[k] = texts[text]
+        by = np.argsort(number, kind="stable")
+        self._bounds = np.searchsorted(number[by], np.arange(extra + 1))
+        self._owners = owner[order][by].astype(np.int32)
+        one = order[by[self._bounds[:-1]]]
+        self.item, self.start, self.size = owner[one].astype(np.int32), start[one].astype(np.int32), sizes[owner[one]].astype(np.int32)
+        self.vocabulary = np.unique(np.concatenate([*self.grams, np.zeros(0, np.uint64)]))
         self.short = sorted({len(w) for w in self.words if len(w) < shingle})
-        self.whole = [np.uint64(0)] * len(self.words)
+
+    def _text(self, item: int, start: int, sizes: np.ndarray) -> tuple:
+        return tuple(self.words[item][start : start + sizes[item]])
+
+    def owners(self, window: int) -> list[object]:
+        """The items that have a window."""
+        return [self.items[i] for i in dict.fromkeys(self._owners[self._bounds[window] : self._bounds[window + 1]].tolist())]
 
     def rank(self, counts: np.ndarray) -> None:
         """Choose each window's rarest shingle, ties by hash; ``counts`` are those of the vocabulary over all documents."""
-        found: dict[int, list[tuple[int, int]]] = {}
-        for w, h in enumerate(self.hashes):
-            c = counts[np.searchsorted(self.vocabulary, h)]
-            at = int(np.lexsort((h, c))[0])
-            found.setdefault(int(h[at]), []).append((w, at))
-        self.prefix = np.array(sorted(found), np.uint64)
-        self.postings = [found[int(x)] for x in self.prefix]
+        place = np.empty(len(self.vocabulary), np.int64)
+        place[np.lexsort((self.vocabulary, counts))] = np.arange(len(self.vocabulary))
+        prefix, offset = np.zeros(len(self.item), np.uint64), np.zeros(len(self.item), np.int32)
+        by = np.argsort(self.item, kind="stable")
+        bounds = np.searchsorted(self.item[by], np.arange(len(self.words) + 1))
+        for i, g in enumerate(self.grams):
+            mine = by[bounds[i] : bounds[i + 1]]
+            if len(mine):
+                width = max(1, int(self.size[mine[0]]) - self.shingle + 1)
+                rarest = np.lib.stride_tricks.sliding_window_view(place[np.searchsorted(self.vocabulary, g)], width).argmin(1)[self.start[mine]]
+                prefix[mine], offset[mine] = g[self.start[mine] + rarest], rarest
+        order = np.argsort(prefix, kind="stable")
+        self.prefix, self._first = np.unique(prefix[order], return_index=True)
+        self._first = np.append(self._first, len(order))
+        self._window, self._offset = order.astype(np.int32), offset[order]
+
+    def places(self, words: list[bytes], gram: np.uint64, at: int) -> Iterator[tuple[int, int, int]]:
+        """(window, start, end) of the windows with a prefix that stand in ``words``, whose shingle ``gram`` is at ``at``."""
+        k = int(np.searchsorted(self.prefix, gram))
+        for j in range(self._first[k], self._first[k + 1]):
+            w = int(self._window[j])
+            start, size = at - int(self._offset[j]), int(self.size[w])
+            # length and position bounds: the window must lie inside the text
+            if 0 <= start and start + size <= len(words) and words[start : start + size] == self.words[self.item[w]][self.start[w] : self.start[w] + size]:
+                yield w, start, start + size
 
 
 def _grams(h: np.ndarray, k: int, short: list[int]) -> list[np.ndarray]:
@@ -106,11 +149,7 @@ def occurrences(words: list[bytes], windows: Windows, probe: Probe) -> list[tupl
         return out
     for g in _grams(word_hashes(words), windows.shingle, windows.short):
         for p in probe(g).tolist():
-            for w, at in windows.postings[int(np.searchsorted(windows.prefix, g[p]))]:
-                start, size = p - at, len(windows.words[w])
-                # length and position bounds: the window must lie inside the text
-                if 0 <= start and start + size <= len(words) and tuple(words[start : start + size]) == windows.words[w]:
-                    out.append((w, start, start + size))
+            out += windows.places(words, g[p], p)
     return sorted(set(out))
 
 
@@ -126,8 +165,8 @@ def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _passes(docs: DataFrame, bench: DataFrame, window: int, shingle: int, item_col: str, a_pass: int) -> tuple[int, Iterator[Windows]]:
     """How many passes, and the windows of each: one pass's items are held at a time."""
-    n = bench.count()
-    parts = max(1, -(-n // a_pass))
+    n, size = bench.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-n // a_pass), -(-size // BYTES_A_PASS))
     rows = bench.select(F.col(item_col).alias("item"), "text").withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
 
     def each() -> Iterator[Windows]:
@@ -190,7 +229,7 @@ def _pass(docs: DataFrame, windows: Windows) -> DataFrame:
             runs = _runs([(a, b) for _, a, b in at])
             starts.append([a for a, _ in runs])
             ends.append([b for _, b in runs])
-            items.append(sorted({str(i) for w, _, _ in at for i in windows.owners[w]}))
+            items.append(sorted({str(i) for w, _, _ in at for i in windows.owners(w)}))
         return pa.RecordBatch.from_arrays(
             [batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
             ["row", "doc_id", "n_words", "starts", "ends", "items"],

@@ -51,3 +51,39 @@ def test_against_a_plain_search(docs, rows, bench, empty):
     assert decontam.contaminated(empty, bench).count() == 0
     none = bench.limit(0)
     assert decontam.contaminated(docs, none).where("contaminated").count() == 0
+
+
+def test_memory_of_a_pass():
+    """Windows are places in their items' words: 2,500 items of 200 words, an eighth of what 20,000 would take in one pass."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    r = random.Random(1)
+    vocabulary = [f"word{i}".encode() for i in range(20_000)]
+    items = [(i, [r.choice(vocabulary) for _ in range(200)]) for i in range(2500)]
+    tracemalloc.start()
+    w = decontam.Windows(items, 10, 3)
+    w.rank(np.ones(len(w.vocabulary), np.int64))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 60 << 20 and len(w.item) == 2500 * 191
+    probe = decontam.Probe(w.prefix)
+    assert decontam.occurrences(items[7][1][5:20], w, probe) and not decontam.occurrences(items[7][1][5:14], w, probe)
+
+
+def test_passes_by_bytes(docs, rows, bench, monkeypatch):
+    want = sorted(map(tuple, decontam.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "BYTES_A_PASS", 200)
+    assert sorted(map(tuple, decontam.contaminated(docs, bench).collect())) == want
+
+
+def test_windows_whose_prints_collide(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(decontam, "shingle_hashes", lambda h, k: np.full(max(0, len(h) - min(k, len(h)) + 1), 7, np.uint64))
+    w = decontam.Windows([(1, [b"a", b"b", b"c"]), (2, [b"x", b"y", b"z"]), (3, [b"a", b"b", b"c"])], 3, 3)
+    w.rank(np.ones(1, np.int64))
+    assert sorted(w.owners(k) for k in range(len(w.item))) == [[1, 3], [2]]
+    assert decontam.occurrences([b"q", b"x", b"y", b"z"], w, decontam.Probe(w.prefix))[0][1:] == (1, 4)
