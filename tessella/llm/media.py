@@ -218,15 +218,35 @@ def _flac(b: Bytes, at: int) -> tuple[str, int] | None:
     return "audio/flac", p - at
 
 
+#: Each byte with its bits in reverse: Ogg's check value is CRC-32 with another order of bits.
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
+def ogg_check(page: bytes) -> int:
+    """The check value of an Ogg page, over the page with zeros in its place."""
+    page = page[:22] + b"\0\0\0\0" + page[26:]
+    return int(f"{zlib.crc32(page.translate(_REVERSED), 0xFFFFFFFF) ^ 0xFFFFFFFF:032b}"[::-1], 2)
+
+
 def _ogg(b: Bytes, at: int) -> tuple[str, int] | None:
-    p, pages = at, 0
+    """Pages whose check values hold, from one that begins a stream to the last one that ends one.
+
+    A walk passes each page once: no stream that begins within the pages of an earlier walk ends where that one doesn't.
+    """
+    if at < b.__dict__.get("walked", 0):
+        return None
+    p, end = at, None
     while p + 27 <= len(b) and bytes(b[p : p + 5]) == b"OggS\0":
         table = b[p + 27 : p + 27 + b[p + 26]]
-        end = p + 27 + len(table) + sum(table)
-        if len(table) < b[p + 26] or end > len(b):
+        after = p + 27 + len(table) + sum(table)
+        if len(table) < b[p + 26] or after > len(b) or (p == at or end == p) and not b[p + 5] & 2:
+            break
+        if ogg_check(bytes(b[p:after])) != struct.unpack_from("<I", b, p + 22)[0]:
             break
-        p, pages = end, pages + 1
-    return ("audio/ogg", p - at) if pages else None
+        end = after if b[p + 5] & 4 else end
+        p = after
+    b.walked = p
+    return ("audio/ogg", end - at) if end else None
 
 
 def _mp4(b: Bytes, at: int) -> tuple[str, int] | None:
