@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import POLICY, Policy
 from ..storage import parked
+from .components import salted_join
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -163,3 +164,19 @@ def expanded(seeds: DataFrame, edges: DataFrame, mentions: DataFrame, claims: Da
     score = F.round(F.col("w") * F.greatest(F.lit(0.0), F.coalesce("cosine", F.lit(0.0))) + 1.0 / (60.0 + F.col("r")), 9)
     out = out.select("qid", "doc_id", score.alias("score"), "hops", "seeds", "paths")
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")))
+
+
+def mention_counts(mentions: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by, entity, document_count): how many pages of ``mentions`` (by, doc_id, entity) mention an entity, each once (GRF09, GRF10)."""
+    return mentions.select(*by, "entity", "doc_id").distinct().groupBy(*by, "entity").agg(F.count("*").alias("document_count"))
+
+
+def ingested(nodes: DataFrame, edges: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes whose key is unique, which is an error otherwise, and the edges (source_id, target_id) with both ends among them (GRF07)."""
+    counted = nodes.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
+    twice = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("a node stands twice: "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.col(key).isNotNull())
+    ids = nodes.select(key).distinct()
+    kept = edges
+    for end in ("source_id", "target_id"):
+        kept = salted_join(kept, ids.select(F.col(key).alias(end)), end, "target_id" if end == "source_id" else "source_id")
+    return counted.where(twice).drop("_n"), kept.select(*edges.columns)

@@ -81,3 +81,47 @@ def bootstrap_delta(paired: DataFrame, samples: int = 10_000, seed: int = 17) ->
 
     counted = paired.where("delta is not null").groupBy("metric", "delta").agg(F.count("*").alias("n"))
     return counted.groupBy("metric").applyInPandas(one, "metric string, mean_delta double, low double, high double")
+
+
+# The measures of a rollout, for its primary ranking, its citations and what its tools showed; its token counts.
+MEASURES = ("recall_at_1", "recall_at_5", "recall_at_10", "recall_at_20", "hit_at_1", "hit_at_5", "hit_at_10", "hit_at_20", "ndcg_at_10", "all_support_at_10")
+ROLLOUT_MEASURES = tuple(f"{side}{m}" for side in ("", "citation_", "visible_") for m in MEASURES)
+TOKEN_FIELDS = ("input_fresh", "input_cached", "input_total", "output", "total")
+
+
+def agent_summary(rollouts: DataFrame, by: list[str]) -> DataFrame:
+    """A row per group of rollouts (AGG03, HLP02): questions, 30 means, latency percentiles in ms, tokens, tool calls, rates of failures and expansions, models.
+
+    ``rollouts``: ``by``, ROLLOUT_MEASURES, latency_seconds, usage (a map of TOKEN_FIELDS), tool_sequence, agent_ok, models and
+    expansions (successful ones). A measure that a rollout lacks counts as 0; a null group is "unknown".
+    """
+    group = [F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in by]
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    expands = F.coalesce(F.array_contains("tool_sequence", "docsqa_expand"), F.lit(False)).cast("double")
+    latency = lambda q: (F.percentile(value("latency_seconds"), F.lit(q)) * 1000).alias(f"latency_p{int(q * 100)}_ms")
+    rows = rollouts.groupBy(*group).agg(
+        F.count("*").alias("questions"), *(F.avg(value(m)).alias(m) for m in ROLLOUT_MEASURES), latency(0.5), latency(0.95),
+        *(F.avg(F.coalesce(F.try_element_at("usage", F.lit(t)).cast("double"), F.lit(0.0))).alias(f"tokens_{t}") for t in TOKEN_FIELDS), F.avg(F.greatest(F.lit(0), F.coalesce(F.size("tool_sequence"), F.lit(0)))).alias("tool_calls_per_qa"),
+        F.avg(F.when(F.col("agent_ok"), 0.0).otherwise(1.0)).alias("failure_rate"), F.avg(expands).alias("graph_expansion_attempt_rate"), F.avg((value("expansions") > 0).cast("double")).alias("graph_application_rate"), F.avg(value("expansions")).alias("graph_expansion_successes_per_qa"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("models")))).alias("models"),
+    )
+    return rows
+
+
+def passages(pages: DataFrame, line_count: int = 18) -> DataFrame:
+    """(columns but text and terms, start, end, section, passage): the lines about the one in which a question's terms occur most (TXT37).
+
+    ``pages``: text and ``terms``, an array in lower case. Of equal lines the earliest counts; the section is the nearest
+    heading above. Lines are cut and counted within a row, no line leaves it.
+    """
+    others = [c for c in pages.columns if c not in ("text", "terms")]
+    lines = pages.withColumn("_l", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    times = lambda b, t: ((F.length(b) - F.length(F.replace(b, t, F.lit("")))) / F.length(t)).cast("int")
+    score = F.transform("_l", lambda b, i: F.struct(F.aggregate("terms", F.lit(0), lambda a, t: a + times(F.lower(b), t)).alias("n"), (-i).alias("neg")))
+    best = lines.withColumn("_b", -F.array_max(score)["neg"])
+    end = F.least(F.size("_l"), F.greatest(F.lit(0), F.col("_b") - line_count // 3) + line_count)
+    spans = best.withColumn("end", end).withColumn("_s", F.greatest(F.lit(0), F.col("end") - line_count))
+    above = F.filter(F.slice("_l", F.lit(1), F.col("_b") + 1), lambda b: b.startswith("#"))
+    section = F.coalesce(F.btrim(F.regexp_replace(F.get(above, F.size(above) - 1), "^#+", "")), F.lit(""))
+    passage = F.regexp_replace(F.array_join(F.slice("_l", F.col("_s") + 1, F.col("end") - F.col("_s")), "\n"), r"^\s+|\s+\z", "")
+    return spans.select(*others, (F.col("_s") + 1).alias("start"), "end", section.alias("section"), passage.alias("passage"))

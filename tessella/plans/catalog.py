@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answers, checks, content, corpus, docs, episodes, evaluation, files, gates, graphs, knowledge, more, normalise, retrieval, shapes, stores, texts, traces  # noqa: F401  they register their queries
+from . import answers, checks, content, corpus, docs, episodes, evaluation, files, gates, graphs, knowledge, more, normalise, retrieval, rules, shapes, stores, texts, traces  # noqa: F401  they register their queries
 from .registry import ORACLES, PLANS
 
 

@@ -466,12 +466,3 @@ def trc06(spark, d):
     rows = rows.withColumn("reasons", reasons)
     good = F.col("reasons") == ""
     return rows.select("conv_id", "reasons", F.when(good, 1).otherwise(0).alias("hard"), F.when(good, F.round(F.col("d") / 10.0, 6)).otherwise(0.0).alias("soft"))
-
-
-@query("agg03_agent_summary", f"WITH {SCORED} SELECT arm, count(*) AS n, round(avg(coverage), 6) AS coverage, round(avg(critical_success), 6) AS critical, round(quantile_cont(quality * 1000, 0.5), 6) AS p50, round(quantile_cont(quality * 1000, 0.95), 6) AS p95, round(avg((outcome = 'incorrect')::INT), 6) AS failure_rate FROM scored GROUP BY arm")
-def agg03s(spark, d):
-    """A row per arm: means, percentiles by thousands, the share of failures."""
-    p = lambda q: F.round(F.percentile(F.col("quality") * 1000, F.lit(q)), 6)
-    return scores(spark, d).groupBy("arm").agg(
-        F.count("*").alias("n"), F.round(F.avg("coverage"), 6).alias("coverage"), F.round(F.avg("critical_success"), 6).alias("critical"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.round(F.avg((F.col("outcome") == "incorrect").cast("double")), 6).alias("failure_rate"),
-    )

@@ -119,20 +119,6 @@ def src14(spark, d):
     return graph.closure(seeds, links(spark, d)).groupBy("root").agg(F.count("*").alias("reached"), F.sum("node").alias("total"))
 
 
-NESTED = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
-
-
-FREE_TEXT = """t AS (SELECT event_id, 'Result: ' || CASE event_id % 3 WHEN 0 THEN '{"a": {"b": ' || props || '}}' WHEN 1 THEN 'none' ELSE props END || ' then {"z": 1}' AS x FROM events)"""
-
-
-@query("hlp12_first_json", f"WITH {FREE_TEXT} SELECT event_id, regexp_extract(x, '{NESTED}') AS found FROM t")
-def hlp12(spark, d):
-    """The first JSON object in free text, up to three levels deep."""
-    body = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"a": {"b": '), "props", F.lit("}}"))).when(F.col("event_id") % 3 == 1, "none").otherwise(F.col("props"))
-    x = F.concat(F.lit("Result: "), body, F.lit(' then {"z": 1}'))
-    return table(spark, d, "events").select("event_id", F.regexp_extract(x, f"({NESTED})", 1).alias("found"))
-
-
 # Links of all pages: some as they are, some in another spelling, some through a redirect, some to a changed locale or unknown
 LINKED = f"""pg AS (SELECT page_id, url, {URL.format(x='url')} AS canonical, regexp_replace(regexp_replace({URL.format(x='url')}, '[?].*$', ''), '/(en|fr|de|es)/', '/') AS plain, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)/*$', 1) AS slug FROM pages),
 asked AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN upper(url) WHEN 2 THEN 'https://old.example.com/r/' || page_id WHEN 3 THEN regexp_replace(regexp_replace(url, '[?#].*$', ''), '/(en|fr|de|es)/', '/it/') WHEN 4 THEN 'http://moved.example.com/' || slug ELSE 'http://nowhere.example.com/none/' || page_id END AS link, page_id % 6 AS k FROM pg)"""

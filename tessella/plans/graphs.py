@@ -6,13 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from .registry import query, table
-from .shapes import same
 
 # customers, parts and suppliers as pages; order lines as links
-same("grf07_endpoint_matched", "SELECT o.o_orderkey, o.o_custkey FROM orders o JOIN (SELECT c_custkey FROM customer WHERE c_nationkey < 15) c ON o.o_custkey = c.c_custkey", "orders", "customer")
-same("grf08_route_nodes", "SELECT concat(lang, '/', source) AS route, count(*) AS document_count FROM documents GROUP BY lang, source", "documents")
-same("grf09_reusable_mentions", "SELECT l_partkey AS reusable, count(DISTINCT l_orderkey) AS document_count FROM lineitem GROUP BY l_partkey", "lineitem")
-same("grf10_code_mentions", "SELECT l_partkey AS entity, count(DISTINCT l_suppkey) AS document_count FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) BETWEEN 2 AND 30", "lineitem")
 
 
 def _edges(spark, d):

@@ -66,9 +66,3 @@ def fus01(spark, d):
 
 
 same("hlp06_last_wins", "SELECT p_brand AS evidence_id, min(p_partkey) AS first_position, max(p_partkey) AS last_row FROM part GROUP BY p_brand", "part")
-
-
-@query("val11_json_contract", "SELECT event_id, CASE WHEN json_valid(props) AND json_extract(props, '$.k') IS NOT NULL THEN 'ok' ELSE 'bad' END AS verdict FROM events")
-def val11(spark, d):
-    good = F.try_parse_json("props").isNotNull() & F.get_json_object("props", "$.k").isNotNull()
-    return table(spark, d, "events").select("event_id", F.when(good, "ok").otherwise("bad").alias("verdict"))

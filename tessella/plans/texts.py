@@ -208,14 +208,6 @@ def txt32(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(F.filter(t, lambda x: (F.length(x) > 1) & ~x.isin("the", "and", "of")), " ").alias("terms"))
 
 
-@query("txt37_passage", r"""WITH l AS (SELECT doc_id, CAST(generate_subscripts(b, 1) - 1 AS INT) AS line, unnest(b) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS b FROM documents)),
-  s AS (SELECT doc_id, line, len(regexp_extract_all(lower(body), 'the|and')) AS n FROM l) SELECT doc_id, line, CAST(n AS BIGINT) AS n FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, line) = 1""")
-def txt37(spark, d):
-    """The line with the most occurrences of the wanted terms, the earliest of several."""
-    lines = F.transform(F.split("text", "\n", -1), lambda b, i: F.struct(F.size(F.regexp_extract_all(F.lower(b), F.lit("the|and"), F.lit(0))).cast("bigint").alias("n"), (-i).alias("neg")))
-    return table(spark, d, "documents").select("doc_id", F.array_max(lines).alias("m")).select("doc_id", (-F.col("m.neg")).alias("line"), "m.n")
-
-
 @query("idn01_stable_ids", "SELECT doc_id, 'doc-' || substr(sha256(lang || chr(0) || source || chr(0) || CAST(doc_id AS VARCHAR)), 1, 24) AS id FROM documents")
 def idn01(spark, d):
     return table(spark, d, "documents").select("doc_id", T.stable_id("doc", F.col("lang"), F.col("source"), F.col("doc_id").cast("string")).alias("id"))
