@@ -83,3 +83,24 @@ def shared_bootstrap(deltas: DataFrame, samples: int = 10_000, seed: int = 20260
         return pd.DataFrame(out, columns=["contrast", "n", "mean_delta", "low", "high"])
 
     return deltas.groupBy(F.lit(0).alias("one")).applyInPandas(one, "contrast string, n bigint, mean_delta double, low double, high double")
+
+
+# Fixed value: kinds of evidence that an aspect may rest on.
+DIRECT_KINDS = ("local_document_section", "answer_text", "image_text")
+
+
+def bound_evidence(aspects: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(qid, aspect_id, evidence_ids, repaired): evidence ids of aspects, taken anew from their claims where one is unknown or can't bear the aspect (MET11).
+
+    ``aspects``: (qid, aspect_id, evidence_ids, claim_ids); ``claims``: (qid, claim_id, evidence_ids); ``evidence``: (qid,
+    evidence_id, kind, doc_id, local_path). Evidence bears an aspect if its kind is direct and its page, if it has one, is
+    at hand. Ids come in the order of the claims, each once; an aspect whose claims have none to offer stays as it is.
+    """
+    good = evidence.where(F.col("kind").isin(*DIRECT_KINDS) & (F.col("doc_id").isNull() | F.col("local_path").isNotNull())).select("qid", "evidence_id").distinct().withColumn("good", F.lit(True))
+    named = aspects.select("qid", "aspect_id", F.explode("evidence_ids").alias("evidence_id")).join(good, ["qid", "evidence_id"], "left")
+    bad = named.where("good IS NULL").select("qid", "aspect_id").distinct().withColumn("bad", F.lit(True))
+    mapped = aspects.join(bad, ["qid", "aspect_id"], "left_semi").select("qid", "aspect_id", F.posexplode("claim_ids").alias("i", "claim_id"))
+    offered = mapped.join(claims, ["qid", "claim_id"]).select("qid", "aspect_id", "i", F.posexplode("evidence_ids").alias("j", "evidence_id")).join(good, ["qid", "evidence_id"], "left_semi")
+    once = offered.groupBy("qid", "aspect_id", "evidence_id").agg(F.min(F.struct("i", "j")).alias("at"))
+    bound = once.groupBy("qid", "aspect_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "evidence_id"))), lambda x: x["evidence_id"]).alias("bound"))  # an aspect's evidence
+    return aspects.join(bound, ["qid", "aspect_id"], "left").select("qid", "aspect_id", F.coalesce("bound", "evidence_ids").alias("evidence_ids"), F.col("bound").isNotNull().alias("repaired"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
-from ..operators import contract, graph, lexical, stats
+from ..operators import answers, contract, graph, lexical, projection, stats
 from .registry import query, table
-from .retrieval import LINKS, MENTIONS, PAGES, documents, links, mentions
+from .retrieval import EXPANDED, LINKS, MENTIONS, PAGES, QRELS, _methods, documents, expansion, links, mentions, qrels, questions
 from .texts import made, made_sql
 
 REPLIES = [
@@ -146,3 +146,55 @@ def grf07(spark, d):
     edges = links(spark, d).select("source_id", "target_id")
     n, e = graph.ingested(nodes, edges, "doc_id")
     return n.select(F.lit("node").alias("kind"), F.col("doc_id").cast("string").alias("id"), F.lit("").alias("other")).union(e.select(F.lit("edge"), F.col("source_id").cast("string"), F.col("target_id").cast("string")))
+
+
+# --- evidence, path types, projections
+
+@query(
+    "met11_bound_evidence",
+    """WITH v AS (SELECT doc_id AS qid, CAST(unnest(range(0, 6)) AS BIGINT) AS k FROM documents),
+    e AS (SELECT qid, k, (qid + k) % 4 <> 3 AND NOT ((qid + k) % 5 = 1 AND (qid * k) % 3 <> 0) AS good FROM v),
+    a AS (SELECT doc_id AS qid, CAST(unnest(range(0, 3)) AS BIGINT) AS a FROM documents),
+    n AS (SELECT qid, a, CASE WHEN (qid + a) % 7 = 0 THEN [a, 99] ELSE [a, a + 1] END AS ids FROM a),
+    g AS (SELECT qid, coalesce(list(k) FILTER (good), []) AS goods FROM e GROUP BY qid),
+    w AS (SELECT n.*, len(list_filter(ids, lambda k: NOT list_contains(goods, k))) > 0 AS bad, list_filter([(a + 1) % 6, (a + 3) % 6, (a + 3) % 6, (a + 4) % 6], lambda k: list_contains(goods, k)) AS c FROM n JOIN g ON g.qid = n.qid),
+    u AS (SELECT *, list_filter(c, lambda k, i: list_position(c, k) = i) AS d FROM w)
+    SELECT qid, CAST(a AS INT) AS aspect_id, array_to_string(list_transform(CASE WHEN bad AND len(d) > 0 THEN d ELSE ids END, lambda k: 'e' || k), ',') AS evidence_ids, bad AND len(d) > 0 AS repaired FROM u""",
+)
+def met11b(spark, d):
+    """Evidence ids of three aspects a document, bound anew from two claims each where they name evidence that is unknown or can't bear them."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("qid"))
+    e = lambda k: F.concat(F.lit("e"), k.cast("string"))
+    a, q, k = F.col("aspect_id"), F.col("qid"), F.col("k")
+    aspects = docs.select("qid", F.explode(F.array(*map(F.lit, range(3)))).alias("aspect_id"))
+    claim = lambda n: F.concat(F.lit(f"c{n}-"), a.cast("string"))
+    mapped = aspects.select("qid", "aspect_id", F.when((q + a) % 7 == 0, F.array(e(a), F.lit("e99"))).otherwise(F.array(e(a), e(a + 1))).alias("evidence_ids"), F.array(claim(1), claim(2)).alias("claim_ids"))
+    claims = aspects.select("qid", claim(1).alias("claim_id"), F.array(e((a + 1) % 6), e((a + 3) % 6)).alias("evidence_ids")).union(aspects.select("qid", claim(2), F.array(e((a + 3) % 6), e((a + 4) % 6))))
+    v = docs.select("qid", F.explode(F.array(*map(F.lit, range(6)))).alias("k"))
+    kinds = F.element_at(F.array(*map(F.lit, ("local_document_section", "answer_text", "image_text", "external_page"))), ((q + k) % 4 + 1).cast("int"))
+    evidence = v.select("qid", e(k).alias("evidence_id"), kinds.alias("kind"), F.when((q + k) % 5 == 1, q).alias("doc_id"), F.when((q * k) % 3 == 0, "docs/a.md").alias("local_path"))
+    return answers.bound_evidence(mapped, claims, evidence).select("qid", "aspect_id", F.array_join("evidence_ids", ",").alias("evidence_ids"), "repaired")
+
+
+@query("fus03_path_types", f"WITH {_methods(False)}, {EXPANDED} SELECT qid, path, count(*) AS pages FROM (SELECT qid, unnest(string_split(paths, ',')) AS path FROM granked WHERE rank <= 10) GROUP BY qid, path")
+def fus03_paths(spark, d):
+    """By what kinds of paths the graph reached its first ten pages, for each question."""
+    found = expansion(spark, d)[1].where("rank <= 10")
+    return found.select("qid", F.explode("paths").alias("path")).groupBy("qid", "path").agg(F.count("*").alias("pages"))
+
+
+@query(
+    "src11_namespaced_questions",
+    f"""WITH {PAGES}, {QRELS}, g AS (SELECT qid, list_sort(list(doc_id)) AS ids FROM qrels GROUP BY qid)
+    SELECT qs.qid, project || '::' || qs.qid AS question_id, array_to_string(list_transform(coalesce(ids, []), lambda i: project || '::' || i), ',') AS qrel_ids,
+      array_to_string(list_transform(list_filter(coalesce(ids, []), lambda i: i % 2 = 0), lambda i: project || '::' || i || '=part-' || i % 7), ',') AS anchors FROM qs LEFT JOIN g ON g.qid = qs.qid""",
+)
+def src11q(spark, d):
+    """Questions in their project's namespace: ids in arrays and as keys of maps; of the anchors those of pages that are still judged."""
+    judged = qrels(spark, d).groupBy("qid").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))  # a question's judged pages
+    rows = questions(spark, d).join(judged, "qid", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
+    marks = F.map_from_entries(F.transform(F.concat(F.filter("ids", lambda i: i % 2 == 0), F.array(F.lit(-1).cast("bigint"))), lambda i: F.struct(i, F.concat(F.lit("part-"), (i % 7).cast("string")))))
+    out = projection.namespaced(rows.withColumn("anchors", marks), "project", "qid", ["ids"], ["anchors"])
+    kept = F.map_filter("anchors", lambda k, v: F.array_contains("ids", k))
+    pairs = F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.select("qid", "question_id", F.array_join("ids", ",").alias("qrel_ids"), F.array_join(pairs, ",").alias("anchors"))
