@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Distinct terms of a pass; a term is a stated word of a question.
 BLOCK = 100_000
+#: Places that a term's lines are thinned in.
+SALTS = 16
 
 HITS = "doc_id long, line int, term string"
 
@@ -53,9 +55,10 @@ def search(docs: DataFrame, wanted: DataFrame, per_term: int = 250, block: int =
     question's terms on each matching line. Lines count in the order (doc_id, line), ``per_term`` of them at most.
     """
     terms = wanted.withColumn("term", F.lower("term")).withColumn("n_terms", F.count("*").over(Window.partitionBy("qid")))
-    # a line past its term's first ``per_term`` counts for no question
-    first = Window.partitionBy("term").orderBy("doc_id", "line")
-    taken = matches(docs, wanted, block).withColumn("at", F.row_number().over(first)).where(F.col("at") <= per_term)
+    # a line past its term's first ``per_term`` counts for no question; a common term's lines are thinned in SALTS places first
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("doc_id", "line"))
+    thinned = matches(docs, wanted, block).withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).withColumn("at", first("term", "deal")).where(F.col("at") <= per_term)
+    taken = thinned.withColumn("at", first("term")).where(F.col("at") <= per_term)
     hits = taken.join(terms, "term")
     firsts = hits.groupBy("qid", "term", "doc_id").agg(F.min("at").alias("at"))
     files = firsts.withColumn("place", F.row_number().over(Window.partitionBy("qid", "term").orderBy("at")))
