@@ -14,11 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import delete, exists, listed, parked, rename, shared_dir
-from .lexical import few
 from .vector import EmbeddingProvider
 
-#: Texts whose digests are broadcast to be encoded where they lie.
-FEW = 200_000
 SCHEMA = "digest string, embedding array<double>"
 
 
@@ -45,13 +42,16 @@ class ContentCache:
     def vectors(self, units: DataFrame, key: str, text: str = "text") -> DataFrame:
         """``units``, whose keys differ, with ``embedding`` in place of the text. Only texts that the cache lacks are encoded, each once.
 
-        What is compared are digests; a text leaves its place only if it is encoded, and not even then while FEW or fewer are.
+        What is compared are digests. Where a text is missing, the first twenty bits of its digest are (2 ** 20 rows at most,
+        which are broadcast), so of the texts that are known nearly none leaves its place.
         """
         addressed = units.withColumn("digest", address(self.provider.name, F.col(text)))
         wanted = parked(addressed.select(key, "digest"), "addressed")
         missing = wanted.groupBy("digest").agg(F.min(key).alias(key)).join(self.stored().select("digest"), "digest", "left_anti")
-        chosen = few(parked(missing, "missing"), FEW)
-        texts = addressed.join(chosen, [key, "digest"], "left_semi").select("digest", F.coalesce(text, F.lit("")).alias("text"))
+        missing = parked(missing, "missing")
+        near = missing.select(F.substring("digest", 1, 5).alias("prefix")).distinct()
+        maybe = addressed.withColumn("prefix", F.substring("digest", 1, 5)).join(F.broadcast(near), "prefix", "left_semi")
+        texts = maybe.join(missing, [key, "digest"], "left_semi").select("digest", F.coalesce(text, F.lit("")).alias("text"))
         staged = f"{self.folder}/staged-{uuid.uuid4().hex}"
         self.provider.encode(texts, "digest").select("digest", "embedding").write.parquet(staged)
         self.encoded = self.spark.read.schema(SCHEMA).parquet(staged).count()
