@@ -297,3 +297,17 @@ def test_one_stream_for_all_contrasts(spark):
         assert r.n == len(d) and abs(r.mean_delta - statistics.fmean(d)) < 1e-8 and abs(r.low - at(0.025)) < 1e-8 and abs(r.high - at(0.975)) < 1e-8
     with pytest.raises(Exception):
         answers.paired_deltas(scores.union(scores), contrasts).collect()
+
+
+def test_bootstrap_interval_draw_by_draw(spark):
+    """Ends of the interval from single draws of counts and percentiles by hand."""
+    import numpy as np
+
+    deltas = [("m", i, float((i * 7) % 5) / 2 - 1) for i in range(60)] + [("m", 99, None)]
+    got = stats.bootstrap_delta(spark.createDataFrame(deltas, "metric string, question_id int, delta double"), samples=500).collect()[0]
+    values = sorted({d for _, _, d in deltas if d is not None})
+    counts = [sum(d == v for _, _, d in deltas) for v in values]
+    total, rng = sum(counts), np.random.default_rng(17)
+    means = sorted(sum(c * v for c, v in zip(rng.multinomial(total, np.array(counts) / total), values)) / total for _ in range(500))
+    at = lambda p: means[int(p * 499)] + (p * 499 - int(p * 499)) * (means[int(p * 499) + 1] - means[int(p * 499)])
+    assert abs(got.low - at(0.025)) < 1e-9 and abs(got.high - at(0.975)) < 1e-9
