@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .answers import ARMS, ASPECTS, SCORED, scores
+from .answers import ARMS, ASPECTS
 from .registry import query, table, views
 from .retrieval import CHUNKS, EXPANDED, LINKS, MENTIONS, PAGES, QRELS, _methods, chunks, claims, documents, expansion, links, mentions, qrels, questions
 

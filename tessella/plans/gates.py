@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
 from .answers import SCORED, scores
-from .checks import EVENTS, PRIVATE, _events, fingerprint
+from .checks import EVENTS, _events, fingerprint
 from .registry import query, table
 from .retrieval import QRELS, qrels
 

@@ -11,7 +11,8 @@ from ..operators.cache import ContentCache
 from ..sources import packages
 from ..storage import delete, parked, shared_dir
 from ..streaming import requests
-from .gates import PRIVATE, REFS, _refs
+from .checks import PRIVATE
+from .gates import REFS, _refs
 from .registry import query, table
 from .retrieval import CHUNKS, chunks
 
