@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
-from ..operators import answers, contract, graph, lexical, projection, stats
+from ..operators import answers, citations, contract, graph, lexical, projection, stats
 from .registry import query, table
 from .retrieval import EXPANDED, LINKS, MENTIONS, PAGES, QRELS, _methods, documents, expansion, links, mentions, qrels, questions
 from .texts import made, made_sql
@@ -198,3 +198,27 @@ def src11q(spark, d):
     kept = F.map_filter("anchors", lambda k, v: F.array_contains("ids", k))
     pairs = F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return out.select("qid", "question_id", F.array_join("ids", ",").alias("qrel_ids"), F.array_join(pairs, ",").alias("anchors"))
+
+
+@query(
+    "nrm02_qrel_cascade",
+    """WITH p AS (SELECT page_id AS q, page_id % 9 AS k FROM pages)
+    SELECT q AS qid, CASE k WHEN 0 THEN 'https://x.org/asked/' || q || '#Here%20It' WHEN 1 THEN 'https://x.org/Old/' || q WHEN 2 THEN 'http://y.org/moved/' || q WHEN 3 THEN 'https://x.org/r/page-' || q || '/#A b' WHEN 4 THEN 'https://x.org/elsewhere/page-' || q ELSE 'https://x.org/none/' || q END AS url,
+      CASE WHEN k IN (6, 7, 8) THEN NULL ELSE q END AS target, CASE k WHEN 0 THEN 'dataset_url_resolution' WHEN 1 THEN 'corpus_frontmatter_redirect' WHEN 2 THEN 'frozen_redirect_cache' WHEN 3 THEN 'exact_local_route' WHEN 4 THEN 'verified_unique_slug' WHEN 5 THEN 'verified_builder_single_qrel' ELSE 'unresolved' END AS method,
+      CASE k WHEN 0 THEN 'live_http_redirect' WHEN 1 THEN 'frontmatter_redirect' WHEN 2 THEN 'redirect_cache' WHEN 3 THEN 'canonical' WHEN 4 THEN 'unique_slug' WHEN 5 THEN 'canonical_path' WHEN 6 THEN 'guessed' WHEN 7 THEN 'canonical' ELSE 'unresolved' END AS kind,
+      CASE k WHEN 0 THEN 'part-' || q WHEN 1 THEN CAST(q AS VARCHAR) WHEN 3 THEN 'a-b' WHEN 4 THEN 'page-' || q END AS anchor, k < 6 AS verified FROM p""",
+)
+def nrm02q(spark, d):
+    """A cited URL of every page, by each of six methods, by none, and where a page is known that isn't judged."""
+    q = F.col("qid")
+    k, name = q % 9, lambda head: F.concat(F.lit(head), q.cast("string"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("qid"))
+    url = F.when(k == 0, F.concat(name("https://x.org/asked/"), F.lit("#Here%20It"))).when(k == 1, name("https://x.org/Old/")).when(k == 2, name("http://y.org/moved/")).when(k == 3, F.concat(name("https://x.org/r/page-"), F.lit("/#A b"))).when(k == 4, name("https://x.org/elsewhere/page-")).otherwise(name("https://x.org/none/"))
+    kind = F.when(k == 4, "unique_slug").when(k == 5, "canonical_path").when(k == 6, "guessed").when(k == 7, "canonical")
+    cited = pages.select("qid", url.alias("url"), kind.alias("kind"))
+    judged = pages.select("qid", q.alias("doc_id")).union(pages.where(k == 7).select("qid", q + 1))
+    routes = pages.select(q.alias("doc_id"), name("/r/page-").alias("route")).union(pages.where(k == 8).select(q + 100_000_000, name("/none/")))
+    explicit = cited.where(k == 0).select("qid", "url", q.alias("doc_id"), F.lit("live_http_redirect").alias("kind"), name("Part ").alias("anchor")).union(cited.where(k == 8).select("qid", "url", q + 7, F.lit("canonical"), F.lit("x")))
+    moved = pages.where(k == 1).select(q.alias("doc_id"), name("/old/").alias("route"))
+    cache = cited.where(k == 2).select("url", name("https://x.org/r/page-").alias("redirected"))
+    return citations.resolved(cited, judged, routes, explicit, moved, cache)
