@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import delete, parked
 from .answers import ARMS, ASPECTS
 from .registry import query, table, views
 from .retrieval import CHUNKS, EXPANDED, LINKS, MENTIONS, PAGES, QRELS, _methods, chunks, claims, documents, expansion, links, mentions, qrels, questions
@@ -62,9 +63,12 @@ def hlp16(spark, d):
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.sum(h).cast("string")), 256).alias("digest"))
 
 
-@query("src17_migration_check", "SELECT 'old' AS side, count(*) AS n, CAST(0 AS BIGINT) AS differing FROM documents UNION ALL SELECT 'new', count(*), CAST(0 AS BIGINT) FROM documents")
+@query(
+    "src17_migration_check",
+    f"WITH f AS (SELECT {SUM} AS fingerprint, count(*) AS n FROM (SELECT sha256(doc_id || chr(0) || coalesce(text, '') || chr(0) || coalesce(CAST(n_chars AS VARCHAR), '')) AS h FROM documents)) SELECT side, n, fingerprint, CAST(0 AS BIGINT) AS differing FROM f, (VALUES ('old'), ('new')) AS v(side)",
+)
 def src17(spark, d):
-    """A package without its partition fields, written as JSON Lines and read again, against the old one: rows on either side that the other lacks."""
+    """A package without its partition fields, written as JSON Lines and read again, against the old one: what each holds, and rows that the other lacks."""
     from ..sources import jsonl
     from .files import _folder
 
@@ -72,21 +76,29 @@ def src17(spark, d):
     path = _folder(spark, "migrated")
     jsonl.write(old, path)
     new = jsonl.read(spark, path, old.schema)
-    side = lambda name, a, b: a.agg(F.count("*").alias("n")).crossJoin(a.exceptAll(b).agg(F.count("*").alias("differing"))).select(F.lit(name).alias("side"), "n", "differing")  # noqa: E731  one row each
-    return side("old", old, new).union(side("new", new, old))
+
+    def side(name, a, b):
+        lacks = a.exceptAll(b).agg(F.count("*").alias("differing"))
+        return fingerprint(a, *old.columns).crossJoin(lacks).select(F.lit(name).alias("side"), "n", "fingerprint", "differing")  # one row each
+
+    out = parked(side("old", old, new).union(side("new", new, old)), "migration")
+    delete(spark, path)
+    return out
 
 
-@query("hlp01_replay", f"WITH {PAGES} SELECT 'replayed' AS report, count(DISTINCT project) AS n_rows, CAST(0 AS BIGINT) AS differing FROM docs")
+@query("hlp01_replay", f"WITH {PAGES} SELECT project, count(*) AS n, round(avg(length(text)), 6) AS chars, count(DISTINCT route) AS routes, true AS same FROM docs GROUP BY project")
 def hlp01(spark, d):
-    """A summary computed from rows as they stand and from rows that were written and read again must be equal."""
+    """A summary computed from rows that were written and read again, and whether it is the one of the rows as they stand."""
     from .files import _folder
 
     summary = lambda rows: rows.groupBy("project").agg(F.count("*").alias("n"), F.round(F.avg(F.length("text")), 6).alias("chars"), F.countDistinct("route").alias("routes"))
     path = _folder(spark, "report-rows")
     documents(spark, d).write.parquet(path)
-    frozen, again = summary(documents(spark, d)), summary(spark.read.parquet(path))
-    both = frozen.exceptAll(again).union(again.exceptAll(frozen)).agg(F.count("*").alias("differing"))
-    return frozen.agg(F.count("*").alias("n_rows")).crossJoin(both).select(F.lit("replayed").alias("report"), "n_rows", "differing")  # one row each
+    columns = ["project", "n", "chars", "routes"]
+    frozen, again = summary(documents(spark, d)).withColumn("there", F.lit(True)), summary(spark.read.parquet(path))
+    out = parked(again.join(frozen, columns, "left").select(*columns, F.coalesce("there", F.lit(False)).alias("same")), "replay")
+    delete(spark, path)
+    return out
 
 
 # --- records and packages

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..sources import jsonl
-from ..storage import shared_dir
+from ..storage import delete, parked, shared_dir
 from .registry import query, table
 from .retrieval import CHUNKS, chunks
 
@@ -35,16 +35,26 @@ def src02(spark, d):
     return rows.select("doc_id", F.length(seen).cast("bigint").alias("n"))
 
 
-@query("src07_gzip_identity", "SELECT 0 AS differing, count(*) AS n_lines FROM documents")
+@query(
+    "src07_gzip_identity",
+    """WITH f AS (SELECT count(*) AS n_lines, sha256(count(*) || ':' || coalesce(sum(('0x' || substr(sha256(doc_id || chr(0) || coalesce(lang, '') || chr(0) || coalesce(source, '') || chr(0) || coalesce(text, '') || chr(0) || coalesce(CAST(n_chars AS VARCHAR), '')), 1, 15))::BIGINT), 0)) AS fingerprint FROM documents)
+    SELECT side, n_lines, fingerprint, CAST(0 AS BIGINT) AS differing FROM f, (VALUES ('one'), ('two')) AS v(side)""",
+)
 def src07(spark, d):
-    """What two compressed exports differ in, by the digests of their lines, and how many lines one has."""
+    """Two compressed exports, dealt over files differently: what each holds when it is read again, and how many lines differ by their digests."""
+    from .checks import fingerprint
+
     docs, one, two = table(spark, d, "documents"), _folder(spark, "gz"), _folder(spark, "gz")
     jsonl.write(docs, one, "gzip")
     jsonl.write(docs.repartition(3), two, "gzip")
     digests = lambda p: spark.read.option("lineSep", "\n").text(p).groupBy(F.sha2("value", 256).alias("h")).count()
-    a, b = digests(one), digests(two)
-    both = a.withColumnRenamed("count", "x").join(b.withColumnRenamed("count", "y"), "h", "full")
-    return both.agg(F.count_if(~F.col("x").eqNullSafe(F.col("y"))).cast("int").alias("differing"), F.sum("x").alias("n_lines"))
+    both = digests(one).withColumnRenamed("count", "x").join(digests(two).withColumnRenamed("count", "y"), "h", "full")
+    differing = both.agg(F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("differing"))
+    read = lambda side, p: fingerprint(jsonl.read(spark, p, docs.schema), "doc_id", "lang", "source", "text", "n_chars").select(F.lit(side).alias("side"), F.col("n").alias("n_lines"), "fingerprint")
+    out = parked(read("one", one).union(read("two", two)).crossJoin(differing), "identity")  # one row each
+    delete(spark, one)
+    delete(spark, two)
+    return out
 
 
 @query("src08_session_log", "SELECT role AS type, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars, max(ord) AS longest FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS ord FROM conversations) WHERE turn % 7 <> 3 OR role <> 'user' GROUP BY role")
