@@ -30,30 +30,30 @@ def val11(spark, d):
 
 @query(
     "hlp12_first_json",
-    """SELECT event_id, event_id % 5 <> 1 AND event_id % 5 <> 3 AS found, CASE event_id % 5 WHEN 0 THEN json_extract_string(props, '$.k') WHEN 2 THEN json_extract_string(props, '$.k') WHEN 4 THEN '}' || json_extract_string(props, '$.k') || '{' END AS k FROM events""",
+    """SELECT doc_id, doc_id % 5 <> 1 AND doc_id % 5 <> 3 AS found, CASE doc_id % 5 WHEN 0 THEN text WHEN 2 THEN text WHEN 4 THEN '}' || n_chars || '{' END AS k FROM documents""",
 )
 def hlp12(spark, d):
     """The object in a reply: nested seven levels deep behind a fence, among words, with braces in its strings; none where two objects or no object stand."""
-    i, k = F.col("event_id") % 5, F.get_json_object("props", "$.k")
-    deep = F.concat(F.lit('```json\n{"a": {"b": {"c": {"d": {"e": {"f": '), "props", F.lit("}}}}}}\n```"))
-    text = F.when(i == 0, deep).when(i == 1, "none at all").when(i == 2, F.concat(F.lit('Here: {"a": {"b": '), "props", F.lit("}} I hope."))).when(i == 3, F.concat(F.lit("first {} then "), "props", F.lit(" {"), F.lit("}"))).otherwise(F.concat(F.lit('So {"k": "}'), k, F.lit('{"}')))
-    rows = table(spark, d, "events").select("event_id", i.alias("i"), contract.object_in(text).alias("v"))
+    i, k, props = F.col("doc_id") % 5, F.col("n_chars").cast("string"), F.to_json(F.struct(F.col("text").alias("k")))
+    deep = F.concat(F.lit('```json\n{"a": {"b": {"c": {"d": {"e": {"f": '), props, F.lit("}}}}}}\n```"))
+    text = F.when(i == 0, deep).when(i == 1, "none at all").when(i == 2, F.concat(F.lit('Here: {"a": {"b": '), props, F.lit("}} I hope."))).when(i == 3, F.concat(F.lit("first {} then "), props, F.lit(" {"), F.lit("}"))).otherwise(F.concat(F.lit('So {"k": "}'), k, F.lit('{"}')))
+    rows = table(spark, d, "documents").select("doc_id", i.alias("i"), contract.object_in(text).alias("v"))
     path = lambda p: F.try_variant_get("v", p, "string")
-    return rows.select("event_id", F.col("v").isNotNull().alias("found"), F.when(F.col("i") == 0, path("$.a.b.c.d.e.f.k")).when(F.col("i") == 2, path("$.a.b.k")).otherwise(path("$.k")).alias("k"))
+    return rows.select("doc_id", F.col("v").isNotNull().alias("found"), F.when(F.col("i") == 0, path("$.a.b.c.d.e.f.k")).when(F.col("i") == 2, path("$.a.b.k")).otherwise(path("$.k")).alias("k"))
 
 
 @query(
     "src18_specifications",
-    """WITH s AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 12 = 1 THEN 'Bad_' || c_custkey WHEN c_custkey % 12 = 2 THEN 'same-' || c_custkey // 24 ELSE 'source-' || c_custkey END AS id, CASE WHEN c_custkey % 12 = 3 THEN 'shared/' || c_custkey // 24 WHEN c_custkey % 12 = 4 THEN '/abs/' || c_custkey ELSE 'checkout/' || c_custkey END AS checkout FROM customer),
+    """WITH s AS (SELECT doc_id AS c, CASE WHEN doc_id % 12 = 1 THEN 'Bad_' || doc_id WHEN doc_id % 12 = 2 THEN 'same-' || doc_id // 24 ELSE 'source-' || doc_id END AS id, CASE WHEN doc_id % 12 = 3 THEN 'shared/' || doc_id // 24 WHEN doc_id % 12 = 4 THEN '/abs/' || doc_id ELSE 'checkout/' || doc_id END AS checkout FROM documents),
     t AS (SELECT *, count(*) OVER (PARTITION BY id) AS a, count(*) OVER (PARTITION BY checkout) AS b FROM s)
     SELECT id, array_to_string(list_filter([CASE WHEN c % 12 = 1 THEN 'invalid_id' END, CASE WHEN a > 1 THEN 'duplicate_id' END, CASE WHEN b > 1 THEN 'duplicate_checkout' END, CASE WHEN c % 12 = 5 THEN 'revision' END, CASE WHEN c % 12 = 6 THEN 'repository' END, CASE WHEN c % 12 = 7 THEN 'normalizer' END,
       CASE WHEN c % 12 = 8 THEN 'no_hosts' END, CASE WHEN c % 12 = 9 THEN 'no_content_roots' END, CASE WHEN c % 12 IN (4, 10) THEN 'unsafe_path' END], lambda x: x IS NOT NULL), ';') AS errors FROM t""",
 )
 def src18(spark, d):
-    """A specification for every customer, and what is wrong with it."""
-    c, k = F.col("c_custkey"), F.col("c_custkey") % 12
+    """A specification for every document, and what is wrong with it."""
+    c, k = F.col("doc_id"), F.col("doc_id") % 12
     named = lambda head, n: F.concat(F.lit(head), n.cast("string"))
-    specs = table(spark, d, "customer").select(
+    specs = table(spark, d, "documents").select(
         F.when(k == 1, named("Bad_", c)).when(k == 2, named("same-", F.floor(c / 24))).otherwise(named("source-", c)).alias("id"), F.when(k == 5, F.substring(F.sha1(c.cast("string")), 1, 39)).otherwise(F.upper(F.sha1(c.cast("string")))).alias("revision"),
         F.when(k == 6, "git@github.com:a/b.git").otherwise(F.concat(named("https://github.com/a/r", c), F.lit(".git"))).alias("repository"), F.when(k == 3, named("shared/", F.floor(c / 24))).when(k == 4, named("/abs/", c)).otherwise(named("checkout/", c)).alias("checkout"),
         F.when(k == 7, "other").otherwise("prisma").alias("normalizer"), F.when(k == 8, F.array().cast("array<string>")).otherwise(F.array(F.lit("docs.example.com"))).alias("hosts"),
