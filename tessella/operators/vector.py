@@ -7,6 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -59,11 +60,12 @@ class HashedTokens:
         def run(batches):
             known: dict[str, tuple[int, int]] = {}
             for batch in batches:
-                raw = np.zeros((batch.num_rows, size))
-                for i, ws in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                    for w in ws or ():
-                        at, sign = known.get(w) or place(w, known)
-                        raw[i, at] += sign
+                lists = batch.column(batch.num_columns - 1)
+                words = lists.flatten().dictionary_encode()
+                told = [known.get(w) or place(w, known) for w in words.dictionary.to_pylist()]
+                spot, code = np.array(told, np.int64).reshape(-1, 2), words.indices.to_numpy()
+                unit = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                raw = np.bincount(unit * size + spot[code, 0], spot[code, 1], batch.num_rows * size).reshape(-1, size)
                 norm = np.sqrt((raw * raw).sum(1, keepdims=True))
                 unit = np.divide(raw, norm, out=np.zeros_like(raw), where=norm > 0)
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, size), pa.int32()), pa.array(unit.ravel()))

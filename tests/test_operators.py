@@ -311,3 +311,41 @@ def test_bootstrap_interval_draw_by_draw(spark):
     means = sorted(sum(c * v for c, v in zip(rng.multinomial(total, np.array(counts) / total), values)) / total for _ in range(500))
     at = lambda p: means[int(p * 499)] + (p * 499 - int(p * 499)) * (means[int(p * 499) + 1] - means[int(p * 499)])
     assert abs(got.low - at(0.025)) < 1e-9 and abs(got.high - at(0.975)) < 1e-9
+
+
+def test_scores_store_no_postings(spark, tmp_path):
+    """Scores against plain loops: nothing but chunks and routes is written for them, blocks and depths lose nothing."""
+    import math
+    import os
+
+    from tessella import storage
+    from tessella.functions.text import terms
+    from tessella.operators.retriever import Lexicon
+
+    r, q = retrieval.retriever(spark, SF), retrieval.questions(spark, SF).where("qid < 12")
+    r.sparse(q).collect(), r.selected_routes(q).collect()
+    made = os.listdir(storage.shared_dir(spark).removeprefix("file://"))
+    assert not [x for x in made if "postings" in x or "words-" in x]
+    rows = [(1, "alpha beta gamma", "x"), (2, "beta alpha beta", "y"), (3, "", "x"), (4, None, "y"), (5, "gamma gamma beta gamma", None), (6, "delta", "x")] + [(i, "beta alpha", "x") for i in range(7, 60)]
+    units = spark.createDataFrame(rows, "k long, text string, project string").repartition(3)
+    asked = [(1, "alpha beta", "x"), (2, "gamma delta beta", "y"), (3, "the", "x"), (4, "nothing here", "x")]
+    questions = spark.createDataFrame(asked, "qid long, text string, project string")
+    split = {t: list(w) for t, w in units.select("text").union(questions.select("text")).distinct().select("text", F.coalesce(terms(F.col("text")), F.array().cast("array<string>"))).collect()}
+    avgdl = sum(len(split[t]) for _, t, _ in rows) / len(rows)
+    want = {}
+    for qid, question, _ in asked:
+        for k, t, _ in rows:
+            s = 0.0
+            for term in set(split[question]) & set(split[t]):
+                df, tf = sum(term in split[x] for _, x, _ in rows), split[t].count(term)
+                s += tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(split[t]) / avgdl)) * math.log1p((len(rows) - df + 0.5) / (df + 0.5))
+            if s > 0:
+                want[qid, k] = round(s, 6)
+    lexicon = Lexicon(units.select("k", "project", "text"), "k")
+    got = {(x.qid, x.k): round(x.score, 6) for x in lexicon.scores(questions, ["k"]).collect()}
+    assert got == want and lexicon.stats.first().avgdl == avgdl
+    project = {k: p for k, _, p in rows}
+    for only in ({}, {"project": questions.select("qid", "project")}):
+        mine = {x: s for x, s in want.items() if not only or project[x[1]] == dict((i, p) for i, _, p in asked)[x[0]]}
+        best = sorted((i, n, k) for i in range(1, 5) for n, k in enumerate(sorted((k for j, k in mine if j == i), key=lambda k: (-mine[i, k], k))[:3], 1))
+        assert best == sorted((x.qid, x["rank"], x.k) for x in lexical.top(lexicon.scores(questions, ["k"], 3, only), "k", 3).collect())
