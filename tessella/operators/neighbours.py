@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import POLICY
-from ..storage import built
-from .lexical import top
-from .vector import blocks
+from ..storage import built, parked
+from .lexical import few, top
+from .vector import blocks, dot, nearest
 
 SEGMENT_ROWS, LINKS, POOL, BEAM, SEED = 16_384, 12, 48, 40, 17
+#: Found (question, vector) pairs that are broadcast to the vectors at most.
+BROADCAST_FOUND = 500_000
 SCHEMA = "segment int, dim int, vectors binary, starts binary, ids binary, first binary, links binary, entries binary"
 
 
@@ -170,3 +172,17 @@ def approximate(questions: DataFrame, graph: DataFrame, depth: int = POLICY.retr
         one = top(graph.mapInArrow(search, schema), key, depth)
         found = one if found is None else found.union(one)
     return found
+
+
+def checked(questions: DataFrame, vectors: DataFrame, found: DataFrame, depth: int, digits: int = 6, key: str = "vec_id") -> DataFrame:
+    """(qid, key, score, rank): the ``depth`` largest products of the vectors as they are, ties by key after rounding to ``digits``.
+
+    ``found`` are :func:`approximate`'s rows. The least product among them is a question's bound, and one exact pass lets
+    through what reaches it: the rows that the walk found, and any that it missed.
+    """
+    vectors = vectors.where("embedding IS NOT NULL AND size(embedding) > 0").select(F.col(key).cast("long").alias(key), "embedding")
+    asked = questions.where("embedding IS NOT NULL").select("qid", "embedding")
+    met = vectors.join(few(found.select("qid", key), BROADCAST_FOUND), key).join(asked.select("qid", F.col("embedding").alias("_q")), "qid")
+    bounds = met.groupBy("qid").agg(F.count("*").alias("n"), F.min(dot(F.col("_q"), F.col("embedding"))).alias("least")).where(F.col("n") >= depth)
+    slack = F.col("least") - F.lit(10.0**-digits)  # rounding on either side
+    return nearest(asked.join(parked(bounds.select("qid", slack.alias("least")), "bounds"), "qid", "left"), vectors, depth, key=key, least="least", digits=digits)

@@ -85,27 +85,29 @@ def blocks(questions: DataFrame) -> list[DataFrame]:
     return [questions] if n <= 1 else [questions.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
 
 
-def nearest(questions: DataFrame, vectors: DataFrame, depth: int = POLICY.retrieval_depth, scope: str | None = None, key: str = "vec_id", keep: list[str] = ()) -> DataFrame:
+def nearest(questions: DataFrame, vectors: DataFrame, depth: int = POLICY.retrieval_depth, scope: str | None = None, key: str = "vec_id", keep: list[str] = (), least: str | None = None, digits: int = 9) -> DataFrame:
     """(qid, key, keep, score, rank) of the ``depth`` nearest vectors of each question, ties by key (VEC02).
 
     With ``scope``, a column of both sides, vectors outside the question's scope are left out. The questions, a stated set,
     go to every batch of vectors as a matrix, BLOCK of them a pass; each batch returns its own best, so a question's rows
-    are as many as batches times depth, not as many as vectors.
+    are as many as batches times depth, not as many as vectors. ``least`` names the questions' column of the score below
+    which nothing is wanted, null for none; scores have ``digits`` digits.
     """
     schema = vectors.select(key, *keep).schema.add("qid", questions.schema["qid"].dataType).add("score", "double")
     found, parts = None, blocks(questions)
     for block in parts:
-        rows = block.select("qid", "embedding", *([scope] if scope else [])).orderBy("qid").collect()  # BLOCK or about as many
+        rows = block.select("qid", "embedding", *([scope] if scope else []), *([least] if least else [])).orderBy("qid").collect()  # BLOCK or about as many
         ids, q = np.array([r.qid for r in rows]), np.array([r.embedding for r in rows], np.float64)
         mine = np.array([r[scope] for r in rows], object) if scope else None
-        part = _best(vectors.select(key, *keep, "embedding", *([F.col(scope).alias("_scope")] if scope else [])), ids, q, mine, depth, len(keep), schema)
+        bound = np.array([-np.inf if not least or r[least] is None else r[least] for r in rows])
+        part = _best(vectors.select(key, *keep, "embedding", *([F.col(scope).alias("_scope")] if scope else [])), ids, q, mine, bound, digits, depth, len(keep), schema)
         part = top(part, key, depth)
         part = parked(part, "nearest") if len(parts) > 1 else part
         found = part if found is None else found.union(part)
     return found.select("qid", key, *keep, "score", "rank")
 
 
-def _best(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, mine: np.ndarray | None, depth: int, kept: int, schema) -> DataFrame:
+def _best(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, mine: np.ndarray | None, bound: np.ndarray, digits: int, depth: int, kept: int, schema) -> DataFrame:
     def block(batches):
         step = max(1, SCORES // max(1, len(ids)))
         for whole in batches:
@@ -114,7 +116,8 @@ def _best(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, mine: np.ndarray |
 
     def best(batch):
         x = np.stack([np.asarray(v, np.float64) for v in batch.column(1 + kept).to_pylist()])
-        s = np.round(q @ x.T, 9)
+        s = np.round(q @ x.T, digits)
+        s[s < bound[:, None]] = -np.inf
         if mine is not None:
             s[mine[:, None] != np.array(batch.column(2 + kept).to_pylist(), object)[None, :]] = -np.inf
         least = np.partition(s, max(0, s.shape[1] - depth), axis=1)[:, max(0, s.shape[1] - depth)]

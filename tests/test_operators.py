@@ -349,3 +349,18 @@ def test_scores_store_no_postings(spark, tmp_path):
         mine = {x: s for x, s in want.items() if not only or project[x[1]] == dict((i, p) for i, _, p in asked)[x[0]]}
         best = sorted((i, n, k) for i in range(1, 5) for n, k in enumerate(sorted((k for j, k in mine if j == i), key=lambda k: (-mine[i, k], k))[:3], 1))
         assert best == sorted((x.qid, x["rank"], x.k) for x in lexical.top(lexicon.scores(questions, ["k"], 3, only), "k", 3).collect())
+
+
+def test_neighbours_are_checked_exactly(spark):
+    """Vectors that aren't of unit length, ties after rounding, copies; a walk that finds less than it should."""
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.normal(0, 1, (400, 8)) * r.uniform(0.5, 2, (400, 1)), np.tile(r.normal(0, 1, 8), (60, 1)), [[1.0] + [0.0] * 7] * 2])
+    x[-1, 0] += 1e-8  # a larger product, equal to six digits
+    e = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>").repartition(3)
+    q = e.where("vec_id % 40 = 0 or vec_id > 459").select(F.col("vec_id").alias("qid"), "embedding")
+    found = neighbours.approximate(q, neighbours.graphs(e, segment_rows=100), 5)
+    want = sorted((int(k), n, i) for k in [*range(0, 460, 40), 460, 461] for n, i in enumerate(sorted(range(len(x)), key=lambda i: (-round(float(x[k] @ x[i]), 6), i))[:5], 1))
+    for some in (found, found.where("qid % 3 = 0 or rank > 3")):
+        assert sorted((a.qid, a["rank"], a.vec_id) for a in neighbours.checked(q, e, some, 5).collect()) == want
