@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import POLICY, Policy
-from ..storage import parked
+from ..storage import discard, parked
 from .components import salted_join
+from .lexical import few
+
+#: Shares of a question's documents that follow their edges by the end of a round; rows of a round that are broadcast at most.
+SHARES, BROADCAST_ROUND = (1 / 40, 1 / 8, 1.0), 2_000_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -86,11 +90,32 @@ def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         found.append(front)
 
 
-def linked_pairs(qrels: DataFrame, edges: DataFrame) -> DataFrame:
-    """(qid, linked): whether any two of a question's documents are joined by an edge (GRF15)."""
-    pair = qrels.select("qid", F.col("doc_id").alias("source_id")).join(edges.select("source_id", "target_id").distinct(), "source_id")
-    both = pair.join(qrels.select("qid", F.col("doc_id").alias("target_id")), ["qid", "target_id"]).where("source_id <> target_id").select("qid").distinct()
-    return qrels.select("qid").distinct().join(both.withColumn("linked", F.lit(True)), "qid", "left").select("qid", F.coalesce("linked", F.lit(False)).alias("linked"))
+def linked_pairs(qrels: DataFrame, edges: DataFrame, shares: tuple[float, ...] = SHARES) -> DataFrame:
+    """(qid, linked): whether any two of a question's documents are joined by an edge (GRF15). Rows may repeat.
+
+    One link settles a question, so documents follow their edges in rounds: of each question not settled yet, those whose
+    hash lies within the next of ``shares``, the last of which is 1. Edges are followed from the end that has more distinct
+    documents, and so fewer edges each.
+    """
+    qrels, edges = parked(qrels.select("qid", "doc_id"), "qrels"), edges.select("source_id", "target_id").where("source_id <> target_id")
+    ends = edges.agg(F.approx_count_distinct("source_id").alias("s"), F.approx_count_distinct("target_id").alias("t")).first()
+    node, other = ("source_id", "target_id") if ends.s > ends.t else ("target_id", "source_id")
+    place = F.pmod(F.xxhash64("qid", "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    rest, linked, low = qrels, [], 0.0
+    for share in (*[x for x in shares if x < 1.0], 1.0):
+        asked = few(rest.where((place >= low) & (place < share)).withColumnRenamed("doc_id", node), BROADCAST_ROUND)
+        some = edges.join(asked, node).select("qid", F.col(other).alias("doc_id"))
+        linked.append(parked(rest.join(some, ["qid", "doc_id"], "left_semi").select("qid").distinct(), "linked"))
+        if share < 1.0:
+            settled = few(linked[-1], BROADCAST_ROUND)
+            rest, before = parked(rest.join(settled, "qid", "left_anti"), "qrels"), rest
+            if before is not qrels:
+                discard(before)
+            if not rest.limit(1).count():
+                break
+        low = share
+    both = reduce(DataFrame.union, linked).withColumn("linked", F.lit(True))  # a question is settled once
+    return qrels.select("qid").distinct().join(both, "qid", "left").select("qid", F.coalesce("linked", F.lit(False)).alias("linked"))
 
 
 #: Weights of the branches of a typed expansion, and the largest degree of an entity that is followed.

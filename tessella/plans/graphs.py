@@ -32,5 +32,6 @@ def grf14(spark, d):
 @query("grf15_linked_qrels", f"WITH {EDGES}, q AS (SELECT DISTINCT o_custkey AS qid, x AS doc_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey, LATERAL (SELECT unnest([l_suppkey, l_partkey + 1000000]) AS x) y), p AS (SELECT DISTINCT a.qid FROM q a JOIN e ON a.doc_id = e.source_id JOIN q b ON b.qid = a.qid AND b.doc_id = e.target_id) SELECT DISTINCT q.qid, p.qid IS NOT NULL AS linked FROM q LEFT JOIN p ON q.qid = p.qid")
 def grf15(spark, d):
     lines = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    qrels = lines.select(F.col("o_custkey").alias("qid"), F.explode(F.array("l_suppkey", F.col("l_partkey") + 1_000_000)).alias("doc_id")).distinct()
-    return graph.linked_pairs(qrels, _edges(spark, d))
+    qrels = lines.select(F.col("o_custkey").alias("qid"), F.explode(F.array("l_suppkey", F.col("l_partkey") + 1_000_000)).alias("doc_id"))
+    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source_id"), (F.col("l_partkey") + 1_000_000).alias("target_id"))
+    return graph.linked_pairs(qrels, edges)

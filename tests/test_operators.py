@@ -364,3 +364,25 @@ def test_neighbours_are_checked_exactly(spark):
     want = sorted((int(k), n, i) for k in [*range(0, 460, 40), 460, 461] for n, i in enumerate(sorted(range(len(x)), key=lambda i: (-round(float(x[k] @ x[i]), 6), i))[:5], 1))
     for some in (found, found.where("qid % 3 = 0 or rank > 3")):
         assert sorted((a.qid, a["rank"], a.vec_id) for a in neighbours.checked(q, e, some, 5).collect()) == want
+
+
+def test_linked_pairs_in_rounds(spark):
+    """Against plain loops, with repeated rows, self-links and questions without a link; a hub's edges don't cross its questions."""
+    import random
+
+    r = random.Random(4)
+    rows = [(q, r.randrange(60)) for q in range(80) for _ in range(r.randint(1, 7))] + [(90, 5), (90, 5), (91, None)]
+    links = [(r.randrange(60), r.randrange(60)) for _ in range(60)] + [(5, 5), (7, None)]
+    docs = {}
+    for q, x in rows:
+        docs.setdefault(q, set()).add(x)
+    want = sorted((q, any(a in xs and b in xs and a != b for a, b in links)) for q, xs in docs.items())
+    qrels, edges = spark.createDataFrame(rows, "qid int, doc_id int"), spark.createDataFrame(links, "source_id int, target_id int")
+    for shares in ((1.0,), (0.1, 0.5, 1.0), (0.3,), (0.02, 1.0)):
+        assert sorted(map(tuple, graph.linked_pairs(qrels, edges, shares).collect())) == want
+    assert {x for _, x in want} == {True, False}
+    n = 4000  # all pairs of the hub's questions and edges are 16 million rows
+    hub = spark.range(n).selectExpr("id as qid", "explode(array(-1L, id)) as doc_id")
+    star = spark.range(n).selectExpr("-1L as source_id", "id as target_id")
+    got = graph.linked_pairs(hub, star)
+    assert got.where("linked").count() == n and "source_id" not in plan_of(got)  # no edge is joined when the result is read
