@@ -14,11 +14,12 @@ connected already are not compared again, so a task returns a forest, never all
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batch, components, discard, mixed, parked, salted_join, shingle_hashes, sliced, utf8, word_hashes
@@ -26,8 +27,10 @@ from .common import by_batch, components, discard, mixed, parked, salted_join, s
 BUCKETS = 1 << 20
 #: A token is frequent above this share of the rows, or three times the buckets' median.
 FREQUENT = 0.002
-#: Tokens of a block; ids that are broadcast at most (beyond, texts and ids are shuffled); members of a group.
+#: Tokens of a block; ids that are broadcast at once; members of a group.
 BLOCK_TOKENS, BROADCAST_IDS, GROUP = 1_000_000, 1_000_000, 32
+#: Passes over the texts, of BROADCAST_IDS ids each, before texts and ids are shuffled instead.
+PASSES = 16
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -234,15 +237,33 @@ def links(sets: list[np.ndarray], num: int, den: int, left: list[int], right: li
     return out
 
 
+def _shares(ids: DataFrame) -> int:
+    """In how many parts of about BROADCAST_IDS rows ``ids`` are broadcast; 0 if they would be more than PASSES."""
+    n = ids.count()
+    return 0 if n > PASSES * BROADCAST_IDS else max(1, -(-n // max(1, BROADCAST_IDS)))
+
+
+def _share(column: str, n: int, i: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(n)) == i
+
+
 def _verified(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b): links among the members (doc_id, part, block, blocks), a task for each part or pair of its blocks."""
+    """(a, b): links among the members (doc_id, part, block, blocks). Members whose ids are too many for one broadcast go by
+    parts in several passes, one after the other, so the texts stay where they lie."""
+    n = _shares(members)
+    if n <= 1:
+        return _linked(docs.join(F.broadcast(members) if n else members, "doc_id"), k, num, den)
+    passes = (_linked(docs.join(F.broadcast(members.where(_share("part", n, i))), "doc_id"), k, num, den) for i in range(n))
+    return reduce(DataFrame.union, [parked(found, "linked") for found in passes])
+
+
+def _linked(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): links among ``texts`` (doc_id, part, block, blocks, text), a task for each part or pair of its blocks."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = [shingles(t, k).view(np.int64) for t in utf8(batch.column("text"))]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "part", "block", "blocks")), pa.array(x, pa.list_(pa.int64()))], ["doc_id", "part", "block", "blocks", "tokens"])
 
-    few = members.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(members) if few else members, "doc_id")
     sets = by_batch(texts.select("doc_id", "part", "block", "blocks", "text"), run, "doc_id bigint, part bigint, block bigint, blocks bigint, tokens array<bigint>")
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
         "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "tokens"
@@ -298,6 +319,11 @@ def distinct(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     """``docs``, all columns, without all but the document of the smallest doc_id of each component. Rows without a doc_id all stay."""
     found = parked(classes(docs, k, num, den), "classes")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    n = _shares(gone)
+    if n:
+        parts = [docs.where(_share("doc_id", n, i)).join(F.broadcast(gone.where(_share("doc_id", n, i))), "doc_id", "left_anti") for i in range(n)] if n > 1 else [docs.join(F.broadcast(gone), "doc_id", "left_anti")]
+        out = reduce(DataFrame.union, parts).select(*docs.columns)
+    else:
+        out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null")) if repeated else out

@@ -107,3 +107,21 @@ def test_ids_that_are_shuffled(docs, rows, monkeypatch):
     want = brute(rows, 5, 80, 100)
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in neardup.classes(docs, 5, 80, 100).collect())
     assert neardup.distinct(docs).count() == len({c for _, c in want.values()})
+
+
+def test_ids_go_in_passes(docs, rows, monkeypatch):
+    """More ids than one broadcast holds: several passes, and no join that shuffles the texts."""
+    want = brute(rows, 5, 80, 100)
+    monkeypatch.setattr(neardup, "BLOCK_TOKENS", 300)
+    joined, plain = [], neardup._linked
+
+    def seen(texts, *rest):
+        joined.append(texts._jdf.queryExecution().executedPlan().toString())
+        return plain(texts, *rest)
+
+    monkeypatch.setattr(neardup, "_linked", seen)
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 25)
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in neardup.classes(docs, 5, 80, 100).collect())
+    kept = neardup.distinct(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
+    assert len(joined) >= 4 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in joined)
