@@ -21,8 +21,8 @@ from .lexical import few, top
 BLOCK = 4096
 #: Scores that a task holds at once.
 SCORES = 1 << 22
-#: Words whose places a task remembers.
-WORDS = 200_000
+#: Words whose places a task remembers; units that it encodes at once.
+WORDS, UNITS = 200_000, 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,7 +59,7 @@ class HashedTokens:
 
         def run(batches):
             known: dict[str, tuple[int, int]] = {}
-            for batch in batches:
+            for batch in (whole.slice(at, UNITS) for whole in batches for at in range(0, whole.num_rows, UNITS)):
                 lists = batch.column(batch.num_columns - 1)
                 words = lists.flatten().dictionary_encode()
                 told = [known.get(w) or place(w, known) for w in words.dictionary.to_pylist()]
