@@ -15,6 +15,8 @@ from .lexical import few
 
 #: Shares of a question's documents that follow their edges by the end of a round; rows of a round that are broadcast at most.
 SHARES, BROADCAST_ROUND = (1 / 40, 1 / 8, 1.0), 2_000_000
+#: Rows of a frontier, each with its path, that are broadcast to the edges at most.
+BROADCAST_FRONT = 200_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -35,17 +37,19 @@ def multihop(seeds: DataFrame, edges: DataFrame, edge_rank: DataFrame, scope: Da
     ``seeds``: (qid, doc_id, rank); ``edges``: (source_id, target_id, edge); ``edge_rank``: (qid, edge, rank). Each hop is
     a join of the frontier with the edges; a page expands ``neighbours`` distinct pages by (edge rank, id), never one that
     lies on its path; at most ``discovered`` new pages of a question are expanded further or boosted, in the order of the
-    frontier. A frontier is bounded by seeds, neighbours and hops, whatever the graph's size. ``scope``, (qid, doc_id), or
+    frontier. A frontier is bounded by seeds, neighbours and hops, whatever the graph's size, so it is written down and goes
+    to the edges where they lie. ``scope``, (qid, doc_id), or
     ``within``, (qid, project) beside edges with the project of both their ends, says which pages a question may see.
     """
     sides = undirected(edges.select("source_id", "target_id", "edge", *(["project"] if within is not None else [])))
     front = seeds.where(F.col("rank") <= policy.seeds).select(
         "qid", "doc_id", F.col("rank").alias("seed_rank"), F.lit(0.0).alias("paths"), F.array("doc_id").alias("seen"), F.col("rank").alias("ord")
     )
+    front = parked(front, "front")
     known = front.select("qid", "doc_id")
     boosts = None
     for hop in range(1, policy.hops + 1):
-        step = front.withColumnRenamed("doc_id", "node").join(sides, "node").where(~F.array_contains("seen", F.col("neighbour")))
+        step = few(front.withColumnRenamed("doc_id", "node"), BROADCAST_FRONT).join(sides, "node").where(~F.array_contains("seen", F.col("neighbour")))
         if within is not None:
             step = step.join(within, ["qid", "project"], "left_semi").drop("project")
         if scope is not None:
@@ -62,6 +66,7 @@ def multihop(seeds: DataFrame, edges: DataFrame, edge_rank: DataFrame, scope: Da
         taken = known.groupBy("qid").agg((F.count("*") - F.least(F.count("*"), F.lit(policy.seeds))).alias("taken"))
         first = first.withColumn("n", F.row_number().over(order)).join(taken, "qid", "left").where(F.col("n") + F.coalesce("taken", F.lit(0)) <= policy.discovered)
         per = per.join(first.select("qid", "neighbour", "first", F.col("n").alias("place")), ["qid", "neighbour"], "left").where(F.col("old") | F.col("place").isNotNull())
+        per = parked(per, "hop")
         boost = F.lit(policy.graph_weight) * (1.0 / (60.0 + F.col("seed_rank")) + F.col("paths") + F.col("part")) * F.lit(policy.hop_decay ** (hop - 1))
         got = per.select("qid", F.col("neighbour").alias("doc_id"), boost.alias("boost"), F.lit(hop).alias("hop"))
         boosts = got if boosts is None else boosts.union(got)

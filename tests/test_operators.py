@@ -386,3 +386,19 @@ def test_linked_pairs_in_rounds(spark):
     star = spark.range(n).selectExpr("-1L as source_id", "id as target_id")
     got = graph.linked_pairs(hub, star)
     assert got.where("linked").count() == n and "source_id" not in plan_of(got)  # no edge is joined when the result is read
+
+
+def written_by(name, sf, tmp_path, monkeypatch, spark):
+    """(rows, kind of table: bytes) of a query that starts with an empty shared folder."""
+    from tessella import storage
+    from tessella.plans import catalog
+
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
+    rows = catalog.queries()[name](spark, sf).collect()
+    return rows, {f.name.split("-")[1]: sum(x.stat().st_size for x in f.rglob("*") if x.is_file()) for f in tmp_path.iterdir()}
+
+
+@pytest.mark.parametrize("name", ["grf13_multihop_links"])
+def test_linked_ranking_writes_its_frontiers(name, spark, tmp_path, monkeypatch):
+    rows, made = written_by(name, SF, tmp_path, monkeypatch, spark)
+    assert rows and {"front", "hop", "edge"} <= set(made) and not {"postings", "words"} & set(made)
