@@ -398,7 +398,7 @@ def written_by(name, sf, tmp_path, monkeypatch, spark):
     return rows, {f.name.split("-")[1]: sum(x.stat().st_size for x in f.rglob("*") if x.is_file()) for f in tmp_path.iterdir()}
 
 
-@pytest.mark.parametrize("name", ["grf13_multihop_links"])
+@pytest.mark.parametrize("name", ["grf13_multihop_links", "grf13_scoped_links"])
 def test_linked_ranking_writes_its_frontiers(name, spark, tmp_path, monkeypatch):
     rows, made = written_by(name, SF, tmp_path, monkeypatch, spark)
     assert rows and {"front", "hop", "edge"} <= set(made) and not {"postings", "words"} & set(made)
