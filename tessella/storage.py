@@ -57,15 +57,18 @@ def _code() -> str:
     return out.hexdigest()
 
 
+def _place(source: DataFrame, name: str, mark: str | None) -> str:
+    key = hashlib.sha256("\0".join((name, mark or fingerprint(source), _code())).encode()).hexdigest()[:32]
+    return f"{shared_dir(source.sparkSession)}/tessella-{name}-{key}"
+
+
 def built(source: DataFrame, name: str, make: Callable[[], DataFrame], mark: str | None = None) -> DataFrame:
     """The table that ``make`` gives for ``source``, written once and read wherever, and by whatever session, it is asked for again.
 
     It is made anew if a file of ``source`` or the library's code changes, or if the written table has been deleted. It is
     written beside its place and renamed, so what is there is whole. ``mark`` is the source's fingerprint where it is known.
     """
-    spark = source.sparkSession
-    key = hashlib.sha256("\0".join((name, mark or fingerprint(source), _code())).encode()).hexdigest()[:32]
-    path = f"{shared_dir(spark)}/tessella-{name}-{key}"
+    spark, path = source.sparkSession, _place(source, name, mark)
     if not exists(spark, f"{path}/_SUCCESS"):
         beside = f"{path}-{uuid.uuid4().hex}"
         make().write.option("compression", "zstd").parquet(beside)
@@ -76,6 +79,12 @@ def built(source: DataFrame, name: str, make: Callable[[], DataFrame], mark: str
     return spark.read.parquet(path)
 
 
+def found(source: DataFrame, name: str, mark: str | None = None) -> DataFrame | None:
+    """The table that :func:`built` has written for ``source``, if it is there."""
+    spark, path = source.sparkSession, _place(source, name, mark)
+    return spark.read.parquet(path) if exists(spark, f"{path}/_SUCCESS") else None
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a parked table that no later step and no result reads."""
     spark = df.sparkSession
