@@ -13,6 +13,8 @@ from .lexical import few
 
 #: Passages that are broadcast at most.
 BROADCAST_PASSAGES = 100_000
+#: Characters of passages that one automaton looks for in all texts; texts that are searched at once.
+WHOLE, SEARCHED = 2_000_000, 256
 
 
 def _words(x: Column) -> Column:
@@ -20,13 +22,16 @@ def _words(x: Column) -> Column:
     return F.filter(F.split(x, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
+def holding(docs: DataFrame, passages: DataFrame, whole: int = WHOLE) -> DataFrame:
     """(qid, doc_id): the documents (doc_id, text) whose text holds the passage of (qid, passage), exactly.
 
-    A passage's key is its longest inner word, one that other signs enclose: a text that holds the passage has that very
+    Passages of up to ``whole`` characters together are one automaton, which passes over every text where it lies. Of more, a passage's key is its longest inner word, one that other signs enclose: a text that holds the passage has that very
     word. Texts are joined by their distinct words with the keys, and only those that meet are searched. Passages without
     an inner word, a few signs long, are looked for in all texts as one automaton. Empty passages stand in every text and are left out.
     """
+    size = passages.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("passage")), F.lit(0)).alias("chars")).first()
+    if size.n <= BROADCAST_PASSAGES and size.chars <= whole:
+        return _short(docs, passages.select("qid", "passage").where("passage <> ''"))
     inner = F.filter(F.transform(F.split("passage", r"[\x00-\x40\x5B-\x60\x7B-\x7F]", -1), lambda w, i: F.struct(F.length(w).alias("n"), w.alias("w"), i.alias("i"))), lambda s: s["w"] != "")
     last = F.size(F.split("passage", r"[\x00-\x40\x5B-\x60\x7B-\x7F]", -1)) - 1
     inside = F.filter(inner, lambda s: (s["i"] > 0) & (s["i"] < last))
@@ -40,7 +45,7 @@ def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def _short(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """The same for passages of a few signs: one automaton of all of them, BROADCAST_PASSAGES a pass, over each text once."""
+    """The same by one automaton of all passages, BROADCAST_PASSAGES a pass, over each text once."""
     n = max(1, -(-passages.count() // BROADCAST_PASSAGES))
     found = None
     kinds = [to_arrow_type(f.dataType) for f in (passages.schema["qid"], docs.schema["doc_id"])]
@@ -56,7 +61,7 @@ def _short(docs: DataFrame, passages: DataFrame) -> DataFrame:
             for p in asked:
                 automaton.add_word(p, p)
             automaton.make_automaton()
-            for batch in batches:
+            for batch in (part.slice(at, SEARCHED) for part in batches for at in range(0, part.num_rows, SEARCHED)):
                 qids, ids = [], []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     for p in {p for _, p in automaton.iter(text or "")} if asked else ():

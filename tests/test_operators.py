@@ -408,3 +408,15 @@ def test_linked_ranking_writes_its_frontiers(name, spark, tmp_path, monkeypatch)
 def test_lexical_queries_store_no_chunks(name, spark, tmp_path, monkeypatch):
     rows, made = written_by(name, SF, tmp_path, monkeypatch, spark)
     assert rows and "chunks" not in made and not {"postings", "words", "vectors", "links"} & set(made)
+
+
+def test_passages_leave_the_texts_in_place(spark):
+    """Both ways of looking for passages against plain containment; that of few passages shuffles no text."""
+    texts = [(1, "one two three"), (2, "two, three"), (3, None), (4, ""), (5, "xtwo threex Two"), (6, "été, two three été"), (7, "a.b")]
+    asked = [(1, "two three"), (2, "e two t"), (3, ""), (4, "."), (5, "été"), (6, "nowhere"), (7, None), (8, "two three")]
+    docs, passages = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(asked, "qid long, passage string")
+    want = sorted((q, d) for q, p in asked for d, t in texts if p and t and p in t)
+    found = holding(docs, passages)
+    for way in (found, holding(docs, passages, whole=0)):
+        assert sorted(map(tuple, way.collect())) == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
