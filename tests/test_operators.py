@@ -410,6 +410,12 @@ def test_lexical_queries_store_no_chunks(name, spark, tmp_path, monkeypatch):
     assert rows and "chunks" not in made and not {"postings", "words", "vectors", "links"} & set(made)
 
 
+@pytest.mark.parametrize("name", ["met14_primary_metrics"])
+def test_fused_queries_store_no_postings(name, spark, tmp_path, monkeypatch):
+    rows, made = written_by(name, SF, tmp_path, monkeypatch, spark)
+    assert rows and not {"postings", "words"} & set(made)
+
+
 def test_passages_leave_the_texts_in_place(spark):
     """Both ways of looking for passages against plain containment; that of few passages shuffles no text."""
     texts = [(1, "one two three"), (2, "two, three"), (3, None), (4, ""), (5, "xtwo threex Two"), (6, "été, two three été"), (7, "a.b")]
