@@ -410,7 +410,7 @@ def test_lexical_queries_store_no_chunks(name, spark, tmp_path, monkeypatch):
     assert rows and "chunks" not in made and not {"postings", "words", "vectors", "links"} & set(made)
 
 
-@pytest.mark.parametrize("name", ["met14_primary_metrics", "fus03_path_types", "hlp05_candidate_packet", "fus04_soft_hierarchy", "rrf_hybrid", "fus03_graph_fusion"])
+@pytest.mark.parametrize("name", ["met14_primary_metrics", "fus03_path_types", "hlp05_candidate_packet", "fus04_soft_hierarchy", "rrf_hybrid", "fus03_graph_fusion", "grf12_typed_expansion"])
 def test_fused_queries_store_no_postings(name, spark, tmp_path, monkeypatch):
     rows, made = written_by(name, SF, tmp_path, monkeypatch, spark)
     assert rows and not {"postings", "words"} & set(made)
