@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -48,30 +49,38 @@ class HashedTokens:
         others = [c for c in units.columns if c != text]
         words = units.select(*others, tokens(F.col(text)).alias("_words"))
         schema = StructType([*(units.schema[c] for c in others), StructField("embedding", ArrayType(DoubleType()))])
-        size = self.size
+        size, of = self.size, self.of_tokens
 
-        def place(word: str, known: dict[str, tuple[int, int]]) -> tuple[int, int]:
+        def run(batches):
+            made = of()
+            for batch in (whole.slice(at, UNITS) for whole in batches for at in range(0, whole.num_rows, UNITS)):
+                unit = made(batch.column(batch.num_columns - 1))
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, size), pa.int32()), pa.array(unit.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], schema.names)
+
+        return words.mapInArrow(run, schema)
+
+    def of_tokens(self) -> Callable[[pa.ListArray], np.ndarray]:
+        """What makes vectors, a row a unit, of the units' tokens in a worker."""
+        size, known = self.size, {}
+
+        def place(word: str) -> tuple[int, int]:
             digest = hashlib.md5(word.encode()).hexdigest()
             found = int(digest[:8], 16) % size, 1 if digest[8] < "8" else -1
             if len(known) < WORDS:
                 known[word] = found
             return found
 
-        def run(batches):
-            known: dict[str, tuple[int, int]] = {}
-            for batch in (whole.slice(at, UNITS) for whole in batches for at in range(0, whole.num_rows, UNITS)):
-                lists = batch.column(batch.num_columns - 1)
-                words = lists.flatten().dictionary_encode()
-                told = [known.get(w) or place(w, known) for w in words.dictionary.to_pylist()]
-                spot, code = np.array(told, np.int64).reshape(-1, 2), words.indices.to_numpy()
-                unit = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-                raw = np.bincount(unit * size + spot[code, 0], spot[code, 1], batch.num_rows * size).reshape(-1, size)
-                norm = np.sqrt((raw * raw).sum(1, keepdims=True))
-                unit = np.divide(raw, norm, out=np.zeros_like(raw), where=norm > 0)
-                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, size), pa.int32()), pa.array(unit.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], schema.names)
+        def made(lists: pa.ListArray) -> np.ndarray:
+            words = lists.flatten().dictionary_encode()
+            told = [known.get(w) or place(w) for w in words.dictionary.to_pylist()]
+            spot, code = np.array(told, np.int64).reshape(-1, 2), words.indices.to_numpy()
+            unit = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            raw = np.bincount(unit * size + spot[code, 0], spot[code, 1], len(lists) * size).reshape(-1, size)
+            norm = np.sqrt((raw * raw).sum(1, keepdims=True))
+            return np.divide(raw, norm, out=np.zeros_like(raw), where=norm > 0)
 
-        return words.mapInArrow(run, schema)
+        return made
 
 
 def cached(provider: EmbeddingProvider, source: DataFrame, units: DataFrame, key: str, mark: str | None = None) -> DataFrame:

@@ -439,3 +439,18 @@ def test_a_task_hands_on_its_best_only(spark, monkeypatch):
     monkeypatch.setattr(lexical, "HELD", 7)
     few = Lexicon(units, "k").scores(questions, ["k"], 5)
     assert few.count() >= 15 and every == sorted(map(tuple, lexical.top(few, "k", 5).select("qid", "rank", "k").collect()))
+
+
+def test_one_pass_gives_both_rankings(spark):
+    """Lexical and dense rankings of one pass over the tokens are those of two, scoped or not."""
+    r, q = retrieval.retriever(spark, SF, stored=False), retrieval.questions(spark, SF).where("qid < 20")
+    for scoped in (False, True):
+        want = [(k, *x) for k, found in enumerate((r.sparse(q, scoped), r.dense(q, scoped))) for x in found.select("qid", "doc_id", "rank", "best_chunk").collect()]
+        assert sorted(want) == sorted(map(tuple, r.both(q, scoped).select("kind", "qid", "doc_id", "rank", "best_chunk").collect()))
+    assert r.both(q.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["rrf_hybrid"])
+def test_fused_queries_store_no_chunks(name, spark, tmp_path, monkeypatch):
+    rows, made = written_by(name, SF, tmp_path, monkeypatch, spark)
+    assert rows and not {"chunks", "vectors"} & set(made)
