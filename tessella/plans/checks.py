@@ -259,7 +259,7 @@ def met14(spark, d):
     """Hits of what an answer cites, else of what its agent saw."""
     from .retrieval import retriever
 
-    r, q = retriever(spark, d), questions(spark, d)
+    r, q = retriever(spark, d, stored=False), questions(spark, d)
     wanted = qrels(spark, d).withColumn("good", F.lit(1))
     hits = lambda ranked, name: ranked.where("rank <= 10").join(wanted, ["qid", "doc_id"], "left").groupBy("qid").agg(F.count("good").alias(name))
     fused = r.fused(q)
