@@ -450,13 +450,13 @@ def test_one_pass_gives_both_rankings(spark):
     assert r.both(q.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["rrf_hybrid", "fus04_soft_hierarchy", "hlp05_candidate_packet", "fus03_path_types", "met14_primary_metrics"])
+@pytest.mark.parametrize("name", ["rrf_hybrid", "fus03_graph_fusion", "fus04_soft_hierarchy", "hlp05_candidate_packet", "fus03_path_types", "met14_primary_metrics"])
 def test_fused_queries_store_no_chunks(name, spark, tmp_path, monkeypatch):
     rows, made = written_by(name, SF, tmp_path, monkeypatch, spark)
     assert rows and not {"chunks", "vectors"} & set(made)
 
 
-@pytest.mark.parametrize("name", ["fus03_path_types"])
+@pytest.mark.parametrize("name", ["fus03_path_types", "fus03_graph_fusion"])
 def test_expansions_store_no_links(name, spark, tmp_path, monkeypatch):
     rows, made = written_by(name, SF, tmp_path, monkeypatch, spark)
     assert rows and "links" not in made
