@@ -129,21 +129,36 @@ HOP_WEIGHT = {1: 1.0, 2: 0.5}
 CLAIM_WEIGHT = 0.90
 
 
-def _first(rows: DataFrame, order: list, policy: Policy) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy("qid", "seed").orderBy(*order))
+def _first(rows: DataFrame, order: list, policy: Policy, *by: str) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy("qid", "seed", *by).orderBy(*order))
     return rows.withColumn("at", at).where(F.col("at") <= policy.neighbours).drop("at")
 
 
+def _fine(rows: DataFrame, by: list[str], unit: str, cap: int) -> DataFrame:
+    """The distinct ``rows`` of the entities (``by``) that have ``cap`` different ``unit`` at most.
+
+    Which of 64 hash values an entity's units have is counted first, where they lie: more than ``cap`` of those are more than
+    ``cap`` units, so the rows of what is mentioned nearly everywhere are never handed on. The rest are few and counted exactly.
+    """
+    rows = rows.where(F.col(unit).isNotNull())
+    value = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(unit), F.lit(64)).cast("int"))
+    likely = parked(rows.groupBy(*by).agg(F.bit_count(F.bit_or(value)).alias("n")).where(F.col("n") <= cap).select(*by), "likely")
+    rows = parked(rows.join(few(likely, BROADCAST_FRONT), by, "left_semi").distinct(), "likely-rows")
+    return rows.join(rows.groupBy(*by).agg(F.countDistinct(unit).alias("n")).where(F.col("n") <= cap).select(*by), by, "left_semi")
+
+
 def _link_branch(seeds: DataFrame, edges: DataFrame, policy: Policy) -> DataFrame:
     """Pages at the ends of paths of one link, then of two, the first ones by (hops, id); a page may stand at both distances."""
-    sides = undirected(edges).select("node", "neighbour").distinct()
-    one = seeds.join(sides, F.col("seed") == F.col("node")).select("qid", "seed", F.col("neighbour").alias("doc_id"))
+    sides = undirected(edges).select("node", "neighbour")
+    one = few(seeds.withColumn("node", F.col("seed")), BROADCAST_FRONT).join(sides, "node").select("qid", "seed", F.col("neighbour").alias("doc_id"))
+    one = parked(one.distinct(), "neighbours")
     enough = F.row_number().over(Window.partitionBy("qid", "seed").orderBy("doc_id"))
     first = one.withColumn("at", enough).where(F.col("at") <= policy.neighbours).drop("at")
     hop1 = first.withColumn("hops", F.lit(1))
     # beyond every direct neighbour, not beyond the first ones only; of one neighbour's pages the first ones are enough
     spread = F.row_number().over(Window.partitionBy("qid", "seed", "via").orderBy("doc_id"))
-    two = one.withColumnRenamed("doc_id", "via").join(sides, F.col("via") == F.col("node")).where("neighbour <> seed").select("qid", "seed", "via", F.col("neighbour").alias("doc_id"))
+    two = few(one.withColumnRenamed("doc_id", "node"), BROADCAST_FRONT).join(sides, "node").where("neighbour <> seed")
+    two = two.select("qid", "seed", F.col("node").alias("via"), F.col("neighbour").alias("doc_id")).distinct()
     two = two.withColumn("at", spread).where(F.col("at") <= policy.neighbours)
     hop2 = two.select("qid", "seed", "doc_id").distinct().withColumn("hops", F.lit(2))
     both = _first(hop1.union(hop2), ["hops", "doc_id"], policy)
@@ -151,23 +166,26 @@ def _link_branch(seeds: DataFrame, edges: DataFrame, policy: Policy) -> DataFram
     return both.select("qid", "seed", "doc_id", weight.alias("weight"), F.concat(F.lit("link_"), F.col("hops").cast("string"), F.lit("hop")).alias("path"), "hops")
 
 
-def _shared_branch(seeds: DataFrame, mentions: DataFrame, kind: str, cap: int, policy: Policy) -> DataFrame:
-    """Pages that mention what a seed mentions, by entities of ``cap`` pages at most, so an entity adds no more than that."""
-    mine = mentions.where(F.col("kind") == kind).select("doc_id", "entity").distinct()
-    fine = mine.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") <= cap).select("entity")
-    mine = mine.join(fine, "entity", "left_semi")
-    own = seeds.join(mine.withColumnRenamed("doc_id", "seed"), "seed").select("qid", "seed", "entity")
-    found = own.join(mine, "entity").where("doc_id <> seed").select("qid", "seed", "doc_id").distinct()
-    return _first(found, ["doc_id"], policy).select("qid", "seed", "doc_id", F.lit(BRANCHES[kind]).alias("weight"), F.lit(kind).alias("path"), F.lit(1).alias("hops"))
+def _shared_branches(seeds: DataFrame, mentions: DataFrame, cap: int, policy: Policy) -> DataFrame:
+    """Pages that mention what a seed mentions, by entities of ``cap`` pages at most, so an entity adds no more than that; a branch a kind."""
+    mine = mentions.where(F.col("kind").isin(*BRANCHES)).select("doc_id", "kind", "entity")
+    own = few(seeds.withColumnRenamed("seed", "doc_id"), BROADCAST_FRONT).join(mine, "doc_id").select("qid", F.col("doc_id").alias("seed"), "kind", "entity")
+    own = parked(own.distinct(), "mentioned")
+    asked = few(own.select("kind", "entity").distinct(), BROADCAST_FRONT)
+    near = _fine(mine.join(asked, ["kind", "entity"], "left_semi"), ["kind", "entity"], "doc_id", cap)
+    found = own.join(near, ["kind", "entity"]).where("doc_id <> seed").select("qid", "seed", "doc_id", "kind").distinct()
+    weight = F.create_map(*(F.lit(x) for pair in BRANCHES.items() for x in pair))[F.col("kind")]
+    return _first(found, ["doc_id"], policy, "kind").select("qid", "seed", "doc_id", weight.alias("weight"), F.col("kind").alias("path"), F.lit(1).alias("hops"))
 
 
 def _claim_branch(seeds: DataFrame, claims: DataFrame, cap: int, policy: Policy) -> DataFrame:
     """Pages whose claims share an entity, subject or object, with a seed's claims; the path names the other claim's predicate."""
     ends = claims.select("claim_id", "doc_id", "predicate", F.explode(F.array_distinct(F.array("subject", "object"))).alias("entity"))
-    fine = ends.groupBy("entity").agg(F.countDistinct("claim_id").alias("n")).where(F.col("n") <= cap).select("entity")
-    ends = ends.join(fine, "entity", "left_semi")
-    own = seeds.join(ends.select(F.col("doc_id").alias("seed"), "entity").distinct(), "seed")
-    found = own.join(ends, "entity").where("doc_id <> seed").select("qid", "seed", "doc_id", "predicate").distinct()
+    own = few(seeds.withColumnRenamed("seed", "doc_id"), BROADCAST_FRONT).join(ends, "doc_id").select("qid", F.col("doc_id").alias("seed"), "entity")
+    own = parked(own.distinct(), "claimed")
+    asked = few(own.select("entity").distinct(), BROADCAST_FRONT)
+    near = _fine(ends.join(asked, "entity", "left_semi"), ["entity"], "claim_id", cap)
+    found = own.join(near, "entity").where("doc_id <> seed").select("qid", "seed", "doc_id", "predicate").distinct()
     return _first(found, ["doc_id", "predicate"], policy).select("qid", "seed", "doc_id", F.lit(CLAIM_WEIGHT).alias("weight"), F.concat(F.lit("claim:"), F.col("predicate")).alias("path"), F.lit(1).alias("hops"))
 
 
@@ -177,17 +195,15 @@ def expanded(seeds: DataFrame, edges: DataFrame, mentions: DataFrame, claims: Da
     ``seeds``: (qid, doc_id, rank), the first ones of each question count; ``edges``: (source_id, target_id, edge);
     ``mentions``: (doc_id, kind, entity); ``claims``: (claim_id, doc_id, subject, predicate, object); ``relevance``
     gives (qid, doc_id, cosine), a page's best, for the (qid, doc_id) that are reached. Of every seed five branches give ``neighbours`` pages each, the best of all those by
-    weight go on. A page scores its largest weight times its relevance, plus 1 / (60 + its first seed's rank).
+    weight go on. A page scores its largest weight times its relevance, plus 1 / (60 + its first seed's rank). The seeds, and what
+    they mention, go to the edges, mentions and claims where those lie; of these only what meets them is shuffled.
     """
-    few = seeds.where(F.col("rank") <= policy.seeds)
-    own = few.select("qid", F.col("doc_id").alias("seed"))
-    found = _link_branch(own, edges, policy)
-    for kind in BRANCHES:
-        found = found.union(_shared_branch(own, mentions, kind, policy.degree_cap, policy))
-    found = found.union(_claim_branch(own, claims, policy.degree_cap, policy))
-    found = found.join(few.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").select("qid", "seed", "doc_id", "weight", "path", "hops")
+    chosen = parked(seeds.where(F.col("rank") <= policy.seeds).select("qid", "doc_id", "rank"), "seeds")
+    own = chosen.select("qid", F.col("doc_id").alias("seed"))
+    found = _link_branch(own, edges, policy).union(_shared_branches(own, mentions, policy.degree_cap, policy)).union(_claim_branch(own, claims, policy.degree_cap, policy))
+    found = found.join(chosen.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").select("qid", "seed", "doc_id", "weight", "path", "hops")
     kept = _first(found, [F.desc("weight"), "hops", "doc_id", "path"], policy)
-    kept = kept.join(few.select("qid", F.col("doc_id").alias("seed"), F.col("rank").alias("seed_rank")), ["qid", "seed"])
+    kept = kept.join(chosen.select("qid", F.col("doc_id").alias("seed"), F.col("rank").alias("seed_rank")), ["qid", "seed"])
     out = kept.groupBy("qid", "doc_id").agg(F.max("weight").alias("w"), F.min("seed_rank").alias("r"), F.min("hops").alias("hops"), F.array_sort(F.collect_set("seed")).alias("seeds"), F.array_sort(F.collect_set("path")).alias("paths"))
     out = parked(out, "reached")  # seeds times neighbours a question
     out = out.join(relevance(out.select("qid", "doc_id")), ["qid", "doc_id"], "left")

@@ -460,3 +460,66 @@ def test_fused_queries_store_no_chunks(name, spark, tmp_path, monkeypatch):
 def test_expansions_store_no_links(name, spark, tmp_path, monkeypatch):
     rows, made = written_by(name, SF, tmp_path, monkeypatch, spark)
     assert rows and "links" not in made
+
+
+def reached(seeds, edges, mentions, claims, policy):
+    """A typed expansion of one question's seeds, {doc_id: rank}, step by step: {doc_id: (weight, seed's rank, hops, paths)}."""
+    near, named, told, best = {}, {}, {}, {}
+    for s, t in edges:
+        if s != t:
+            near.setdefault(s, set()).add(t)
+            near.setdefault(t, set()).add(s)
+    for d, kind, entity in mentions:
+        named.setdefault((kind, entity), set()).add(d)
+    for claim, d, subject, predicate, other in claims:
+        for entity in {subject, other}:
+            told.setdefault(entity, set()).add((claim, d, predicate))
+    fine = {e: x for e, x in named.items() if len(x) <= policy.degree_cap}
+    known = {e: x for e, x in told.items() if len({c for c, _, _ in x}) <= policy.degree_cap}
+    for seed, rank in seeds.items():
+        one = near.get(seed, set())
+        hops = {(1, d) for d in one} | {(2, d) for v in one for d in near[v] if d != seed}
+        found = [(graph.HOP_WEIGHT[h], h, d, f"link_{h}hop") for h, d in sorted(hops)[: policy.neighbours]]
+        for kind, weight in graph.BRANCHES.items():
+            shared = {d for (k, _), x in fine.items() if k == kind and seed in x for d in x if d != seed}
+            found += [(weight, 1, d, kind) for d in sorted(shared)[: policy.neighbours]]
+        claimed = {(d, p) for x in known.values() if seed in {d for _, d, _ in x} for _, d, p in x if d != seed}
+        found += [(graph.CLAIM_WEIGHT, 1, d, f"claim:{p}") for d, p in sorted(claimed)[: policy.neighbours]]
+        found = sorted((x for x in found if x[2] not in seeds), key=lambda x: (-x[0], *x[1:]))[: policy.neighbours]
+        for weight, hop, d, path in found:
+            w, r, h, paths = best.get(d, (0.0, rank, hop, set()))
+            best[d] = max(w, weight), min(r, rank), min(h, hop), paths | {path}
+    return best
+
+
+def shuffled(spark):
+    """Rows that this session's tasks have written for a shuffle so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("most", [graph.BROADCAST_FRONT, 0])
+def test_expansion_shuffles_what_meets_its_seeds(most, spark, monkeypatch):
+    """Entities just within the cap, just beyond it and of a third of all pages, rows that stand twice, links between seeds: as step by
+    step. Edges, mentions and claims stay where they are unless the seeds are too many to be sent there."""
+    n = 30_000
+    pages = spark.range(0, n, 1, 6)
+    many = [("shared_reusable", "r20", 100, 120), ("shared_reusable", "r21", 200, 221), ("bounded_route", "b64", 300, 364), ("another", "x", 0, 5)]
+    mentions = pages.selectExpr("id as doc_id", "explode(array(named_struct('kind', 'shared_reusable', 'entity', 'r' || id div 7), named_struct('kind', 'bounded_route', 'entity', 'b' || id div 90), if(id % 3 = 0, named_struct('kind', 'shared_code_entity', 'entity', 'everywhere'), null))) as m").where("m is not null").select("doc_id", "m.*")
+    mentions = mentions.union(spark.createDataFrame([(d, k, e) for k, e, low, high in many for d in range(low, high)] * 2 + [(None, "shared_reusable", "r20")], "doc_id long, kind string, entity string"))
+    edges = pages.selectExpr("id as source_id", "explode(array((id * 7 + 3) % 30000, (id * 13 + 5) % 30000, if(id % 1500 = 0, 33, id))) as target_id").withColumn("edge", F.lit(0))
+    claims = pages.selectExpr("id as claim_id", "id as doc_id", "'e' || id % 9001 as subject", "element_at(array('uses', 'needs'), cast(id % 2 + 1 as int)) as predicate", "if(id % 10 = 0, 'all', 'e' || (id * 5 + 1) % 9001) as object")
+    claims = claims.union(claims.where("claim_id < 50"))
+    asked = {1: [100, 200, 33, 102, 10], 2: [300, 33, 20_000, 5, 12]}
+    seeds = spark.createDataFrame([(q, d, i + 1) for q, ds in asked.items() for i, d in enumerate(ds)] + [(1, 7, POLICY.seeds + 1)], "qid long, doc_id long, rank int")
+    links = [(r.source_id, r.target_id) for r in edges.collect()]
+    named, told = ([tuple(r) for r in x.collect()] for x in (mentions.where("doc_id is not null"), claims.select("claim_id", "doc_id", "subject", "predicate", "object")))
+    want = {(q, d): (r, h, sorted(p), round(w * 0.5 + 1 / (60 + r), 9)) for q, ds in asked.items() for d, (w, r, h, p) in reached({d: i + 1 for i, d in enumerate(ds)}, links, named, told, POLICY).items()}
+    monkeypatch.setattr(graph, "BROADCAST_FRONT", most)
+    before = shuffled(spark)
+    got = graph.expanded(seeds, edges, mentions, claims, lambda pairs: pairs.withColumn("cosine", F.lit(0.5))).collect()
+    assert {(r.qid, r.doc_id): (r.hops, r.paths, r.score) for r in got} == {k: x[1:] for k, x in want.items()} and len(got) == len(want) > 40
+    if most:
+        assert shuffled(spark) - before < n / 4
