@@ -523,3 +523,9 @@ def test_expansion_shuffles_what_meets_its_seeds(most, spark, monkeypatch):
     assert {(r.qid, r.doc_id): (r.hops, r.paths, r.score) for r in got} == {k: x[1:] for k, x in want.items()} and len(got) == len(want) > 40
     if most:
         assert shuffled(spark) - before < n / 4
+
+
+@pytest.mark.parametrize("name", ["fus03_graph_fusion", "grf12_typed_expansion", "rrf_hybrid"])
+def test_fused_queries_write_no_routes(name, spark, tmp_path, monkeypatch):
+    rows, made = written_by(name, SF, tmp_path, monkeypatch, spark)
+    assert rows and "routes" not in made
